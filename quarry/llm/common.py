@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
 from collections.abc import Iterator
 
@@ -16,7 +17,7 @@ from pyspark.sql import functions as F
 WORD_PATTERN = "[^\\x20\\x09-\\x0D]+"
 #: Raw text bytes in one block; a longer document makes a block of its own.
 BLOCK_BYTES = 8 << 20
-BLOCK_SCHEMA = "block long, doc_ids binary, offsets binary, payload binary"
+BLOCK_SCHEMA = "block long, bytes long, doc_ids binary, offsets binary, payload binary"
 MIX = np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -33,6 +34,27 @@ def stored(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark drop the shuffle files of stages whose results have been stored."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
+def range_count(blocks: DataFrame, range_bytes: int) -> int:
+    """Key ranges for a corpus: one for each range_bytes of text, and a few for a small one."""
+    return max(24, -(-int(blocks.agg(F.sum("bytes")).first()[0] or 0) // range_bytes))
+
+
+def range_of(keys: np.ndarray, ranges: int) -> np.ndarray:
+    """Range of each 64-bit key; it does not fall as keys rise."""
+    return ((keys >> np.uint64(32)) * np.uint64(ranges)) >> np.uint64(32)
+
+
+def slices(owner: np.ndarray, n: int) -> np.ndarray:
+    """Ends of the stretches of 0..n-1 in the ascending array owner, from 0."""
+    return np.searchsorted(owner, np.arange(n + 1))
+
+
 def mixed(h: np.ndarray) -> np.ndarray:
     """Spread 64-bit values over all bits."""
     with np.errstate(over="ignore"):
@@ -154,11 +176,12 @@ def blocks_of(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
             row = pa.record_batch(
                 [
                     pa.array([(task << 32) | seq], pa.int64()),
+                    pa.array([len(raw)], pa.int64()),
                     pa.array([np.concatenate(ids).tobytes()], pa.binary()),
                     pa.array([(off - off[0]).tobytes()], pa.binary()),
                     pa.array([codec.compress(raw, asbytes=True) if raw else b""], pa.binary()),
                 ],
-                ["block", "doc_ids", "offsets", "payload"],
+                ["block", "bytes", "doc_ids", "offsets", "payload"],
             )
             ids, texts, size, seq = [], [], 0, seq + 1
             return row
