@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quarry.llm import mixing, neardup, packing, repeats, sharding, topk
+from quarry.llm import mixing, neardup, packing, repeats, scoring, sharding, topk
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,6 +17,10 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.sharded(table(spark, sf_dir, "documents"), shards=16)
 
 
+def op2_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scoring.scores(table(spark, sf_dir, "documents"))
+
+
 def op3_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.repeats(table(spark, sf_dir, "documents"))
 
@@ -38,7 +42,7 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_sharding, op3_repeats, op5_packing, op7_topk, op8_neardup, op9_mixing)}
+    return {f.__name__: f for f in (op1_sharding, op2_scoring, op3_repeats, op5_packing, op7_topk, op8_neardup, op9_mixing)}
 
 
 def oracle_sql() -> dict[str, str]:
