@@ -13,8 +13,9 @@ from quarry.llm.common import stored
 from quarry.llm.components import connected_components
 from quarry.llm.topk import finite_vectors, stacked
 
-#: Vectors that the centres are fitted on, at most; vectors of a cell on average; rows of one side of a block.
-FIT_ROWS, CELL_ROWS, BLOCK_ROWS, MAX_CELLS = 20_000, 512, 2048, 4096
+#: Vectors that the centres are fitted on, at most; vectors of a cell on average; rows of one side
+#: of a block; rows handed on at once.
+FIT_ROWS, CELL_ROWS, BLOCK_ROWS, MAX_CELLS, SENT_ROWS = 20_000, 4096, 2048, 4096, 2048
 
 
 def spherical_centres(points: np.ndarray, k: int, rounds: int = 8, seed: int = 8) -> np.ndarray:
@@ -68,9 +69,12 @@ def near_duplicates(vectors: DataFrame, least: float = 0.98) -> DataFrame:
             home = dots.argmax(1)
             back = dots[np.arange(len(x)), home][:, None] - dots
             i, c = np.nonzero(back <= chord * gaps[home] + 1e-9)
-            yield pd.DataFrame({"rep": f["rep"].to_numpy()[i], "copies": f["copies"].to_numpy()[i], "label": f["label"].to_numpy()[i], "cell": c, "home": c == home[i], "x": list(x[i])})
+            raw = [v.tobytes() for v in x]
+            for a in range(0, len(i), SENT_ROWS):
+                j, cell = i[a : a + SENT_ROWS], c[a : a + SENT_ROWS]
+                yield pd.DataFrame({"rep": f["rep"].to_numpy()[j], "copies": f["copies"].to_numpy()[j], "label": f["label"].to_numpy()[j], "cell": cell, "home": cell == home[j], "x": [raw[k] for k in j]})
 
-    placed = stored(distinct.mapInPandas(homes, "rep long, copies long, label long, cell int, home boolean, x array<double>"), "near-placed")
+    placed = stored(distinct.mapInPandas(homes, "rep long, copies long, label long, cell int, home boolean, x binary"), "near-placed")
     sizes = placed.groupBy("label", "cell").agg(F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias("slices"))
     cut = placed.join(sizes, ["label", "cell"]).withColumn("slice", F.pmod(F.xxhash64("rep"), F.col("slices")).cast("int"))
     # Block (i, j) has the home rows of slice i on its left side and all rows of slice j on its right.
@@ -82,7 +86,7 @@ def near_duplicates(vectors: DataFrame, least: float = 0.98) -> DataFrame:
         a, b = f[f["lhs"]], f[~f["lhs"]]
         if not len(a) or not len(b):
             return pd.DataFrame({"a": [], "b": [], "links": []})
-        close = np.vstack(a["x"].to_numpy()) @ np.vstack(b["x"].to_numpy()).T >= least
+        close = np.frombuffer(b"".join(a["x"]), float).reshape(-1, dim) @ np.frombuffer(b"".join(b["x"]), float).reshape(-1, dim).T >= least
         ra, rb = a["rep"].to_numpy(), b["rep"].to_numpy()
         close &= ra[:, None] != rb[None, :]
         links = close @ b["copies"].to_numpy()
