@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gc
+import time
 import uuid
 from collections.abc import Iterator
 
@@ -16,7 +17,7 @@ from pyspark.sql import functions as F
 #: Words: runs of bytes other than space and 0x09-0x0D, after lower-casing A-Z.
 WORD_PATTERN = "[^\\x20\\x09-\\x0D]+"
 #: Raw text bytes in one block; a longer document makes a block of its own.
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 4 << 20
 BLOCK_SCHEMA = "block long, bytes long, doc_ids binary, offsets binary, payload binary"
 MIX = np.uint64(0xD6E8FEB86659FD93)
 
@@ -36,8 +37,10 @@ def stored(df: DataFrame, tag: str) -> DataFrame:
 
 def release(spark: SparkSession) -> None:
     """Let Spark drop the shuffle files of stages whose results have been stored."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    for _ in range(3):  # references go in one round, the cleaner works in the next
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.3)
 
 
 def range_count(blocks: DataFrame, range_bytes: int) -> int:

@@ -27,7 +27,7 @@ from quarry.llm.common import BLOCK_BYTES, blocks_of, byte_table, mixed, opened,
 WINDOW, ANCHOR, RANGE_BYTES, SHARD_SYMBOLS = 50, 25, 4 << 20, 1 << 19
 #: An anchor in so many texts sends its windows one by one, to ranges of their own, as its runs could fill a task.
 HOT = 1024
-CHUNK = 1 << 18
+CHUNK = 1 << 15
 TABLE, MUL = byte_table(3), np.uint64(0x9E3779B97F4A7C15)
 EMPTY_ID = -(2**63)
 
@@ -196,6 +196,20 @@ def least_docs(data: np.ndarray, lens: np.ndarray, docs: np.ndarray, shard_symbo
     return low[mine]
 
 
+def string_names(raw: np.ndarray, s: np.ndarray, e: np.ndarray) -> np.ndarray:
+    """A hash of each string that spans the windows starting in [s, e)."""
+    ends = np.zeros((2, len(s)), np.uint64)
+    with np.errstate(over="ignore"):
+        for i in range(WINDOW):
+            for row, at in zip(ends, (s, e - 1), strict=True):
+                row *= MUL
+                row += TABLE[raw[at + i]]
+        name = mixed(ends[0]) * MUL + ends[1] + (e - s).astype(np.uint64)
+    for j in np.flatnonzero(e - s > WINDOW):  # the two windows leave out bytes between them
+        name[j] ^= np.uint64(xxhash.xxh3_64_intdigest(raw[s[j] : e[j] + WINDOW - 1].tobytes()))
+    return mixed(name)
+
+
 def pulled(raw: np.ndarray, s: np.ndarray, lens: np.ndarray) -> np.ndarray:
     """The bytes of the strings [s, s + lens), end to end."""
     if not len(s):
@@ -279,12 +293,9 @@ def _send_runs(ranges: int):
         width = e[hot] - s[hot]
         hs = np.repeat(s[hot], width) + np.arange(int(width.sum())) - np.repeat(np.cumsum(width) - width, width)
         # A hot anchor's windows are strings by themselves, keyed by their own bytes.
-        whole = np.concatenate([mixed(rolling(TABLE[raw[a : a + CHUNK + WINDOW - 1]], WINDOW, MUL)) for a in range(0, max(0, len(raw) - WINDOW + 1), CHUNK)]) if len(raw) >= WINDOW else np.zeros(0, np.uint64)
-        with np.errstate(over="ignore"):
-            sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(whole, dtype=np.uint64)))
-            us, ue = np.concatenate((s[use], hs)), np.concatenate((e[use], hs + 1))
-            k = np.concatenate((key[use], mixed(whole[hs])))
-            name = mixed(sums[ue] - sums[us] + (ue - us).astype(np.uint64) * MUL) ^ (whole[us] if len(us) else np.zeros(0, np.uint64))
+        us, ue = np.concatenate((s[use], hs)), np.concatenate((e[use], hs + 1))
+        name = string_names(raw, us, ue)
+        k = np.concatenate((key[use], name[len(name) - len(hs) :]))
         d = np.concatenate((ids[doc[use]], np.repeat(ids[doc[hot]], width)))
         order = np.lexsort((d, name, k))
         kk, nn = k[order], name[order]
