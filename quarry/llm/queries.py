@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quarry.llm import mixing, neardup, packing, repeats, scoring, sharding, topk
+from quarry.llm import jaccard, mixing, neardup, packing, repeats, scoring, sharding, topk
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,6 +29,10 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed_bins(table(spark, sf_dir, "documents"))
 
 
+def op6_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.similar_sets(table(spark, sf_dir, "documents"), width=3, pct=90)
+
+
 def op7_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings"), every=100, k=10, scale=1024)
 
@@ -42,7 +46,7 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_sharding, op2_scoring, op3_repeats, op5_packing, op7_topk, op8_neardup, op9_mixing)}
+    return {f.__name__: f for f in (op1_sharding, op2_scoring, op3_repeats, op5_packing, op6_jaccard, op7_topk, op8_neardup, op9_mixing)}
 
 
 def oracle_sql() -> dict[str, str]:
