@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 #: Words: runs of bytes other than space and 0x09-0x0D, after lower-casing A-Z.
 WORD_PATTERN = "[^\\x20\\x09-\\x0D]+"
 #: Raw text bytes in one block; a longer document makes a block of its own.
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 2 << 20
 BLOCK_SCHEMA = "block long, bytes long, doc_ids binary, offsets binary, payload binary"
 MIX = np.uint64(0xD6E8FEB86659FD93)
 
@@ -43,6 +43,11 @@ def release(spark: SparkSession) -> None:
         time.sleep(0.3)
 
 
+def small_batches(spark: SparkSession, size: int = 16 << 20) -> None:
+    """Bound the bytes that go to a Python worker at once: rows of blocks and sets are large."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(size))
+
+
 def range_count(blocks: DataFrame, range_bytes: int) -> int:
     """Key ranges for a corpus: one for each range_bytes of text, and a few for a small one."""
     return max(24, -(-int(blocks.agg(F.sum("bytes")).first()[0] or 0) // range_bytes))

@@ -10,14 +10,15 @@ can still reach the overlap, and those that reach it are links.
 
 from __future__ import annotations
 
+import hashlib
 import heapq
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarry.llm.common import BLOCK_BYTES, block_texts, blocks_of, mixed, opened, packed, range_count, range_of, release, slices, stored, unpacked, word_hashes, word_ids
+from quarry.llm.common import BLOCK_BYTES, block_texts, blocks_of, mixed, opened, packed, range_count, range_of, release, slices, small_batches, stored, unpacked, word_hashes, word_ids
 from quarry.llm.components import connected_components
 
 #: Text bytes for each range of shingles; share of the texts from which a shingle counts as frequent; pairs made at once.
@@ -72,7 +73,13 @@ def least_overlap(na: np.ndarray, nb: np.ndarray, pct: int) -> np.ndarray:
     return -(-(pct * (na + nb)) // (100 + pct))
 
 
-META_ROWS = "block long, doc_ids binary, sizes binary, classes binary, often array<long>, times array<long>"
+def text_keys(off: np.ndarray, raw: bytes) -> bytes:
+    """16 bytes for each text, end to end."""
+    view = memoryview(raw)
+    return b"".join(hashlib.md5(view[int(a) : int(b)]).digest() for a, b in zip(off[:-1], off[1:], strict=True))
+
+
+META_ROWS = "block long, doc_ids binary, sizes binary, classes binary, texts binary, often array<long>, times array<long>"
 
 
 def _describe(width: int):
@@ -84,8 +91,8 @@ def _describe(width: int):
                 sets, bounds = shingle_sets(off, raw, width)
                 keys, times = np.unique(sets, return_counts=True)
                 often = times >= max(4, FREQUENT * len(ids))
-                rows.append((r.block, ids.tobytes(), np.diff(bounds).astype(np.int64).tobytes(), class_ids(sets, bounds).tobytes(), keys[often].view(np.int64).tolist(), times[often].tolist()))
-            yield pd.DataFrame(rows, columns=["block", "doc_ids", "sizes", "classes", "often", "times"])
+                rows.append((r.block, ids.tobytes(), np.diff(bounds).astype(np.int64).tobytes(), class_ids(sets, bounds).tobytes(), text_keys(off, raw), keys[often].view(np.int64).tolist(), times[often].tolist()))
+            yield pd.DataFrame(rows, columns=["block", "doc_ids", "sizes", "classes", "texts", "often", "times"])
 
     return describe
 
@@ -304,16 +311,17 @@ def _search(pct: int):
     return search
 
 
-def similar_sets(docs: DataFrame, width: int = 3, pct: int = 90, range_bytes: int = RANGE_BYTES, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """doc_id, n_shingles, component_id for every row of docs(doc_id, text).
+def grouped(docs: DataFrame, width: int = 3, pct: int = 90, range_bytes: int = RANGE_BYTES, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """doc_id, text_md5, n_shingles, group, component_id for every row of docs(doc_id, text).
 
-    A text's set is its distinct shingles of `width` words after lower-casing A-Z; with fewer words the whole sequence is
+    group: the component's own number, 0 without words. A text's set is its distinct shingles of `width` words after lower-casing A-Z; with fewer words the whole sequence is
     the one shingle. Rows link when 100 * intersection >= pct * union; component_id is the smallest doc_id that links
     reach. Texts without words, and null texts, have an empty set and link with nothing: component_id = doc_id. Rows with
     equal sets are linked. A null doc_id is a row like others, comes before all ids, and is given as null. Sets are told
     apart by 64-bit hashes and compared by 48 bits of each shingle's hash. Empty tables give no rows.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     blocks = stored(blocks_of(docs, block_bytes), "jaccard-blocks")
     ranges = range_count(blocks, range_bytes)
     meta = stored(blocks.mapInPandas(_describe(width), META_ROWS), "jaccard-sets")
@@ -343,14 +351,35 @@ def similar_sets(docs: DataFrame, width: int = 3, pct: int = 90, range_bytes: in
     def rows_of(frames):
         for f in frames:
             for r in f.itertuples():
-                yield pd.DataFrame({"doc_id": np.frombuffer(r.doc_ids, np.int64), "n_shingles": np.frombuffer(r.sizes, np.int64), "node": np.frombuffer(r.classes, np.uint64).view(np.int64)})
+                yield pd.DataFrame({"doc_id": np.frombuffer(r.doc_ids, np.int64), "text_md5": [r.texts[i : i + 16].hex() for i in range(0, len(r.texts), 16)], "n_shingles": np.frombuffer(r.sizes, np.int64), "node": np.frombuffer(r.classes, np.uint64).view(np.int64)})
 
-    rows = stored(meta.select("doc_ids", "sizes", "classes").mapInPandas(rows_of, "doc_id long, n_shingles long, node long"), "jaccard-rows")
+    rows = stored(meta.select("doc_ids", "sizes", "classes", "texts").mapInPandas(rows_of, "doc_id long, text_md5 string, n_shingles long, node long"), "jaccard-rows")
     least = rows.where("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("least"))
-    member = least.join(comps, "node", "left").select("node", "least", F.coalesce("component", "node").alias("component"))
+    member = least.join(comps, "node", "left").select("node", "least", F.coalesce("component", "node").alias("group"))
     member = stored(member, "jaccard-members")
-    smallest = member.groupBy("component").agg(F.min("least").alias("component_id"))
-    named = stored(member.join(smallest, "component").select("node", "component_id"), "jaccard-named")
-    out = rows.join(named, "node", "left").select("doc_id", "n_shingles", F.coalesce(F.when(F.col("n_shingles") > 0, F.col("component_id")), F.col("doc_id")).alias("component_id"))
-    real = lambda c: F.when(F.col(c) != EMPTY_ID, F.col(c)).alias(c)
-    return out.select(real("doc_id"), "n_shingles", real("component_id"))
+    smallest = member.groupBy("group").agg(F.min("least").alias("component_id"))
+    named = stored(member.join(smallest, "group").select("node", "group", "component_id"), "jaccard-named")
+    has = F.col("n_shingles") > 0
+    out = rows.join(named, "node", "left").select("doc_id", "text_md5", "n_shingles", F.coalesce(F.when(has, F.col("group")), F.lit(0)).alias("group"), F.coalesce(F.when(has, F.col("component_id")), F.col("doc_id")).alias("component_id"))
+    return out
+
+
+def real_id(column: str):
+    return F.when(F.col(column) != EMPTY_ID, F.col(column)).alias(column)
+
+
+def similar_sets(docs: DataFrame, width: int = 3, pct: int = 90, **options) -> DataFrame:
+    """doc_id, n_shingles, component_id for every row of docs(doc_id, text); see grouped for the cases."""
+    return grouped(docs, width, pct, **options).select(real_id("doc_id"), "n_shingles", real_id("component_id"))
+
+
+def one_of_each(docs: DataFrame, width: int = 5, pct: int = 80, **options) -> DataFrame:
+    """docs with one row of each group, of the least doc_id and then the least text_md5; texts without words all stay."""
+    rows = grouped(docs, width, pct, **options).where("doc_id = component_id")
+    first = rows.where("group <> 0").groupBy("group").agg(F.min(F.struct("doc_id", "text_md5")).alias("k")).select("k.doc_id", "k.text_md5", F.lit(1).cast("long").alias("times"))
+    empty = rows.where("group = 0").groupBy("doc_id", "text_md5").agg(F.count("*").alias("times"))
+    keep = first.unionByName(empty).select(F.struct("doc_id", "text_md5").alias("k"), "times")
+    key = F.struct(F.coalesce(F.col("doc_id").cast("long"), F.lit(EMPTY_ID)).alias("doc_id"), F.md5(F.coalesce(F.col("text"), F.lit("")).cast("binary")).alias("text_md5"))
+    names = docs.columns
+    dealt = docs.select(key.alias("k"), F.struct(*[F.col(f"`{c}`") for c in names]).alias("row")).withColumn("i", F.row_number().over(Window.partitionBy("k").orderBy(F.lit(0))))
+    return dealt.join(keep, "k").where("i <= times").select(*[F.col(f"row.`{c}`").alias(c) for c in names])

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quarry.llm import jaccard, mixing, neardup, packing, repeats, scoring, sharding, topk
+from quarry.llm import html, jaccard, mixing, neardup, packing, repeats, scoring, sharding, topk, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,6 +25,10 @@ def op3_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.repeats(table(spark, sf_dir, "documents"))
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), threshold=0.7)
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed_bins(table(spark, sf_dir, "documents"))
 
@@ -45,8 +49,12 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed_copies(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.main_text(table(spark, sf_dir, "pages"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_sharding, op2_scoring, op3_repeats, op5_packing, op6_jaccard, op7_topk, op8_neardup, op9_mixing)}
+    return {f.__name__: f for f in (op1_sharding, op2_scoring, op3_repeats, op4_toxicity, op5_packing, op6_jaccard, op7_topk, op8_neardup, op9_mixing, op10_html)}
 
 
 def oracle_sql() -> dict[str, str]:

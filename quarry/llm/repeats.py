@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import BLOCK_BYTES, blocks_of, byte_table, mixed, opened, packed, range_count, range_of, release, rolling, sliding_min, slices, stored, unpacked
+from quarry.llm.common import BLOCK_BYTES, blocks_of, byte_table, mixed, opened, packed, range_count, range_of, release, rolling, sliding_min, slices, small_batches, stored, unpacked
 
 #: Bytes of a repeated string; bytes of an anchor; text bytes for each range of anchors; symbols of a shard.
 WINDOW, ANCHOR, RANGE_BYTES, SHARD_SYMBOLS = 50, 25, 4 << 20, 1 << 19
@@ -368,7 +368,7 @@ def _judge_runs(f: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(out, columns=["r", "block", "n", "m", "names", "starts", "lens", "docs"])
 
 
-KEPT_ROWS = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, text_md5 string, kept binary"
+KEPT_ROWS = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, text_md5 string, kept string"
 
 
 def _cut(with_text: bool):
@@ -416,7 +416,7 @@ def _cut(with_text: bool):
             x, y = int(off[i]), int(off[i + 1])
             gone_n = int(removed[y] - removed[x])
             kept = bytes(view[x:y]) if not gone_n else (b"" if gone_n == y - x else raw[x:y][~cov[x:y]].tobytes())
-            out.append((int(ids[i]), y - x, gone_n, int(spans[y] - spans[x]), hashlib.sha256(kept).hexdigest(), hashlib.md5(view[x:y]).hexdigest() if with_text else None, kept if with_text else None))
+            out.append((int(ids[i]), y - x, gone_n, int(spans[y] - spans[x]), hashlib.sha256(kept).hexdigest(), hashlib.md5(view[x:y]).hexdigest() if with_text else None, kept.decode("utf-8", "ignore") if with_text else None))
         return pd.DataFrame(out, columns=cols)
 
     return cut
@@ -426,11 +426,13 @@ def repeats(docs: DataFrame, with_text: bool = False, range_bytes: int = RANGE_B
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 for every row of docs(doc_id, text).
 
     A byte goes if it lies in a 50-byte string that also starts in a row with a smaller doc_id; strings overlap, lie
-    within one text and are judged on the input. with_text adds text_md5 (of the input) and kept, the bytes that stay.
+    within one text and are judged on the input. with_text adds text_md5 (of the input) and kept, the
+    bytes that stay without those of characters that were cut through.
     Null texts are empty. Texts under 50 bytes keep everything. Rows with the same doc_id take nothing from each other; a
     null doc_id comes before all others and is null in the result. Empty tables give no rows.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     blocks = stored(blocks_of(docs, block_bytes), "repeat-blocks")
     ranges = range_count(blocks, range_bytes)
     status = stored(blocks.mapInPandas(_send_anchors(ranges), ANCHOR_ROWS).groupBy("r").applyInPandas(_judge_anchors(hot), STATUS_ROWS), "repeat-status")
@@ -443,3 +445,15 @@ def repeats(docs: DataFrame, with_text: bool = False, range_bytes: int = RANGE_B
     out = blocks.groupBy("block").cogroup(own.unionByName(pieces).groupBy("block")).applyInPandas(_cut(with_text), KEPT_ROWS)
     out = out.withColumn("doc_id", F.when(F.col("doc_id") != EMPTY_ID, F.col("doc_id")))
     return out if with_text else out.drop("text_md5", "kept")
+
+
+def without_repeats(docs: DataFrame, **options) -> DataFrame:
+    """docs with the repeated bytes cut from text (null becomes empty), and n_chars, if there is one, counted again."""
+    cut = repeats(docs, with_text=True, **options).groupBy("doc_id", "text_md5").agg(F.first("kept").alias("kept"))
+    cut = cut.select(F.struct("doc_id", "text_md5").alias("k"), "kept")
+    key = F.struct(F.col("doc_id").cast("long").alias("doc_id"), F.md5(F.coalesce(F.col("text"), F.lit("")).cast("binary")).alias("text_md5"))
+    names = docs.columns
+    left = docs.select(key.alias("k"), F.struct(*[F.col(f"`{c}`") for c in names if c != "text"]).alias("row"))
+    both = left.alias("l").join(cut.alias("r"), F.col("l.k").eqNullSafe(F.col("r.k")))
+    new = {"text": F.col("r.kept"), "n_chars": F.length("r.kept").cast(docs.schema["n_chars"].dataType if "n_chars" in names else "long")}
+    return both.select(*[new.get(c, F.col(f"l.row.`{c}`")).alias(c) for c in names])

@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import BLOCK_BYTES, block_texts, blocks_of, mixed, opened, packed, range_count, range_of, release, slices, stored, unpacked, word_hashes, word_ids
+from quarry.llm.common import BLOCK_BYTES, block_texts, blocks_of, mixed, opened, packed, range_count, range_of, release, slices, small_batches, stored, unpacked, word_hashes, word_ids
 
 #: Text bytes for each range of n-gram hashes; power-of-two classes of counts kept about the words.
 RANGE_BYTES, CLASSES = 4 << 20, 64
@@ -206,6 +206,7 @@ def scores(docs: DataFrame, order: int = 2, folds: int = 10, range_bytes: int =
     no rows.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     blocks = stored(blocks_of(docs, block_bytes), "score-blocks")
     ranges = range_count(blocks, range_bytes)
     answers = stored(blocks.mapInPandas(_send(order, ranges, folds), COUNT_ROWS).groupBy("r").applyInPandas(_add_up, ANSWER_ROWS), "score-counts")

@@ -87,3 +87,10 @@ def test_edges(spark):
     df = spark.createDataFrame([(None, "a b c d", 1), (7, "A b  c d", 2), (7, "A b  c d", 2), (8, None, 3), (9, None, 3)], "doc_id long, text string, n_shingles int")
     got = sorted((tuple(r) for r in jc.similar_sets(df).collect()), key=str)
     assert got == sorted([(None, 2, None), (7, 2, None), (7, 2, None), (8, 0, 8), (9, 0, 9)], key=str)
+
+
+def test_one_of_each(spark):
+    t = " ".join(f"w{i}" for i in range(60))
+    rows = [(5, t, "x"), (2, t + " end", "y"), (2, t + " end", "y"), (2, "other words here now", "z"), (9, None, "n"), (9, None, "n"), (None, "only one", "q")]
+    got = jc.one_of_each(spark.createDataFrame(rows, "doc_id long, text string, k string"))
+    assert sorted((tuple(r) for r in got.collect()), key=str) == sorted([rows[1], rows[3], rows[4], rows[5], rows[6]], key=str)
