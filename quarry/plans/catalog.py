@@ -1,17 +1,20 @@
-"""Registry of the reference-parity queries and their SQL."""
+"""All reference-parity queries and their SQL."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from quarry.plans import registry, retrieval
+
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    """Top BM25 hit of every benchmark item."""
+    return retrieval.bm25_top(registry.Tables(spark, sf_dir), 1)
 
 
 def queries() -> dict:
-    return {}
+    return registry.queries()
 
 
 def oracle_sql() -> dict:
-    return {}
+    return registry.oracles()
