@@ -129,7 +129,8 @@ def _send_prefixes(width: int, ranges: int, frequent: np.ndarray, pct: int):
                 own = np.zeros(len(node), bool)
                 own[first] = True
                 keep = own[doc]
-                keys, doc, place = keys[keep], doc[keep], place[keep]
+                # Prefixes hold the least hashes; mixed again they spread over the ranges.
+                keys, doc, place = mixed(keys[keep]), doc[keep], place[keep]
                 order = np.argsort(keys, kind="stable")
                 keys, doc, place = keys[order], doc[order], place[order]
                 size = np.diff(bounds)

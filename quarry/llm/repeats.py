@@ -66,7 +66,8 @@ def runs_of(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
     ends = np.append(marks[1:], n)
     is_start = new[marks]
     s, e = marks[is_start], ends[is_start]
-    return s, e, m[s], np.searchsorted(off, s, side="right") - 1
+    # Least hashes crowd at the low end; mixed again they spread over the ranges.
+    return s, e, mixed(m[s]), np.searchsorted(off, s, side="right") - 1
 
 
 def text_marks(off: np.ndarray, raw: bytes) -> np.ndarray:
