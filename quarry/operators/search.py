@@ -150,10 +150,10 @@ def containment(docs: DataFrame, passages: DataFrame, key: str = "id", passage_k
     asked = passages.select(F.col(passage_key), F.col("text").alias("p_text")).where("p_text <> ''")
     long = asked.where(F.size(words) >= 5).withColumn("anchor", F.concat_ws(" ", F.slice(words, 2, 3)))
     w = F.col("w")
-    near = F.arrays_zip(w.alias("x"), F.slice(w, 2, F.size(w)).alias("y"), F.slice(w, 3, F.size(w)).alias("z"))
+    later = lambda n: F.slice(w, n, F.size(w))
+    near = F.zip_with(F.zip_with(w, later(2), lambda x, y: F.concat_ws(" ", x, y)), later(3), lambda x, y: F.concat_ws(" ", x, y))
     split = docs.select(key, "text", F.split(F.col("text"), "\\s+").alias("w"))
-    triples = split.select(key, "text", F.explode(near).alias("t")).select(key, "text", F.concat_ws(" ", F.col("t")["0"], F.col("t")["1"], F.col("t")["2"]).alias("anchor"))
-    spread = triples.join(long, "anchor")
+    spread = split.select(key, "text", F.explode(F.array_distinct(near)).alias("anchor")).join(long, "anchor")
     found = spread.where(F.expr("contains(text, p_text)")).select(passage_key, key).distinct()
     short = docs.select(key, "text").join(asked.where(F.size(words) < 5), F.expr("contains(text, p_text)")).select(passage_key, key)
     return found.unionByName(short)
