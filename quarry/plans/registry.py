@@ -84,6 +84,7 @@ def oracle(text: str) -> str:
         body = f"with {', '.join(ctes)}, {stripped[5:]}" if stripped.lower().startswith("with ") else f"with {', '.join(ctes)} {text}"
         if stripped.lower().startswith("with recursive"):
             body = f"with recursive {', '.join(ctes)}, {stripped[14:]}"
+    body = body.replace("count_if(", "count(*) filter (where ")  # a bigint, and 0 for no rows
     return re.sub(r"\{(\w+)\}", lambda m: m[1] if m[1] in TABLES or m[1] in FIXTURES else m[0], body)
 
 
