@@ -82,7 +82,7 @@ def json_path(text: Column | str, nested: str, flat: str, default: float) -> Col
 
 def pairs(text: Column | str) -> Column:
     """Map of a 'key:value,key:value' list; the last value of a key counts, parts without a colon are left out."""
-    parts = F.filter(F.transform(F.split(col(text), ","), F.trim), lambda p: p.contains(":"))
+    parts = F.filter(F.transform(F.split(col(text), ","), lambda p: F.trim(p)), lambda p: p.contains(":"))
     entries = F.transform(parts, lambda p: F.struct(F.trim(F.substring_index(p, ":", 1)).alias("key"), F.trim(F.regexp_replace(p, "^[^:]*:", "")).alias("value")))
     last = F.filter(entries, lambda e, i: ~F.exists(F.slice(entries, i + 2, F.size(entries)), lambda x: x["key"] == e["key"]))
     return F.map_from_entries(last)
@@ -96,7 +96,7 @@ def short_filename(name: Column | str) -> Column:
 def sub_queries(answer: Column | str, question: Column | str, most: int = 4) -> Column:
     """Questions of a JSON list: trimmed, blanks dropped, at most `most`; the question itself if nothing is left."""
     listed = F.from_json(fenced(answer), "array<string>")
-    good = F.slice(F.filter(F.transform(listed, F.trim), lambda x: x != ""), 1, most)
+    good = F.slice(F.filter(F.transform(listed, lambda x: F.trim(x)), lambda x: x != ""), 1, most)
     return F.when(F.coalesce(F.size(good), F.lit(0)) > 0, good).otherwise(F.array(col(question)))
 
 

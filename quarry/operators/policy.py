@@ -12,7 +12,7 @@ from quarry.settings import DEFAULT, Settings
 def passage_action(settings: Settings = DEFAULT) -> tuple[Column, Column]:
     """(action, reason) of a row with injection, contradiction, evidence, relevance; missing values are 0. The order matters."""
     inj, con, evi, rel = (F.coalesce(F.col(c), F.lit(0.0)) for c in ("injection", "contradiction", "evidence", "relevance"))
-    two = lambda c: F.format_number(c, "0.00")
+    two = lambda c: F.format_string("%.2f", c)
     weak = (evi < settings.evidence_drop) & (rel < 0.5)
     action = F.when(inj >= settings.injection_drop, "drop").when(con >= settings.contradiction_block, "conflict").when(weak, "drop").otherwise("include")
     reason = (

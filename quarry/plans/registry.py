@@ -71,7 +71,9 @@ class Tables:
 
     def sql(self, text: str) -> DataFrame:
         used = {n for n in re.findall(r"\{(\w+)\}", text) if n in TABLES}
-        return self.spark.sql(text, **{n: getattr(self, n) for n in used})
+        for n in used:
+            getattr(self, n).createOrReplaceTempView(f"quarry_{n}")
+        return self.spark.sql(re.sub(r"\{(\w+)\}", lambda m: f"quarry_{m[1]}" if m[1] in used else m[0], text))
 
 
 def oracle(text: str) -> str:
