@@ -1,17 +1,19 @@
 """Set-similarity join of word shingles: T-occurrence search over inverted lists, with DivideSkip.
 
-Texts with equal shingle sets are one class from the start. Shingles are put in one order for all texts, frequent ones
-last, so that two sets similar enough share one of their first few shingles and little of it stands before (prefix and
-position filter). Ranges of shingles hold the inverted lists of these prefixes and give candidate pairs of classes. Bin
-counts of the sets bound the overlap from above and drop most pairs. What is left is decided by a T-occurrence search:
-a class asks its candidates' inverted lists, the short ones are merged, the long ones are only probed for classes that
-can still reach the overlap, and those that reach it are links.
+Texts with equal shingle sets are one class from the start. Blocks send their shingles to ranges and learn in how many
+texts each occurs, so that all texts put their shingles in one order, rare ones first. Two sets similar enough share one
+of their first few shingles and have few others before it (prefix and position filter). Ranges hold the inverted lists of
+these prefixes and chain what can belong together, one edge for each member, never all pairs. The connected families are
+small; each is searched by itself, in slices if it is large: a class asks the inverted lists of its family, the short
+lists are merged, the long ones are only probed for classes that can still reach the overlap, and those that reach it
+are links.
 """
 
 from __future__ import annotations
 
 import hashlib
 import heapq
+from collections import Counter
 
 import numpy as np
 import pandas as pd
@@ -21,10 +23,8 @@ from pyspark.sql import functions as F
 from quarry.llm.common import BLOCK_BYTES, block_texts, blocks_of, mixed, opened, packed, range_count, range_of, release, slices, small_batches, stored, unpacked, word_hashes, word_ids
 from quarry.llm.components import connected_components
 
-#: Text bytes for each range of shingles; share of the texts from which a shingle counts as frequent; pairs made at once.
-RANGE_BYTES, FREQUENT, PAIRS_AT_ONCE = 4 << 20, 1 / 256, 1 << 20
-#: Frequent shingles kept at most. Beyond that the most frequent are kept: the order changes speed, never the result.
-MOST_FREQUENT = 1 << 20
+#: Text bytes for each range of shingles; classes in one side of a search; share of DivideSkip; size merged by a heap.
+RANGE_BYTES, SLICE, SKIP_SHARE, HEAP_SIZE = 4 << 20, 1024, 0.1, 512
 STEP = np.uint64(0x9E3779B97F4A7C15)
 SHIFT = np.uint64(16)
 EMPTY_ID = -(2**63)
@@ -79,36 +79,44 @@ def text_keys(off: np.ndarray, raw: bytes) -> bytes:
     return b"".join(hashlib.md5(view[int(a) : int(b)]).digest() for a, b in zip(off[:-1], off[1:], strict=True))
 
 
-META_ROWS = "block long, doc_ids binary, sizes binary, classes binary, texts binary, often array<long>, times array<long>"
+COUNT_ROWS = "r long, block long, n long, keys binary, times binary"
+RANK_ROWS = "r long, block long, n long, ranks binary"
 
 
-def _describe(width: int):
-    def describe(frames):
+def _send_shingles(width: int, ranges: int):
+    def send(frames):
         for f in frames:
-            rows = []
             for r in f.itertuples():
-                ids, off, raw = opened(r.doc_ids, r.offsets, r.payload)
-                sets, bounds = shingle_sets(off, raw, width)
-                keys, times = np.unique(sets, return_counts=True)
-                often = times >= max(4, FREQUENT * len(ids))
-                rows.append((r.block, ids.tobytes(), np.diff(bounds).astype(np.int64).tobytes(), class_ids(sets, bounds).tobytes(), text_keys(off, raw), keys[often].view(np.int64).tolist(), times[often].tolist()))
-            yield pd.DataFrame(rows, columns=["block", "doc_ids", "sizes", "classes", "texts", "often", "times"])
+                _, off, raw = opened(r.doc_ids, r.offsets, r.payload)
+                keys, times = np.unique(shingle_sets(off, raw, width)[0], return_counts=True)
+                cut = slices(range_of(keys, ranges), ranges)
+                rows = [(q, r.block, cut[q + 1] - cut[q], keys[cut[q] : cut[q + 1]].tobytes(), packed(times[cut[q] : cut[q + 1]])) for q in range(ranges) if cut[q + 1] > cut[q]]
+                yield pd.DataFrame(rows, columns=["r", "block", "n", "keys", "times"])
 
-    return describe
+    return send
 
 
-POSTING_ROWS = "r long, block long, n long, keys binary, nodes binary, sizes binary, places binary"
+def _rank_shingles(f: pd.DataFrame) -> pd.DataFrame:
+    """For each block's shingles the power of two below the number of texts that have them."""
+    f = f.sort_values("block")
+    key = np.concatenate([np.frombuffer(k, np.uint64) for k in f["keys"]])
+    times = np.concatenate([unpacked(x, np.int64, n) for x, n in zip(f["times"], f["n"], strict=True)])
+    _, inverse = np.unique(key, return_inverse=True)
+    total = np.bincount(inverse, weights=times)
+    rank = (np.frexp(total)[1] - 1).astype(np.uint8)[inverse]
+    at = np.concatenate(([0], np.cumsum(f["n"])))
+    rows = [(q, b, n, packed(rank[at[i] : at[i + 1]])) for i, (q, b, n) in enumerate(zip(f["r"], f["block"], f["n"], strict=True))]
+    return pd.DataFrame(rows, columns=["r", "block", "n", "ranks"])
 
 
-def ordered_prefixes(sets: np.ndarray, bounds: np.ndarray, frequent: np.ndarray, pct: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(shingle, text, place) of each text's prefix: frequent shingles last, then by hash. Texts that no other can match send none."""
+POSTING_ROWS = "r long, block long, n long, keys binary, nodes binary, sizes binary, places binary, docs binary"
+
+
+def ordered_prefixes(sets: np.ndarray, bounds: np.ndarray, rank: np.ndarray, pct: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(shingle, text, place) of each text's prefix in the order of rank, then hash. Texts that no other can match send none."""
     n = np.diff(bounds)
     doc = np.repeat(np.arange(len(n)), n)
-    late = np.zeros(len(sets), bool)
-    if len(frequent):
-        near = np.minimum(np.searchsorted(frequent, sets), len(frequent) - 1)
-        late = frequent[near] == sets
-    order = np.lexsort((sets, late, doc))
+    order = np.lexsort((sets, rank, doc))
     sets, doc = sets[order], doc[order]
     place = np.arange(len(sets)) - bounds[doc]
     width = n - (pct * n + 99) // 100 + 1
@@ -117,101 +125,82 @@ def ordered_prefixes(sets: np.ndarray, bounds: np.ndarray, frequent: np.ndarray,
     return sets[keep], doc[keep], place[keep]
 
 
-def _send_prefixes(width: int, ranges: int, frequent: np.ndarray, pct: int):
-    def send(frames):
-        for f in frames:
-            for r in f.itertuples():
-                _, off, raw = opened(r.doc_ids, r.offsets, r.payload)
-                sets, bounds = shingle_sets(off, raw, width)
-                node = class_ids(sets, bounds)
-                _, first = np.unique(node, return_index=True)
-                keys, doc, place = ordered_prefixes(sets, bounds, frequent, pct)
-                own = np.zeros(len(node), bool)
-                own[first] = True
-                keep = own[doc]
-                # Prefixes hold the least hashes; mixed again they spread over the ranges.
-                keys, doc, place = mixed(keys[keep]), doc[keep], place[keep]
-                order = np.argsort(keys, kind="stable")
-                keys, doc, place = keys[order], doc[order], place[order]
-                size = np.diff(bounds)
-                cut = slices(range_of(keys, ranges), ranges)
-                rows = []
-                for q in range(ranges):
-                    a, b = cut[q], cut[q + 1]
-                    if a < b:
-                        d = doc[a:b]
-                        rows.append((q, r.block, b - a, keys[a:b].tobytes(), node[d].tobytes(), packed(size[d].astype(np.int64)), packed(place[a:b].astype(np.int64))))
-                yield pd.DataFrame(rows, columns=["r", "block", "n", "keys", "nodes", "sizes", "places"])
+def _send_prefixes(width: int, ranges: int, pct: int):
+    """Prefix postings by range, and a row of range -1 that describes the block's texts."""
+    cols = ["r", "block", "n", "keys", "nodes", "sizes", "places", "docs"]
+
+    def send(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        if not len(left):
+            return pd.DataFrame(columns=cols)
+        r = left.iloc[0]
+        ids, off, raw = opened(r["doc_ids"], r["offsets"], r["payload"])
+        sets, bounds = shingle_sets(off, raw, width)
+        right = right.sort_values("r")
+        ranks = np.concatenate([np.zeros(0, np.uint8), *[unpacked(x, np.uint8, n) for x, n in zip(right["ranks"], right["n"], strict=True)]])
+        node, size = class_ids(sets, bounds), np.diff(bounds).astype(np.int64)
+        rows = [(-1, r["block"], len(ids), ids.tobytes(), node.tobytes(), size.tobytes(), b"", text_keys(off, raw))]
+        rank = ranks[np.unique(sets, return_inverse=True)[1]] if len(sets) else ranks
+        keys, doc, place = ordered_prefixes(sets, bounds, rank, pct)
+        own = np.zeros(len(node), bool)
+        own[np.unique(node, return_index=True)[1]] = True
+        keep = own[doc]
+        # Hashes lead the order within a rank; mixed again they spread over the ranges.
+        keys, doc, place = mixed(keys[keep]), doc[keep], place[keep]
+        order = np.argsort(keys, kind="stable")
+        keys, doc, place = keys[order], doc[order], place[order]
+        cut = slices(range_of(keys, ranges), ranges)
+        for q in range(ranges):
+            a, b = cut[q], cut[q + 1]
+            if a < b:
+                d = doc[a:b]
+                rows.append((q, r["block"], b - a, keys[a:b].tobytes(), node[d].tobytes(), packed(size[d]), packed(place[a:b].astype(np.int64)), packed(d.astype(np.int64))))
+        return pd.DataFrame(rows, columns=cols)
 
     return send
 
 
-PAIR_ROWS = "a long, ablock long, b long, bblock long"
+EDGE_ROWS = "a long, ablock long, adoc long, b long, bblock long, bdoc long"
 
 
-def _pair_up(pct: int):
-    def pair_up(f: pd.DataFrame) -> pd.DataFrame:
+def _chain(pct: int):
+    """Edges that connect, within each inverted list, all pairs that sizes and places allow.
+
+    A member x at place p can share at most size - p shingles, so its partners are no larger than most(x). Of a pair the
+    smaller has most >= its own size (it is strong). Strong members follow each other by size; between two that can pair,
+    neighbours differ little enough to be joined. Any other member hangs on the largest strong one that it can pair with.
+    """
+
+    def chain(f: pd.DataFrame) -> pd.DataFrame:
+        load = lambda c: np.concatenate([unpacked(x, np.int64, n) for x, n in zip(f[c], f["n"], strict=True)])
         key = np.concatenate([np.frombuffer(k, np.uint64) for k in f["keys"]])
         node = np.concatenate([np.frombuffer(k, np.uint64) for k in f["nodes"]])
-        size = np.concatenate([unpacked(x, np.int64, n) for x, n in zip(f["sizes"], f["n"], strict=True)])
-        place = np.concatenate([unpacked(x, np.int64, n) for x, n in zip(f["places"], f["n"], strict=True)])
+        size, place, doc = load("sizes"), load("places"), load("docs")
         block = np.repeat(f["block"].to_numpy(np.int64), f["n"].to_numpy())
-        order = np.lexsort((block, node, size, key))
-        key, node, size, place, block = key[order], node[order], size[order], place[order], block[order]
+        order = np.lexsort((doc, block, node, size, key))
+        key, node, size, place, block, doc = key[order], node[order], size[order], place[order], block[order], doc[order]
         one = np.ones(len(key), bool)
         one[1:] = (key[1:] != key[:-1]) | (node[1:] != node[:-1])
-        key, node, size, place, block = key[one], node[one], size[one], place[one], block[one]
-        # Lists lie in order of size. A text's partners further on are no larger than what it can still share allows.
-        most = np.minimum((100 + pct) * (size - place) // pct - size, 100 * size // pct)
-        start = np.concatenate(([True], key[1:] != key[:-1])) if len(key) else np.zeros(0, bool)
-        gid = np.cumsum(start) - 1
+        key, node, size, place, block, doc = key[one], node[one], size[one], place[one], block[one], doc[one]
+        gid = np.cumsum(np.concatenate(([True], key[1:] != key[:-1]))) - 1 if len(key) else np.zeros(0, np.int64)
+        most = (100 + pct) * (size - place) // pct - size
+        strong = np.flatnonzero(most >= size)
+        x, y = strong[:-1], strong[1:]
+        ok = (gid[x] == gid[y]) & (100 * size[x] >= pct * size[y])
+        x, y = x[ok], y[ok]
+        weak = np.flatnonzero(most < size)
         span = int(size.max(initial=0)) + 2
-        stop = np.searchsorted(gid * span + size, gid * span + np.minimum(most, span - 1), side="right")
-        count = np.maximum(stop - np.arange(len(key)) - 1, 0)
-        out = [np.zeros((0, 4), np.int64)]
-        total = np.concatenate(([0], np.cumsum(count)))
-        i = 0
-        while i < len(key):
-            j = max(i + 1, int(np.searchsorted(total, total[i] + PAIRS_AT_ONCE, side="right")) - 1)
-            c = count[i:j]
-            x = np.repeat(np.arange(i, j), c)
-            y = x + 1 + np.arange(len(x)) - np.repeat(total[i:j] - total[i], c)
-            need = least_overlap(size[x], size[y], pct)
-            ok = (size[y] - place[y] >= need) & (size[x] - place[x] >= need)
-            x, y = x[ok], y[ok]
-            a, b = node[x].view(np.int64), node[y].view(np.int64)
-            swap = a > b
-            rows = np.stack((np.where(swap, b, a), np.where(swap, block[y], block[x]), np.where(swap, a, b), np.where(swap, block[x], block[y])), 1)
-            if len(rows):
-                _, at = np.unique(mixed(rows[:, 0].view(np.uint64)) ^ rows[:, 2].view(np.uint64), return_index=True)
-                out.append(rows[at])
-            i = j
-        rows = np.concatenate(out)
-        if len(rows):
-            _, at = np.unique(mixed(np.ascontiguousarray(rows[:, 0]).view(np.uint64)) ^ np.ascontiguousarray(rows[:, 2]).view(np.uint64), return_index=True)
-            rows = rows[at]
-        return pd.DataFrame({"a": rows[:, 0], "ablock": rows[:, 1], "b": rows[:, 2], "bblock": rows[:, 3]})
-
-    return pair_up
-
-
-SET_ROWS = "node long, n long, bins binary, items binary"
-
-
-def bin_counts(items: np.ndarray) -> np.ndarray:
-    """How many of a set's items fall in each bin; about two items a bin, at least 64 bins."""
-    bins = 1 << max(6, int(len(items) // 2).bit_length())
-    return np.bincount((items & np.uint64(bins - 1)).astype(np.int64), minlength=bins)
-
-
-def most_shared(a: bytes, b: bytes) -> int:
-    """An upper bound of the intersection from the bin counts of two sets."""
-    x, y = np.frombuffer(a, np.uint16), np.frombuffer(b, np.uint16)
-    while len(x) > len(y):
-        x = x.reshape(2, -1).sum(0)
-    while len(y) > len(x):
-        y = y.reshape(2, -1).sum(0)
-    return int(np.minimum(x, y).sum())
+        at = np.searchsorted(gid[strong] * span + size[strong], gid[weak] * span + np.maximum(most[weak], 0), side="right") - 1
+        near = strong[np.maximum(at, 0)] if len(strong) else weak
+        ok = (at >= 0) & (gid[near] == gid[weak]) & (100 * size[near] >= pct * size[weak])
+        x, y = np.concatenate((x, near[ok])), np.concatenate((y, weak[ok]))
+        a = node.view(np.int64)
+        rows = pd.DataFrame({"a": a[x], "ablock": block[x], "adoc": doc[x], "b": a[y], "bblock": block[y], "bdoc": doc[y]})
+        return rows.drop_duplicates(["a", "b"])
+
+    return chain
+
+
+SET_ROWS = "node long, n long, items binary"
 
 
 def six_bytes(items: np.ndarray) -> bytes:
@@ -231,83 +220,100 @@ def _fetch_sets(width: int):
         if len(left) and len(right):
             r = left.iloc[0]
             _, off, raw = opened(r["doc_ids"], r["offsets"], r["payload"])
-            sets, bounds = shingle_sets(off, raw, width)
-            node = class_ids(sets, bounds).view(np.int64)
-            _, at = np.unique(node, return_index=True)
-            for d in at[np.isin(node[at], right["node"].to_numpy())]:
-                items = sets[bounds[d] : bounds[d + 1]]
-                counts = bin_counts(items)
-                rows.append((int(node[d]), len(items), np.minimum(counts, 65535).astype(np.uint16).tobytes(), six_bytes(items)))
-        return pd.DataFrame(rows, columns=["node", "n", "bins", "items"])
+            docs = right["doc"].to_numpy()
+            lens = (off[1:] - off[:-1])[docs]
+            part = b"".join(raw[int(off[d]) : int(off[d + 1])] for d in docs)
+            sets, bounds = shingle_sets(np.concatenate(([0], np.cumsum(lens))), part, width)
+            rows = [(int(node), int(b - a), six_bytes(sets[a:b])) for node, a, b in zip(right["node"], bounds[:-1], bounds[1:], strict=True)]
+        return pd.DataFrame(rows, columns=["node", "n", "items"])
 
     return fetch
 
 
-def _bounded(pct: int):
-    def bounded(frames):
-        for f in frames:
-            need = least_overlap(f["na"].to_numpy(), f["nb"].to_numpy(), pct)
-            keep = [most_shared(x, y) >= t for x, y, t in zip(f["abins"], f["bbins"], need, strict=True)]
-            yield f.loc[keep, ["a", "b"]]
-
-    return bounded
-
-
-def divide_skip(lists: list[list[int]], need: np.ndarray, share: float = 0.1) -> np.ndarray:
-    """Ids whose number of lists reaches need[id]. lists: ascending ids, each at most once in a list.
-
-    The longest lists, fewer than the least need, are set aside. The others are merged through a heap; an id that comes
-    up often enough to reach its need with all long lists is looked up in these by binary search.
-    """
-    least = int(need.min())
-    lists = sorted((x for x in lists if x), key=len)
-    most = len(lists[-1]) if lists else 0
-    aside = min(len(lists), max(0, least - 1), int(least / (share * np.log2(most + 1) + 1)) if most else 0)
-    short, long = lists[: len(lists) - aside], [np.asarray(x) for x in lists[len(lists) - aside :]]
-    out, last, count = [], -1, 0
-
-    def settle(i: int, c: int) -> None:
-        t = int(need[i])
-        for k, x in enumerate(long):
-            if c >= t or c + len(long) - k < t:
+class Lists:
+    """Inverted lists of sets: for each item the ascending positions of the sets that hold it."""
+
+    def __init__(self, sets: list[np.ndarray]):
+        self.size = np.array([len(s) for s in sets])
+        flat, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), self.size)
+        order = np.lexsort((owner, flat))
+        self.item, self.owner = flat[order], owner[order]
+
+    def of(self, query: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Bounds of the lists of the query's items that are not empty."""
+        a, b = np.searchsorted(self.item, query), np.searchsorted(self.item, query, side="right")
+        return a[b > a], b[b > a]
+
+    def reaching(self, query: np.ndarray, need: np.ndarray, wanted: np.ndarray | None = None) -> np.ndarray:
+        """Positions whose number of lists among the query's reaches need[position]; of the wanted ones only, if given.
+
+        The longest lists, fewer than the least need, are set aside. The others are merged, by a heap if they are short;
+        a position that comes up often enough to reach its need with all long lists is looked up in these by binary search.
+        """
+        a, b = self.of(query)
+        if not len(a):
+            return np.zeros(0, np.int64)
+        order = np.argsort(b - a, kind="stable")
+        a, b = a[order], b[order]
+        least, most = int(need.min()), int((b - a)[-1])
+        aside = min(len(a), max(0, least - 1), int(least / (SKIP_SHARE * np.log2(most + 1) + 1)))
+        cut = len(a) - aside
+        length = (b - a)[:cut]
+        if int(length.sum()) <= HEAP_SIZE:
+            count = Counter(heapq.merge(*[self.owner[x:y].tolist() for x, y in zip(a[:cut], b[:cut], strict=True)]))
+            seen, times = np.fromiter(count.keys(), np.int64, len(count)), np.fromiter(count.values(), np.int64, len(count))
+        else:
+            at = np.repeat(a[:cut] - np.cumsum(length) + length, length) + np.arange(int(length.sum()))
+            times = np.bincount(self.owner[at], minlength=len(need))
+            seen = np.flatnonzero(times)
+            times = times[seen]
+        keep = times + aside >= need[seen]
+        if wanted is not None:
+            keep &= wanted[seen]
+        seen, times = seen[keep], times[keep]
+        for k, (x, y) in enumerate(zip(a[cut:], b[cut:], strict=True)):
+            if not len(seen):
                 break
-            j = int(np.searchsorted(x, i))
-            c += j < len(x) and x[j] == i
-        if c >= t:
-            out.append(i)
-
-    for i in heapq.merge(*short):
-        if i != last:
-            if last >= 0 and count + aside >= need[last]:
-                settle(last, count)
-            last, count = i, 0
-        count += 1
-    if last >= 0 and count + aside >= need[last]:
-        settle(last, count)
-    return np.array(out, np.int64)
-
-
-def overlap_search(query: np.ndarray, sets: list[np.ndarray], pct: int) -> np.ndarray:
-    """Positions in sets of those similar to query by the T-occurrence search over the sets' inverted lists."""
-    need = least_overlap(np.full(len(sets), len(query)), np.array([len(s) for s in sets]), pct)
-    flat = np.concatenate(sets)
-    owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
-    at = np.searchsorted(query, flat)
-    hit = query[np.minimum(at, len(query) - 1)] == flat
-    at, owner = at[hit], owner[hit]
-    if len(sets) <= 2:  # one or two candidates: their lists are the shared items themselves
-        return np.flatnonzero(np.bincount(owner, minlength=len(sets)) >= need)
-    order = np.lexsort((owner, at))
-    at, owner = at[order], owner[order]
-    cut = np.flatnonzero(np.diff(at)) + 1
-    return divide_skip([x.tolist() for x in np.split(owner, cut)], need)
+            at = x + np.searchsorted(self.owner[x:y], seen)
+            times += (at < y) & (self.owner[np.minimum(at, y - 1)] == seen)
+            keep = times + (aside - k - 1) >= need[seen]
+            seen, times = seen[keep], times[keep]
+        return np.sort(seen[times >= need[seen]])
+
+
+def family_links(left: list[np.ndarray], right: list[np.ndarray], lnode: np.ndarray, rnode: np.ndarray, pct: int) -> list[tuple[int, int]]:
+    """A forest of the links between sets of two slices: what is connected already is not looked for again."""
+    lists, out = Lists(right), []
+    root: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while root.setdefault(x, x) != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    for q, me in zip(left, lnode.tolist(), strict=True):
+        mine = find(me)
+        other = np.array([find(x) != mine for x in rnode.tolist()]) if len(root) > 1 else np.ones(len(rnode), bool)
+        other &= rnode != me
+        if not other.any():
+            continue
+        for i in lists.reaching(q, least_overlap(np.full(len(right), len(q)), lists.size, pct), other):
+            a, b = find(me), find(int(rnode[i]))
+            if a != b:
+                root[max(a, b)] = min(a, b)
+                out.append((me, int(rnode[i])))
+    return out
 
 
 def _search(pct: int):
     def search(f: pd.DataFrame) -> pd.DataFrame:
-        f = f.sort_values("b")
-        found = overlap_search(from_six(f["aitems"].iloc[0]), [from_six(x) for x in f["bitems"]], pct)
-        return f.iloc[found][["a", "b"]]
+        f = f.sort_values("node")
+        left, right = f[f["lhs"]], f[f["rhs"]]
+        out = []
+        if len(left) and len(right):
+            out = family_links([from_six(x) for x in left["items"]], [from_six(x) for x in right["items"]], left["node"].to_numpy(), right["node"].to_numpy(), pct)
+        return pd.DataFrame(out, columns=["a", "b"])
 
     return search
 
@@ -325,36 +331,33 @@ def grouped(docs: DataFrame, width: int = 3, pct: int = 90, range_bytes: int = R
     small_batches(spark)
     blocks = stored(blocks_of(docs, block_bytes), "jaccard-blocks")
     ranges = range_count(blocks, range_bytes)
-    meta = stored(blocks.mapInPandas(_describe(width), META_ROWS), "jaccard-sets")
-    n_docs = int(meta.agg(F.sum(F.expr("octet_length(doc_ids) div 8"))).first()[0] or 0)
-    counted = meta.select(F.explode(F.arrays_zip("often", "times")).alias("x")).groupBy("x.often").agg(F.sum("x.times").alias("times"))
-    top = counted.where(F.col("times") >= max(8, FREQUENT * n_docs / 2)).orderBy(F.desc("times"), "often").limit(MOST_FREQUENT).select("often").toPandas()["often"]
-    frequent = np.sort(top.to_numpy(np.int64).view(np.uint64))
-    pairs = blocks.mapInPandas(_send_prefixes(width, ranges, frequent, pct), POSTING_ROWS).groupBy("r").applyInPandas(_pair_up(pct), PAIR_ROWS)
-    pairs = stored(pairs.groupBy("a", "b").agg(F.min("ablock").alias("ablock"), F.min("bblock").alias("bblock")), "jaccard-pairs")
+    ranks = blocks.mapInPandas(_send_shingles(width, ranges), COUNT_ROWS).groupBy("r").applyInPandas(_rank_shingles, RANK_ROWS)
+    ranks = stored(ranks, "jaccard-ranks")
     release(spark)
-    wanted = pairs.select(F.col("a").alias("node"), F.col("ablock").alias("block")).unionByName(pairs.select(F.col("b").alias("node"), F.col("bblock").alias("block")))
-    wanted = wanted.groupBy("node").agg(F.min("block").alias("block"))
-    sets = stored(blocks.groupBy("block").cogroup(wanted.groupBy("block")).applyInPandas(_fetch_sets(width), SET_ROWS), "jaccard-items")
+    sent = stored(blocks.groupBy("block").cogroup(ranks.groupBy("block")).applyInPandas(_send_prefixes(width, ranges, pct), POSTING_ROWS), "jaccard-prefixes")
     release(spark)
-    left = sets.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("bins").alias("abins"))
-    right = sets.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("bins").alias("bbins"))
-    close = stored(pairs.select("a", "b").join(left, "a").join(right, "b").mapInPandas(_bounded(pct), "a long, b long"), "jaccard-close")
+    meta = sent.where("r < 0")
+    edges = stored(sent.where("r >= 0").groupBy("r").applyInPandas(_chain(pct), EDGE_ROWS), "jaccard-edges")
+    families = connected_components(edges.select("a", "b")).withColumnRenamed("component", "family")
+    ends = edges.select(F.col("a").alias("node"), F.struct(F.col("ablock").alias("block"), F.col("adoc").alias("doc")).alias("at")).unionByName(edges.select(F.col("b").alias("node"), F.struct(F.col("bblock").alias("block"), F.col("bdoc").alias("doc")).alias("at")))
+    wanted = ends.groupBy("node").agg(F.min("at").alias("at")).select("node", "at.block", "at.doc")
+    sets = stored(blocks.groupBy("block").cogroup(wanted.groupBy("block")).applyInPandas(_fetch_sets(width), SET_ROWS), "jaccard-items")
     release(spark)
-    # A class asks for its candidates in groups of bounded size.
-    fan = close.groupBy("a").agg(F.ceil(F.count("*") / 256).cast("int").alias("parts"))
-    asked = close.join(fan, "a").withColumn("part", F.pmod(F.xxhash64("b"), F.col("parts")))
-    both = asked.join(sets.select(F.col("node").alias("b"), F.col("items").alias("bitems")), "b").join(sets.select(F.col("node").alias("a"), F.col("items").alias("aitems")), "a")
-    links = both.select("a", "b", "part", "aitems", "bitems").groupBy("a", "part").applyInPandas(_search(pct), "a long, b long")
+    # Slice i of a family asks the lists of slice j, for j <= i.
+    sizes = families.groupBy("family").agg(F.ceil(F.count("*") / SLICE).cast("int").alias("slices"))
+    cut = families.join(sizes, "family").withColumn("slice", F.pmod(F.xxhash64("node"), F.col("slices")).cast("int"))
+    met = cut.select("node", "family", "slice", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("other"))
+    met = met.select("node", "family", F.greatest("slice", "other").alias("i"), F.least("slice", "other").alias("j"), (F.col("slice") >= F.col("other")).alias("lhs"), (F.col("slice") <= F.col("other")).alias("rhs"))
+    links = met.join(sets, "node").groupBy("family", "i", "j").applyInPandas(_search(pct), "a long, b long")
     comps = connected_components(links)
     release(spark)
 
     def rows_of(frames):
         for f in frames:
             for r in f.itertuples():
-                yield pd.DataFrame({"doc_id": np.frombuffer(r.doc_ids, np.int64), "text_md5": [r.texts[i : i + 16].hex() for i in range(0, len(r.texts), 16)], "n_shingles": np.frombuffer(r.sizes, np.int64), "node": np.frombuffer(r.classes, np.uint64).view(np.int64)})
+                yield pd.DataFrame({"doc_id": np.frombuffer(r.keys, np.int64), "text_md5": [r.docs[i : i + 16].hex() for i in range(0, len(r.docs), 16)], "n_shingles": np.frombuffer(r.sizes, np.int64), "node": np.frombuffer(r.nodes, np.uint64).view(np.int64)})
 
-    rows = stored(meta.select("doc_ids", "sizes", "classes", "texts").mapInPandas(rows_of, "doc_id long, text_md5 string, n_shingles long, node long"), "jaccard-rows")
+    rows = stored(meta.select("keys", "nodes", "sizes", "docs").mapInPandas(rows_of, "doc_id long, text_md5 string, n_shingles long, node long"), "jaccard-rows")
     least = rows.where("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("least"))
     member = least.join(comps, "node", "left").select("node", "least", F.coalesce("component", "node").alias("group"))
     member = stored(member, "jaccard-members")

@@ -72,14 +72,24 @@ def test_against_brute_force(spark, k, pct, block):
     assert got == brute(rows, k, pct)
 
 
-def test_divide_skip():
+@pytest.mark.parametrize("heap", [0, 512])
+def test_divide_skip(monkeypatch, heap):
+    monkeypatch.setattr(jc, "HEAP_SIZE", heap)
     rng = random.Random(2)
     for _ in range(200):
-        m = rng.randint(1, 12)
-        lists = [sorted(rng.sample(range(m), rng.randint(0, m))) for _ in range(rng.randint(1, 15))]
-        need = np.array([rng.randint(1, 12) for _ in range(m)])
-        want = [i for i in range(m) if sum(i in x for x in lists) >= need[i]]
-        assert jc.divide_skip(lists, need).tolist() == want
+        sets = [np.array(sorted(rng.sample(range(40), rng.randint(1, 30))), np.uint64) for _ in range(rng.randint(1, 12))]
+        query = np.array(sorted(rng.sample(range(40), rng.randint(1, 30))), np.uint64)
+        need = np.array([rng.randint(1, 15) for _ in sets])
+        want = [i for i, x in enumerate(sets) if len(np.intersect1d(x, query)) >= need[i]]
+        assert jc.Lists(sets).reaching(query, need).tolist() == want
+
+
+def test_slices(spark, monkeypatch):
+    """Families larger than a slice: the plan is made here, so the limit set here holds."""
+    monkeypatch.setattr(jc, "SLICE", 5)
+    rows = corpus(8)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+    assert sorted(tuple(r) for r in jc.similar_sets(df).collect()) == brute(rows, 3, 90)
 
 
 def test_edges(spark):
