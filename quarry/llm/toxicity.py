@@ -95,7 +95,7 @@ def bare(word: str) -> str:
 def features(texts: pa.Array, trie: Trie, memory: dict) -> np.ndarray:
     """One row of FEATURES for each text. memory keeps looked-up words between calls."""
     ids, counts, words = word_ids(texts)
-    if len(memory) > 1 << 20:
+    if len(memory) > 1 << 18:
         memory.clear()
     kind = np.zeros(len(words), np.int8)  # 1 stem, 2 word, 3 near a word
     weight = np.zeros(len(words))
@@ -246,7 +246,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -> Data
     score is the class share. A null doc_id is never held out. Repeated rows get equal scores. An empty table gives no
     rows.
     """
-    small_batches(docs.sparkSession)
+    small_batches(docs.sparkSession, 4 << 20)
     lexicon, model = learned(docs, labels)
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -261,7 +261,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -> Data
 
 def without_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -> DataFrame:
     """The rows of docs whose score stays below the threshold, with all their columns."""
-    small_batches(docs.sparkSession)
+    small_batches(docs.sparkSession, 4 << 20)
     lexicon, model = learned(docs, labels)
     at = docs.columns.index("text")
 
