@@ -157,7 +157,7 @@ def top_k(vectors: DataFrame, every: int = 100, k: int = 10, scale: int = 1024)
     by_query = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     kth = near.withColumn("r", F.row_number().over(by_query)).where(F.col("r") == k).select(F.col("query_id").alias("vec_id"), F.col("score").alias("s"))
     q2 = F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)
-    bounded = stored(asked.drop("kth").join(kth, "vec_id", "left").withColumn("kth", F.sqrt(F.greatest(F.lit(0.0), q2 + F.lit(m2) - 2 * F.col("s")))).drop("s"), "topk-queries")
+    bounded = stored(asked.drop("kth").join(kth, "vec_id", "left").withColumn("kth", F.when(F.col("s").isNotNull(), F.sqrt(F.greatest(F.lit(0.0), q2 + F.lit(m2) - 2 * F.col("s"))))).drop("s"), "topk-queries")
     blocks = in_blocks(bounded, False)
     pairs = blocks.withColumn("at", F.explode(F.array(*[F.lit(i) for i in range(len(pivots))]))).join(slabs, F.col("at") == F.col("pivot"))
     hits = pairs.mapInPandas(search, HITS)
