@@ -265,9 +265,9 @@ def j4_mode_pivot(t: Tables):
 _MCN = "case when b = c then 1.0 else least(1.0, 2 * list_sum(list_transform(range(0, least(b, c) + 1), lambda k: exp(lgamma(b + c + 1) - lgamma(k + 1) - lgamma(b + c - k + 1) - (b + c) * ln(2))))) end"
 
 
-@query(f"select scenario_id, b, c, round({_MCN}, 6) as p from (select scenario_id, count_if(arm > base) as b, count_if(arm < base) as c from ({_PAIRED}) where question_id like '%1' group by 1)")
+@query(f"select scenario_id, b, c, round({_MCN}, 6) as p from (select scenario_id, count_if(arm > base) as b, count_if(arm < base) as c from ({_PAIRED}) group by 1)")
 def t1_mcnemar_exact(t: Tables):
-    return rounded(st.discordant(pairs(t).where("question_id like '%1'"), ["scenario_id"]))
+    return rounded(st.discordant(pairs(t), ["scenario_id"]))
 
 
 @query(f"select nation, round(p, 6) as p, round(lo, 6) as lo, round(hi, 6) as hi from (select *, {_WILSON} from (select c_nationkey as nation, avg((c_acctbal > 0)::int) as p, count(*) as n, 1.959963985 * 1.959963985 as z2 from {{customer}} group by 1))")
@@ -277,24 +277,24 @@ def t2_wilson_interval(t: Tables):
     return rounded(c.select("nation", "p", lo.alias("lo"), hi.alias("hi")))
 
 
-_BOOT = f"""d as (select scenario_id, diff, row_number() over (partition by scenario_id order by question_id) - 1 as i, count(*) over (partition by scenario_id) as n from ({_PAIRED}) where question_id like '%11'),
+_BOOT = f"""d as (select scenario_id, diff, row_number() over (partition by scenario_id order by question_id) - 1 as i, count(*) over (partition by scenario_id) as n from ({_PAIRED})),
  w as (select scenario_id, r, i, n, cast('0x' || substr(md5(concat_ws('|', 42, r, i)), 1, 8) as bigint) % n as at from d, (select unnest(range(100)) as r)), m as (select w.scenario_id, r, avg(d.diff) as m from w join d on d.scenario_id = w.scenario_id and d.i = w.at group by all),
  bo as (select scenario_id, quantile_cont(m, 0.025) as lo, quantile_cont(m, 0.975) as hi from m group by 1)"""
 
 
 @query(f"with {_BOOT} select bo.scenario_id, round((select avg(diff) from d where d.scenario_id = bo.scenario_id), 6) as mean, round(lo, 6) as lo, round(hi, 6) as hi from bo")
 def t4_paired_bootstrap(t: Tables):
-    d = pairs(t).where("question_id like '%11'").select("scenario_id", F.col("question_id").alias("id"), "diff")
+    d = pairs(t).select("scenario_id", F.col("question_id").alias("id"), "diff")
     return rounded(st.bootstrap(d, ["scenario_id"], rounds=100))
 
 
-_WIL = f"""d as (select scenario_id, diff, round(abs(diff), 12) as a from ({_PAIRED}) where diff <> 0 and question_id like '%3'), r as (select *, rank() over (partition by scenario_id order by a) + (count(*) over (partition by scenario_id, a) - 1) / 2 as rk, count(*) over (partition by scenario_id, a) as t from d),
+_WIL = f"""d as (select scenario_id, diff, round(abs(diff), 12) as a from ({_PAIRED}) where diff <> 0), r as (select *, rank() over (partition by scenario_id order by a) + (count(*) over (partition by scenario_id, a) - 1) / 2 as rk, count(*) over (partition by scenario_id, a) as t from d),
  s as (select scenario_id, count(*) as n, sum(case when diff > 0 then rk else 0 end) as plus, sum(case when diff < 0 then rk else 0 end) as minus, sum(t * t - 1) as ties from r group by 1)"""
 
 
 @query(f"with {_WIL} select scenario_id, n, round(least(plus, minus), 6) as w, round(least(0, least(plus, minus) - n * (n + 1) / 4 + 0.5) / sqrt(n * (n + 1) * (2 * n + 1) / 24 - ties / 48), 6) as z, round((plus - minus) / (plus + minus), 6) as rank_biserial from s")
 def t5_wilcoxon(t: Tables):
-    return rounded(st.wilcoxon(pairs(t).where("question_id like '%3'"), ["scenario_id"]))
+    return rounded(st.wilcoxon(pairs(t), ["scenario_id"]))
 
 
 @query()
@@ -329,21 +329,26 @@ def t14_verbosity_probe(t: Tables):
     return rounded(st.spearman(t.results, "tokens_out", "correctness", ["mode"]))
 
 
-@query(f"with c as (select scenario_id, qtype, count_if(arm > base) as b, count_if(arm < base) as c, avg(diff) as delta from ({_PAIRED}) where question_id like '%7' group by all), p as (select *, {_MCN} as p from c), r as (select *, row_number() over (partition by qtype order by p, scenario_id) as k, count(*) over (partition by qtype) as m from p) select scenario_id, qtype, b, c, round(delta, 6) as delta, round(p, 6) as p, round(least(1, min(p * m / k) over (partition by qtype order by k rows between current row and unbounded following)), 6) as q from r")
+@query(f"with c as (select scenario_id, qtype, count_if(arm > base) as b, count_if(arm < base) as c, avg(diff) as delta from ({_PAIRED}) group by all), p as (select *, {_MCN} as p from c), r as (select *, row_number() over (partition by qtype order by p, scenario_id) as k, count(*) over (partition by qtype) as m from p) select scenario_id, qtype, b, c, round(delta, 6) as delta, round(p, 6) as p, round(least(1, min(p * m / k) over (partition by qtype order by k rows between current row and unbounded following)), 6) as q from r")
 def t15_paired_tests(t: Tables):
-    p = pairs(t).where("question_id like '%7'")
+    p = pairs(t)
     d = p.groupBy("scenario_id", "qtype").agg(F.avg("diff").alias("delta"))
     tests = st.discordant(p, ["scenario_id", "qtype"]).join(d, ["scenario_id", "qtype"]).withColumn("name", F.col("scenario_id"))
     return rounded(st.false_discovery(tests, ["qtype"]).drop("name"))
 
 
-@query()
+@query(f"""with gold as (select distinct query_id, filename from {{kept}} where chunk % 3 = 0), g as (select query_id, count(*) as g from gold group by 1),
+ r as (select query_id, filename, rank, row_number() over (partition by query_id order by rerank_score desc nulls last, rank) as rank2 from {{kept}}),
+ h as (select query_id, count(distinct case when rank <= 4 then filename end) as base, count(distinct case when rank2 <= 4 then filename end) as arm from r semi join gold using (query_id, filename) group by 1),
+ m as (select coalesce(base, 0) / g as base, coalesce(arm, 0) / g as arm from g left join h using (query_id)),
+ k as (select count_if(arm >= 1 and base < 1) as b, count_if(arm < 1 and base >= 1) as c, avg(arm - base) as delta from m) select 'all' as "group", b, c, round({_MCN}, 6) as p, round(delta, 6) as delta from k""")
 def t16_layer_comparison(t: Tables):
     gold = t.kept.where("chunk % 3 = 0")
     base = ev.retrieval_metrics(t.kept.select("query_id", "rank", "filename"), gold).select("query_id", F.col("recall4").alias("base"))
-    arm = ev.retrieval_metrics(t.kept.select("query_id", (F.col("rank") % 5 + 1).alias("rank"), "filename"), gold).select("query_id", F.col("recall4").alias("arm"))
+    by_score = st.Window.partitionBy("query_id").orderBy(F.desc_nulls_last("rerank_score"), "rank")
+    arm = ev.retrieval_metrics(t.kept.select("query_id", F.row_number().over(by_score).alias("rank"), "filename"), gold).select("query_id", F.col("recall4").alias("arm"))
     both = arm.join(base, "query_id").withColumn("group", F.lit("all"))
-    return st.discordant(both, ["group"], 1.0).join(both.groupBy("group").agg(F.avg(F.col("arm") - F.col("base")).alias("delta")), "group")
+    return rounded(st.discordant(both, ["group"], 1.0).join(both.groupBy("group").agg(F.avg(F.col("arm") - F.col("base")).alias("delta")), "group"))
 
 
 @query()

@@ -64,18 +64,18 @@ def r4_bm25_top10(t: Tables):
     return bm25_top(t).select("query_id", "id", F.round("score", 6).alias("score"), "rank")
 
 
-@query(f"with items as (select item_id as query_id, text from {{benchmark}}), docs as (select doc_id as id, text from {{documents}} where lang = 'en' and doc_id % 3 = 0), {bm25_sql('items', 'docs')} {_TOP10}")
+@query(f"with items as (select item_id as query_id, text from {{benchmark}}), docs as (select doc_id as id, text from {{documents}} where lang = 'en'), {bm25_sql('items', 'docs')} {_TOP10}")
 def p1_bm25_in_scope(t: Tables):
-    scope = t.documents.where("lang = 'en' and doc_id % 3 = 0").select(F.col("doc_id").alias("id"), "text")
+    scope = t.documents.where("lang = 'en'").select(F.col("doc_id").alias("id"), "text")
     return se.bm25(items(t), scope, 10).select("query_id", "id", F.round("score", 6).alias("score"), "rank")
 
 
-@query("with f as (select query_id, id, sum(1.0 / (60 + rank)) as rrf_score from {rankings} where rank <= 30 group by query_id, id), r as (select *, row_number() over (partition by query_id order by round(rrf_score, 9) desc, id) as rank from f) select query_id, id, round(rrf_score, 6) as rrf_score, rank from r where rank <= 10")
+@query("with f as (select query_id, id, sum(1.0 / (60 + rank)) as rrf_score from {rankings} group by query_id, id), r as (select *, row_number() over (partition by query_id order by round(rrf_score, 9) desc, id) as rank from f) select query_id, id, round(rrf_score, 6) as rrf_score, rank from r where rank <= 10")
 def r5_rrf_fusion(t: Tables):
-    return se.fuse(t.rankings.where("rank <= 30"), 10).select("query_id", "id", F.round("rrf_score", 6).alias("rrf_score"), "rank")
+    return se.fuse(t.rankings, 10).select("query_id", "id", F.round("rrf_score", 6).alias("rrf_score"), "rank")
 
 
-_KNN = """qs as (select vec_id as query_id, cast(embedding as double[]) as q from {embeddings} where vec_id % 25 = 0), vs as (select vec_id as id, cast(embedding as double[]) as v, label from {embeddings}),
+_KNN = """qs as (select vec_id as query_id, cast(embedding as double[]) as q from {embeddings} where vec_id % 20 = 0), vs as (select vec_id as id, cast(embedding as double[]) as v, label from {embeddings}),
  kn as (select *, row_number() over (partition by query_id order by round(similarity, 9) desc, id) as rank from (select query_id, id, label, list_dot_product(q, v) / (sqrt(list_dot_product(q, q)) * sqrt(list_dot_product(v, v))) as similarity from qs, vs where query_id <> id))"""
 
 
@@ -84,7 +84,7 @@ def vectors(t: Tables):
 
 
 def knn(t: Tables, k: int):
-    asked = t.embeddings.where("vec_id % 25 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
+    asked = t.embeddings.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
     found = se.nearest(asked, vectors(t), k + 1).where("query_id <> id").drop("rank")
     return se.top(found, ["query_id"], [F.desc(F.round("similarity", 9)), F.col("id")], k)
 
@@ -136,13 +136,13 @@ def r8_dense_only(t: Tables):
     return dense_top(t).select("query_id", "id", "rank", F.lit(None).cast("double").alias("rrf_score"), F.round("similarity", 6).alias("similarity"))
 
 
-_MULTI = "select query_id % 10 as query_id, case when query_id % 50 >= 10 then 1 else 0 end + case when query_id % 50 >= 20 then 1 else 0 end as sub_idx, rank, id, round(1.0 / (60 + rank), 5) as score from {rankings} where source = 'lexical' and query_id < 30"
+_MULTI = "select query_id % 10 as query_id, cast(floor(query_id / 10) as int) as sub_idx, rank, id, round(1.0 / (60 + rank), 5) as score from {rankings} where source = 'lexical'"
 
 
 @query(f"with h as ({_MULTI}), f as (select *, row_number() over (partition by query_id, id order by sub_idx, rank) as seen from h where rank <= 6), r as (select *, row_number() over (partition by query_id order by round(score, 5) desc, sub_idx, rank) as pool_rank from f where seen = 1) select query_id, id, cast(score as double) as score, pool_rank from r where pool_rank <= 12")
 def r13_multi_query_pool(t: Tables):
-    r = t.rankings.where("source = 'lexical' and query_id < 30")
-    hits = r.select((F.col("query_id") % 10).alias("query_id"), ((F.col("query_id") >= 10).cast("int") + (F.col("query_id") >= 20).cast("int")).alias("sub_idx"), "rank", "id", F.round(1 / (60 + F.col("rank")), 5).alias("score"))
+    r = t.rankings.where("source = 'lexical'")
+    hits = r.select((F.col("query_id") % 10).alias("query_id"), F.floor(F.col("query_id") / 10).cast("int").alias("sub_idx"), "rank", "id", F.round(1 / (60 + F.col("rank")), 5).alias("score"))
     return se.multi_query(hits)
 
 
