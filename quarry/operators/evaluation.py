@@ -91,18 +91,15 @@ def gate_quality(rows: DataFrame, p: str, truth: str, threshold: float) -> DataF
     return rows.where(F.col(p).isNotNull()).agg(F.avg(((F.col(p) >= threshold) == F.col(truth)).cast("double")).alias("accuracy"), F.avg(F.pow(F.col(p) - y, 2)).alias("brier"), F.avg(y).alias("true_rate"), F.count("*").alias("n"))
 
 
-def nearest_rank(c: Column | str, q: float, upper: bool) -> Column:
-    """Client-side percentile: sorted[floor(q n)], or sorted[ceil(q n) - 1] if upper. Rows of one group come together."""
-    xs = F.array_sort(F.collect_list(c))
-    n = F.size(xs)
-    at = F.greatest(F.lit(1), F.ceil(n * q)) if upper else F.floor(n * q) + 1
-    return F.try_element_at(xs, F.least(n, at).cast("int"))
+def nearest_rank(c: str, q: float, upper: bool) -> Column:
+    """Client-side percentile of a column: sorted[floor(q n)], or sorted[ceil(q n) - 1] if upper."""
+    return F.expr(f"percentile_disc({q}) within group (order by {c})" if upper else f"percentile_disc({1 - q}) within group (order by {c} desc)")
 
 
 def live_summary(results: DataFrame) -> DataFrame:
     """The client's summary: a missing latency is 0, a missing abstention label 'pending', nearest-rank percentiles."""
-    lat = F.coalesce("latency_ms", F.lit(0.0))
-    return results.groupBy("scenario_id", "mode").agg(F.count("*").alias("n"), F.avg(lat).alias("mean"), nearest_rank(lat, 0.5, False).alias("p50"), nearest_rank(lat, 0.95, True).alias("p95"), F.count_if(F.coalesce("abstention", F.lit("pending")) == "pending").alias("pending"), F.count("error").alias("errors"))
+    rows = results.withColumn("lat", F.coalesce("latency_ms", F.lit(0.0)))
+    return rows.groupBy("scenario_id", "mode").agg(F.count("*").alias("n"), F.avg("lat").alias("mean"), nearest_rank("lat", 0.5, False).alias("p50"), nearest_rank("lat", 0.95, True).alias("p95"), F.count_if(F.coalesce("abstention", F.lit("pending")) == "pending").alias("pending"), F.count("error").alias("errors"))
 
 
 def average_precision(verdicts: DataFrame, by: str) -> DataFrame:

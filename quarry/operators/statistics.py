@@ -87,10 +87,14 @@ def calibration_error(rows: DataFrame, score: str, label: str, bins: int = 10) -
 
 def roc(rows: DataFrame, score: str, label: str) -> DataFrame:
     """threshold, tpr, fpr, j at each distinct score, falling, and minus infinity at the end; rates are 0 without their class."""
-    g = rows.groupBy(F.col(score).alias("threshold")).agg(F.count_if(F.col(label) == 1).alias("p"), F.count_if(F.col(label) != 1).alias("q"))
-    down = Window.orderBy(F.desc("threshold")).rowsBetween(Window.unboundedPreceding, 0)  # one row per distinct score
+    g = rows.groupBy(F.col(score).alias("threshold")).agg(F.count_if(F.col(label) == 1).alias("p"), F.count_if(F.col(label) != 1).alias("q")).withColumn("cell", F.floor(F.col("threshold") * 4096))
+    # Running counts in two steps, over cells of scores and within a cell, so that no task sees all scores.
+    cells = g.groupBy("cell").agg(F.sum("p").alias("cp"), F.sum("q").alias("cq"))
+    above = Window.orderBy(F.desc("cell")).rowsBetween(Window.unboundedPreceding, -1)
     every = Window.partitionBy()
-    run = g.select("threshold", F.sum("p").over(down).alias("tp"), F.sum("q").over(down).alias("fp"), F.sum("p").over(every).alias("np"), F.sum("q").over(every).alias("nq"))
+    base = cells.select("cell", F.coalesce(F.sum("cp").over(above), F.lit(0)).alias("p0"), F.coalesce(F.sum("cq").over(above), F.lit(0)).alias("q0"), F.sum("cp").over(every).alias("np"), F.sum("cq").over(every).alias("nq"))
+    down = Window.partitionBy("cell").orderBy(F.desc("threshold")).rowsBetween(Window.unboundedPreceding, 0)
+    run = g.join(base, "cell").select("threshold", (F.col("p0") + F.sum("p").over(down)).alias("tp"), (F.col("q0") + F.sum("q").over(down)).alias("fp"), "np", "nq")
     last = g.agg(F.lit(float("-inf")).alias("threshold"), F.sum("p").alias("tp"), F.sum("q").alias("fp"), F.sum("p").alias("np"), F.sum("q").alias("nq")).where("np is not null")
     rate = lambda a, b: F.coalesce(F.col(a) / F.nullif(F.col(b), F.lit(0)), F.lit(0.0))
     return run.unionByName(last).select("threshold", rate("tp", "np").alias("tpr"), rate("fp", "nq").alias("fpr"), (rate("tp", "np") - rate("fp", "nq")).alias("j"), "np", "nq")
