@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import time
 import uuid
@@ -18,6 +19,8 @@ from pyspark.sql import functions as F
 WORD_PATTERN = "[^\\x20\\x09-\\x0D]+"
 #: Raw text bytes in one block; a longer document makes a block of its own.
 BLOCK_BYTES = 2 << 20
+#: Key ranges of a small corpus; ranges or blocks that a task takes, on average, whatever the session's partitions.
+LEAST_RANGES, RANGES_EACH = 24, 4
 BLOCK_SCHEMA = "block long, bytes long, doc_ids binary, offsets binary, payload binary"
 MIX = np.uint64(0xD6E8FEB86659FD93)
 
@@ -35,22 +38,37 @@ def stored(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def release(spark: SparkSession) -> None:
-    """Let Spark drop the shuffle files of stages whose results have been stored."""
+def release(spark: SparkSession, ranges: int) -> None:
+    """Let Spark drop the shuffle files of stages whose results have been stored; few ranges have little to drop."""
+    if ranges <= LEAST_RANGES:
+        return
     for _ in range(3):  # references go in one round, the cleaner works in the next
         gc.collect()
         spark.sparkContext._jvm.System.gc()
         time.sleep(0.3)
 
 
-def small_batches(spark: SparkSession, size: int = 16 << 20) -> None:
+def small_batches(spark: SparkSession, size: int = 4 << 20) -> None:
     """Bound the bytes that go to a Python worker at once: rows of blocks and sets are large."""
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(size))
 
 
 def range_count(blocks: DataFrame, range_bytes: int) -> int:
-    """Key ranges for a corpus: one for each range_bytes of text, and a few for a small one."""
-    return max(24, -(-int(blocks.agg(F.sum("bytes")).first()[0] or 0) // range_bytes))
+    """Key ranges for a corpus: one for each range_bytes of text, and LEAST_RANGES for a small one."""
+    return max(LEAST_RANGES, -(-int(blocks.agg(F.sum("bytes")).first()[0] or 0) // range_bytes))
+
+
+def dealt(df: DataFrame, key: str | list[str], ranges: int) -> DataFrame:
+    """df by key in as many partitions as the corpus needs, so that tasks stay as large as they are at any size."""
+    return df.repartition(max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-ranges // RANGES_EACH)), *([key] if isinstance(key, str) else key))
+
+
+def give_back() -> None:
+    """Return memory that a Python worker has freed to the system: workers stay, and executors count it."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
 
 
 def range_of(keys: np.ndarray, ranges: int) -> np.ndarray:
@@ -195,6 +213,7 @@ def blocks_of(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
             return row
 
         for batch in batches:
+            give_back()
             doc_id = pc.fill_null(batch.column(0), -(2**63)).to_numpy(zero_copy_only=False).astype(np.int64)
             text = pc.fill_null(batch.column(1), "").cast(pa.large_binary())
             lens = pc.binary_length(text).to_numpy(zero_copy_only=False)

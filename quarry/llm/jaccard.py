@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarry.llm.common import BLOCK_BYTES, block_texts, blocks_of, mixed, opened, packed, range_count, range_of, release, slices, small_batches, stored, unpacked, word_hashes, word_ids
+from quarry.llm.common import BLOCK_BYTES, block_texts, blocks_of, dealt, give_back, mixed, opened, packed, range_count, range_of, release, slices, small_batches, stored, unpacked, word_hashes, word_ids
 from quarry.llm.components import connected_components
 
 #: Text bytes for each range of shingles; classes in one side of a search; share of DivideSkip; size merged by a heap.
@@ -87,6 +87,7 @@ def _send_shingles(width: int, ranges: int):
     def send(frames):
         for f in frames:
             for r in f.itertuples():
+                give_back()
                 _, off, raw = opened(r.doc_ids, r.offsets, r.payload)
                 keys, times = np.unique(shingle_sets(off, raw, width)[0], return_counts=True)
                 cut = slices(range_of(keys, ranges), ranges)
@@ -98,6 +99,7 @@ def _send_shingles(width: int, ranges: int):
 
 def _rank_shingles(f: pd.DataFrame) -> pd.DataFrame:
     """For each block's shingles the power of two below the number of texts that have them."""
+    give_back()
     f = f.sort_values("block")
     key = np.concatenate([np.frombuffer(k, np.uint64) for k in f["keys"]])
     times = np.concatenate([unpacked(x, np.int64, n) for x, n in zip(f["times"], f["n"], strict=True)])
@@ -130,6 +132,7 @@ def _send_prefixes(width: int, ranges: int, pct: int):
     cols = ["r", "block", "n", "keys", "nodes", "sizes", "places", "docs"]
 
     def send(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        give_back()
         if not len(left):
             return pd.DataFrame(columns=cols)
         r = left.iloc[0]
@@ -171,6 +174,7 @@ def _chain(pct: int):
     """
 
     def chain(f: pd.DataFrame) -> pd.DataFrame:
+        give_back()
         load = lambda c: np.concatenate([unpacked(x, np.int64, n) for x, n in zip(f[c], f["n"], strict=True)])
         key = np.concatenate([np.frombuffer(k, np.uint64) for k in f["keys"]])
         node = np.concatenate([np.frombuffer(k, np.uint64) for k in f["nodes"]])
@@ -216,6 +220,7 @@ def from_six(data: bytes) -> np.ndarray:
 
 def _fetch_sets(width: int):
     def fetch(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        give_back()
         rows = []
         if len(left) and len(right):
             r = left.iloc[0]
@@ -331,26 +336,26 @@ def grouped(docs: DataFrame, width: int = 3, pct: int = 90, range_bytes: int = R
     small_batches(spark)
     blocks = stored(blocks_of(docs, block_bytes), "jaccard-blocks")
     ranges = range_count(blocks, range_bytes)
-    ranks = blocks.mapInPandas(_send_shingles(width, ranges), COUNT_ROWS).groupBy("r").applyInPandas(_rank_shingles, RANK_ROWS)
+    ranks = dealt(blocks.mapInPandas(_send_shingles(width, ranges), COUNT_ROWS), "r", ranges).groupBy("r").applyInPandas(_rank_shingles, RANK_ROWS)
     ranks = stored(ranks, "jaccard-ranks")
-    release(spark)
-    sent = stored(blocks.groupBy("block").cogroup(ranks.groupBy("block")).applyInPandas(_send_prefixes(width, ranges, pct), POSTING_ROWS), "jaccard-prefixes")
-    release(spark)
+    release(spark, ranges)
+    sent = stored(dealt(blocks, "block", ranges).groupBy("block").cogroup(dealt(ranks, "block", ranges).groupBy("block")).applyInPandas(_send_prefixes(width, ranges, pct), POSTING_ROWS), "jaccard-prefixes")
+    release(spark, ranges)
     meta = sent.where("r < 0")
-    edges = stored(sent.where("r >= 0").groupBy("r").applyInPandas(_chain(pct), EDGE_ROWS), "jaccard-edges")
+    edges = stored(dealt(sent.where("r >= 0"), "r", ranges).groupBy("r").applyInPandas(_chain(pct), EDGE_ROWS), "jaccard-edges")
     families = connected_components(edges.select("a", "b")).withColumnRenamed("component", "family")
     ends = edges.select(F.col("a").alias("node"), F.struct(F.col("ablock").alias("block"), F.col("adoc").alias("doc")).alias("at")).unionByName(edges.select(F.col("b").alias("node"), F.struct(F.col("bblock").alias("block"), F.col("bdoc").alias("doc")).alias("at")))
     wanted = ends.groupBy("node").agg(F.min("at").alias("at")).select("node", "at.block", "at.doc")
-    sets = stored(blocks.groupBy("block").cogroup(wanted.groupBy("block")).applyInPandas(_fetch_sets(width), SET_ROWS), "jaccard-items")
-    release(spark)
+    sets = stored(dealt(blocks, "block", ranges).groupBy("block").cogroup(dealt(wanted, "block", ranges).groupBy("block")).applyInPandas(_fetch_sets(width), SET_ROWS), "jaccard-items")
+    release(spark, ranges)
     # Slice i of a family asks the lists of slice j, for j <= i.
     sizes = families.groupBy("family").agg(F.ceil(F.count("*") / SLICE).cast("int").alias("slices"))
     cut = families.join(sizes, "family").withColumn("slice", F.pmod(F.xxhash64("node"), F.col("slices")).cast("int"))
     met = cut.select("node", "family", "slice", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("other"))
     met = met.select("node", "family", F.greatest("slice", "other").alias("i"), F.least("slice", "other").alias("j"), (F.col("slice") >= F.col("other")).alias("lhs"), (F.col("slice") <= F.col("other")).alias("rhs"))
-    links = met.join(sets, "node").groupBy("family", "i", "j").applyInPandas(_search(pct), "a long, b long")
+    links = dealt(met.join(sets, "node"), ["family", "i", "j"], ranges).groupBy("family", "i", "j").applyInPandas(_search(pct), "a long, b long")
     comps = connected_components(links)
-    release(spark)
+    release(spark, ranges)
 
     def rows_of(frames):
         for f in frames:

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import BLOCK_BYTES, blocks_of, byte_table, mixed, opened, packed, range_count, range_of, release, rolling, sliding_min, slices, small_batches, stored, unpacked
+from quarry.llm.common import BLOCK_BYTES, blocks_of, byte_table, dealt, give_back, mixed, opened, packed, range_count, range_of, release, rolling, slices, sliding_min, small_batches, stored, unpacked
 
 #: Bytes of a repeated string; bytes of an anchor; text bytes for each range of anchors; symbols of a shard.
 WINDOW, ANCHOR, RANGE_BYTES, SHARD_SYMBOLS = 50, 25, 4 << 20, 1 << 19
@@ -223,6 +223,7 @@ def _send_anchors(ranges: int):
     def send(frames):
         for f in frames:
             for r in f.itertuples():
+                give_back()
                 ids, off, text = opened(r.doc_ids, r.offsets, r.payload)
                 raw = np.frombuffer(text, np.uint8)
                 marks = text_marks(off, text)
@@ -242,6 +243,7 @@ STATUS_ROWS = "r long, block long, n long, status binary, nd long, least binary"
 
 def _judge_anchors(hot: int):
     def judge(f: pd.DataFrame) -> pd.DataFrame:
+        give_back()
         f = f.sort_values("block")
         key = np.concatenate([unpacked(k, np.uint64, n) for k, n in zip(f["keys"], f["n"], strict=True)])
         owner = np.concatenate([np.frombuffer(o, np.uint32) for o in f["owners"]])
@@ -275,6 +277,7 @@ RUN_ROWS = "r long, block long, n long, nb long, keys binary, names binary, lens
 
 def _send_runs(ranges: int):
     def send(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        give_back()
         cols = ["r", "block", "n", "nb", "keys", "names", "lens", "docs", "often", "data"]
         if not len(left):
             return pd.DataFrame(columns=cols)
@@ -325,6 +328,7 @@ PIECE_ROWS = "r long, block long, n long, m long, names binary, starts binary, l
 
 
 def _judge_runs(f: pd.DataFrame) -> pd.DataFrame:
+    give_back()
     f = f.sort_values("block")
     sizes = f["n"].to_numpy()
     load = lambda col, kind: np.concatenate([unpacked(x, kind, n) for x, n in zip(f[col], sizes, strict=True)])
@@ -374,6 +378,7 @@ KEPT_ROWS = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha25
 
 def _cut(with_text: bool):
     def cut(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        give_back()
         cols = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "text_md5", "kept"]
         if not len(left):
             return pd.DataFrame(columns=cols)
@@ -436,14 +441,14 @@ def repeats(docs: DataFrame, with_text: bool = False, range_bytes: int = RANGE_B
     small_batches(spark)
     blocks = stored(blocks_of(docs, block_bytes), "repeat-blocks")
     ranges = range_count(blocks, range_bytes)
-    status = stored(blocks.mapInPandas(_send_anchors(ranges), ANCHOR_ROWS).groupBy("r").applyInPandas(_judge_anchors(hot), STATUS_ROWS), "repeat-status")
-    release(spark)
-    runs = stored(blocks.groupBy("block").cogroup(status.groupBy("block")).applyInPandas(_send_runs(ranges), RUN_ROWS), "repeat-runs")
-    release(spark)
-    pieces = stored(runs.where("r >= 0").groupBy("r").applyInPandas(_judge_runs, PIECE_ROWS), "repeat-pieces")
-    release(spark)
+    status = stored(dealt(blocks.mapInPandas(_send_anchors(ranges), ANCHOR_ROWS), "r", ranges).groupBy("r").applyInPandas(_judge_anchors(hot), STATUS_ROWS), "repeat-status")
+    release(spark, ranges)
+    runs = stored(dealt(blocks, "block", ranges).groupBy("block").cogroup(dealt(status, "block", ranges).groupBy("block")).applyInPandas(_send_runs(ranges), RUN_ROWS), "repeat-runs")
+    release(spark, ranges)
+    pieces = stored(dealt(runs.where("r >= 0"), "r", ranges).groupBy("r").applyInPandas(_judge_runs, PIECE_ROWS), "repeat-pieces")
+    release(spark, ranges)
     own = runs.where("r < 0").select("r", "block", "n", F.col("nb").alias("m"), F.col("keys").alias("names"), F.lit(b"").alias("starts"), F.col("often").alias("lens"), F.col("names").alias("docs"))
-    out = blocks.groupBy("block").cogroup(own.unionByName(pieces).groupBy("block")).applyInPandas(_cut(with_text), KEPT_ROWS)
+    out = dealt(blocks, "block", ranges).groupBy("block").cogroup(dealt(own.unionByName(pieces), "block", ranges).groupBy("block")).applyInPandas(_cut(with_text), KEPT_ROWS)
     out = out.withColumn("doc_id", F.when(F.col("doc_id") != EMPTY_ID, F.col("doc_id")))
     return out if with_text else out.drop("text_md5", "kept")
 

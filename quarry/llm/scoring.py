@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import BLOCK_BYTES, block_texts, blocks_of, mixed, opened, packed, range_count, range_of, release, slices, small_batches, stored, unpacked, word_hashes, word_ids
+from quarry.llm.common import BLOCK_BYTES, block_texts, blocks_of, dealt, give_back, mixed, opened, packed, range_count, range_of, release, slices, small_batches, stored, unpacked, word_hashes, word_ids
 
 #: Text bytes for each range of n-gram hashes; power-of-two classes of counts kept about the words.
 RANGE_BYTES, CLASSES = 4 << 20, 64
@@ -72,6 +72,7 @@ def _send(order: int, ranges: int, folds: int):
     def send(frames):
         for f in frames:
             for r in f.itertuples():
+                give_back()
                 ids, off, raw = opened(r.doc_ids, r.offsets, r.payload)
                 seq, place, doc = sequences(off, raw)
                 train = np.array([not is_held_out(int(i), folds) for i in ids], bool)[doc]
@@ -88,6 +89,7 @@ def _send(order: int, ranges: int, folds: int):
 
 def _add_up(f: pd.DataFrame) -> pd.DataFrame:
     """Total of each block's n-grams, and what smoothing needs to know: types, tokens, types seen once and twice, tokens by count."""
+    give_back()
     out = []
     for level, g in f.sort_values(["level", "block"]).groupby("level"):
         keys = np.concatenate([np.frombuffer(k, np.uint64) for k in g["keys"]])
@@ -167,6 +169,7 @@ def _score(order: int, folds: int, model: dict):
     cols = ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
 
     def score(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        give_back()
         if not len(left):
             return pd.DataFrame(columns=cols)
         r = left.iloc[0]
@@ -209,11 +212,11 @@ def scores(docs: DataFrame, order: int = 2, folds: int = 10, range_bytes: int =
     small_batches(spark)
     blocks = stored(blocks_of(docs, block_bytes), "score-blocks")
     ranges = range_count(blocks, range_bytes)
-    answers = stored(blocks.mapInPandas(_send(order, ranges, folds), COUNT_ROWS).groupBy("r").applyInPandas(_add_up, ANSWER_ROWS), "score-counts")
-    release(spark)
+    answers = stored(dealt(blocks.mapInPandas(_send(order, ranges, folds), COUNT_ROWS), "r", ranges).groupBy("r").applyInPandas(_add_up, ANSWER_ROWS), "score-counts")
+    release(spark, ranges)
     sums = answers.where("block < 0").select("level", F.posexplode("stats").alias("i", "x")).groupBy("level", "i").agg(F.sum("x").alias("x")).collect()
     stats = {n: np.zeros(4 + CLASSES) for n in {r.level for r in sums}}
     for r in sums:
         stats[r.level][r.i] = r.x
-    out = blocks.groupBy("block").cogroup(answers.where("block >= 0").groupBy("block")).applyInPandas(_score(order, folds, fitted(stats, order)), SCORE_ROWS)
+    out = dealt(blocks, "block", ranges).groupBy("block").cogroup(dealt(answers.where("block >= 0"), "block", ranges).groupBy("block")).applyInPandas(_score(order, folds, fitted(stats, order)), SCORE_ROWS)
     return out.withColumn("doc_id", F.when(F.col("doc_id") != EMPTY_ID, F.col("doc_id")))

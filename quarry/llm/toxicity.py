@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import small_batches, stored, word_hashes, word_ids
+from quarry.llm.common import give_back, small_batches, stored, word_hashes, word_ids
 
 #: Labelled rows of each class used for learning, at most; entries of the lexicon, at most; words of a window's side.
 FIT_TOXIC, FIT_CLEAN, ENTRIES, SIDE = 3000, 6000, 2000, 6
@@ -229,6 +229,7 @@ def learned(docs: DataFrame, labels: DataFrame) -> tuple[list, tuple]:
     def measured(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         trie, memory = Trie(lexicon), {}
         for f in frames:
+            give_back()
             x = features(pa.array(f["text"], pa.large_string()), trie, memory)
             yield pd.DataFrame({"y": f["toxic"].astype(float), "x": list(x)})
 
@@ -246,12 +247,13 @@ def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -> Data
     score is the class share. A null doc_id is never held out. Repeated rows get equal scores. An empty table gives no
     rows.
     """
-    small_batches(docs.sparkSession, 4 << 20)
+    small_batches(docs.sparkSession)
     lexicon, model = learned(docs, labels)
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trie, memory = Trie(lexicon), {}
         for batch in batches:
+            give_back()
             p = probability(features(batch.column(1), trie, memory), model)
             yield pa.record_batch([batch.column(0), batch.column(2), pa.array(p), pa.array((p >= threshold).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
 
@@ -261,13 +263,14 @@ def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -> Data
 
 def without_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -> DataFrame:
     """The rows of docs whose score stays below the threshold, with all their columns."""
-    small_batches(docs.sparkSession, 4 << 20)
+    small_batches(docs.sparkSession)
     lexicon, model = learned(docs, labels)
     at = docs.columns.index("text")
 
     def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trie, memory = Trie(lexicon), {}
         for batch in batches:
+            give_back()
             yield batch.filter(pa.array(probability(features(batch.column(at), trie, memory), model) < threshold))
 
     return docs.mapInArrow(kept, docs.schema)
