@@ -88,4 +88,4 @@ def planned_total(questions: DataFrame, cap: int, arms: int) -> DataFrame:
 
 def with_overrides(base: DataFrame, overrides: DataFrame) -> DataFrame:
     """Each arm's parameters: its override, else the base value."""
-    return overrides.crossJoin(base).select("arm", *[F.coalesce(F.col(f"o_{c}"), F.col(c)).alias(c) for c in base.columns])  # base is one row
+    return overrides.crossJoin(F.broadcast(base.limit(1))).select("arm", *[F.coalesce(F.col(f"o_{c}"), F.col(c)).alias(c) for c in base.columns])  # base is one row

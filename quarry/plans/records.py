@@ -540,3 +540,52 @@ _GATES = "select o_orderkey, case o_orderkey % 4 when 0 then '0.42' when 1 then
 def t12_first_gate_score(t: Tables):
     g = t.sql(_GATES).withColumn("top1", F.col("top1").cast("double"))
     return g.select("o_orderkey", po.first_gate_score("a", F.col("top1"), F.col("mode"), F.lit(0.5)).alias("p"))
+
+
+@query("select run_id, strftime(created_at, '%Y-%m-%dT%H:%M:%S') as started, round((epoch_us(finished_at) - epoch_us(created_at)) / 6e7, 3) as minutes from {runs}")
+def f7_run_durations(t: Tables):
+    micros = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
+    return t.runs.select("run_id", F.date_format("created_at", "yyyy-MM-dd'T'HH:mm:ss").alias("started"), F.round((micros("finished_at") - micros("created_at")) / 6e7, 3).alias("minutes"))
+
+
+@query("select l_orderkey, first(l_returnflag order by l_discount desc, l_linenumber * 1000000 + l_partkey) as choice, max(l_discount) as confidence from {lineitem} group by l_orderkey")
+def u4_best_choice(t: Tables):
+    from quarry.operators.models import best_choice
+
+    options = t.lineitem.select("l_orderkey", F.col("l_discount").alias("p"), (F.col("l_linenumber") * 1000000 + F.col("l_partkey")).alias("idx"), F.col("l_returnflag").alias("option"))
+    return best_choice(options, "l_orderkey")
+
+
+_LINES = "'1. first ' || cast(o_orderkey as varchar(12)) || chr(10) || chr(10) || '- second' || chr(10) || '  third' || chr(10) || '4) fourth'"
+
+
+@query("select o_orderkey, ['first ' || cast(o_orderkey as varchar), 'second', 'third'] as paraphrases from {orders}")
+def u8_paraphrase_lines(t: Tables):
+    from quarry.operators.models import paraphrase_lines
+
+    return paraphrase_lines(t.sql(f"select o_orderkey, {_LINES} as answer from {{orders}}"), 3).select("o_orderkey", "paraphrases")
+
+
+@query("select avg((c between 0.2 and 0.9)::int) as agreement, count(*) as n from (select coalesce(correctness, 0) as c from {results})")
+def u7_judge_self_test(t: Tables):
+    from quarry.operators.models import judge_agreement
+
+    return judge_agreement(t.results.select(F.coalesce("correctness", F.lit(0.0)).alias("score"), F.lit(0.2).alias("least"), F.lit(0.9).alias("most")))
+
+
+@query("select k.query_id, k.rank, k.filename, list_contains(g.gold, k.filename) as is_gold from {kept} k join (select query_id, list(filename) as gold from {kept} where chunk % 3 = 0 group by query_id) g on g.query_id = k.query_id")
+def j8_gold_membership(t: Tables):
+    gold = t.kept.where("chunk % 3 = 0").groupBy("query_id").agg(F.collect_set("filename").alias("gold"))
+    return t.kept.join(gold, "query_id").select("query_id", "rank", "filename", F.array_contains("gold", F.col("filename")).alias("is_gold"))
+
+
+@query("select query_id, rank, filename, row_number() over (partition by query_id, filename order by rank) = 1 as first from {kept}")
+def w5_first_occurrence(t: Tables):
+    return se.top(t.kept.select("query_id", "rank", "filename"), ["query_id", "filename"], [F.col("rank")], None, "nth").select("query_id", "rank", "filename", (F.col("nth") == 1).alias("first"))
+
+
+@query("select l_suppkey, l_partkey, rank() over (partition by l_suppkey order by l_quantity) + (count(*) over (partition by l_suppkey, l_quantity) - 1) / 2 as average_rank from {lineitem}")
+def w6_average_ranks(t: Tables):
+    from quarry.operators.statistics import average_ranks
+
+    return average_ranks(t.lineitem.select("l_suppkey", "l_partkey", "l_quantity"), "l_quantity", ["l_suppkey"], "average_rank").select("l_suppkey", "l_partkey", "average_rank")
