@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import stored
+from quarry.llm.common import discard, stored
 
 
 def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -58,12 +58,14 @@ def connected_components(links: DataFrame) -> DataFrame:
     edges = stored(edges.mapInArrow(_local_forest, "a long, b long").distinct(), "edges")
     both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     labels = both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("component")).withColumnRenamed("a", "node")
-    labels = stored(labels, "labels")
+    labels = last = stored(labels, "labels")
     while True:
         near = both.join(labels.select(F.col("node").alias("b"), F.col("component").alias("other")), "b").groupBy("a").agg(F.min("other").alias("low"))
         met = labels.join(near.withColumnRenamed("a", "node"), "node").select("node", "component", F.least("component", "low").alias("low"))
         hop = labels.select(F.col("node").alias("low"), F.col("component").alias("jump"))
         new = stored(met.join(hop, "low", "left").select("node", F.least("low", F.coalesce("jump", "low")).alias("component"), (F.least("low", F.coalesce("jump", "low")) < F.col("component")).alias("moved")), "labels")
-        labels = new.select("node", "component")
+        discard(last)
+        labels, last = new.select("node", "component"), new
         if not new.where("moved").limit(1).count():
+            discard(edges)
             return labels

@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarry.llm.common import BLOCK_BYTES, block_texts, blocks_of, dealt, give_back, mixed, opened, packed, range_count, range_of, release, slices, small_batches, stored, unpacked, word_hashes, word_ids
+from quarry.llm.common import BLOCK_BYTES, block_texts, blocks_of, dealt, discard, give_back, mixed, opened, packed, range_count, range_of, release, slices, small_batches, stored, unpacked, word_hashes, word_ids
 from quarry.llm.components import connected_components
 
 #: Text bytes for each range of shingles; classes in one side of a search; share of DivideSkip; size merged by a heap.
@@ -340,6 +340,7 @@ def grouped(docs: DataFrame, width: int = 3, pct: int = 90, range_bytes: int = R
     ranks = stored(ranks, "jaccard-ranks")
     release(spark, ranges)
     sent = stored(dealt(blocks, "block", ranges).groupBy("block").cogroup(dealt(ranks, "block", ranges).groupBy("block")).applyInPandas(_send_prefixes(width, ranges, pct), POSTING_ROWS), "jaccard-prefixes")
+    discard(ranks)
     release(spark, ranges)
     meta = sent.where("r < 0")
     edges = stored(dealt(sent.where("r >= 0"), "r", ranges).groupBy("r").applyInPandas(_chain(pct), EDGE_ROWS), "jaccard-edges")
@@ -355,6 +356,7 @@ def grouped(docs: DataFrame, width: int = 3, pct: int = 90, range_bytes: int = R
     met = met.select("node", "family", F.greatest("slice", "other").alias("i"), F.least("slice", "other").alias("j"), (F.col("slice") >= F.col("other")).alias("lhs"), (F.col("slice") <= F.col("other")).alias("rhs"))
     links = dealt(met.join(sets, "node"), ["family", "i", "j"], ranges).groupBy("family", "i", "j").applyInPandas(_search(pct), "a long, b long")
     comps = connected_components(links)
+    discard(blocks, sets, edges)
     release(spark, ranges)
 
     def rows_of(frames):
@@ -363,6 +365,7 @@ def grouped(docs: DataFrame, width: int = 3, pct: int = 90, range_bytes: int = R
                 yield pd.DataFrame({"doc_id": np.frombuffer(r.keys, np.int64), "text_md5": [r.docs[i : i + 16].hex() for i in range(0, len(r.docs), 16)], "n_shingles": np.frombuffer(r.sizes, np.int64), "node": np.frombuffer(r.nodes, np.uint64).view(np.int64)})
 
     rows = stored(meta.select("keys", "nodes", "sizes", "docs").mapInPandas(rows_of, "doc_id long, text_md5 string, n_shingles long, node long"), "jaccard-rows")
+    discard(sent)
     least = rows.where("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("least"))
     member = least.join(comps, "node", "left").select("node", "least", F.coalesce("component", "node").alias("group"))
     member = stored(member, "jaccard-members")

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quarry.llm import html, jaccard, mixing, neardup, packing, repeats, scoring, sharding, topk, toxicity
+from quarry.llm import html, jaccard, mixing, neardup, packing, repeats, scoring, sharding, sql, topk, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -58,4 +58,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op6_jaccard": sql.JACCARD, "op7_topk": sql.TOPK, "op8_neardup": sql.NEARDUP}

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import BLOCK_BYTES, blocks_of, byte_table, dealt, give_back, mixed, opened, packed, range_count, range_of, release, rolling, slices, sliding_min, small_batches, stored, unpacked
+from quarry.llm.common import BLOCK_BYTES, blocks_of, byte_table, dealt, discard, give_back, mixed, opened, packed, range_count, range_of, release, rolling, slices, sliding_min, small_batches, stored, unpacked
 
 #: Bytes of a repeated string; bytes of an anchor; text bytes for each range of anchors; symbols of a shard.
 WINDOW, ANCHOR, RANGE_BYTES, SHARD_SYMBOLS = 50, 25, 4 << 20, 1 << 19
@@ -238,7 +238,7 @@ def _send_anchors(ranges: int):
 
 
 ANCHOR_ROWS = "r long, block long, n long, keys binary, owners binary, nd long, marks binary, ids binary"
-STATUS_ROWS = "r long, block long, n long, status binary, nd long, least binary"
+STATUS_ROWS = "r long, block long, n long, status binary, nd long, least binary, leads binary"
 
 
 def _judge_anchors(hot: int):
@@ -259,15 +259,16 @@ def _judge_anchors(hot: int):
         status[order] = ((texts > 1).astype(np.uint8) + (texts >= hot))[gid] if len(k) else 0
         marks = np.concatenate([np.frombuffer(m, np.uint64).reshape(-1, 2) for m in f["marks"]])
         ids = np.concatenate([np.frombuffer(i, np.int64) for i in f["ids"]])
-        least = np.empty(len(ids), np.int64)
+        least, leads = np.empty(len(ids), np.int64), np.empty(len(ids), np.uint8)
         if len(ids):
             order = np.lexsort((ids, marks[:, 1], marks[:, 0]))
             m = marks[order]
             new = np.concatenate(([True], (m[1:] != m[:-1]).any(1)))
             least[order] = ids[order][np.flatnonzero(new)][np.cumsum(new) - 1]
+            leads[order] = new | np.concatenate(([True], ids[order][1:] != ids[order][:-1]))  # the first of equal rows
         a, b = np.concatenate(([0], np.cumsum(f["n"]))), np.concatenate(([0], np.cumsum(f["nd"])))
-        rows = [(q, blk, n, packed(status[a[i] : a[i + 1]]), nd, least[b[i] : b[i + 1]].tobytes()) for i, (q, blk, n, nd) in enumerate(zip(f["r"], f["block"], f["n"], f["nd"], strict=True))]
-        return pd.DataFrame(rows, columns=["r", "block", "n", "status", "nd", "least"])
+        rows = [(q, blk, n, packed(status[a[i] : a[i + 1]]), nd, least[b[i] : b[i + 1]].tobytes(), leads[b[i] : b[i + 1]].tobytes()) for i, (q, blk, n, nd) in enumerate(zip(f["r"], f["block"], f["n"], f["nd"], strict=True))]
+        return pd.DataFrame(rows, columns=["r", "block", "n", "status", "nd", "least", "leads"])
 
     return judge
 
@@ -288,8 +289,10 @@ def _send_runs(ranges: int):
         s, e, key, doc, _, _, pair = anchor_pairs(raw, off, marks)
         right = right.sort_values("r")
         status = np.concatenate([unpacked(x, np.uint8, n) for x, n in zip(right["status"], right["n"], strict=True)])
-        least = np.empty(len(ids), np.int64)
-        least[np.lexsort((marks[:, 1], marks[:, 0]))] = np.concatenate([np.frombuffer(x, np.int64) for x in right["least"]])
+        least, leads = np.empty(len(ids), np.int64), np.empty(len(ids), np.uint8)
+        by_mark = np.lexsort((marks[:, 1], marks[:, 0]))
+        least[by_mark] = np.concatenate([np.frombuffer(x, np.int64) for x in right["least"]])
+        leads[by_mark] = np.concatenate([np.frombuffer(x, np.uint8) for x in right["leads"]])
         first = least == ids
         st = status[pair] if len(pair) else np.zeros(0, np.uint8)
         use = (st == 1) & first[doc]
@@ -317,8 +320,9 @@ def _send_runs(ranges: int):
             if a < b:
                 data = pulled(raw, us[at[a:b]], lens[a:b])
                 rows.append((q, r["block"], b - a, len(data), packed(uk[a:b]), packed(name[at[a:b]]), packed(lens[a:b]), packed(d[at[a:b]]), packed(often[a:b]), packed(data)))
-        # For the block itself: where its runs stand (keys), which string each is (names), which texts are first (often).
-        rows.append((-1, r["block"], len(order), len(ids), packed(us[order].astype(np.int32)), packed(which.astype(np.int32)), b"", b"", first.astype(np.uint8).tobytes(), b""))
+        # For the block itself: where its runs stand (keys), which string each is (names), which texts are first of
+        # their kind and which rows first of equal ones (often).
+        rows.append((-1, r["block"], len(order), len(ids), packed(us[order].astype(np.int32)), packed(which.astype(np.int32)), b"", b"", (first + 2 * leads).astype(np.uint8).tobytes(), b""))
         return pd.DataFrame(rows, columns=cols)
 
     return send
@@ -389,7 +393,8 @@ def _cut(with_text: bool):
         own = right.iloc[0]
         n = int(own["n"])
         us, which = unpacked(own["names"], np.int32, n).astype(np.int64), unpacked(own["docs"], np.int32, n).astype(np.int64)
-        first = np.frombuffer(own["lens"], np.uint8).astype(bool)
+        flags = np.frombuffer(own["lens"], np.uint8)
+        first, leads = (flags & 1).astype(bool), flags & 2
         parts = right.iloc[1:]
         base = np.concatenate(([0], np.cumsum(parts["n"].to_numpy(np.int64))))
         load = lambda col, kind: np.concatenate([np.zeros(0, kind), *[unpacked(x, kind, m) for x, m in zip(parts[col], parts["m"], strict=True)]])
@@ -418,7 +423,7 @@ def _cut(with_text: bool):
         removed = np.concatenate(([0], np.cumsum(cov)))
         spans = np.concatenate(([0], np.cumsum(rise)))
         view, out = memoryview(text), []
-        for i in range(len(ids)):
+        for i in range(len(ids)) if not with_text else np.flatnonzero(leads).tolist():
             x, y = int(off[i]), int(off[i + 1])
             gone_n = int(removed[y] - removed[x])
             kept = bytes(view[x:y]) if not gone_n else (b"" if gone_n == y - x else raw[x:y][~cov[x:y]].tobytes())
@@ -433,7 +438,7 @@ def repeats(docs: DataFrame, with_text: bool = False, range_bytes: int = RANGE_B
 
     A byte goes if it lies in a 50-byte string that also starts in a row with a smaller doc_id; strings overlap, lie
     within one text and are judged on the input. with_text adds text_md5 (of the input) and kept, the
-    bytes that stay without those of characters that were cut through.
+    bytes that stay without those of characters that were cut through, and gives equal rows once.
     Null texts are empty. Texts under 50 bytes keep everything. Rows with the same doc_id take nothing from each other; a
     null doc_id comes before all others and is null in the result. Empty tables give no rows.
     """
@@ -444,10 +449,13 @@ def repeats(docs: DataFrame, with_text: bool = False, range_bytes: int = RANGE_B
     status = stored(dealt(blocks.mapInPandas(_send_anchors(ranges), ANCHOR_ROWS), "r", ranges).groupBy("r").applyInPandas(_judge_anchors(hot), STATUS_ROWS), "repeat-status")
     release(spark, ranges)
     runs = stored(dealt(blocks, "block", ranges).groupBy("block").cogroup(dealt(status, "block", ranges).groupBy("block")).applyInPandas(_send_runs(ranges), RUN_ROWS), "repeat-runs")
+    discard(status)
     release(spark, ranges)
     pieces = stored(dealt(runs.where("r >= 0"), "r", ranges).groupBy("r").applyInPandas(_judge_runs, PIECE_ROWS), "repeat-pieces")
-    release(spark, ranges)
     own = runs.where("r < 0").select("r", "block", "n", F.col("nb").alias("m"), F.col("keys").alias("names"), F.lit(b"").alias("starts"), F.col("often").alias("lens"), F.col("names").alias("docs"))
+    own = stored(own, "repeat-places")
+    discard(runs)
+    release(spark, ranges)
     out = dealt(blocks, "block", ranges).groupBy("block").cogroup(dealt(own.unionByName(pieces), "block", ranges).groupBy("block")).applyInPandas(_cut(with_text), KEPT_ROWS)
     out = out.withColumn("doc_id", F.when(F.col("doc_id") != EMPTY_ID, F.col("doc_id")))
     return out if with_text else out.drop("text_md5", "kept")
@@ -455,8 +463,7 @@ def repeats(docs: DataFrame, with_text: bool = False, range_bytes: int = RANGE_B
 
 def without_repeats(docs: DataFrame, **options) -> DataFrame:
     """docs with the repeated bytes cut from text (null becomes empty), and n_chars, if there is one, counted again."""
-    cut = repeats(docs, with_text=True, **options).groupBy("doc_id", "text_md5").agg(F.first("kept").alias("kept"))
-    cut = cut.select(F.struct("doc_id", "text_md5").alias("k"), "kept")
+    cut = repeats(docs, with_text=True, **options).select(F.struct("doc_id", "text_md5").alias("k"), "kept")
     key = F.struct(F.col("doc_id").cast("long").alias("doc_id"), F.md5(F.coalesce(F.col("text"), F.lit("")).cast("binary")).alias("text_md5"))
     names = docs.columns
     left = docs.select(key.alias("k"), F.struct(*[F.col(f"`{c}`") for c in names if c != "text"]).alias("row"))
