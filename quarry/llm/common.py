@@ -20,7 +20,7 @@ WORD_PATTERN = "[^\\x20\\x09-\\x0D]+"
 #: Raw text bytes in one block; a longer document makes a block of its own.
 BLOCK_BYTES = 2 << 20
 #: Key ranges of a small corpus; ranges or blocks that a task takes, on average, whatever the session's partitions.
-LEAST_RANGES, RANGES_EACH = 24, 4
+LEAST_RANGES, RANGES_EACH = 24, 8
 BLOCK_SCHEMA = "block long, bytes long, doc_ids binary, offsets binary, payload binary"
 MIX = np.uint64(0xD6E8FEB86659FD93)
 
@@ -69,7 +69,7 @@ def range_count(blocks: DataFrame, range_bytes: int) -> int:
 
 def dealt(df: DataFrame, key: str | list[str], ranges: int) -> DataFrame:
     """df by key in as many partitions as the corpus needs, so that tasks stay as large as they are at any size."""
-    return df.repartition(max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-ranges // RANGES_EACH)), *([key] if isinstance(key, str) else key))
+    return df.repartition(max(df.sparkSession.sparkContext.defaultParallelism, -(-ranges // RANGES_EACH)), *([key] if isinstance(key, str) else key))
 
 
 def give_back() -> None:

@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.llm.common import stored
@@ -23,7 +23,7 @@ def finite_vectors(df: DataFrame, vec: str = "embedding") -> DataFrame:
     return df.where(F.col(vec).isNotNull()).where(F.size(vec) > 0).where(~bad).withColumn(vec, v)
 
 
-def unit_sample(points: np.ndarray, k: int, rounds: int = 8, seed: int = 5) -> np.ndarray:
+def fitted_pivots(points: np.ndarray, k: int, rounds: int = 8, seed: int = 5) -> np.ndarray:
     """Centres of k-means over points."""
     rng = np.random.default_rng(seed)
     points = np.unique(points, axis=0)
@@ -78,7 +78,7 @@ def top_k(vectors: DataFrame, every: int = 100, k: int = 10, scale: int = 1024)
     pivots_wanted = int(min(MAX_PIVOTS, max(4, n**0.5 / 4)))
     sample = ints.orderBy(F.xxhash64("vec_id"), "vec_id").limit(FIT_ROWS).toPandas()
     flat = stacked(sample["v"], dim)
-    pivots = unit_sample(np.hstack((flat, np.sqrt(np.maximum(0, m2 - (flat**2).sum(1)))[:, None])), pivots_wanted)
+    pivots = fitted_pivots(np.hstack((flat, np.sqrt(np.maximum(0, m2 - (flat**2).sum(1)))[:, None])), pivots_wanted)
     slack = 1e-6 * (1 + m2**0.5)
 
     def keyed(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -110,7 +110,7 @@ def top_k(vectors: DataFrame, every: int = 100, k: int = 10, scale: int = 1024)
         parts = max(1, -(-n // every // QUERY_ROWS))
         part = F.pmod(F.xxhash64("vec_id"), F.lit(parts)).cast("int")
         block = F.col("home") if by_home else F.lit(-1)
-        return queries.withColumn("home", block.cast("int")).groupBy("home", part.alias("part")).applyInPandas(lambda f: pack_queries(f), "home int, qids binary, kth binary, qs binary")
+        return queries.withColumn("home", block.cast("int")).groupBy("home", part.alias("part")).applyInPandas(pack_queries, "home int, qids binary, kth binary, qs binary")
 
     def search(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
@@ -151,8 +151,6 @@ def top_k(vectors: DataFrame, every: int = 100, k: int = 10, scale: int = 1024)
                     got_s.append(have_sc)
                 yield pd.DataFrame({"query_id": np.concatenate(got_q), "vec_id": np.concatenate(got_v), "score": np.concatenate(got_s)})
 
-    from pyspark.sql import Window
-
     near = in_blocks(asked, True).join(slabs, F.col("home") == F.col("pivot")).mapInPandas(search, HITS)
     by_query = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     kth = near.withColumn("r", F.row_number().over(by_query)).where(F.col("r") == k).select(F.col("query_id").alias("vec_id"), F.col("score").alias("s"))
