@@ -31,8 +31,7 @@ def index_tokens(text: Column | str, stop: list[str] | None = STOP) -> Column:
     found = tokens(text)
     if not stop:
         return found
-    words = F.array(*[F.lit(w) for w in stop])
-    return F.filter(found, lambda t: ~F.array_contains(words, t))
+    return F.filter(found, lambda t: ~t.isin(*stop))
 
 
 def collapse(text: Column | str) -> Column:

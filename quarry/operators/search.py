@@ -20,7 +20,8 @@ def postings(chunks: DataFrame, key: str = "id", text: str = "text", stop=...) -
     rows = chunks.select(F.col(key), toks.alias("tokens"))
     tf = rows.select(key, F.size("tokens").alias("dl"), F.explode("tokens").alias("term")).groupBy(key, "term", "dl").agg(F.count("*").alias("tf"))
     df = tf.groupBy("term").agg(F.count("*").alias("df"))
-    stats = rows.agg(F.count("*").alias("n"), F.avg(F.size("tokens")).alias("avgdl"))
+    # Lengths add up to the term frequencies, whose exchange is used again; the texts are cut into tokens once.
+    stats = chunks.agg(F.count("*").alias("n")).crossJoin(tf.agg(F.sum("tf").alias("all"))).select("n", (F.coalesce("all", F.lit(0)) / F.nullif("n", F.lit(0))).alias("avgdl"))
     return tf, df, stats
 
 
