@@ -2,12 +2,14 @@
 
 A page is read as tokens: tags with their path, and text nodes with their path. For every host, tokens that occur equally
 often on the same pages share an occurrence vector and form an equivalence class. Classes that hold on most pages of the
-host and nest properly make the host's template; text nodes of the template are furniture, whatever tags hold them. What
-lies between the template's tokens are slots. The slots of the main part of the page, without menus, headers, footers,
-sidebars, notices, adverts, forms and reader comments, are given as blocks of text.
+host and have tags, or stand on just the pages of tags, make the host's template. The tags of a class in the order of one
+page are its frame; a text of the class is furniture where it stands between the same two tags of the frame, whatever tags
+hold it (paths are part of the tokens, so that these nest alike). All other text lies in the slots between the template's
+tokens. The slots of the main part of the page, without menus, headers, footers, sidebars, notices, adverts, forms and
+reader comments, are given as blocks of text.
 
 An occurrence vector is kept as a sum over pages of the count times a hash of the page: equal vectors have equal sums,
-and sums add up over tasks, so that no task has to hold the pages of a host.
+and sums add up over tasks, so that no task has to hold the pages of a host. So are the pages of a token, without counts.
 """
 
 from __future__ import annotations
@@ -17,6 +19,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame
@@ -24,8 +27,8 @@ from pyspark.sql import functions as F
 
 from quarry.llm.common import small_batches, stored
 
-#: A template needs so many pages of a host, and its tokens this share of them; text nodes within the article need more.
-MIN_PAGES, SUPPORT, ARTICLE_PAGES, ARTICLE_SUPPORT = 4, 0.5, 8, 0.8
+#: A template needs so many different pages of a host, and its tokens this share of them.
+MIN_PAGES, SUPPORT = 4, 0.5
 #: Copies of a host's template, so that a host with a large share of the pages is met in many tasks.
 SALTS = 32
 MASK = (1 << 62) - 1
@@ -172,15 +175,50 @@ def parsed(page: str) -> tuple[list[Node], list[int]]:
     return nodes, tokens
 
 
-def main_nodes(nodes: list[Node], furniture: dict[int, float], pages: int) -> list[Node]:
+class Template:
+    """A host's frames (tags in order) and the places of its texts in them, from rows (token, frame, place, is_text)."""
+
+    def __init__(self, rows: np.ndarray):
+        self.tags: dict[int, list[tuple[int, int]]] = {}
+        self.texts: dict[int, tuple[int, int]] = {}
+        self.length: Counter[int] = Counter()
+        for token, frame, place, is_text in rows.tolist():
+            if is_text:
+                self.texts[token] = (frame, place)
+            else:
+                self.tags.setdefault(token, []).append((frame, place))
+                self.length[frame] += 1
+
+    def standing(self, nodes: list[Node], tokens: list[int]) -> set[int]:
+        """Positions in nodes of the texts that stand at their places: after the tag before and ahead of the tag behind."""
+        found, last = set(), {}
+        waiting: dict[int, list[tuple[int, int]]] = {}
+        texts = iter([(i, n.token) for i, n in enumerate(nodes) if n.token])
+        i, text = next(texts, (0, 0))
+        for token in tokens:
+            if token == text:
+                frame, place = self.texts.get(token, (-1, 0))
+                # Frames repeat on a page as often as their class: the first tag may follow the last.
+                if frame >= 0 and last.get(frame, self.length[frame] - 1 if place == 0 else -1) == (place - 1) % self.length[frame]:
+                    waiting.setdefault(frame, []).append((i, place % self.length[frame]))
+                i, text = next(texts, (0, 0))
+            for frame, place in self.tags.get(token, ()):
+                found.update(k for k, behind in waiting.pop(frame, ()) if behind == place)
+                last[frame] = place
+        found.update(k for ks in waiting.values() for k, behind in ks if behind == 0)
+        return found
+
+
+def main_nodes(nodes: list[Node], known: Template | None, tokens: list[int]) -> list[Node]:
     """The text nodes of the main part: the articles if there are any, else all that is not furniture."""
+    standing = known.standing(nodes, tokens) if known else set()
+    known_nodes = {id(nodes[i]) for i in standing}
     live = [n for n in nodes if not n.dropped]
     inside = [n for n in live if n.article]
     # An article that holds a small part of what is not furniture is a teaser among others, not the main part.
     size = lambda ns: sum(len(n.text) for n in ns)
     use = inside if inside and size(inside) * 4 >= size([n for n in live if not n.linked]) else live
-    share = lambda n: furniture.get(n.token, 0.0) if n.token else 0.0
-    return [n for n in use if share(n) < (ARTICLE_SUPPORT if n.article and pages >= ARTICLE_PAGES else 2.0 if n.article else SUPPORT)]
+    return [n for n in use if n.article or id(n) not in known_nodes]
 
 
 def blocks_text(nodes: list[Node]) -> str:
@@ -197,38 +235,63 @@ def blocks_text(nodes: list[Node]) -> str:
     return "\n\n".join(b for b in (SPACE.sub(" ", x).strip() for x in out) if b)
 
 
+TOKEN_ROWS = "host string, token long, is_text boolean, pages long, vector long, held long, first_page long, first_at long"
+
+
 def _tokens(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """host, token, text?, pages, vector, count: sums over the pages of a batch."""
+    """TOKEN_ROWS: sums over the pages of a batch (held: of the pages without counts), and the place on the least page."""
     for f in frames:
         sums: dict[tuple[str, int], list[int]] = {}
         texts: set[int] = set()
-        for host, page_id, page in zip(f["host"], f["page_hash"], f["html"], strict=True):
+        for host, page_hash, page in zip(f["host"], f["page_hash"], f["html"], strict=True):
             nodes, tokens = parsed(page or "")
             texts.update(n.token for n in nodes if n.token)
+            mine, at = int(page_hash) & MASK, {t: i for i, t in zip(range(len(tokens) - 1, -1, -1), reversed(tokens), strict=True)}
             for token, count in Counter(tokens).items():
-                s = sums.setdefault((host, token), [0, 0, 0])
+                s = sums.setdefault((host, token), [0, 0, 0, mine, at[token]])
                 s[0] += 1
-                s[1] = (s[1] + count * (int(page_id) & MASK)) & MASK
-                s[2] += count
+                s[1] = (s[1] + count * mine) & MASK
+                s[2] = (s[2] + mine) & MASK
+                if mine < s[3]:
+                    s[3], s[4] = mine, at[token]
         keys = list(sums)
-        yield pd.DataFrame({"host": [k[0] for k in keys], "token": [k[1] for k in keys], "is_text": [k[1] in texts for k in keys], "pages": [sums[k][0] for k in keys], "vector": [sums[k][1] for k in keys], "times": [sums[k][2] for k in keys]})
+        names = ["pages", "vector", "held", "first_page", "first_at"]
+        yield pd.DataFrame({"host": [k[0] for k in keys], "token": [k[1] for k in keys], "is_text": [k[1] in texts for k in keys], **{c: [sums[k][i] for k in keys] for i, c in enumerate(names)}})
+
+
+def _template(f: pd.DataFrame) -> pd.DataFrame:
+    """The Template rows of one host: texts whose class has tags, or whose pages are those of tags, with these as frames."""
+    f = f.sort_values(["at", "token"])
+    frames: dict[tuple[str, int], list[tuple[int, int]]] = {}
+    tags = f[~f["is_text"]]
+    for token, vector, held, at in zip(tags["token"], tags["vector"], tags["held"], tags["at"], strict=True):
+        # Tags of the class; those that stand once on each of their pages; all that have these pages.
+        for key in (("class", vector), *((("once", held),) if vector == held else ()), ("pages", held)):
+            frames.setdefault(key, []).append((at, token))
+    rows, used = [], {}
+    texts = f[f["is_text"]]
+    for token, vector, held, at in zip(texts["token"], texts["vector"], texts["held"], texts["at"], strict=True):
+        key = next((k for k in (("class", vector), ("once", held), ("pages", held)) if k in frames), None)
+        if key is not None:
+            rows.append((token, used.setdefault(key, len(used)), sum(x < at for x, _ in frames[key]), 1))
+    rows += [(token, number, place, 0) for key, number in used.items() for place, (_, token) in enumerate(frames[key])]
+    return pd.DataFrame({"host": [f["host"].iloc[0]], "known": [np.array(rows, np.int64).reshape(-1, 4).tobytes()]})
 
 
 def templates(pages: DataFrame) -> DataFrame:
-    """host, pages, tokens, shares: the text nodes of each host's template with the share of pages that have them.
+    """host, known: the Template rows of each host.
 
-    pages(host, page_hash, html). A class is valid if it holds on at least SUPPORT of a host's pages and occurs at least
-    as often as pages; it nests in the template if one of its tokens is a tag, or if its pages are those of a class that
-    has one: text that comes and goes by itself is content.
+    pages(host, page_hash, html). Tokens of the template hold on at least SUPPORT of a host's pages. A text without tags
+    in its class and on its pages is content, as it comes and goes by itself.
     """
     size = pages.groupBy("host").agg(F.count("*").alias("n_pages"))
-    seen = pages.mapInPandas(_tokens, "host string, token long, is_text boolean, pages long, vector long, times long")
-    wrap = lambda c: F.sum(F.col(c).cast("decimal(38,0)"))
-    seen = seen.groupBy("host", "token").agg(F.bool_or("is_text").alias("is_text"), F.sum("pages").alias("pages"), (wrap("vector") % F.lit(MASK + 1)).cast("long").alias("vector"), F.sum("times").alias("times"))
-    common = stored(seen.join(size, "host").where((F.col("n_pages") >= MIN_PAGES) & (F.col("pages") >= SUPPORT * F.col("n_pages"))), "html-tokens")
-    classes = common.groupBy("host", "vector").agg(F.bool_or(~F.col("is_text")).alias("has_tag"), F.max(F.col("pages") / F.col("n_pages")).alias("share"))
-    texts = common.where("is_text").join(classes, ["host", "vector"]).where(F.col("has_tag") | (F.col("share") >= SUPPORT))
-    return texts.groupBy("host").agg(F.max("n_pages").alias("n_pages"), F.collect_list(F.struct("token", (F.col("pages") / F.col("n_pages")).alias("share"))).alias("known"))
+    seen = pages.mapInPandas(_tokens, TOKEN_ROWS)
+    wrap = lambda c: (F.sum(F.col(c).cast("decimal(38,0)")) % F.lit(MASK + 1)).cast("long").alias(c)
+    # Tokens of one class, and all with the same pages, have their places on one page: the least.
+    seen = seen.groupBy("host", "token").agg(F.bool_or("is_text").alias("is_text"), F.sum("pages").alias("pages"), wrap("vector"), wrap("held"), F.min(F.struct("first_page", "first_at")).alias("first"))
+    often = seen.where(F.col("pages") >= SUPPORT * MIN_PAGES)  # rarer tokens cannot hold on the share of any host's pages
+    common = often.join(size, "host").where((F.col("n_pages") >= MIN_PAGES) & (F.col("pages") >= SUPPORT * F.col("n_pages")))
+    return common.select("host", "token", "is_text", "vector", "held", F.col("first.first_at").alias("at")).groupBy("host").applyInPandas(_template, "host string, known binary")
 
 
 def main_text(pages: DataFrame) -> DataFrame:
@@ -241,20 +304,24 @@ def main_text(pages: DataFrame) -> DataFrame:
     """
     small_batches(pages.sparkSession)
     host = F.coalesce(F.lower(F.regexp_extract("url", r"^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)", 1)), F.lit(""))
-    rows = pages.select(F.col("page_id"), F.col("url"), F.col("html"), host.alias("host"), F.xxhash64("page_id", "url").alias("page_hash"))
-    known = stored(templates(rows.select("host", "page_hash", "html")), "html-templates")
+    rows = pages.select(F.col("page_id"), F.col("url"), F.col("html"), host.alias("host"), F.xxhash64("page_id", "url").alias("row_hash"))
+    known = stored(templates(rows.select("host", F.col("row_hash").alias("page_hash"), "html")), "html-templates")
     salted = known.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))).withColumnRenamed("host", "known_host")
-    dealt = rows.withColumn("salt", F.pmod("page_hash", F.lit(SALTS)).cast("int"))
+    dealt = rows.withColumn("salt", F.pmod("row_hash", F.lit(SALTS)).cast("int"))
     met = dealt.join(salted.withColumnRenamed("salt", "known_salt"), (F.col("host") == F.col("known_host")) & (F.col("salt") == F.col("known_salt")), "left")
 
     def extract(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        read: dict[bytes, Template] = {}
         for f in frames:
+            if len(read) > 256:
+                read.clear()
             out = []
-            for page, known_tokens, n in zip(f["html"], f["known"], f["n_pages"], strict=True):
-                furniture = {int(k["token"]): k["share"] for k in known_tokens} if known_tokens is not None else {}
-                nodes, _ = parsed(page or "")
-                out.append(blocks_text(main_nodes(nodes, furniture, 0 if n != n else int(n))))
+            for page, known in zip(f["html"], f["known"], strict=True):
+                if known and known not in read:
+                    read[known] = Template(np.frombuffer(known, np.int64).reshape(-1, 4))
+                nodes, tokens = parsed(page or "")
+                out.append(blocks_text(main_nodes(nodes, read.get(known), tokens)))
             yield pd.DataFrame({"page_id": f["page_id"], "url": f["url"], "text": out, "n_chars": [len(t) for t in out]})
 
     kind = dict(pages.dtypes)["page_id"]
-    return met.select("page_id", "url", "html", "known", F.col("n_pages").cast("double").alias("n_pages")).mapInPandas(extract, f"page_id {kind}, url string, text string, n_chars long")
+    return met.select("page_id", "url", "html", "known").mapInPandas(extract, f"page_id {kind}, url string, text string, n_chars long")

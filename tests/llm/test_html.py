@@ -30,3 +30,17 @@ def test_template_of_a_host(spark):
     want = [(i, f"http://h.example/{i}", f"Story {i} about thing {i * 7}") for i in [0, *range(12)]] + [(50, "http://other.example/1", "Welcome to our site"), (52, "no url", "")]
     assert got == sorted((*w, len(w[2])) for w in want)
     assert hx.main_text(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+
+
+def texts_of(spark, pages):
+    rows = [(i, f"http://h.example/{i}", p) for i, p in enumerate(pages)]
+    return {r.page_id: r.text for r in hx.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+
+
+def test_classes_decide(spark):
+    """Text that comes and goes by itself is content; with tags of its own, at its place among them, it is furniture."""
+    page = lambda i: "<body><div>Top line</div>" + f"<div>Story {i}</div>" + ("<div>Rain again</div>" if i % 10 < 7 else "") + ("<section>Offer</section>" if i % 10 > 2 else "") + "</body>"
+    got = texts_of(spark, [page(i) for i in range(20)])
+    assert got == {i: f"Story {i}" + ("\n\nRain again" if i % 10 < 7 else "") for i in range(20)}
+    got = texts_of(spark, [f"<body><h2>A</h2>Wares<h3>B</h3><p>Story {i}</p></body>" for i in range(9)] + ["<body><h2>A</h2><h3>B</h3>Wares<p>Story 9</p></body>"])
+    assert got == {i: f"Story {i}" for i in range(9)} | {9: "Wares\n\nStory 9"}
