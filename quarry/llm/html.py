@@ -284,8 +284,8 @@ def templates(pages: DataFrame) -> DataFrame:
     pages(host, page_hash, html). Tokens of the template hold on at least SUPPORT of a host's pages. A text without tags
     in its class and on its pages is content, as it comes and goes by itself.
     """
-    size = pages.groupBy("host").agg(F.count("*").alias("n_pages"))
-    seen = pages.mapInPandas(_tokens, TOKEN_ROWS)
+    size = pages.select("host", "page_hash").distinct().groupBy("host").agg(F.count("*").alias("n_pages"))
+    seen = pages.dropDuplicates(["host", "page_hash"]).mapInPandas(_tokens, TOKEN_ROWS)
     wrap = lambda c: (F.sum(F.col(c).cast("decimal(38,0)")) % F.lit(MASK + 1)).cast("long").alias(c)
     # Tokens of one class, and all with the same pages, have their places on one page: the least.
     seen = seen.groupBy("host", "token").agg(F.bool_or("is_text").alias("is_text"), F.sum("pages").alias("pages"), wrap("vector"), wrap("held"), F.min(F.struct("first_page", "first_at")).alias("first"))
@@ -305,7 +305,8 @@ def main_text(pages: DataFrame) -> DataFrame:
     small_batches(pages.sparkSession)
     host = F.coalesce(F.lower(F.regexp_extract("url", r"^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)", 1)), F.lit(""))
     rows = pages.select(F.col("page_id"), F.col("url"), F.col("html"), host.alias("host"), F.xxhash64("page_id", "url").alias("row_hash"))
-    known = stored(templates(rows.select("host", F.col("row_hash").alias("page_hash"), "html")), "html-templates")
+    # Copies of a page support its tokens once.
+    known = stored(templates(rows.select("host", F.xxhash64(F.coalesce("html", F.lit(""))).alias("page_hash"), "html")), "html-templates")
     salted = known.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))).withColumnRenamed("host", "known_host")
     dealt = rows.withColumn("salt", F.pmod("row_hash", F.lit(SALTS)).cast("int"))
     met = dealt.join(salted.withColumnRenamed("salt", "known_salt"), (F.col("host") == F.col("known_host")) & (F.col("salt") == F.col("known_salt")), "left")

@@ -44,3 +44,13 @@ def test_classes_decide(spark):
     assert got == {i: f"Story {i}" + ("\n\nRain again" if i % 10 < 7 else "") for i in range(20)}
     got = texts_of(spark, [f"<body><h2>A</h2>Wares<h3>B</h3><p>Story {i}</p></body>" for i in range(9)] + ["<body><h2>A</h2><h3>B</h3>Wares<p>Story 9</p></body>"])
     assert got == {i: f"Story {i}" for i in range(9)} | {9: "Wares\n\nStory 9"}
+
+
+def test_copies_of_one_story(spark):
+    story = "<body><div>Our site</div><{0}><p>The one story</p></{0}></body>"
+    assert set(texts_of(spark, [story.format("article")] * 8 + [f"<body><div>Our site</div><article><p>Other {i}</p></article></body>" for i in range(2)]).values()) == {"The one story", "Other 0", "Other 1"}
+    other = [f"<body><div>Our site</div><section><p>Other {i}</p></section></body>" for i in range(4)]
+    got = texts_of(spark, [story.format("section")] * 12 + other)
+    assert got == {i: "The one story" for i in range(12)} | {12 + i: f"Other {i}" for i in range(4)}
+    shared = [f"<body><article><p>Said by all</p><p>Other {i}</p></article></body>" for i in range(10)]
+    assert texts_of(spark, shared) == {i: f"Said by all\n\nOther {i}" for i in range(10)}
