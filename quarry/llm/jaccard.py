@@ -6,7 +6,7 @@ of their first few shingles and have few others before it (prefix and position f
 these prefixes and chain what can belong together, one edge for each member, never all pairs. The connected families are
 small; each is searched by itself, in slices if it is large: a class asks the inverted lists of its family, the short
 lists are merged, the long ones are only probed for classes that can still reach the overlap, and those that reach it
-are links.
+are links. For groups alone what is connected already is not looked for again; for link counts every partner is.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.llm.common import BLOCK_BYTES, block_texts, blocks_of, dealt, discard, give_back, mixed, opened, packed, range_count, range_of, release, slices, small_batches, stored, unpacked, word_hashes, word_ids
-from quarry.llm.components import connected_components
+from quarry.llm.components import connected_components, forest
 
 #: Text bytes for each range of shingles; classes in one side of a search; share of DivideSkip; size merged by a heap.
 RANGE_BYTES, SLICE, SKIP_SHARE, HEAP_SIZE = 4 << 20, 1024, 0.1, 512
@@ -311,6 +311,40 @@ def family_links(left: list[np.ndarray], right: list[np.ndarray], lnode: np.ndar
     return out
 
 
+def counted_links(left: list[np.ndarray], right: list[np.ndarray], lnode: np.ndarray, rnode: np.ndarray, lcopies: np.ndarray, rcopies: np.ndarray, pct: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """All links between sets of two slices: a forest of them (both ends), and for each set of a side the copies of its partners."""
+    lists = Lists(right)
+    a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    lcount, rcount = np.zeros(len(left), np.int64), np.zeros(len(right), np.int64)
+    for k, q in enumerate(left):
+        at = lists.reaching(q, least_overlap(np.full(len(right), len(q)), lists.size, pct))
+        at = at[rnode[at] != lnode[k]]
+        lcount[k] = rcopies[at].sum()
+        rcount[at] += lcopies[k]
+        a.append(np.full(len(at), lnode[k]))
+        b.append(rnode[at])
+    return *forest(np.concatenate(a), np.concatenate(b)), lcount, rcount
+
+
+def _count(pct: int):
+    """Rows (a, b, null) of a forest of the links, and (a, null, rows that the class a links with in the other slice)."""
+
+    def count(f: pd.DataFrame) -> pd.DataFrame:
+        f = f.sort_values("node")
+        left, right = f[f["lhs"]], f[f["rhs"]]
+        cols = ["a", "b", "n"]
+        if not len(left) or not len(right):
+            return pd.DataFrame([], columns=cols)
+        lnode, rnode = left["node"].to_numpy(), right["node"].to_numpy()
+        a, b, lcount, rcount = counted_links([from_six(x) for x in left["items"]], [from_six(x) for x in right["items"]], lnode, rnode, left["copies"].to_numpy(), right["copies"].to_numpy(), pct)
+        # A slice that meets itself has asked for all its classes.
+        nodes, counts = (lnode, lcount) if f["i"].iloc[0] == f["j"].iloc[0] else (np.concatenate((lnode, rnode)), np.concatenate((lcount, rcount)))
+        links = pd.DataFrame({"a": a, "b": b, "n": None}, dtype="Int64")
+        return pd.concat((links, pd.DataFrame({"a": nodes, "b": None, "n": counts}, dtype="Int64")))[cols]
+
+    return count
+
+
 def _search(pct: int):
     def search(f: pd.DataFrame) -> pd.DataFrame:
         f = f.sort_values("node")
@@ -323,10 +357,10 @@ def _search(pct: int):
     return search
 
 
-def grouped(docs: DataFrame, width: int = 3, pct: int = 90, range_bytes: int = RANGE_BYTES, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """doc_id, text_md5, n_shingles, group, component_id for every row of docs(doc_id, text).
+def grouped(docs: DataFrame, width: int = 3, pct: int = 90, range_bytes: int = RANGE_BYTES, block_bytes: int = BLOCK_BYTES, count: bool = False) -> DataFrame:
+    """doc_id, text_md5, n_shingles, group, component_id (and n_links if count) for every row of docs(doc_id, text).
 
-    group: the component's own number, 0 without words. A text's set is its distinct shingles of `width` words after lower-casing A-Z; with fewer words the whole sequence is
+    group: the component's own number, 0 without words. n_links: the other rows that the row links with, copies included. A text's set is its distinct shingles of `width` words after lower-casing A-Z; with fewer words the whole sequence is
     the one shingle. Rows link when 100 * intersection >= pct * union; component_id is the smallest doc_id that links
     reach. Texts without words, and null texts, have an empty set and link with nothing: component_id = doc_id. Rows with
     equal sets are linked. A null doc_id is a row like others, comes before all ids, and is given as null. Sets are told
@@ -354,10 +388,6 @@ def grouped(docs: DataFrame, width: int = 3, pct: int = 90, range_bytes: int = R
     cut = families.join(sizes, "family").withColumn("slice", F.pmod(F.xxhash64("node"), F.col("slices")).cast("int"))
     met = cut.select("node", "family", "slice", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("other"))
     met = met.select("node", "family", F.greatest("slice", "other").alias("i"), F.least("slice", "other").alias("j"), (F.col("slice") >= F.col("other")).alias("lhs"), (F.col("slice") <= F.col("other")).alias("rhs"))
-    links = dealt(met.join(sets, "node"), ["family", "i", "j"], ranges).groupBy("family", "i", "j").applyInPandas(_search(pct), "a long, b long")
-    comps = connected_components(links)
-    discard(blocks, sets, edges)
-    release(spark, ranges)
 
     def rows_of(frames):
         for f in frames:
@@ -366,13 +396,29 @@ def grouped(docs: DataFrame, width: int = 3, pct: int = 90, range_bytes: int = R
 
     rows = stored(meta.select("keys", "nodes", "sizes", "docs").mapInPandas(rows_of, "doc_id long, text_md5 string, n_shingles long, node long"), "jaccard-rows")
     discard(sent)
+    copies = rows.where("n_shingles > 0").groupBy("node").agg(F.count("*").alias("copies"))
+    asked = met.join(sets, "node")
+    if count:
+        found = stored(dealt(asked.join(copies, "node"), ["family", "i", "j"], ranges).groupBy("family", "i", "j").applyInPandas(_count(pct), "a long, b long, n long"), "jaccard-links")
+        links = found.where("b is not null").select("a", "b")
+    else:
+        links = dealt(asked, ["family", "i", "j"], ranges).groupBy("family", "i", "j").applyInPandas(_search(pct), "a long, b long")
+    comps = connected_components(links)
+    discard(blocks, sets, edges)
+    release(spark, ranges)
     least = rows.where("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("least"))
     member = least.join(comps, "node", "left").select("node", "least", F.coalesce("component", "node").alias("group"))
     member = stored(member, "jaccard-members")
     smallest = member.groupBy("group").agg(F.min("least").alias("component_id"))
     named = stored(member.join(smallest, "group").select("node", "group", "component_id"), "jaccard-named")
+    more = []
+    if count:
+        others = found.where("b is null").groupBy(F.col("a").alias("node")).agg(F.sum("n").alias("others"))
+        totals = copies.join(others, "node", "left").select("node", (F.col("copies") - 1 + F.coalesce("others", F.lit(0))).alias("total"))
+        named = named.join(totals, "node")
+        more = [F.coalesce(F.when(F.col("n_shingles") > 0, F.col("total")), F.lit(0)).alias("n_links")]
     has = F.col("n_shingles") > 0
-    out = rows.join(named, "node", "left").select("doc_id", "text_md5", "n_shingles", F.coalesce(F.when(has, F.col("group")), F.lit(0)).alias("group"), F.coalesce(F.when(has, F.col("component_id")), F.col("doc_id")).alias("component_id"))
+    out = rows.join(named, "node", "left").select("doc_id", "text_md5", "n_shingles", *more, F.coalesce(F.when(has, F.col("group")), F.lit(0)).alias("group"), F.coalesce(F.when(has, F.col("component_id")), F.col("doc_id")).alias("component_id"))
     return out
 
 
@@ -385,6 +431,11 @@ def similar_sets(docs: DataFrame, width: int = 3, pct: int = 90, **options) -> D
     return grouped(docs, width, pct, **options).select(real_id("doc_id"), "n_shingles", real_id("component_id"))
 
 
+def linked_sets(docs: DataFrame, width: int = 3, pct: int = 90, **options) -> DataFrame:
+    """doc_id, n_shingles, n_links, component_id for every row of docs(doc_id, text), every link found; see grouped."""
+    return grouped(docs, width, pct, count=True, **options).select(real_id("doc_id"), "n_shingles", "n_links", real_id("component_id"))
+
+
 def one_of_each(docs: DataFrame, width: int = 5, pct: int = 80, **options) -> DataFrame:
     """docs with one row of each group, of the least doc_id and then the least text_md5; texts without words all stay."""
     rows = grouped(docs, width, pct, **options).where("doc_id = component_id")

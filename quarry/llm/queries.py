@@ -37,6 +37,10 @@ def op6_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.similar_sets(table(spark, sf_dir, "documents"), width=3, pct=90)
 
 
+def op6_jaccard_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.linked_sets(table(spark, sf_dir, "documents"), width=3, pct=90)
+
+
 def op7_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings"), every=100, k=10, scale=1024)
 
@@ -54,8 +58,8 @@ def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_sharding, op2_scoring, op3_repeats, op4_toxicity, op5_packing, op6_jaccard, op7_topk, op8_neardup, op9_mixing, op10_html)}
+    return {f.__name__: f for f in (op1_sharding, op2_scoring, op3_repeats, op4_toxicity, op5_packing, op6_jaccard, op6_jaccard_links, op7_topk, op8_neardup, op9_mixing, op10_html)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_jaccard": sql.JACCARD, "op7_topk": sql.TOPK, "op8_neardup": sql.NEARDUP}
+    return {"op6_jaccard": sql.JACCARD, "op6_jaccard_links": sql.JACCARD_LINKS, "op7_topk": sql.TOPK, "op8_neardup": sql.NEARDUP}

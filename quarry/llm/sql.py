@@ -17,3 +17,6 @@ JACCARD = r"""with recursive w as (select doc_id, regexp_extract_all(translate(c
  x as (select doc_id, len(s) as n, unnest(s) as s from d), p as (select a.doc_id as a, b.doc_id as b, any_value(a.n) as na, any_value(b.n) as nb, count(*) as i from x a join x b on a.s = b.s and a.doc_id <> b.doc_id group by 1, 2),
  l as (select a, b from p where 100 * i >= 90 * (na + nb - i)), r as (select a, b from l union select r.a, l.b from r join l on r.b = l.a), c as (select a, min(b) as m from r group by a)
  select doc_id, len(s)::bigint as n_shingles, least(doc_id, coalesce(m, doc_id)) as component_id from d left join c on c.a = doc_id"""
+
+#: JACCARD with the number of links of each document.
+JACCARD_LINKS = JACCARD.replace("\n select doc_id, len(s)::bigint", ",\n k as (select a, count(*) as n from l group by a)\n select doc_id, coalesce(k.n, 0) as n_links, len(s)::bigint") + " left join k on k.a = doc_id"

@@ -104,3 +104,18 @@ def test_one_of_each(spark):
     rows = [(5, t, "x"), (2, t + " end", "y"), (2, t + " end", "y"), (2, "other words here now", "z"), (9, None, "n"), (9, None, "n"), (None, "only one", "q")]
     got = jc.one_of_each(spark.createDataFrame(rows, "doc_id long, text string, k string"))
     assert sorted((tuple(r) for r in got.collect()), key=str) == sorted([rows[1], rows[3], rows[4], rows[5], rows[6]], key=str)
+
+
+@pytest.mark.parametrize("size", [5, 1024])
+def test_every_link_is_counted(spark, monkeypatch, size):
+    """Also those between rows that are connected already, over slices, and with copies."""
+    monkeypatch.setattr(jc, "SLICE", size)
+    rows = corpus(11)
+    rows += [(1000 + i, t) for i, (_, t) in enumerate(rows[::3])]
+    sets = [shingles(t) for _, t in rows]
+    want = [sum(i != j and bool(a) and bool(b) and 100 * len(a & b) >= 90 * len(a | b) for j, b in enumerate(sets)) for i, a in enumerate(sets)]
+    low = {d: c for d, _, c in brute(rows, 3, 90)}
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = sorted(tuple(r) for r in jc.linked_sets(df, block_bytes=3000, range_bytes=2000).collect())
+    assert got == sorted((d, len(s), n, low[d]) for (d, _), s, n in zip(rows, sets, want, strict=True))
+    assert jc.linked_sets(df.limit(0)).count() == 0
