@@ -9,6 +9,7 @@ model over these counts gives the score.
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 
@@ -20,7 +21,7 @@ from pyspark.sql import functions as F
 
 from quarry.llm.common import give_back, small_batches, stored, word_hashes, word_ids
 
-#: Labelled rows of each class used for learning, at most; entries of the lexicon, at most; words of a window's side.
+#: Labelled rows of each class used for the model, at most; entries of the lexicon, at most; words of a window's side.
 FIT_TOXIC, FIT_CLEAN, ENTRIES, SIDE = 3000, 6000, 2000, 6
 STEMS = range(3, 9)
 QUOTES = "\"“”„«»‹›‘’`"
@@ -191,7 +192,11 @@ def _contexts(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def learned_lexicon(sample: DataFrame) -> list[tuple[str, bool, float]]:
-    """(text, whole word?, weight) of words and stems from sample(text, toxic). Weights are lower bounds of log odds."""
+    """(text, whole word?, weight) of words and stems from sample(text, toxic). Weights are lower bounds of log odds.
+
+    An entry's contexts are toxic so much more often than all contexts that chance would let in one entry on average: the
+    Chernoff bound of its binomial tail is below 1 / (number of words and stems). No count is asked for by itself.
+    """
     seen = sample.mapInPandas(_contexts, "word string, toxic int, context long").distinct().groupBy("word").agg(F.sum("toxic").alias("t"), F.sum(1 - F.col("toxic")).alias("c"))
     seen = stored(seen, "toxic-words")
     total = seen.agg(F.sum("t").alias("t"), F.sum("c").alias("c")).first()
@@ -200,9 +205,13 @@ def learned_lexicon(sample: DataFrame) -> list[tuple[str, bool, float]]:
     stems = seen.select("t", "c", F.explode(F.array(*[F.when(F.length("word") >= n, F.substring("word", 1, n)) for n in STEMS])).alias("text")).where("text is not null").groupBy("text").agg(F.sum("t").alias("t"), F.sum("c").alias("c"), F.count("*").alias("forms"))
     odds = F.log((F.col("t") + 0.5) / F.lit(float(total.t))) - F.log((F.col("c") + 0.5) / F.lit(float(total.c)))
     low = odds - 1.64 * F.sqrt(1 / (F.col("t") + 0.5) + 1 / (F.col("c") + 0.5))
-    words = seen.where("t >= 8").select(F.col("word").alias("text"), F.lit(True).alias("whole"), "t", low.alias("weight"))
-    stems = stems.where("t >= 24 and forms >= 5").select("text", F.lit(False).alias("whole"), "t", low.alias("weight"))
-    top = words.unionByName(stems).where(F.col("weight") >= 1.1).orderBy(F.desc("weight"), F.desc("t"), "text", "whole").limit(ENTRIES).collect()
+    share, n = total.t / (total.t + total.c), F.col("t") + F.col("c")
+    part = lambda k, p: F.when(F.col(k) > 0, F.col(k) * F.log(F.col(k) / (n * F.lit(p)))).otherwise(0.0)
+    words = seen.select(F.col("word").alias("text"), F.lit(True).alias("whole"), "t", low.alias("weight"), (part("t", share) + part("c", 1 - share)).alias("evidence"))
+    # A stem of one word is that word.
+    stems = stems.where("forms > 1").select("text", F.lit(False).alias("whole"), "t", low.alias("weight"), (part("t", share) + part("c", 1 - share)).alias("evidence"))
+    tests = seen.count() + stems.count()
+    top = words.unionByName(stems).where((F.col("weight") >= 1.1) & (F.col("evidence") > math.log(max(tests, 1)))).orderBy(F.desc("weight"), F.desc("t"), "text", "whole").limit(ENTRIES).collect()
     return [(r.text, r.whole, float(r.weight)) for r in top]
 
 
@@ -214,7 +223,8 @@ def fold(column: str) -> Column:
 def learned(docs: DataFrame, labels: DataFrame) -> tuple[list, tuple]:
     """(lexicon, model) from labels(doc_id, toxic) whose fold is not 1 and the texts of docs.
 
-    Takes the FIT_TOXIC toxic and FIT_CLEAN clean rows of least id hash, at most. Null labels are left out; a row labelled
+    Words are counted over all these rows; the model takes the FIT_TOXIC toxic and FIT_CLEAN clean rows of least id hash,
+    at most. Null labels are left out; a row labelled
     twice counts as toxic if one label says so. Equal texts with equal labels are learned from once.
     """
     marked = labels.where("doc_id is not null and toxic is not null").where(fold("doc_id") != 1).groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
@@ -224,7 +234,8 @@ def learned(docs: DataFrame, labels: DataFrame) -> tuple[list, tuple]:
     picked = F.broadcast(first(1, FIT_TOXIC).unionByName(first(0, FIT_CLEAN)).withColumnRenamed("doc_id", "labelled"))  # at most FIT_TOXIC + FIT_CLEAN rows
     sample = docs.select("doc_id", "text").join(picked, F.col("doc_id") == F.col("labelled")).select("text", "toxic").where("text is not null")
     sample = stored(sample.dropDuplicates(["text", "toxic"]), "toxic-sample")
-    lexicon = learned_lexicon(sample)
+    rows = docs.select("doc_id", "text").join(marked.withColumnRenamed("doc_id", "labelled"), F.col("doc_id") == F.col("labelled")).select("text", "toxic").where("text is not null")
+    lexicon = learned_lexicon(rows)
 
     def measured(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         trie, memory = Trie(lexicon), {}

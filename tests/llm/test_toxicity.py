@@ -74,3 +74,20 @@ def test_nothing_to_learn(spark):
     docs, labels = table(spark, 20)
     assert {round(r.score, 6) for r in tx.toxicity(docs, labels.where("toxic = 0")).collect()} and tx.toxicity(docs.limit(0), labels).count() == 0
     assert tx.toxicity(docs, labels.limit(0)).where("score between 0 and 1").count() == docs.count()
+
+
+def test_ten_toxic_rows_teach_words(spark):
+    """The lexicon does not wait for a number of rows."""
+    rng = random.Random(4)
+    plain = ["".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 9))) for _ in range(300)]
+    rows = []
+    for i in range(100):
+        w = [rng.choice(plain) for _ in range(30)]
+        if i % 10 == 0:
+            w[5], w[15] = "wretch", "knave"
+        rows.append((i, " ".join(w), int(i % 10 == 0)))
+    df = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    found = {t for t, whole, _ in tx.learned_lexicon(df.where("doc_id < 60").select("text", "toxic")) if whole}
+    assert found >= {"wretch", "knave"} and not found & set(plain)
+    got = {r.doc_id: r.predicted for r in tx.toxicity(df.select("doc_id", "text"), df.select("doc_id", "toxic")).collect()}
+    assert got == {i: t for i, _, t in rows}
