@@ -2,8 +2,8 @@
 
 The lexicon is learned from labelled rows: whole words and stems (word beginnings) that stand in many different contexts
 of toxic rows and few of clean ones. Counting contexts rather than rows keeps copies of one row from teaching its whole
-vocabulary. A text's distinct words are looked up once each: stems and words by walking the trie, misspelled words by
-walking it with a Levenshtein automaton. Windows around the hits tell quoted or reported terms from used ones. A logistic
+vocabulary. A text's distinct words are looked up once each: stems and words by walking the trie, misspelled words and
+beginnings by walking it with a Levenshtein automaton that knows swaps and masked letters. Windows around the hits tell quoted or reported terms from used ones. A logistic
 model over these counts gives the score.
 """
 
@@ -24,6 +24,8 @@ from quarry.llm.common import give_back, small_batches, stored, word_hashes, wor
 #: Labelled rows of each class used for the model, at most; entries of the lexicon, at most; words of a window's side.
 FIT_TOXIC, FIT_CLEAN, ENTRIES, SIDE = 3000, 6000, 2000, 6
 STEMS = range(3, 9)
+#: Bits that tell labelled rows from most others.
+BITS = 1 << 23
 QUOTES = "\"“”„«»‹›‘’`"
 #: Words that introduce what somebody else said, in the languages of the corpus.
 REPORTING = frozenset("said says wrote called quoted quote writes sagte schrieb nannte zitat dit écrit appelé citation dijo escribió llamó cita".split())
@@ -42,6 +44,10 @@ class Trie:
             for ch in text:
                 node = node.setdefault(ch, {})
             node["whole" if whole else "stem"] = weight
+        # What is left of entries when up to two letters go (one, for stems): words near them leave the same.
+        self.left_words = {x for w, whole, _ in entries if whole and len(w) >= 5 for x in without_letters(w, 2 if len(w) >= 8 else 1)}
+        self.left_stems = {x for w, whole, _ in entries if not whole and len(w) >= 8 for x in without_letters(w, 1)}
+        self.longest = max((len(w) for w, whole, _ in entries if whole), default=0)
         self.halves = {(w[: len(w) // 2], w[(len(w)) // 2 :]) for w, whole, _ in entries if whole and len(w) >= 4}
         self.heads = {h for h, _ in self.halves}
         self.tails = {t for _, t in self.halves}
@@ -89,6 +95,61 @@ class Trie:
         return best
 
 
+    def may_be_misspelled(self, word: str) -> bool:
+        """False if misspelled() is 0. Masked words keep two letters of an entry at least."""
+        if not word.isalpha():
+            return sum(c.isalpha() for c in word[: self.longest + max(STEMS)]) >= 2
+        if len(word) <= self.longest + 2 and not self.left_words.isdisjoint(without_letters(word, 2)):
+            return True
+        return any(not self.left_stems.isdisjoint(without_letters(word[:n], 1)) for n in range(7, min(len(word), max(STEMS) + 1) + 1)) if self.left_stems else False
+
+    def misspelled(self, word: str) -> float:
+        """Largest weight of an entry that the word, or for stems a beginning of the word, is a misspelling of.
+
+        The trie is walked with an automaton that knows swaps of neighbours. An edit or swap costs 2, a letter masked by
+        another sign 1; allowed() has what an entry takes.
+        """
+        odd, best = not word.isalpha(), 0.0
+        start = [2 * i for i in range(len(word) + 1)]
+        stack = [(self.root, 0, start, start, "")]
+        while stack:
+            node, depth, row, older, last = stack.pop()
+            w = node.get("whole")
+            if w is not None and w > best and row[-1] <= allowed(depth, True, odd):
+                best = w
+            w = node.get("stem")
+            if w is not None and w > best and min(row) <= allowed(depth, False, odd):
+                best = w
+            for ch, child in node.items():
+                if len(ch) != 1:
+                    continue
+                new = [row[0] + 2]
+                for i, c in enumerate(word):
+                    x = min(new[i] + 2, row[i + 1] + 2, row[i] + (0 if c == ch else 2 if c.isalpha() else 1))
+                    if i and last and c == last and word[i - 1] == ch and c != ch:
+                        x = min(x, older[i - 1] + 2)
+                    new.append(x)
+                if min(new) <= 4:
+                    stack.append((child, depth + 1, new, row, ch))
+        return best
+
+
+def allowed(letters: int, whole: bool, odd: bool) -> int:
+    """What misspellings of an entry may cost: short entries have many neighbours, fewer for a word with other signs in it."""
+    if odd:
+        return 4 if letters >= 6 else 2 if letters == 5 or (letters == 4 and whole) else -1
+    return (4 if letters >= 8 else 2 if letters >= 5 else -1) if whole else (2 if letters >= 8 else -1)
+
+
+def without_letters(word: str, letters: int) -> set[str]:
+    """The word, and what is left of it without up to so many letters."""
+    out = new = {word}
+    for _ in range(letters):
+        new = {w[:i] + w[i + 1 :] for w in new for i in range(len(w))}
+        out = out | new
+    return out
+
+
 def bare(word: str) -> str:
     return EDGE.sub("", word)
 
@@ -107,7 +168,7 @@ def features(texts: pa.Array, trie: Trie, memory: dict) -> np.ndarray:
             b = bare(w)
             x, whole = trie.lookup(b)
             got = (x, 2 if whole else 1) if x else (0.0, 0)
-            if not x and 4 <= len(b) <= 40 and trie.may_be_near(b) and (x := trie.nearest(b)):
+            if not x and 4 <= len(b) <= 40 and trie.may_be_misspelled(b) and (x := trie.misspelled(b)):
                 got = (x, 3)
             memory[w] = got
         weight[i], kind[i] = got
@@ -220,6 +281,16 @@ def fold(column: str) -> Column:
     return F.pmod(F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")), F.lit(3)).cast("int")
 
 
+def likely(docs: DataFrame, marked: DataFrame) -> DataFrame:
+    """The rows of docs whose id may be in marked, by BITS bits of id hashes, so that a join need not deal out other texts."""
+    at = F.pmod(F.xxhash64(F.col("doc_id").cast("string")), F.lit(BITS))
+    bits = marked.select(F.floor(at / 32768).alias("bucket"), (at % 32768).alias("bit")).groupBy("bucket").agg(F.bitmap_construct_agg("bit").alias("bits"))
+    names = docs.columns
+    met = docs.withColumn("bucket", F.floor(at / 32768)).withColumn("bit", (at % 32768).cast("int")).join(F.broadcast(bits), "bucket")  # BITS / 8 bytes
+    byte = F.conv(F.hex(F.substring("bits", F.floor(F.col("bit") / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    return met.where(F.floor(byte / F.pow(F.lit(2), F.col("bit") % 8)) % 2 == 1).select(*names)
+
+
 def learned(docs: DataFrame, labels: DataFrame) -> tuple[list, tuple]:
     """(lexicon, model) from labels(doc_id, toxic) whose fold is not 1 and the texts of docs.
 
@@ -234,7 +305,7 @@ def learned(docs: DataFrame, labels: DataFrame) -> tuple[list, tuple]:
     picked = F.broadcast(first(1, FIT_TOXIC).unionByName(first(0, FIT_CLEAN)).withColumnRenamed("doc_id", "labelled"))  # at most FIT_TOXIC + FIT_CLEAN rows
     sample = docs.select("doc_id", "text").join(picked, F.col("doc_id") == F.col("labelled")).select("text", "toxic").where("text is not null")
     sample = stored(sample.dropDuplicates(["text", "toxic"]), "toxic-sample")
-    rows = docs.select("doc_id", "text").join(marked.withColumnRenamed("doc_id", "labelled"), F.col("doc_id") == F.col("labelled")).select("text", "toxic").where("text is not null")
+    rows = likely(docs.select("doc_id", "text"), marked).join(marked.withColumnRenamed("doc_id", "labelled"), F.col("doc_id") == F.col("labelled")).select("text", "toxic").where("text is not null")
     lexicon = learned_lexicon(rows)
 
     def measured(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -1,6 +1,7 @@
 import random
 import zlib
 
+import numpy as np
 import pyarrow as pa
 
 from quarry.llm import toxicity as tx
@@ -91,3 +92,39 @@ def test_ten_toxic_rows_teach_words(spark):
     assert found >= {"wretch", "knave"} and not found & set(plain)
     got = {r.doc_id: r.predicted for r in tx.toxicity(df.select("doc_id", "text"), df.select("doc_id", "toxic")).collect()}
     assert got == {i: t for i, _, t in rows}
+
+
+def swapped(a, b):
+    """Least number of edits and swaps of neighbours."""
+    d = {(i, j): i + j for i in range(len(a) + 1) for j in range(len(b) + 1) if not i * j}
+    for i in range(1, len(a) + 1):
+        for j in range(1, len(b) + 1):
+            d[i, j] = min(d[i - 1, j] + 1, d[i, j - 1] + 1, d[i - 1, j - 1] + (a[i - 1] != b[j - 1]))
+            if i > 1 and j > 1 and a[i - 1] == b[j - 2] and a[i - 2] == b[j - 1]:
+                d[i, j] = min(d[i, j], d[i - 2, j - 2] + 1)
+    return d[len(a), len(b)]
+
+
+def test_swaps_masks_and_stems():
+    trie = tx.Trie([("pathetic", True, 3.0), ("worthless", True, 2.5), ("idiot", True, 2.0), ("achlichk", False, 1.5)])
+    for word, want in [("pahtetic", 3.0), ("paXhetyc".lower(), 3.0), ("w*rthl*ss", 2.5), ("i**ot", 2.0), ("idoit", 2.0), ("a*hlichkeit", 1.5), ("ahclichkeit", 1.5), ("poetic", 0.0), ("idaho", 0.0), ("riot", 0.0)]:
+        assert (trie.misspelled(word) if trie.may_be_misspelled(word) else 0.0) == want, word
+    x = tx.features(pa.array(["what a pahtetic w*rthl*ss i**ot"]), trie, {})
+    assert x[0, tx.FEATURES.index("kinds")] == np.log1p(3)
+
+
+def test_misspellings_against_distances():
+    rng = random.Random(7)
+    entries = [("".join(rng.choice("abcde") for _ in range(rng.randint(5, 9))), rng.random() < 0.7, rng.random() + 1) for _ in range(40)]
+    entries = [(w[:8] if not whole else w, whole, x) for w, whole, x in entries]
+    trie = tx.Trie(entries)
+    for _ in range(400):
+        w = list(rng.choice(entries)[0])
+        for _ in range(rng.randint(0, 3)):
+            w[rng.randrange(len(w))] = rng.choice(["", "a", "x", "bd"])
+        w = "".join(w) + rng.choice(["", "", "xyz"])
+        if len(w) < 4:
+            continue
+        near = [x for t, whole, x in entries if (swapped(t, w) <= (2 if len(t) >= 8 else 1) if whole else len(t) >= 8 and min(swapped(t, w[:n]) for n in range(len(w) + 1)) <= 1)]
+        assert trie.misspelled(w) == max(near, default=0.0)
+        assert trie.may_be_misspelled(w) or not near
