@@ -5,8 +5,9 @@ often on the same pages share an occurrence vector and form an equivalence class
 host and have tags, or stand on just the pages of tags, make the host's template. The tags of a class in the order of one
 page are its frame; a text of the class is furniture where it stands between the same two tags of the frame, whatever tags
 hold it (paths are part of the tokens, so that these nest alike). All other text lies in the slots between the template's
-tokens. The slots of the main part of the page, without menus, headers, footers, sidebars, notices, adverts, forms and
-reader comments, are given as blocks of text.
+tokens. Slots in elements of the standard for menus, footers, sidebars and forms are furniture. A class or id name such as
+"ad" or "comments" makes a slot furniture only if its tag recurs on the host's pages and the slot is neither the page's
+larger part nor around its article. The other slots are given as blocks of text.
 
 An occurrence vector is kept as a sum over pages of the count times a hash of the page: equal vectors have equal sums,
 and sums add up over tasks, so that no task has to hold the pages of a host. So are the pages of a token, without counts.
@@ -50,64 +51,87 @@ FURNITURE_NAMES = frozenset(
     "overlay widget widgets toolbar pagination pager skip tags teaser teasers outbrain taboola paywall".split()
 )
 HEADER_NAMES = frozenset("header head".split())
-CONTENT_NAMES = frozenset("article post entry content story body main page".split())
+CONTENT_NAMES = frozenset("article post entry content story body main page text".split())
+#: First and last parts of names that tell a state of the element, not its kind: has-sidebar, tags-enabled.
+STATES = frozenset("has have with without no not is hide show enabled disabled open closed on off active left right".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
 
 
-def name_parts(value: str) -> set[str]:
-    return set(re.split(r"[^a-z0-9]+", re.sub(r"([a-z])([A-Z])", r"\1-\2", value).lower()))
+def name_parts(name: str) -> list[str]:
+    """Parts of one class or id name: cookieNotice and cookie-notice are cookie, notice."""
+    return [x for x in re.split(r"[^a-z0-9]+", re.sub(r"([a-z])([A-Z])", r"\1-\2", name).lower()) if x]
+
+
+def named_furniture(tag: str, attrs: dict[str, str], in_article: bool) -> bool:
+    """Whether a class or id name says that the element is furniture. The kind stands last, or first if the last is no kind."""
+    if tag in ("html", "body", "main"):
+        return False
+    for name in (attrs.get("class", "") + " " + attrs.get("id", "")).split():
+        parts = name_parts(name)
+        if not parts or parts[0] in STATES or parts[-1] in STATES or parts[-1] in CONTENT_NAMES:
+            continue
+        if parts[-1] in FURNITURE_NAMES or parts[0] in FURNITURE_NAMES:
+            return True
+        if parts[-1] in HEADER_NAMES and not CONTENT_NAMES & set(parts) and not in_article and tag not in HEADINGS:
+            return True
+    return False
 
 
 def is_furniture(tag: str, attrs: dict[str, str], in_article: bool) -> bool:
-    """Whether an element is furniture by its kind, role, name or state."""
+    """Whether an element is furniture by its kind, role or state."""
     if tag in FURNITURE_TAGS or attrs.get("role", "").lower() in FURNITURE_ROLES:
         return True
     if "hidden" in attrs or attrs.get("aria-hidden", "").lower() == "true" or re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", attrs.get("style", ""), re.I):
         return True
-    if tag == "header" and not in_article:
-        return True
-    if tag in ("html", "body", "main", "article") and not in_article:
-        names = name_parts(attrs.get("class", "")) if tag == "article" else set()
-        return bool(names & {"comment", "comments", "teaser", "related", "promo", "sponsored", "ad"})
-    names = name_parts(attrs.get("class", "") + " " + attrs.get("id", ""))
-    if names & FURNITURE_NAMES:
-        return True
-    return bool(names & HEADER_NAMES) and not names & CONTENT_NAMES and not in_article and tag not in HEADINGS
+    return tag == "header" and not in_article
 
 
 class Node:
-    """One piece of text: its words, the block it belongs to, its token, and where it stands."""
+    """One piece of text: its words, the block it belongs to, its token, and where it stands (named: elements named as furniture)."""
+
+    __slots__ = ("text", "block", "token", "dropped", "article", "linked", "named")
+
+    def __init__(self, text: str, block: int, token: int, dropped: bool, article: int, linked: bool, named: tuple[int, ...] = ()):
+        self.text, self.block, self.token, self.dropped, self.article, self.linked, self.named = text, block, token, dropped, article, linked, named
 
-    __slots__ = ("text", "block", "token", "dropped", "article", "linked")
 
-    def __init__(self, text: str, block: int, token: int, dropped: bool, article: int, linked: bool):
-        self.text, self.block, self.token, self.dropped, self.article, self.linked = text, block, token, dropped, article, linked
+class Page:
+    """What is read from a page: text nodes in order, tokens of all tags and texts, and for each element named as furniture its token and whether it is around an article or the first heading."""
+
+    def __init__(self):
+        self.nodes: list[Node] = []
+        self.tokens: list[int] = []
+        self.named: list[list] = []
 
 
 def token_id(kind: str, path: str, value: str) -> int:
     return xxhash.xxh3_64_intdigest(f"{kind}\0{path}\0{value}") & MASK
 
 
-def parsed(page: str) -> tuple[list[Node], list[int]]:
-    """The text nodes of a page in order, and the tokens of all its tags and text nodes."""
+def parsed(page: str) -> Page:
+    """The text nodes, tokens and named elements of a page."""
     closers = Counter(m[2].lower() for m in TOKEN.finditer(page) if m[1])
-    nodes, tokens, stack = [], [], []
+    out, stack = Page(), []
+    nodes, tokens = out.nodes, out.tokens
     block, at, articles, article = 0, 0, 0, 0
     end = len(page)
 
+    def within() -> tuple[int, ...]:
+        return tuple(s[3] for s in stack if s[3] >= 0)
+
     def text_until(stop: int) -> None:
         if stop <= at:
             return
         raw = page[at:stop]
         if not raw.strip():
             if nodes and nodes[-1].block == block and raw:
-                nodes.append(Node(" ", block, 0, nodes[-1].dropped, article, False))
+                nodes.append(Node(" ", block, 0, nodes[-1].dropped, article, False, nodes[-1].named))
             return
         value = html.unescape(raw)
         path = "/".join(s[0] for s in stack[-6:])
         token = token_id("text", path, SPACE.sub(" ", value).strip())
         tokens.append(token)
-        nodes.append(Node(value, block, token, any(s[1] for s in stack), article, any(s[0] == "a" for s in stack)))
+        nodes.append(Node(value, block, token, any(s[1] for s in stack), article, any(s[0] == "a" for s in stack), within()))
 
     pos = 0
     while True:
@@ -121,14 +145,14 @@ def parsed(page: str) -> tuple[list[Node], list[int]]:
         if not tag:
             if m[0].startswith("<![CDATA["):
                 inner = m[0][9:].removesuffix("]]>")
-                nodes.append(Node(inner, block, 0, any(s[1] for s in stack), article, False))
+                nodes.append(Node(inner, block, 0, any(s[1] for s in stack), article, False, within()))
             continue
         if m[1]:  # a closing tag
             closers[tag] -= 1
             if tag in BLOCKS:
                 block += 1
             elif tag in CELLS and nodes:
-                nodes.append(Node(" ", block, 0, nodes[-1].dropped, article, False))
+                nodes.append(Node(" ", block, 0, nodes[-1].dropped, article, False, nodes[-1].named))
             for i in range(len(stack) - 1, -1, -1):
                 if stack[i][0] == tag:
                     del stack[i:]
@@ -144,7 +168,7 @@ def parsed(page: str) -> tuple[list[Node], list[int]]:
             block += 1
         if tag in VOID or (m[3] or "").endswith("/"):
             if tag in CELLS or tag in BLOCKS:
-                nodes.append(Node(" ", block, 0, True if not nodes else nodes[-1].dropped, article, False))
+                nodes.append(Node(" ", block, 0, True if not nodes else nodes[-1].dropped, article, False, nodes[-1].named if nodes else ()))
             continue
         if tag in RAW:
             close = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, pos)
@@ -160,9 +184,9 @@ def parsed(page: str) -> tuple[list[Node], list[int]]:
                 if stack[i][0] in BLOCKS and stack[i][0] != "p":
                     break
         if closers[tag] <= sum(s[0] == tag for s in stack) and tag in FURNITURE_TAGS | {"header", "div", "section", "span"}:
-            drop = False  # never closed: it cannot be told what it holds
+            drop = named = False  # never closed: it cannot be told what it holds
         else:
-            drop = is_furniture(tag, attrs, article > 0)
+            drop, named = is_furniture(tag, attrs, article > 0), named_furniture(tag, attrs, article > 0)
         number = 0
         if tag in ("article", "main") or attrs.get("role", "").lower() in ("main", "article"):
             articles += 1
@@ -171,19 +195,28 @@ def parsed(page: str) -> tuple[list[Node], list[int]]:
                 article = number
         if tag == "header" and article:
             drop = False
-        stack.append((tag, drop, number))
-    return nodes, tokens
+        if tag in ("article", "main") or (tag == "h1" and not any(x[1] for x in out.named)):
+            for s in stack:
+                if s[3] >= 0:
+                    out.named[s[3]][1] = True
+        if named:
+            out.named.append([tokens[-1], False])
+        stack.append((tag, drop, number, len(out.named) - 1 if named else -1))
+    return out
 
 
 class Template:
-    """A host's frames (tags in order) and the places of its texts in them, from rows (token, frame, place, is_text)."""
+    """A host's frames (tags in order) and the places of its texts in them, from rows (token, frame, place, TAG, TEXT or NAMED)."""
 
     def __init__(self, rows: np.ndarray):
         self.tags: dict[int, list[tuple[int, int]]] = {}
         self.texts: dict[int, tuple[int, int]] = {}
         self.length: Counter[int] = Counter()
-        for token, frame, place, is_text in rows.tolist():
-            if is_text:
+        self.named: set[int] = set()
+        for token, frame, place, kind in rows.tolist():
+            if kind == NAMED:
+                self.named.add(token)
+            elif kind == TEXT:
                 self.texts[token] = (frame, place)
             else:
                 self.tags.setdefault(token, []).append((frame, place))
@@ -209,14 +242,24 @@ class Template:
         return found
 
 
-def main_nodes(nodes: list[Node], known: Template | None, tokens: list[int]) -> list[Node]:
-    """The text nodes of the main part: the articles if there are any, else all that is not furniture."""
-    standing = known.standing(nodes, tokens) if known else set()
-    known_nodes = {id(nodes[i]) for i in standing}
-    live = [n for n in nodes if not n.dropped]
+def main_nodes(page: Page, known: Template | None = None) -> list[Node]:
+    """The text nodes of the main part: the articles if there are any, else all that is not furniture.
+
+    An element named as furniture is furniture if its tag is one of the host's (any, where the host has no template), if
+    it is around neither an article nor the first heading, and if it holds at most half of the text.
+    """
+    known_nodes = {id(page.nodes[i]) for i in known.standing(page.nodes, page.tokens)} if known else set()
+    live = [n for n in page.nodes if not n.dropped]
+    size = lambda ns: sum(len(n.text) for n in ns)
+    held: Counter[int] = Counter()
+    for n in live:
+        for i in n.named:
+            held[i] += len(n.text)
+    whole = size(live)
+    out = {i for i, (token, around) in enumerate(page.named) if not around and (known is None or token in known.named) and 2 * held[i] <= whole}
+    live = [n for n in live if out.isdisjoint(n.named)] if out else live
     inside = [n for n in live if n.article]
     # An article that holds a small part of what is not furniture is a teaser among others, not the main part.
-    size = lambda ns: sum(len(n.text) for n in ns)
     use = inside if inside and size(inside) * 4 >= size([n for n in live if not n.linked]) else live
     return [n for n in use if n.article or id(n) not in known_nodes]
 
@@ -235,17 +278,21 @@ def blocks_text(nodes: list[Node]) -> str:
     return "\n\n".join(b for b in (SPACE.sub(" ", x).strip() for x in out) if b)
 
 
-TOKEN_ROWS = "host string, token long, is_text boolean, pages long, vector long, held long, first_page long, first_at long"
+#: Kinds of tokens.
+TAG, TEXT, NAMED = 0, 1, 2
+TOKEN_ROWS = "host string, token long, kind int, pages long, vector long, held long, first_page long, first_at long"
 
 
 def _tokens(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """TOKEN_ROWS: sums over the pages of a batch (held: of the pages without counts), and the place on the least page."""
     for f in frames:
         sums: dict[tuple[str, int], list[int]] = {}
-        texts: set[int] = set()
+        kinds: dict[int, int] = {}
         for host, page_hash, page in zip(f["host"], f["page_hash"], f["html"], strict=True):
-            nodes, tokens = parsed(page or "")
-            texts.update(n.token for n in nodes if n.token)
+            read = parsed(page or "")
+            tokens = read.tokens
+            kinds.update((n.token, TEXT) for n in read.nodes if n.token)
+            kinds.update((token, NAMED) for token, _ in read.named)
             mine, at = int(page_hash) & MASK, {t: i for i, t in zip(range(len(tokens) - 1, -1, -1), reversed(tokens), strict=True)}
             for token, count in Counter(tokens).items():
                 s = sums.setdefault((host, token), [0, 0, 0, mine, at[token]])
@@ -256,42 +303,43 @@ def _tokens(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                     s[3], s[4] = mine, at[token]
         keys = list(sums)
         names = ["pages", "vector", "held", "first_page", "first_at"]
-        yield pd.DataFrame({"host": [k[0] for k in keys], "token": [k[1] for k in keys], "is_text": [k[1] in texts for k in keys], **{c: [sums[k][i] for k in keys] for i, c in enumerate(names)}})
+        yield pd.DataFrame({"host": [k[0] for k in keys], "token": [k[1] for k in keys], "kind": [kinds.get(k[1], TAG) for k in keys], **{c: [sums[k][i] for k in keys] for i, c in enumerate(names)}})
 
 
 def _template(f: pd.DataFrame) -> pd.DataFrame:
     """The Template rows of one host: texts whose class has tags, or whose pages are those of tags, with these as frames."""
     f = f.sort_values(["at", "token"])
     frames: dict[tuple[str, int], list[tuple[int, int]]] = {}
-    tags = f[~f["is_text"]]
+    tags = f[(f["kind"] != TEXT) & f["common"]]
     for token, vector, held, at in zip(tags["token"], tags["vector"], tags["held"], tags["at"], strict=True):
         # Tags of the class; those that stand once on each of their pages; all that have these pages.
         for key in (("class", vector), *((("once", held),) if vector == held else ()), ("pages", held)):
             frames.setdefault(key, []).append((at, token))
     rows, used = [], {}
-    texts = f[f["is_text"]]
+    texts = f[(f["kind"] == TEXT) & f["common"]]
     for token, vector, held, at in zip(texts["token"], texts["vector"], texts["held"], texts["at"], strict=True):
         key = next((k for k in (("class", vector), ("once", held), ("pages", held)) if k in frames), None)
         if key is not None:
-            rows.append((token, used.setdefault(key, len(used)), sum(x < at for x, _ in frames[key]), 1))
-    rows += [(token, number, place, 0) for key, number in used.items() for place, (_, token) in enumerate(frames[key])]
+            rows.append((token, used.setdefault(key, len(used)), sum(x < at for x, _ in frames[key]), TEXT))
+    rows += [(token, number, place, TAG) for key, number in used.items() for place, (_, token) in enumerate(frames[key])]
+    rows += [(token, 0, 0, NAMED) for token in f["token"][f["kind"] == NAMED]]
     return pd.DataFrame({"host": [f["host"].iloc[0]], "known": [np.array(rows, np.int64).reshape(-1, 4).tobytes()]})
 
 
 def templates(pages: DataFrame) -> DataFrame:
     """host, known: the Template rows of each host.
 
-    pages(host, page_hash, html). Tokens of the template hold on at least SUPPORT of a host's pages. A text without tags
-    in its class and on its pages is content, as it comes and goes by itself.
+    pages(host, page_hash, html). Tokens of the template hold on at least SUPPORT of a host's pages; tags named as
+    furniture on two at least. A text without tags in its class and on its pages is content, as it comes and goes by itself.
     """
     size = pages.select("host", "page_hash").distinct().groupBy("host").agg(F.count("*").alias("n_pages"))
     seen = pages.dropDuplicates(["host", "page_hash"]).mapInPandas(_tokens, TOKEN_ROWS)
     wrap = lambda c: (F.sum(F.col(c).cast("decimal(38,0)")) % F.lit(MASK + 1)).cast("long").alias(c)
     # Tokens of one class, and all with the same pages, have their places on one page: the least.
-    seen = seen.groupBy("host", "token").agg(F.bool_or("is_text").alias("is_text"), F.sum("pages").alias("pages"), wrap("vector"), wrap("held"), F.min(F.struct("first_page", "first_at")).alias("first"))
+    seen = seen.groupBy("host", "token").agg(F.max("kind").alias("kind"), F.sum("pages").alias("pages"), wrap("vector"), wrap("held"), F.min(F.struct("first_page", "first_at")).alias("first"))
     often = seen.where(F.col("pages") >= SUPPORT * MIN_PAGES)  # rarer tokens cannot hold on the share of any host's pages
-    common = often.join(size, "host").where((F.col("n_pages") >= MIN_PAGES) & (F.col("pages") >= SUPPORT * F.col("n_pages")))
-    return common.select("host", "token", "is_text", "vector", "held", F.col("first.first_at").alias("at")).groupBy("host").applyInPandas(_template, "host string, known binary")
+    common = often.join(size, "host").withColumn("common", F.col("pages") >= SUPPORT * F.col("n_pages")).where((F.col("n_pages") >= MIN_PAGES) & (F.col("common") | (F.col("kind") == NAMED)))
+    return common.select("host", "token", "kind", "common", "vector", "held", F.col("first.first_at").alias("at")).groupBy("host").applyInPandas(_template, "host string, known binary")
 
 
 def main_text(pages: DataFrame) -> DataFrame:
@@ -320,8 +368,7 @@ def main_text(pages: DataFrame) -> DataFrame:
             for page, known in zip(f["html"], f["known"], strict=True):
                 if known and known not in read:
                     read[known] = Template(np.frombuffer(known, np.int64).reshape(-1, 4))
-                nodes, tokens = parsed(page or "")
-                out.append(blocks_text(main_nodes(nodes, read.get(known), tokens)))
+                out.append(blocks_text(main_nodes(parsed(page or ""), read.get(known))))
             yield pd.DataFrame({"page_id": f["page_id"], "url": f["url"], "text": out, "n_chars": [len(t) for t in out]})
 
     kind = dict(pages.dtypes)["page_id"]

@@ -1,3 +1,8 @@
+import re
+from collections import Counter, defaultdict
+
+import numpy as np
+
 from quarry.llm import html as hx
 
 SHELL = """<!DOCTYPE html><html><head><title>T</title><style>p{{}}</style><script>var t="</p><p>no</p>";</script></head><body><header><h1>Site</h1></header>
@@ -5,7 +10,7 @@ SHELL = """<!DOCTYPE html><html><head><title>T</title><style>p{{}}</style><scrip
 
 
 def one(page):
-    return hx.blocks_text(hx.main_nodes(hx.parsed(page)[0], {}, 0))
+    return hx.blocks_text(hx.main_nodes(hx.parsed(page)))
 
 
 def test_furniture_goes_and_text_stays():
@@ -54,3 +59,67 @@ def test_copies_of_one_story(spark):
     assert got == {i: "The one story" for i in range(12)} | {12 + i: f"Other {i}" for i in range(4)}
     shared = [f"<body><article><p>Said by all</p><p>Other {i}</p></article></body>" for i in range(10)]
     assert texts_of(spark, shared) == {i: f"Said by all\n\nOther {i}" for i in range(10)}
+
+
+def test_names_alone_empty_no_page(spark):
+    """Names that tell a state, or stand on the page's larger part or around its article, drop nothing."""
+    text = "<p>" + "The whole story. " * 9 + "</p>"
+    want = ("The whole story. " * 9).strip()
+    for around in (
+        '<div id="page" class="has-sidebar"><div class="content">{}</div></div>', '<div class="article-body with-comments">{}</div>', '<main><div class="entry-content tags-enabled">{}</div></main>',
+        '<article><div class="post social-story">{}</div></article>', '<div class="widget">{}</div>', '<div class="promo"><article>{}</article></div>',
+    ):
+        assert one("<body>" + around.format(text) + "</body>") == want
+        got = texts_of(spark, ["<body>" + around.format(text.replace("whole", f"whole {i}")) + "</body>" for i in range(6)])
+        assert got == {i: want.replace("whole", f"whole {i}") for i in range(6)}
+    assert one(f'<body><div class="postComments">reader</div><div id="cookie_notice">ok</div><div class="main-menu">a</div><div class="site-header">b</div>{text}</body>') == want
+
+
+def test_named_slots_need_the_template(spark):
+    """A name makes furniture of what recurs on the host; a tag of one page alone is content there."""
+    long = "Words of the story. " * 5
+    got = texts_of(spark, [f'<body><div class="ad">Buy {i}</div><p>{long}{i}</p>' + ('<div class="notice">Found once</div>' if i == 3 else "") + "</body>" for i in range(8)])
+    assert got == {i: f"{long}{i}" + ("\n\nFound once" if i == 3 else "") for i in range(8)}
+
+
+def full_classes(pages):
+    """By brute force: token -> (kind, count on every page), and the tokens of each class that holds on the host."""
+    read = [hx.parsed(p) for p in pages]
+    vectors, texts = defaultdict(lambda: [0] * len(pages)), set()
+    for i, page in enumerate(read):
+        texts |= {n.token for n in page.nodes if n.token}
+        for token, n in Counter(page.tokens).items():
+            vectors[token][i] = n
+    often = {t: tuple(v) for t, v in vectors.items() if 2 * sum(x > 0 for x in v) >= len(pages)}
+    template = set()
+    for t, v in often.items():
+        tags = [u for u, w in often.items() if u not in texts and [x > 0 for x in w] == [x > 0 for x in v]]
+        if t in texts and tags:
+            template.add(t)
+    named = {t for p in read for t, _ in p.named if sum(x > 0 for x in vectors[t]) >= 2}
+    return template, named
+
+
+def test_classes_agree_with_full_vectors(spark):
+    """The sums stand for the occurrence vectors: hosts of the test data and made ones have the classes of brute force."""
+    hosts = defaultdict(list)
+    for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").collect():
+        hosts[re.sub(r"^\w+://([^/?#]*).*", r"\1", r.url.lower())].append(r.html)
+    hosts["made"] = [f"<div>Top</div><p>Story {i}</p>" + ("<div>Rain</div>" if i % 3 else "") + ("<section class='ad'>Offer</section>" if i % 2 else "") for i in range(12)]
+    rows = [(h, hash((h, p)), p) for h, ps in hosts.items() for p in dict.fromkeys(ps)]
+    known = {r.host: hx.Template(np.frombuffer(r.known, np.int64).reshape(-1, 4)) for r in hx.templates(spark.createDataFrame(rows, "host string, page_hash long, html string")).collect()}
+    for host, pages in hosts.items():
+        pages = list(dict.fromkeys(pages))
+        if len(pages) >= hx.MIN_PAGES:
+            assert (set(known[host].texts), known[host].named) == full_classes(pages), host
+        else:
+            assert host not in known
+
+
+def test_classes_change_the_result(spark):
+    """Pages of one host without their article tags: with its classes their texts are the articles', without them adverts stay."""
+    pages = [r.html for r in spark.read.parquet("/root/testdata/sf0.1/pages.parquet").where("url like '%blog.tionsh.example.com%'").limit(40).collect()]
+    bare = [re.sub(r"</?article>", "", p) for p in pages]
+    assert texts_of(spark, bare) == {i: one(p) for i, p in enumerate(pages)}
+    without = [hx.blocks_text(hx.main_nodes(hx.parsed(p), hx.Template(np.zeros((0, 4), np.int64)))) for p in bare]
+    assert all(one(p) != t for p, t in zip(pages, without, strict=True))
