@@ -118,8 +118,9 @@ def usd(x: Column | str) -> Column:
 
 
 def cost(tokens_in: Column | str, tokens_out: Column | str, price_in: Column | str, price_out: Column | str) -> Column:
-    """USD of a call to six digits; null where the model has no price."""
-    return F.round(col(tokens_in) / 1e6 * col(price_in) + col(tokens_out) / 1e6 * col(price_out), 6)
+    """USD of a call to six digits, rounded half up in whole units of 1e-10 USD; null where the model has no price."""
+    units = lambda tokens, price: col(tokens).cast("long") * F.round(col(price) * 10_000).cast("long")
+    return F.floor((units(tokens_in, price_in) + units(tokens_out, price_out) + 5000) / 10_000) / 1e6
 
 
 @F.pandas_udf(StringType())

@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.functions.text import index_tokens
 from quarry.settings import DEFAULT, Settings
 
-#: Corpus buckets that a set of vector queries is dealt to.
-BUCKETS = 32
+#: Buckets of corpus blocks that a set of vector queries is dealt to, at least; vectors of a block of the corpus and of queries.
+BUCKETS, CORPUS_BLOCK, QUERY_BLOCK = 32, 4096, 512
 
 
 def postings(chunks: DataFrame, key: str = "id", text: str = "text", stop=...) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -30,14 +32,16 @@ def top(ranked: DataFrame, by: list[str], order: list[Column], k: int | None, na
     return out if k is None else out.where(F.col(name) <= k)
 
 
-def bm25(queries: DataFrame, chunks: DataFrame, k: int | None = None, settings: Settings = DEFAULT, query_key: str = "query_id", key: str = "id", stop=...) -> DataFrame:
+def bm25(queries: DataFrame, chunks: DataFrame, k: int | None = None, settings: Settings = DEFAULT, query_key: str = "query_id", key: str = "id", stop=..., index: tuple[DataFrame, DataFrame, DataFrame] | None = None) -> DataFrame:
     """query_key, key, score, rank of the chunks with a positive score; a query's repeated terms count repeatedly.
 
+    index: postings() of the chunks, if they are there already.
+
     The terms of all queries meet the postings in one equi-join, so only postings of asked terms are shuffled further.
     Ties of scores rounded to nine digits go to the smaller key. Scope a search by filtering chunks before the call, as
     document frequencies and lengths belong to the scope.
     """
-    tf, df, stats = postings(chunks, key, "text", stop)
+    tf, df, stats = index or postings(chunks, key, "text", stop)
     toks = index_tokens("text") if stop is ... else index_tokens("text", stop)
     asked = queries.select(query_key, F.explode(toks).alias("term")).groupBy(query_key, "term").agg(F.count("*").alias("qtf"))
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
@@ -53,21 +57,66 @@ def fuse(rankings: DataFrame, k: int | None = None, rrf_k: int = 60, query_key:
     return top(fused, [query_key], [F.desc(F.round("rrf_score", 9)), F.col(key)], k)
 
 
-def dot(a: str, b: str) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
+def _blocks(rows: DataFrame, key: str, vector: str, size: int) -> DataFrame:
+    """block, keys, dim, values: up to `size` rows of one partition as one row; vectors of equal length in a block, null and zero ones in none."""
+    kind = dict(rows.dtypes)[key]
+
+    def pack(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from pyspark import TaskContext
+
+        task, seq = TaskContext.get().partitionId(), 0
+        held: dict[int, tuple[list, list]] = {}
+
+        def out(dim: int) -> pd.DataFrame:
+            nonlocal seq
+            keys, values = held.pop(dim)
+            seq += 1
+            return pd.DataFrame({"block": [(task << 32) | seq], "keys": [keys], "dim": [dim], "data": [np.stack(values).tobytes()]})
+
+        for f in frames:
+            for k, v in zip(f["k"], f["v"], strict=True):
+                v = np.asarray(v, float)
+                norm = np.sqrt(v @ v)
+                if not norm > 0:
+                    continue
+                keys, values = held.setdefault(len(v), ([], []))
+                keys.append(k)
+                values.append(v / norm)
+                if len(keys) == size:
+                    yield out(len(v))
+        for dim in list(held):
+            yield out(dim)
+
+    v = F.col(vector).cast("array<double>")
+    whole = rows.where(F.col(vector).isNotNull() & ~F.exists(vector, lambda x: x.isNull()))
+    return whole.select(F.col(key).alias("k"), v.alias("v")).mapInPandas(pack, f"block long, keys array<{kind}>, dim int, data binary")
 
 
 def nearest(queries: DataFrame, vectors: DataFrame, k: int, query_key: str = "query_id", key: str = "id", vector: str = "embedding") -> DataFrame:
     """query_key, key, similarity, rank of the k vectors of greatest cosine.
 
-    Every query has to meet every vector. The queries go to each of a fixed number of corpus buckets, so that each task
-    compares its share of the corpus, and only the best k of a query leave it.
+    Every query has to meet every vector, as blocks of both in one matrix product each. Blocks of the corpus are dealt to
+    as many buckets as the session has partitions and the blocks of queries go to each; of a query only the best k leave a
+    block. Vectors that are null, zero or hold nulls are near nothing, and vectors of another length than the query's.
     """
-    v = F.col(vector).cast("array<double>")
-    norm = lambda c: F.sqrt(dot(c, c))
-    corpus = vectors.select(F.col(key), v.alias("v")).withColumn("vn", norm("v")).withColumn("bucket", F.pmod(F.xxhash64(key), F.lit(BUCKETS)).cast("int"))
-    asked = queries.select(F.col(query_key), v.alias("q")).withColumn("qn", norm("q")).withColumn("bucket", F.explode(F.sequence(F.lit(0), F.lit(BUCKETS - 1))))
-    pairs = corpus.join(asked, "bucket").where("vn > 0 and qn > 0").select(query_key, key, (dot("q", "v") / (F.col("qn") * F.col("vn"))).alias("similarity"))
+    spark = vectors.sparkSession
+    buckets = max(BUCKETS, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    corpus = _blocks(vectors, key, vector, CORPUS_BLOCK).withColumn("bucket", F.pmod(F.xxhash64("block"), F.lit(buckets)).cast("int"))
+    asked = _blocks(queries, query_key, vector, QUERY_BLOCK).select(F.col("keys").alias("q_keys"), F.col("dim").alias("q_dim"), F.col("data").alias("q_data"), F.explode(F.sequence(F.lit(0), F.lit(buckets - 1))).alias("bucket"))
+    met = corpus.join(asked, "bucket").where("dim = q_dim")
+
+    def compare(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            for r in f.itertuples():
+                keys, q_keys = np.asarray(r.keys), np.asarray(r.q_keys)
+                sims = np.round(np.frombuffer(r.q_data).reshape(-1, r.dim) @ np.frombuffer(r.data).reshape(-1, r.dim).T, 9)
+                order = np.argsort(keys, kind="stable")  # equal similarities in order of their keys
+                keys, sims = keys[order], sims[:, order]
+                best = np.argsort(-sims, axis=1, kind="stable")[:, :k]
+                yield pd.DataFrame({query_key: np.repeat(q_keys, best.shape[1]), key: keys[best].ravel(), "similarity": np.take_along_axis(sims, best, 1).ravel()})
+
+    kinds = f"{query_key} {dict(queries.dtypes)[query_key]}, {key} {dict(vectors.dtypes)[key]}, similarity double"
+    pairs = met.select("keys", "dim", "data", "q_keys", "q_data").mapInPandas(compare, kinds)
     return top(pairs, [query_key], [F.desc(F.round("similarity", 9)), F.col(key)], k)
 
 
@@ -142,19 +191,66 @@ def corrective(first: DataFrame, second: DataFrame, settings: Settings = DEFAULT
 
 
 def containment(docs: DataFrame, passages: DataFrame, key: str = "id", passage_key: str = "query_id") -> DataFrame:
-    """passage_key, key of the documents that contain a passage as a substring.
+    """passage_key, key of the documents that contain a passage as a substring; empty passages are in none.
 
-    A passage of five words or more has its words two to four in each such document, next to each other and whole, so
-    that triple is an equi-join key and the substring test runs on few pairs. Shorter passages are few and meet all.
+    A passage has an anchor that each such document has: of five words or more, words two to four, whole and next to each
+    other; of three or four words, the second, whole; of fewer, its first characters, up to three. Hashes of the
+    documents' anchors meet those of the passages in equi-joins, and only then, by key, the texts to be compared.
     """
     words = F.split(F.col("p_text"), "\\s+")
-    asked = passages.select(F.col(passage_key), F.col("text").alias("p_text")).where("p_text <> ''")
-    long = asked.where(F.size(words) >= 5).withColumn("anchor", F.concat_ws(" ", F.slice(words, 2, 3)))
-    w = F.col("w")
+    asked = passages.select(F.col(passage_key), F.col("text").alias("p_text")).where("p_text <> ''").withColumn("w", words).withColumn("n", F.size("w"))
+    asked = asked.withColumn("kind", F.when(F.col("n") >= 5, 4).when(F.col("n") >= 3, 0).otherwise(F.least(F.length("p_text"), F.lit(3))))
+    anchor = F.when(F.col("kind") == 4, F.concat_ws(" ", F.slice("w", 2, 3))).when(F.col("kind") == 0, F.get("w", F.lit(1))).otherwise(F.substring("p_text", F.lit(1), F.col("kind")))
+    asked = asked.select(passage_key, "p_text", "kind", F.xxhash64(anchor).alias("anchor"))
+
+    def found(kind: int, anchors: Column) -> DataFrame:
+        """Candidates whose anchors come from this array of strings of a document's text."""
+        spread = docs.select(key, F.explode(F.array_distinct(F.transform(anchors, lambda x: F.xxhash64(x)))).alias("anchor"))
+        return spread.join(asked.where(F.col("kind") == kind).select(passage_key, "anchor"), "anchor").select(passage_key, key)
+
+    w = F.split(F.col("text"), "\\s+")
     later = lambda n: F.slice(w, n, F.size(w))
-    near = F.zip_with(F.zip_with(w, later(2), lambda x, y: F.concat_ws(" ", x, y)), later(3), lambda x, y: F.concat_ws(" ", x, y))
-    split = docs.select(key, "text", F.split(F.col("text"), "\\s+").alias("w"))
-    spread = split.select(key, "text", F.explode(F.array_distinct(near)).alias("anchor")).join(long, "anchor")
-    found = spread.where(F.expr("contains(text, p_text)")).select(passage_key, key).distinct()
-    short = docs.select(key, "text").join(asked.where(F.size(words) < 5), F.expr("contains(text, p_text)")).select(passage_key, key)
-    return found.unionByName(short)
+    triples = F.zip_with(F.zip_with(w, later(2), lambda x, y: F.concat_ws(" ", x, y)), later(3), lambda x, y: F.concat_ws(" ", x, y))
+    cut = lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.length("text") - n + 1, F.lit(1))), lambda i: F.substring("text", i, F.lit(n)))
+    near = found(4, triples).unionByName(found(0, w))
+    for n in (1, 2, 3):
+        near = near.unionByName(found(n, cut(n)))
+    met = near.distinct().join(asked.select(passage_key, "p_text"), passage_key)
+    return docs.select(key, "text").join(met, key).where(F.expr("contains(text, p_text)")).select(passage_key, key).distinct()
+
+
+class IndexCache:
+    """Inverted indexes kept for (revision of the corpus, scope), so that searches of one corpus share the tokens they cut.
+
+    A scope is a list of document ids, in any order; an empty one, or none, is the whole corpus. The newest `most` indexes
+    stay in the executors' memory and disk; older ones, and those of other revisions, are given back when a new one is
+    built, and all of them by clear().
+    """
+
+    def __init__(self, most: int = 4):
+        self.most, self.built = most, 0
+        self.held: dict[tuple[int, str], tuple[DataFrame, DataFrame, DataFrame]] = {}
+
+    @staticmethod
+    def key(revision: int, scope: list | None) -> tuple[int, str]:
+        return revision, ",".join(sorted(map(str, scope))) if scope else "*"
+
+    def index(self, chunks: DataFrame, revision: int, scope: list | None = None, key: str = "id", doc: str = "doc_id") -> tuple[DataFrame, DataFrame, DataFrame]:
+        """postings() of the chunks in the scope, built once for a revision."""
+        at = self.key(revision, scope)
+        if at not in self.held:
+            for old in [x for x in self.held if x[0] != revision] + list(self.held)[: max(0, len(self.held) - self.most + 1)]:
+                self.drop(old)
+            rows = chunks.where(F.col(doc).isin(*scope)) if scope else chunks
+            tf, df, stats = postings(rows, key)
+            self.held[at] = (tf.persist(), df.persist(), stats.persist())
+            self.built += 1
+        return self.held[at]
+
+    def drop(self, at: tuple[int, str]) -> None:
+        for table in self.held.pop(at, ()):
+            table.unpersist()
+
+    def clear(self) -> None:
+        for at in list(self.held):
+            self.drop(at)

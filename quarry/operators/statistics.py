@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -12,6 +13,10 @@ from pyspark.sql.types import DoubleType
 
 # Fixed value: the 97.5 % point of the normal distribution.
 Z = 1.959963985
+#: Modulus and factors of the bootstrap's draws; rounds in a row dealt to a task; draws in its memory at once.
+DRAW_PRIME, DRAW_SEED, DRAW_ROUND, DRAW_STEP, ROUND_BLOCK, DRAWS_AT_ONCE = 2147483647, 1013904223, 1640531527, 69069, 250, 1 << 18
+#: Discordant pairs from which McNemar's test takes the corrected chi-square.
+EXACT_PAIRS = 25
 
 
 def mcnemar(b: Column, c: Column) -> Column:
@@ -27,6 +32,13 @@ def mcnemar(b: Column, c: Column) -> Column:
     return F.when(b == c, 1.0).otherwise(F.least(F.lit(1.0), 2 * total))
 
 
+def mcnemar_switched(b: Column, c: Column) -> Column:
+    """Exact below EXACT_PAIRS discordant pairs, from there the chi-square with continuity correction; null without any."""
+    n = (b + c).cast("double")
+    z = F.greatest(F.lit(0.0), F.abs(b - c) - 1) / F.nullif(F.sqrt(n), F.lit(0.0))
+    return F.when(n > 0, F.when(n < EXACT_PAIRS, mcnemar(b, c)).otherwise(normal_tail(z)))
+
+
 def wilson(k: Column, n: Column) -> tuple[Column, Column]:
     """Wilson interval of k in n, which may be fractional; (0, 1) without trials."""
     p, z2 = k / F.nullif(n, F.lit(0)), Z * Z
@@ -34,20 +46,61 @@ def wilson(k: Column, n: Column) -> tuple[Column, Column]:
     return F.when(n <= 0, 0.0).otherwise(F.greatest(F.lit(0.0), mid - half)), F.when(n <= 0, 1.0).otherwise(F.least(F.lit(1.0), mid + half))
 
 
-def bootstrap(diffs: DataFrame, by: list[str], rounds: int = 200, seed: int = 42) -> DataFrame:
-    """by, mean, lo, hi: percentile interval of the mean of diffs(by, diff) over resamples.
+def drawn(n: int, rounds: np.ndarray, seed: int) -> np.ndarray:
+    """Positions below n that the resamples `rounds` draw: one row of n positions for each.
 
-    Resample r draws as position i the difference at md5(seed|r|i) mod n: repeatable on any cluster. Positions meet rounds
-    by expanding each row, and a draw is an equi-join on the position drawn.
+    Draw i of round r is x ** 5 mod P mod n with x = seed + A r + B i mod P: powers of five permute the residues of this
+    prime, in whole numbers of 64 bits, so that any engine draws the same.
     """
-    order = Window.partitionBy(*by).orderBy("id")
-    rows = diffs.withColumn("i", F.row_number().over(order) - 1).withColumn("n", F.count("*").over(Window.partitionBy(*by)))
-    word = F.substring(F.md5(F.concat_ws("|", F.lit(seed), "r", "i").cast("binary")), 1, 8)
-    draws = rows.select(*by, "i", "n", F.explode(F.sequence(F.lit(0), F.lit(rounds - 1))).alias("r")).withColumn("at", F.pmod(F.conv(word, 16, 10).cast("long"), F.col("n")))
-    drawn = draws.select(*by, "r", F.col("at").alias("i")).join(rows.select(*by, "i", "diff"), [*by, "i"])
-    means = drawn.groupBy(*by, "r").agg(F.avg("diff").alias("m"))
-    bounds = means.groupBy(*by).agg(F.percentile("m", 0.025).alias("lo"), F.percentile("m", 0.975).alias("hi"))
-    return diffs.groupBy(*by).agg(F.avg("diff").alias("mean")).join(bounds, by)
+    x = (np.int64(seed * DRAW_SEED) + DRAW_ROUND * rounds.astype(np.int64)[:, None] + DRAW_STEP * np.arange(n, dtype=np.int64)) % DRAW_PRIME
+    y = x * x % DRAW_PRIME
+    return y * y % DRAW_PRIME * x % DRAW_PRIME % n
+
+
+def means_of(values: np.ndarray) -> np.ndarray:
+    """Mean of each row; sums are rounded to nine digits, so that their order does not show."""
+    return np.round(values.sum(1), 9) / values.shape[1]
+
+
+STATISTICS = {"mean": means_of, "median": lambda values: np.median(values, axis=1)}
+
+
+def bootstrap(diffs: DataFrame, by: list[str], stat: str | Callable[[np.ndarray], float] = "mean", rounds: int = 10_000, confidence: float = 0.95, seed: int = 42) -> DataFrame:
+    """by, point, lo, hi: percentile interval of a statistic of diffs(by, id, diff) over resamples, by linear interpolation.
+
+    stat is "mean", "median" or a function of an array. The differences of a group are one array in order of id (one row
+    of an evaluation set each); the rounds are dealt over tasks in blocks that all hold it, and draws never leave their
+    task. Null differences are left out; no differences at all give no row, or 0, 0, 0 if `by` is empty.
+    """
+    if not 0 < confidence < 1 or rounds < 1:
+        raise ValueError(f"confidence must be in (0, 1) and rounds at least 1, got {confidence} and {rounds}")
+    if not callable(stat) and stat not in STATISTICS:
+        raise ValueError(f"unknown statistic {stat!r}")
+    of = STATISTICS[stat] if isinstance(stat, str) else lambda values: np.array([stat(v) for v in values])
+    rows = diffs.where("diff is not null").groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("id", F.col("diff").cast("double").alias("diff")))).alias("v"))
+    last = -(-rounds // ROUND_BLOCK) - 1
+    blocks = rows.select(*by, F.transform("v", lambda x: x["diff"]).alias("v"), F.explode(F.sequence(F.lit(-1), F.lit(last))).alias("block"))
+    blocks = blocks.repartition(min(last + 1, diffs.sparkSession.sparkContext.defaultParallelism * 4), *by, "block")
+
+    def draw(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """The statistic of every round of a block; block -1 is the differences themselves."""
+        for f in frames:
+            for at, (v, block) in enumerate(zip(f["v"], f["block"], strict=True)):
+                v = np.asarray(v, float)
+                if block < 0:
+                    out = of(v[None, :]) if len(v) else np.zeros(1)
+                elif not len(v):
+                    out = np.zeros(1)
+                else:
+                    r = np.arange(block * ROUND_BLOCK, min((block + 1) * ROUND_BLOCK, rounds))
+                    step = max(1, DRAWS_AT_ONCE // len(v))
+                    out = np.concatenate([of(v[drawn(len(v), r[k : k + step], seed)]) for k in range(0, len(r), step)])
+                yield pd.DataFrame({**{c: [f[c].iloc[at]] * len(out) for c in by}, "own": block < 0, "m": out})
+
+    keys = "".join(f"`{c}` {rows.schema[c].dataType.simpleString()}, " for c in by)
+    means = blocks.mapInPandas(draw, f"{keys}own boolean, m double")
+    alpha, drawn_m = (1 - confidence) / 2, F.when(~F.col("own"), F.col("m"))
+    return means.groupBy(*by).agg(F.max(F.when(F.col("own"), F.col("m"))).alias("point"), F.percentile(drawn_m, alpha).alias("lo"), F.percentile(drawn_m, 1 - alpha).alias("hi"))
 
 
 @F.pandas_udf(DoubleType())
@@ -124,10 +177,10 @@ def paired(results: DataFrame, value: str, arm: str, base: str) -> DataFrame:
     return side(arm, "arm").join(side(base, "base").drop("qtype"), ["scenario_id", "question_id"]).withColumn("diff", F.col("arm") - F.col("base"))
 
 
-def discordant(pairs: DataFrame, by: list[str], threshold: float | None = None) -> DataFrame:
-    """by, b, c, p: pairs won and lost (graded, or at a threshold) and the McNemar p."""
+def discordant(pairs: DataFrame, by: list[str], threshold: float | None = None, test: Callable[[Column, Column], Column] = mcnemar) -> DataFrame:
+    """by, b, c, p: pairs won and lost (graded, or at a threshold) and the p of the test on them."""
     a, z = (F.col("arm"), F.col("base")) if threshold is None else ((F.col("arm") >= threshold).cast("int"), (F.col("base") >= threshold).cast("int"))
-    return pairs.groupBy(*by).agg(F.count_if(a > z).alias("b"), F.count_if(a < z).alias("c")).withColumn("p", mcnemar(F.col("b"), F.col("c")))
+    return pairs.groupBy(*by).agg(F.count_if(a > z).alias("b"), F.count_if(a < z).alias("c")).withColumn("p", test(F.col("b"), F.col("c")))
 
 
 def cohen_h(p1: Column, p2: Column) -> Column:

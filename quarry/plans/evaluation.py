@@ -182,12 +182,34 @@ def a21_token_accounting(t: Tables):
     return o.join(d, "id", "left").select("id", (F.coalesce(F.col("usage")["prompt_tokens"], F.lit(0)) + spent).alias("prompt_tokens"))
 
 
-@query("select qtype, case when correctness >= 0.5 then 'win' else 'loss' end as outcome, count(*) as n, count_if(sufficiency_p < 0.6) as retried, count_if(winner = 'traditional') as lost_pairs, list(question_id order by seq)[1:3] as examples from {results} where mode = 'hybrid' and correctness is not null group by all")
+_BOTH = "select h.scenario_id, h.question_id, h.qtype, a.correctness as trad, h.correctness as hyb, a.abstention as trad_abstention, h.abstention as hyb_abstention, coalesce(h.sufficiency_p < 0.6, false) as retried, h.seq from {results} h join {results} a on a.scenario_id = h.scenario_id and a.question_id = h.question_id and a.mode = 'traditional' and h.mode = 'hybrid' where a.error is null and h.error is null and a.correctness is not null and h.correctness is not null"
+
+
+def _both(t: Tables) -> DataFrame:
+    ok = t.results.where("error is null and correctness is not null")
+    a = ok.where("mode = 'traditional'").select("scenario_id", "question_id", F.col("correctness").alias("trad"), F.col("abstention").alias("trad_abstention"))
+    h = ok.where("mode = 'hybrid'").select("scenario_id", "question_id", "qtype", F.col("correctness").alias("hyb"), F.col("abstention").alias("hyb_abstention"), F.coalesce(F.col("sufficiency_p") < 0.6, F.lit(False)).alias("retried"), "seq")
+    return h.join(a, ["scenario_id", "question_id"])
+
+
+@query(f"select scenario_id, question_id, qtype, case when hyb < trad then 'loss' else 'win' end as outcome, trad, hyb, trad_abstention, hyb_abstention, retried, seq % 6 = 1 as conflict_flagged from ({_BOTH}) where hyb <> trad")
 def a22_loss_taxonomy(t: Tables):
-    r = t.results.where("mode = 'hybrid' and correctness is not null").withColumn("outcome", F.when(F.col("correctness") >= 0.5, "win").otherwise("loss"))
-    nth = r.withColumn("nth", F.row_number().over(st.Window.partitionBy("qtype", "outcome").orderBy("seq")))
-    few = F.array_sort(F.collect_list(F.when(F.col("nth") <= 3, F.struct("seq", "question_id"))))
-    return nth.groupBy("qtype", "outcome").agg(F.count("*").alias("n"), F.count_if(F.col("sufficiency_p") < 0.6).alias("retried"), F.count_if(F.col("winner") == "traditional").alias("lost_pairs"), F.transform(few, lambda x: x["question_id"]).alias("examples"))
+    """Every question that one arm wins, with its details."""
+    b = _both(t).where("hyb <> trad")
+    return b.select("scenario_id", "question_id", "qtype", F.when(F.col("hyb") < F.col("trad"), "loss").otherwise("win").alias("outcome"), "trad", "hyb", "trad_abstention", "hyb_abstention", "retried", (F.col("seq") % 6 == 1).alias("conflict_flagged"))
+
+
+_STEPS = "select o_orderkey as id, case l_linenumber % 4 when 0 then 'battery' when 1 then 'citations' when 2 then 'effort' else 'select_best' end as name, case when l_linenumber % 4 = 0 then case l_partkey % 4 when 0 then 'drop_injection' when 1 then 'drop_evidence' when 2 then 'conflict' else 'keep' end when l_linenumber % 4 = 1 then case l_partkey % 3 when 0 then 'supports' when 1 then 'contradicts' else 'says_nothing' end when l_linenumber % 4 = 2 then case when l_partkey % 2 = 0 then 'low' else 'high' end else 'a' end as answer from {lineitem} join {orders} on l_orderkey = o_orderkey"
+_KINDS = "case when name = 'battery' then case when contains(answer, 'drop') then case when contains(answer, 'injection') then 'injection_drop' else 'evidence_drop' end when contains(answer, 'conflict') then 'conflict_flag' end else answer end"
+
+
+@query(f"with s as ({_STEPS}), b as ({_BOTH}), m as (select qtype, case when hyb < trad then 'loss' when hyb > trad then 'win' else 'tie' end as outcome, name, {_KINDS} as kind, retried, s.id from b join s on s.id = b.seq) select qtype, outcome, name, kind, count(*) as n, count(distinct id) as questions, count(distinct case when retried then id end) as retried from m where kind is not null group by all")
+def a22_decision_totals(t: Tables):
+    """Battery drops and conflicts, citation verdicts, efforts and best-of picks of the questions, by outcome."""
+    steps = t.sql(_STEPS)
+    b = _both(t).withColumn("outcome", F.when(F.col("hyb") < F.col("trad"), "loss").when(F.col("hyb") > F.col("trad"), "win").otherwise("tie"))
+    m = b.join(steps, F.col("seq") == F.col("id")).withColumn("kind", F.expr(_KINDS)).where("kind is not null")
+    return m.groupBy("qtype", "outcome", "name", "kind").agg(F.count("*").alias("n"), F.count_distinct("id").alias("questions"), F.count_distinct(F.when(F.col("retried"), F.col("id"))).alias("retried"))
 
 
 _STABLE = "select l_orderkey as id, l_linenumber % 3 as variant, list_sort(list_distinct(list(l_suppkey % 4))) as files from {lineitem} group by 1, 2"
@@ -277,15 +299,32 @@ def t2_wilson_interval(t: Tables):
     return rounded(c.select("nation", "p", lo.alias("lo"), hi.alias("hi")))
 
 
-_BOOT = f"""d as (select scenario_id, diff, row_number() over (partition by scenario_id order by question_id) - 1 as i, count(*) over (partition by scenario_id) as n from ({_PAIRED})),
- w as (select scenario_id, r, i, n, cast('0x' || substr(md5(concat_ws('|', 42, r, i)), 1, 8) as bigint) % n as at from d, (select unnest(range(100)) as r)), m as (select w.scenario_id, r, avg(d.diff) as m from w join d on d.scenario_id = w.scenario_id and d.i = w.at group by all),
- bo as (select scenario_id, quantile_cont(m, 0.025) as lo, quantile_cont(m, 0.975) as hi from m group by 1)"""
+_ROUNDS = 10_000
+
 
+def boot_sql(pairs: str, by: str, stat: str = "mean") -> str:
+    """CTEs that end in bo(by, point, lo, hi): the draws of statistics.bootstrap over pairs(by, id, diff)."""
+    p = st.DRAW_PRIME
+    x = f"({42 * st.DRAW_SEED} + {st.DRAW_ROUND}::bigint * r + {st.DRAW_STEP}::bigint * i) % {p}"
+    of = {"mean": "round(list_sum({v}), 9) / len({v})", "median": "list_aggregate({v}, 'median')"}[stat]
+    return f"""bd as (select {by}, list(diff order by id) as v from ({pairs}) where diff is not null group by all),
+ bx as (select {by}, v, r, list_transform(list_transform(range(len(v)), lambda i: {x}), lambda y: v[((((y * y % {p}) * (y * y % {p})) % {p}) * y % {p}) % len(v) + 1]) as w from bd, (select unnest(range({_ROUNDS}::bigint)) as r)),
+ bm as (select {by}, {of.format(v="w")} as m from bx), bo as (select {by}, any_value(point) as point, quantile_cont(m, 0.025) as lo, quantile_cont(m, 0.975) as hi from bm join (select {by} as {by}_, {of.format(v="v")} as point from bd) on {by} = {by}_ group by {by})"""
 
-@query(f"with {_BOOT} select bo.scenario_id, round((select avg(diff) from d where d.scenario_id = bo.scenario_id), 6) as mean, round(lo, 6) as lo, round(hi, 6) as hi from bo")
+
+_BY_SCENARIO = f"select scenario_id, question_id as id, diff from ({_PAIRED})"
+
+
+@query(f"with {boot_sql(_BY_SCENARIO, 'scenario_id')} select scenario_id, round(point, 6) as point, round(lo, 9) as lo, round(hi, 9) as hi from bo")
 def t4_paired_bootstrap(t: Tables):
-    d = pairs(t).select("scenario_id", F.col("question_id").alias("id"), "diff")
-    return rounded(st.bootstrap(d, ["scenario_id"], rounds=100))
+    b = st.bootstrap(pairs(t).select("scenario_id", F.col("question_id").alias("id"), "diff"), ["scenario_id"], rounds=_ROUNDS)
+    return b.select("scenario_id", F.round("point", 6).alias("point"), F.round("lo", 9).alias("lo"), F.round("hi", 9).alias("hi"))
+
+
+@query(f"with {boot_sql('select o_orderpriority as grp, o_orderkey as id, o_totalprice % 997 - 498 as diff from {orders} where o_orderkey % 200 = 0', 'grp', 'median')} select grp, round(point, 6) as point, round(lo, 6) as lo, round(hi, 6) as hi from bo")
+def t4_median_bootstrap(t: Tables):
+    d = t.orders.where("o_orderkey % 200 = 0").select(F.col("o_orderpriority").alias("grp"), F.col("o_orderkey").alias("id"), (F.col("o_totalprice") % 997 - 498).alias("diff"))
+    return rounded(st.bootstrap(d, ["grp"], "median", _ROUNDS))
 
 
 _WIL = f"""d as (select scenario_id, diff, round(abs(diff), 12) as a from ({_PAIRED}) where diff <> 0), r as (select *, rank() over (partition by scenario_id order by a) + (count(*) over (partition by scenario_id, a) - 1) / 2 as rk, count(*) over (partition by scenario_id, a) as t from d),
@@ -317,11 +356,23 @@ def t7_hypothesis_grid(t: Tables):
     return q.groupBy("grid").agg(F.count("*").alias("n"), F.count_if(F.col("p") < 0.05).alias("raw"), F.count_if(F.col("q") < 0.05).alias("adjusted"))
 
 
-@query(f"select qtype, b, c, round({_MCN}, 6) as p, w, ties, round((w + 0.5 * ties) / n, 6) as win_rate from (select qtype, count_if(arm >= 0.75 and base < 0.75) as b, count_if(arm < 0.75 and base >= 0.75) as c, count_if(arm > base) as w, count_if(arm = base) as ties, count(*) as n from ({_PAIRED}) group by 1)")
+#: Two-sided normal tail in DuckDB: erfc(z / sqrt 2) by its series below 3, by its continued fraction from there.
+_FRACTION = "{z}"
+for _k in range(24, 0, -1):
+    _FRACTION = f"({{z}} + {_k} / {_FRACTION})"
+_TAIL = "(case when {z} < 3 then 1 - 2 / sqrt(pi()) * list_sum(list_transform(range(60), lambda k: pow(-1, k) * pow({z} / sqrt(2), 2 * k + 1) / (gamma(k + 1) * (2 * k + 1)))) else 2 * exp(-{z} * {z} / 2) / sqrt(2 * pi()) / " + _FRACTION + " end)"
+_SWITCHED = f"case when b + c > 0 then case when b + c < 25 then {_MCN} else {_TAIL.format(z='z')} end end"
+_QTYPE_BOOT = boot_sql(f"select qtype, scenario_id || question_id as id, diff from ({_PAIRED})", "qtype")
+
+
+@query(f"with {_QTYPE_BOOT}, k as (select qtype, cut, count_if(arm >= cut and base < cut) as b, count_if(arm < cut and base >= cut) as c, count_if(arm > base) as w, count_if(arm = base) as ties, count(*) as n from ({_PAIRED}), (values (0.5), (0.75)) v(cut) group by all), z as (select *, greatest(0, abs(b - c) - 1) / sqrt(b + c) as z from k) select qtype, cut::double as cut, b, c, round({_SWITCHED}, 6) as p, w, ties, round((w + 0.5 * ties) / n, 6) as win_rate, round(point, 6) as delta, round(lo, 6) as lo, round(hi, 6) as hi from z join bo using (qtype)")
 def t13_binary_tests(t: Tables):
     p = pairs(t)
     wins = p.groupBy("qtype").agg(F.count_if(F.col("arm") > F.col("base")).alias("w"), F.count_if(F.col("arm") == F.col("base")).alias("ties"), F.count("*").alias("n"))
-    return rounded(st.discordant(p, ["qtype"], 0.75).join(wins, "qtype").select("qtype", "b", "c", "p", "w", "ties", ((F.col("w") + 0.5 * F.col("ties")) / F.col("n")).alias("win_rate")))
+    boot = st.bootstrap(p.select("qtype", F.concat("scenario_id", "question_id").alias("id"), "diff"), ["qtype"], rounds=_ROUNDS).withColumnRenamed("point", "delta")
+    cuts = [st.discordant(p, ["qtype"], x, st.mcnemar_switched).withColumn("cut", F.lit(x)) for x in (0.5, 0.75)]
+    both = cuts[0].unionByName(cuts[1]).join(wins, "qtype").join(boot, "qtype")
+    return rounded(both.select("qtype", "cut", "b", "c", "p", "w", "ties", ((F.col("w") + 0.5 * F.col("ties")) / F.col("n")).alias("win_rate"), "delta", "lo", "hi"))
 
 
 @query("with r as (select mode, rank() over (partition by mode order by tokens_out) + (count(*) over (partition by mode, tokens_out) - 1) / 2 as rx, rank() over (partition by mode order by correctness) + (count(*) over (partition by mode, correctness) - 1) / 2 as ry from {results} where correctness is not null) select mode, round(corr(rx, ry), 6) as rho from r group by mode")
@@ -329,26 +380,31 @@ def t14_verbosity_probe(t: Tables):
     return rounded(st.spearman(t.results, "tokens_out", "correctness", ["mode"]))
 
 
-@query(f"with c as (select scenario_id, qtype, count_if(arm > base) as b, count_if(arm < base) as c, avg(diff) as delta from ({_PAIRED}) group by all), p as (select *, {_MCN} as p from c), r as (select *, row_number() over (partition by qtype order by p, scenario_id) as k, count(*) over (partition by qtype) as m from p) select scenario_id, qtype, b, c, round(delta, 6) as delta, round(p, 6) as p, round(least(1, min(p * m / k) over (partition by qtype order by k rows between current row and unbounded following)), 6) as q from r")
+_GROUP_BOOT = boot_sql(f"select scenario_id || '/' || qtype as grp, question_id as id, diff from ({_PAIRED})", "grp")
+
+
+@query(f"with {_GROUP_BOOT}, c as (select scenario_id, qtype, count_if(arm > base) as b, count_if(arm < base) as c from ({_PAIRED}) group by all), p as (select *, {_MCN} as p from c), r as (select *, row_number() over (partition by qtype order by p, scenario_id) as k, count(*) over (partition by qtype) as m from p) select scenario_id, qtype, b, c, round(p, 6) as p, round(least(1, min(p * m / k) over (partition by qtype order by k rows between current row and unbounded following)), 6) as q, round(point, 6) as delta, round(lo, 6) as lo, round(hi, 6) as hi from r join bo on grp = scenario_id || '/' || qtype")
 def t15_paired_tests(t: Tables):
     p = pairs(t)
-    d = p.groupBy("scenario_id", "qtype").agg(F.avg("diff").alias("delta"))
-    tests = st.discordant(p, ["scenario_id", "qtype"]).join(d, ["scenario_id", "qtype"]).withColumn("name", F.col("scenario_id"))
-    return rounded(st.false_discovery(tests, ["qtype"]).drop("name"))
+    boot = st.bootstrap(p.select("scenario_id", "qtype", F.col("question_id").alias("id"), "diff"), ["scenario_id", "qtype"], rounds=_ROUNDS).withColumnRenamed("point", "delta")
+    tests = st.discordant(p, ["scenario_id", "qtype"]).withColumn("name", F.col("scenario_id"))
+    return rounded(st.false_discovery(tests, ["qtype"]).drop("name").join(boot, ["scenario_id", "qtype"]))
 
 
 @query(f"""with gold as (select distinct query_id, filename from {{kept}} where chunk % 3 = 0), g as (select query_id, count(*) as g from gold group by 1),
  r as (select query_id, filename, rank, row_number() over (partition by query_id order by rerank_score desc nulls last, rank) as rank2 from {{kept}}),
  h as (select query_id, count(distinct case when rank <= 4 then filename end) as base, count(distinct case when rank2 <= 4 then filename end) as arm from r semi join gold using (query_id, filename) group by 1),
- m as (select coalesce(base, 0) / g as base, coalesce(arm, 0) / g as arm from g left join h using (query_id)),
- k as (select count_if(arm >= 1 and base < 1) as b, count_if(arm < 1 and base >= 1) as c, avg(arm - base) as delta from m) select 'all' as "group", b, c, round({_MCN}, 6) as p, round(delta, 6) as delta from k""")
+ m as (select query_id, coalesce(base, 0) / g as base, coalesce(arm, 0) / g as arm from g left join h using (query_id)),
+ {boot_sql("select 'all' as grp, query_id as id, arm - base as diff from m", "grp")},
+ k as (select count_if(arm >= 1 and base < 1) as b, count_if(arm < 1 and base >= 1) as c from m) select 'all' as "group", b, c, round({_MCN}, 6) as p, round(point, 6) as delta, round(lo, 6) as lo, round(hi, 6) as hi from k, bo""")
 def t16_layer_comparison(t: Tables):
     gold = t.kept.where("chunk % 3 = 0")
     base = ev.retrieval_metrics(t.kept.select("query_id", "rank", "filename"), gold).select("query_id", F.col("recall4").alias("base"))
     by_score = st.Window.partitionBy("query_id").orderBy(F.desc_nulls_last("rerank_score"), "rank")
     arm = ev.retrieval_metrics(t.kept.select("query_id", F.row_number().over(by_score).alias("rank"), "filename"), gold).select("query_id", F.col("recall4").alias("arm"))
     both = arm.join(base, "query_id").withColumn("group", F.lit("all"))
-    return rounded(st.discordant(both, ["group"], 1.0).join(both.groupBy("group").agg(F.avg(F.col("arm") - F.col("base")).alias("delta")), "group"))
+    boot = st.bootstrap(both.select("group", F.col("query_id").alias("id"), (F.col("arm") - F.col("base")).alias("diff")), ["group"], rounds=_ROUNDS).withColumnRenamed("point", "delta")
+    return rounded(st.discordant(both, ["group"], 1.0).join(boot, "group"))
 
 
 @query()

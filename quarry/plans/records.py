@@ -289,7 +289,7 @@ def j10_citation_lookup(t: Tables):
     return t.verdicts.join(k, "answer_id", "left").select("answer_id", "label", F.coalesce("filename", F.lit("")).alias("filename"))
 
 
-_COST = "round(tokens_in / 1e6 * p.pin + tokens_out / 1e6 * p.pout, 6)"
+_COST = "floor((tokens_in * round(p.pin * 10000)::bigint + tokens_out * round(p.pout * 10000)::bigint + 5000) / 10000) / 1e6"
 _PRICES = ", ".join(f"('{m}', {a}::double, {b}::double)" for m, (a, b) in PRICES.items())
 
 
@@ -421,9 +421,10 @@ def l4_merge_counters(t: Tables):
     return ru.merge_counters(d, ru.merged_results(d, t.runs.select("run_id", "status")))
 
 
-@query("select run_id, list_sort(list(mode)) as arms from (select distinct run_id, mode from {results}) group by run_id")
+@query("select run_id, list(mode order by seq, mode) as arms from (select run_id, mode, min(seq) as seq from {results} group by all) group by run_id")
 def l5_arms_observed(t: Tables):
-    return t.results.groupBy("run_id").agg(F.array_sort(F.collect_set("mode")).alias("arms"))
+    first = t.results.groupBy("run_id", "mode").agg(F.min("seq").alias("seq"))
+    return first.groupBy("run_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("seq", "mode"))), lambda x: x["mode"]).alias("arms"))
 
 
 @query("select (sum(least(n, 900)) * 2)::bigint as total from (select scenario_id, count(distinct question_id) as n from {results} group by 1)")

@@ -33,6 +33,6 @@ class Settings:
     min_interval_s: float = 1.5
 
 
-#: USD per million tokens, (input, output).
-PRICES = {"large": (0.50, 3.00), "small": (0.32, 1.28)}
+#: Example prices in USD per million tokens, (input, output); callers pass their own.
+PRICES = {"small": (0.10, 0.40), "large": (1.25, 5.00)}
 DEFAULT = Settings()

@@ -3,6 +3,7 @@
 import math
 from itertools import pairwise
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -107,11 +108,34 @@ def test_false_discovery_textbook(spark):
 
 def test_bootstrap_is_repeatable(spark):
     d = spark.createDataFrame([("g", i, float(i % 5) - 1) for i in range(40)], "g string, id int, diff double")
-    a = st.bootstrap(d, ["g"], 50).first()
+    a = st.bootstrap(d, ["g"], rounds=500).first()
     spark.conf.set("spark.sql.shuffle.partitions", "7")
-    b = st.bootstrap(d.repartition(5), ["g"], 50).first()
+    b = st.bootstrap(d.repartition(5), ["g"], rounds=500).first()
     spark.conf.set("spark.sql.shuffle.partitions", "4")
-    assert (a.lo, a.hi) == (b.lo, b.hi) and a.lo <= a["mean"] <= a.hi
+    assert (a.lo, a.hi) == (b.lo, b.hi) and a.lo <= a.point <= a.hi
+
+
+def test_bootstrap_agrees_with_theory(spark):
+    """The interval of a mean is near the normal one; other statistics and levels are taken; bad ones are refused."""
+    rng = np.random.default_rng(3)
+    v = rng.normal(0.3, 1, 400)
+    d = spark.createDataFrame([("g", i, float(x)) for i, x in enumerate(v)], "g string, id int, diff double")
+    a = st.bootstrap(d, ["g"], rounds=4000).first()
+    half = 1.96 * v.std() / 20
+    assert abs(a.point - v.mean()) < 1e-9 and abs(a.lo - (v.mean() - half)) < 0.01 and abs(a.hi - (v.mean() + half)) < 0.01
+    m = st.bootstrap(d, ["g"], "median", 1000, 0.5).first()
+    assert m.point == np.median(v) and a.lo < m.lo < m.hi < a.hi
+    top = st.bootstrap(d, ["g"], lambda x: float(x.max()), 200).first()
+    assert top.point == top.hi == v.max()
+    empty = st.bootstrap(d.where("id < 0"), [], rounds=10).first()
+    assert (empty.point, empty.lo, empty.hi) == (0, 0, 0)
+    with pytest.raises(ValueError):
+        st.bootstrap(d, ["g"], "mode")
+
+
+def test_mcnemar_switches(spark):
+    got = [one(spark, st.mcnemar_switched(F.col("b"), F.col("c")), b=b, c=c) for b, c in ((0, 0), (8, 1), (20, 10))]
+    assert got[0] is None and abs(got[1] - 0.0390625) < 1e-12 and abs(got[2] - math.erfc(9 / math.sqrt(30) / math.sqrt(2))) < 1e-12
 
 
 def test_roc_and_threshold(spark):
@@ -171,3 +195,41 @@ def test_pieces_cover_the_text():
     got = ch.pieces(text, 100, 20)
     assert all(len(p) <= 100 for p in got) and set(" ".join(got).split()) == set(text.split())
     assert ch.pieces("short", 100, 20) == ["short"]
+
+
+def test_containment_of_short_passages(spark):
+    docs = spark.createDataFrame([(1, "the banana bread is good to eat today"), (2, "an old house"), (3, ""), (4, "x y"), (5, None)], "id int, text string")
+    asked = ["banana bread is good to", "anana", "n old h", "an", "y", "he banana b", "bread is good", "zzz", ""]
+    got = {(r.query_id, r.id) for r in se.containment(docs, spark.createDataFrame(list(enumerate(asked)), "query_id int, text string")).collect()}
+    assert got == {(i, r.id) for i, p in enumerate(asked) for r in docs.collect() if p and r.text and p in r.text}
+
+
+def test_nearest_by_brute_force(spark):
+    rng = np.random.default_rng(5)
+    v = rng.integers(-2, 3, (300, 4)).astype(float)
+    rows = [(i, x.tolist()) for i, x in enumerate(v)] + [(300, None), (301, [1.0, 2.0]), (302, [None, 1.0, 1.0, 1.0])]
+    df = spark.createDataFrame(rows, "id int, embedding array<double>")
+    got = {}
+    for r in se.nearest(df.where("id % 50 = 1").withColumnRenamed("id", "query_id"), df, 5).collect():
+        got.setdefault(r.query_id, {})[r["rank"]] = r.id
+    norm = np.linalg.norm(v, axis=1)
+    for q in range(1, 300, 50):
+        if norm[q]:
+            sims = np.where(norm > 0, np.round(v @ v[q] / np.maximum(norm * norm[q], 1e-9), 9), -9)
+            want = np.lexsort((np.arange(300), -sims))[:5]
+            assert [got[q][k] for k in range(1, 6)] == want.tolist()
+    assert got[301] == {1: 301}
+
+
+def test_index_cache(spark):
+    chunks = spark.createDataFrame([("a", "d1", "red fox"), ("b", "d2", "red dog"), ("c", "d2", "cat")], "id string, doc_id string, text string")
+    cache = se.IndexCache(most=2)
+    first = cache.index(chunks, 1)
+    assert cache.index(chunks, 1, []) is first and cache.built == 1
+    assert cache.index(chunks, 1, ["d2", "d1"]) is cache.index(chunks, 1, ["d1", "d2"]) and cache.built == 2
+    asked = spark.createDataFrame([(1, "red dog")], "query_id int, text string")
+    assert se.bm25(asked, chunks, index=first).collect() == se.bm25(asked, chunks).collect()
+    cache.index(chunks, 2)
+    assert [k[0] for k in cache.held] == [2] and cache.built == 3
+    cache.clear()
+    assert not cache.held

@@ -37,3 +37,8 @@ def test_no_python_on_built_in_paths(spark, name):
 
 def test_top_k_is_cut_before_the_shuffle(spark):
     assert "WindowGroupLimit" in plan(catalog.queries()["r4_bm25_top10"](spark, SF))
+
+
+@pytest.mark.parametrize("name", ["j9_answer_in_evidence", "r6_dense_knn"])
+def test_no_nested_loops_over_texts_or_vectors(spark, name):
+    assert "NestedLoopJoin" not in plan(catalog.queries()[name](spark, SF))
