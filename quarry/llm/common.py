@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import ctypes
-import gc
-import time
+import re
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
+from math import isqrt
 
 import numpy as np
 import pyarrow as pa
@@ -17,8 +18,10 @@ from pyspark.sql import functions as F
 
 #: Words: runs of bytes other than space and 0x09-0x0D, after lower-casing A-Z.
 WORD_PATTERN = "[^\\x20\\x09-\\x0D]+"
-#: Raw text bytes in one block; a longer document makes a block of its own.
-BLOCK_BYTES = 2 << 20
+#: Text bytes that one message from a block to a range stands for; least and most bytes of text in a block (a longer document makes a block of its own).
+MESSAGE, LEAST_BLOCK_BYTES, MOST_BLOCK_BYTES = 16 << 10, 1 << 20, 256 << 20
+#: While tables are written: bytes that go to a Python worker at once, as rows of blocks and sets are large, and shuffle files go with their query.
+STORING = {"spark.sql.execution.arrow.maxBytesPerBatch": str(4 << 20), "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"}
 #: Key ranges of a small corpus; ranges or blocks that a task takes, on average, whatever the session's partitions.
 LEAST_RANGES, RANGES_EACH = 24, 8
 BLOCK_SCHEMA = "block long, bytes long, doc_ids binary, offsets binary, payload binary"
@@ -26,17 +29,45 @@ MIX = np.uint64(0xD6E8FEB86659FD93)
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; /tmp/checkpoints only where the cluster names none."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/checkpoints").rstrip("/")
+    """The folder that driver and executors share: spark.checkpoint.dir. Only local mode, as in tests, has another.
 
-
-def stored(df: DataFrame, tag: str) -> DataFrame:
-    """Write df to the shared folder and read it back: cuts lineage and survives lost executors."""
+    Everything stands below one folder for the application, which the driver's file system deletes when it ends.
+    """
+    top = spark.conf.get("spark.checkpoint.dir", None)
+    if not top:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
+        top = "file:///tmp/checkpoints"
+    root = f"{top.rstrip('/')}/quarry-{spark.sparkContext.applicationId}"
+    path = spark._jvm.org.apache.hadoop.fs.Path(root)
+    files = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    if files.mkdirs(path):
+        files.deleteOnExit(path)
+    return root
+
+
+@contextmanager
+def settings(spark: SparkSession, values: dict[str, str]) -> Iterator[None]:
+    """These settings for a time; then what was there before."""
+    before = {k: spark.conf.get(k, None) for k in values}
+    for k, v in values.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def stored(df: DataFrame, tag: str, *done: DataFrame) -> DataFrame:
+    """Write df to the shared folder and read it back: cuts lineage and survives lost executors. done: stored tables that only df reads."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/quarry-{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
+    with settings(spark, STORING):
+        df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.stored_at = path
+    discard(*done)
     return out
 
 
@@ -47,19 +78,15 @@ def discard(*tables: DataFrame) -> None:
         path.getFileSystem(table.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def release(spark: SparkSession, ranges: int) -> None:
-    """Let Spark drop the shuffle files of stages whose results have been stored; few ranges have little to drop."""
-    if ranges <= LEAST_RANGES:
-        return
-    for _ in range(3):  # references go in one round, the cleaner works in the next
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
-        time.sleep(0.3)
+def block_size(docs: DataFrame) -> int:
+    """Text bytes of a block, and of a range of keys: the square root of corpus times MESSAGE.
 
-
-def small_batches(spark: SparkSession, size: int = 4 << 20) -> None:
-    """Bound the bytes that go to a Python worker at once: rows of blocks and sets are large."""
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(size))
+    Blocks send a message to each range. With both of this size a message stands for MESSAGE bytes of text at any size of
+    the corpus, so that messages grow as the corpus does, up to MOST_BLOCK_BYTES, what a task can hold (about 20 times that).
+    The size of the corpus is the plan's estimate.
+    """
+    known = int(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return int(min(max(isqrt(known * MESSAGE), LEAST_BLOCK_BYTES), MOST_BLOCK_BYTES))
 
 
 def range_count(blocks: DataFrame, range_bytes: int) -> int:
@@ -80,6 +107,15 @@ def give_back() -> None:
         trim(0)
 
 
+def portions(batch: pa.RecordBatch, column: int, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """The batch in slices of about `most` bytes of a text column, one row at least."""
+    lens = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    part = (np.cumsum(lens) - lens) // most
+    cuts = np.flatnonzero(np.diff(part, prepend=-1, append=-1))
+    for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+        yield batch if b - a == batch.num_rows else batch.take(pa.array(np.arange(a, b)))  # a copy: casts of slices go wrong
+
+
 def range_of(keys: np.ndarray, ranges: int) -> np.ndarray:
     """Range of each 64-bit key; it does not fall as keys rise."""
     return ((keys >> np.uint64(32)) * np.uint64(ranges)) >> np.uint64(32)
@@ -189,7 +225,7 @@ def word_hashes(words: pa.Array) -> np.ndarray:
     return mixed(out)
 
 
-def blocks_of(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def blocks_of(docs: DataFrame, block_bytes: int) -> DataFrame:
     """Rows of about block_bytes of text: doc_ids int64, offsets int64, compressed texts. No shuffle; null texts are empty.
 
     Rows with a null doc_id are kept with the smallest long as id, which no other row may use.
@@ -261,6 +297,25 @@ def packed(values: np.ndarray) -> bytes:
     return pa.Codec("zstd", 1).compress(raw.tobytes(), asbytes=True) if raw.nbytes else b""
 
 
+def packed_keys(keys: np.ndarray) -> bytes:
+    """Ascending unsigned keys: the bytes of their differences, all highest ones first, compressed."""
+    steps = np.diff(keys, prepend=np.uint64(0)).view(np.uint8).reshape(-1, 8)
+    return packed(steps.T)
+
+
+def unpacked_keys(data: bytes, n: int) -> np.ndarray:
+    return np.cumsum(np.ascontiguousarray(unpacked(data, np.uint8, 8 * n).reshape(8, n).T).view(np.uint64).ravel(), dtype=np.uint64)
+
+
+def packed_counts(counts: np.ndarray) -> bytes:
+    """Numbers below 2^32, by byte, compressed; larger ones stand as the largest."""
+    return packed(np.minimum(counts, 2**32 - 1).astype(np.uint32).view(np.uint8).reshape(-1, 4).T)
+
+
+def unpacked_counts(data: bytes, n: int) -> np.ndarray:
+    return np.ascontiguousarray(unpacked(data, np.uint8, 4 * n).reshape(4, n).T).view(np.uint32).ravel().astype(np.int64)
+
+
 def unpacked(data: bytes, kind: type, n: int) -> np.ndarray:
     if not n:
         return np.zeros(0, kind)

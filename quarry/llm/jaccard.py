@@ -20,11 +20,11 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarry.llm.common import BLOCK_BYTES, block_texts, blocks_of, dealt, discard, give_back, mixed, opened, packed, range_count, range_of, release, slices, small_batches, stored, unpacked, word_hashes, word_ids
+from quarry.llm.common import block_size, block_texts, blocks_of, dealt, discard, give_back, mixed, opened, packed, packed_counts, packed_keys, range_count, range_of, slices, stored, unpacked, unpacked_counts, unpacked_keys, word_hashes, word_ids
 from quarry.llm.components import connected_components, forest
 
-#: Text bytes for each range of shingles; classes in one side of a search; share of DivideSkip; size merged by a heap.
-RANGE_BYTES, SLICE, SKIP_SHARE, HEAP_SIZE = 4 << 20, 1024, 0.1, 512
+#: Classes in one side of a search; share of DivideSkip; size merged by a heap.
+SLICE, SKIP_SHARE, HEAP_SIZE = 1024, 0.1, 512
 STEP = np.uint64(0x9E3779B97F4A7C15)
 SHIFT = np.uint64(16)
 EMPTY_ID = -(2**63)
@@ -91,7 +91,7 @@ def _send_shingles(width: int, ranges: int):
                 _, off, raw = opened(r.doc_ids, r.offsets, r.payload)
                 keys, times = np.unique(shingle_sets(off, raw, width)[0], return_counts=True)
                 cut = slices(range_of(keys, ranges), ranges)
-                rows = [(q, r.block, cut[q + 1] - cut[q], keys[cut[q] : cut[q + 1]].tobytes(), packed(times[cut[q] : cut[q + 1]])) for q in range(ranges) if cut[q + 1] > cut[q]]
+                rows = [(q, r.block, cut[q + 1] - cut[q], packed_keys(keys[cut[q] : cut[q + 1]]), packed_counts(times[cut[q] : cut[q + 1]])) for q in range(ranges) if cut[q + 1] > cut[q]]
                 yield pd.DataFrame(rows, columns=["r", "block", "n", "keys", "times"])
 
     return send
@@ -101,8 +101,8 @@ def _rank_shingles(f: pd.DataFrame) -> pd.DataFrame:
     """For each block's shingles the power of two below the number of texts that have them."""
     give_back()
     f = f.sort_values("block")
-    key = np.concatenate([np.frombuffer(k, np.uint64) for k in f["keys"]])
-    times = np.concatenate([unpacked(x, np.int64, n) for x, n in zip(f["times"], f["n"], strict=True)])
+    key = np.concatenate([unpacked_keys(k, n) for k, n in zip(f["keys"], f["n"], strict=True)])
+    times = np.concatenate([unpacked_counts(x, n) for x, n in zip(f["times"], f["n"], strict=True)])
     _, inverse = np.unique(key, return_inverse=True)
     total = np.bincount(inverse, weights=times)
     rank = (np.frexp(total)[1] - 1).astype(np.uint8)[inverse]
@@ -357,7 +357,7 @@ def _search(pct: int):
     return search
 
 
-def grouped(docs: DataFrame, width: int = 3, pct: int = 90, range_bytes: int = RANGE_BYTES, block_bytes: int = BLOCK_BYTES, count: bool = False) -> DataFrame:
+def grouped(docs: DataFrame, width: int = 3, pct: int = 90, range_bytes: int | None = None, block_bytes: int | None = None, count: bool = False) -> DataFrame:
     """doc_id, text_md5, n_shingles, group, component_id (and n_links if count) for every row of docs(doc_id, text).
 
     group: the component's own number, 0 without words. n_links: the other rows that the row links with, copies included. A text's set is its distinct shingles of `width` words after lower-casing A-Z; with fewer words the whole sequence is
@@ -366,23 +366,19 @@ def grouped(docs: DataFrame, width: int = 3, pct: int = 90, range_bytes: int = R
     equal sets are linked. A null doc_id is a row like others, comes before all ids, and is given as null. Sets are told
     apart by 64-bit hashes and compared by 48 bits of each shingle's hash. Empty tables give no rows.
     """
-    spark = docs.sparkSession
-    small_batches(spark)
+    block_bytes = block_bytes or block_size(docs)
     blocks = stored(blocks_of(docs, block_bytes), "jaccard-blocks")
-    ranges = range_count(blocks, range_bytes)
+    ranges = range_count(blocks, range_bytes or block_bytes)
     ranks = dealt(blocks.mapInPandas(_send_shingles(width, ranges), COUNT_ROWS), "r", ranges).groupBy("r").applyInPandas(_rank_shingles, RANK_ROWS)
     ranks = stored(ranks, "jaccard-ranks")
-    release(spark, ranges)
     sent = stored(dealt(blocks, "block", ranges).groupBy("block").cogroup(dealt(ranks, "block", ranges).groupBy("block")).applyInPandas(_send_prefixes(width, ranges, pct), POSTING_ROWS), "jaccard-prefixes")
     discard(ranks)
-    release(spark, ranges)
     meta = sent.where("r < 0")
     edges = stored(dealt(sent.where("r >= 0"), "r", ranges).groupBy("r").applyInPandas(_chain(pct), EDGE_ROWS), "jaccard-edges")
     families = connected_components(edges.select("a", "b")).withColumnRenamed("component", "family")
     ends = edges.select(F.col("a").alias("node"), F.struct(F.col("ablock").alias("block"), F.col("adoc").alias("doc")).alias("at")).unionByName(edges.select(F.col("b").alias("node"), F.struct(F.col("bblock").alias("block"), F.col("bdoc").alias("doc")).alias("at")))
     wanted = ends.groupBy("node").agg(F.min("at").alias("at")).select("node", "at.block", "at.doc")
     sets = stored(dealt(blocks, "block", ranges).groupBy("block").cogroup(dealt(wanted, "block", ranges).groupBy("block")).applyInPandas(_fetch_sets(width), SET_ROWS), "jaccard-items")
-    release(spark, ranges)
     # Slice i of a family asks the lists of slice j, for j <= i.
     sizes = families.groupBy("family").agg(F.ceil(F.count("*") / SLICE).cast("int").alias("slices"))
     cut = families.join(sizes, "family").withColumn("slice", F.pmod(F.xxhash64("node"), F.col("slices")).cast("int"))
@@ -405,7 +401,6 @@ def grouped(docs: DataFrame, width: int = 3, pct: int = 90, range_bytes: int = R
         links = dealt(asked, ["family", "i", "j"], ranges).groupBy("family", "i", "j").applyInPandas(_search(pct), "a long, b long")
     comps = connected_components(links)
     discard(blocks, sets, edges)
-    release(spark, ranges)
     least = rows.where("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("least"))
     member = least.join(comps, "node", "left").select("node", "least", F.coalesce("component", "node").alias("group"))
     member = stored(member, "jaccard-members")

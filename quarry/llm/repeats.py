@@ -21,10 +21,10 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import BLOCK_BYTES, blocks_of, byte_table, dealt, discard, give_back, mixed, opened, packed, range_count, range_of, release, rolling, slices, sliding_min, small_batches, stored, unpacked
+from quarry.llm.common import block_size, blocks_of, byte_table, dealt, give_back, mixed, opened, packed, packed_keys, range_count, range_of, rolling, slices, sliding_min, stored, unpacked, unpacked_keys
 
-#: Bytes of a repeated string; bytes of an anchor; text bytes for each range of anchors; symbols of a shard.
-WINDOW, ANCHOR, RANGE_BYTES, SHARD_SYMBOLS = 50, 25, 4 << 20, 1 << 19
+#: Bytes of a repeated string; bytes of an anchor; symbols of a shard.
+WINDOW, ANCHOR, SHARD_SYMBOLS = 50, 25, 1 << 19
 #: An anchor in so many texts sends its windows one by one, to ranges of their own, as its runs could fill a task.
 HOT = 1024
 CHUNK = 1 << 15
@@ -81,9 +81,12 @@ def text_marks(off: np.ndarray, raw: bytes) -> np.ndarray:
 
 
 def anchor_pairs(raw: np.ndarray, off: np.ndarray, marks: np.ndarray):
-    """The block's runs, and its distinct (anchor, text) pairs by anchor with the pair of each run."""
+    """The block's runs, and its distinct (anchor, text) pairs by anchor with the pair of each run.
+
+    A text is told by 64 bits: an anchor passes for one of a single text only if all its texts agree in them.
+    """
     s, e, key, doc = runs_of(raw, off)
-    owner = marks[doc, 0].astype(np.uint32) if len(doc) else np.zeros(0, np.uint32)
+    owner = marks[doc, 0] if len(doc) else np.zeros(0, np.uint64)
     order = np.lexsort((owner, key))
     k, o = key[order], owner[order]
     new = np.ones(len(k), bool)
@@ -231,7 +234,7 @@ def _send_anchors(ranges: int):
                 order = np.lexsort((marks[:, 1], marks[:, 0]))
                 marks, ids = marks[order], ids[order]
                 a, b = slices(range_of(key, ranges), ranges), slices(range_of(marks[:, 0], ranges), ranges)
-                rows = [(q, r.block, a[q + 1] - a[q], packed(key[a[q] : a[q + 1]]), owner[a[q] : a[q + 1]].tobytes(), b[q + 1] - b[q], marks[b[q] : b[q + 1]].tobytes(), ids[b[q] : b[q + 1]].tobytes()) for q in range(ranges) if a[q + 1] > a[q] or b[q + 1] > b[q]]
+                rows = [(q, r.block, a[q + 1] - a[q], packed_keys(key[a[q] : a[q + 1]]), owner[a[q] : a[q + 1]].tobytes(), b[q + 1] - b[q], marks[b[q] : b[q + 1]].tobytes(), ids[b[q] : b[q + 1]].tobytes()) for q in range(ranges) if a[q + 1] > a[q] or b[q + 1] > b[q]]
                 yield pd.DataFrame(rows, columns=["r", "block", "n", "keys", "owners", "nd", "marks", "ids"])
 
     return send
@@ -245,8 +248,8 @@ def _judge_anchors(hot: int):
     def judge(f: pd.DataFrame) -> pd.DataFrame:
         give_back()
         f = f.sort_values("block")
-        key = np.concatenate([unpacked(k, np.uint64, n) for k, n in zip(f["keys"], f["n"], strict=True)])
-        owner = np.concatenate([np.frombuffer(o, np.uint32) for o in f["owners"]])
+        key = np.concatenate([unpacked_keys(k, n) for k, n in zip(f["keys"], f["n"], strict=True)])
+        owner = np.concatenate([np.frombuffer(o, np.uint64) for o in f["owners"]])
         order = np.lexsort((owner, key))
         k, o = key[order], owner[order]
         new_key, new_pair = np.ones(len(k), bool), np.ones(len(k), bool)
@@ -433,32 +436,27 @@ def _cut(with_text: bool):
     return cut
 
 
-def repeats(docs: DataFrame, with_text: bool = False, range_bytes: int = RANGE_BYTES, block_bytes: int = BLOCK_BYTES, hot: int = HOT) -> DataFrame:
+def repeats(docs: DataFrame, with_text: bool = False, range_bytes: int | None = None, block_bytes: int | None = None, hot: int = HOT) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 for every row of docs(doc_id, text).
 
     A byte goes if it lies in a 50-byte string that also starts in a row with a smaller doc_id; strings overlap, lie
     within one text and are judged on the input. with_text adds text_md5 (of the input) and kept, the
     bytes that stay without those of characters that were cut through, and gives equal rows once.
     Null texts are empty. Texts under 50 bytes keep everything. Rows with the same doc_id take nothing from each other; a
-    null doc_id comes before all others and is null in the result. Empty tables give no rows.
+    null doc_id comes before all others and is null in the result. Empty tables give no rows. Blocks and ranges hold
+    block_size() bytes of text unless told otherwise.
     """
-    spark = docs.sparkSession
-    small_batches(spark)
+    block_bytes = block_bytes or block_size(docs)
     blocks = stored(blocks_of(docs, block_bytes), "repeat-blocks")
-    ranges = range_count(blocks, range_bytes)
+    ranges = range_count(blocks, range_bytes or block_bytes)
     status = stored(dealt(blocks.mapInPandas(_send_anchors(ranges), ANCHOR_ROWS), "r", ranges).groupBy("r").applyInPandas(_judge_anchors(hot), STATUS_ROWS), "repeat-status")
-    release(spark, ranges)
-    runs = stored(dealt(blocks, "block", ranges).groupBy("block").cogroup(dealt(status, "block", ranges).groupBy("block")).applyInPandas(_send_runs(ranges), RUN_ROWS), "repeat-runs")
-    discard(status)
-    release(spark, ranges)
+    runs = stored(dealt(blocks, "block", ranges).groupBy("block").cogroup(dealt(status, "block", ranges).groupBy("block")).applyInPandas(_send_runs(ranges), RUN_ROWS), "repeat-runs", status)
     pieces = stored(dealt(runs.where("r >= 0"), "r", ranges).groupBy("r").applyInPandas(_judge_runs, PIECE_ROWS), "repeat-pieces")
     own = runs.where("r < 0").select("r", "block", "n", F.col("nb").alias("m"), F.col("keys").alias("names"), F.lit(b"").alias("starts"), F.col("often").alias("lens"), F.col("names").alias("docs"))
-    own = stored(own, "repeat-places")
-    discard(runs)
-    release(spark, ranges)
+    own = stored(own, "repeat-places", runs)
     out = dealt(blocks, "block", ranges).groupBy("block").cogroup(dealt(own.unionByName(pieces), "block", ranges).groupBy("block")).applyInPandas(_cut(with_text), KEPT_ROWS)
     out = out.withColumn("doc_id", F.when(F.col("doc_id") != EMPTY_ID, F.col("doc_id")))
-    return out if with_text else out.drop("text_md5", "kept")
+    return stored(out if with_text else out.drop("text_md5", "kept"), "repeat-rows", blocks, own, pieces)
 
 
 def without_repeats(docs: DataFrame, **options) -> DataFrame:

@@ -26,10 +26,11 @@ def corpus():
     return rows + [(500, None), (501, ""), (502, " \t\n\x0b\x0c\r "), (503, "  lead\xa0ing  trail "), (503, "again " * 500), (504, "x" * 3000)]
 
 
-@pytest.mark.parametrize("order", [2, 3])
-def test_against_counts_by_hand(spark, order):
+@pytest.mark.parametrize(("order", "stretch"), [(1, 256), (2, 256), (3, 7), (3, 256), (4, 5)])
+def test_against_counts_by_hand(spark, order, stretch):
+    """The walk of the automaton gives the interpolated probabilities, wherever the texts are cut into stretches."""
     rows = corpus()
-    got = {(r.doc_id, r.n_tokens): r for r in scoring.scores(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), order=order, block_bytes=2000).collect()}
+    got = {(r.doc_id, r.n_tokens): r for r in scoring.scores(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), order=order, stretch=stretch, block_bytes=2000).collect()}
     assert len(got) == len(rows)
     counts = [Counter() for _ in range(order + 1)]
     for d, t in rows:
@@ -70,7 +71,7 @@ def test_against_counts_by_hand(spark, order):
         assert r.held_out == held(d) and r.train_tokens == n_all and r.n_known == sum(counts[1][(w,)] > 0 for w in toks)
         assert math.isclose(r.score, want, rel_tol=1e-9) and math.isclose(r.base_score, base, rel_tol=1e-9)
     vocabulary = [w for (w,) in counts[1]]
-    for h in [(), ("w1",), ("<s>",)]:
+    for h in [(), ("w1",), ("<s>",), ("w1", "w2"), ("<s>", "w1")][: (0, 1, 3, 5, 5)[order]]:
         known = sum(prob(h, w) for w in vocabulary)
         assert math.isclose(known + prob(h, "never seen"), 1.0, rel_tol=1e-9)
 
