@@ -19,10 +19,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import give_back, small_batches, stored, word_hashes, word_ids
+from quarry.llm.common import give_back, portions, stored, word_hashes, word_ids
 
 #: Labelled rows of each class used for the model, at most; entries of the lexicon, at most; words of a window's side.
 FIT_TOXIC, FIT_CLEAN, ENTRIES, SIDE = 3000, 6000, 2000, 6
+#: What a quotation mark on one side alone says; pairs of words and entries compared at once.
+ONE_MARK, PAIRS_AT_ONCE = 0.25, 1 << 20
+WHOLE, STEM = 1, 2
 STEMS = range(3, 9)
 #: Bits that tell labelled rows from most others.
 BITS = 1 << 23
@@ -48,10 +51,13 @@ class Trie:
         self.left_words = {x for w, whole, _ in entries if whole and len(w) >= 5 for x in without_letters(w, 2 if len(w) >= 8 else 1)}
         self.left_stems = {x for w, whole, _ in entries if not whole and len(w) >= 8 for x in without_letters(w, 1)}
         self.longest = max((len(w) for w, whole, _ in entries if whole), default=0)
-        self.halves = {(w[: len(w) // 2], w[(len(w)) // 2 :]) for w, whole, _ in entries if whole and len(w) >= 4}
-        self.heads = {h for h, _ in self.halves}
-        self.tails = {t for _, t in self.halves}
-        self.head_lens, self.tail_lens = sorted({len(h) for h in self.heads}), sorted({len(t) for t in self.tails})
+        #: So many first characters of a word tell all that can be near an entry.
+        self.reach = max(self.longest, max(STEMS)) + 3
+        # Letters of the entries that misspellings are looked for of, by (whole word?, length).
+        self.letters: dict[tuple[bool, int], list[str]] = {}
+        for w, whole, _ in entries:
+            if allowed(len(w), whole, False) > 0:
+                self.letters.setdefault((whole, len(w)), []).append(w)
 
     def lookup(self, word: str) -> tuple[float, bool]:
         """(largest weight of an entry that is the word or begins it, whether it is the word itself)."""
@@ -66,42 +72,30 @@ class Trie:
         w = node.get("whole")
         return (w, True) if w is not None and w >= best else (best, whole)
 
-    def may_be_near(self, word: str) -> bool:
-        """False if no entry is one edit away: an edit leaves one half of the entry as it was, at the word's end."""
-        return any(word[:n] in self.heads for n in self.head_lens) or any(word[-n:] in self.tails for n in self.tail_lens)
-
-    def nearest(self, word: str, edits: int = 1) -> float:
-        """Largest weight of a whole-word entry within `edits` of the word: the trie walked with a Levenshtein automaton.
-
-        The automaton's state is its row of distances; branches on which all are above the limit are left. Entries of
-        four letters count only if the word holds something other than letters, as short words have many neighbours.
-        """
-        odd = any(not c.isalpha() for c in word)
-        best = 0.0
-        stack = [(self.root, 0, list(range(len(word) + 1)))]
-        while stack:
-            node, depth, row = stack.pop()
-            w = node.get("whole")
-            if w is not None and row[-1] <= edits and w > best and (depth >= 5 or (depth == 4 and odd)):
-                best = w
-            for ch, child in node.items():
-                if len(ch) != 1:
-                    continue
-                new = [row[0] + 1]
-                for i, c in enumerate(word):
-                    new.append(min(new[i] + 1, row[i + 1] + 1, row[i] + (c != ch)))
-                if min(new) <= edits:
-                    stack.append((child, depth + 1, new))
-        return best
-
-
-    def may_be_misspelled(self, word: str) -> bool:
-        """False if misspelled() is 0. Masked words keep two letters of an entry at least."""
+    def with_near_letters(self, words: list[str]) -> np.ndarray:
+        """WHOLE and STEM bits for what a word may be a misspelling of by its kinds of letters: an edit brings in or takes out one at most."""
+        codes, size = coded(words)
+        out = np.where([w.isalpha() for w in words], 0, WHOLE | STEM).astype(np.uint8)
+        whole_mask = kinds_of(codes)
+        for (whole, length), entries in self.letters.items():
+            edits, bit = allowed(length, whole, False) // 2, WHOLE if whole else STEM
+            rows = np.flatnonzero((out & bit == 0) & ((np.abs(size - length) <= edits) if whole else (size >= length - edits)))
+            have = whole_mask if whole else kinds_of(codes[:, : length + edits])
+            want = kinds_of(coded(entries)[0])
+            for part in np.array_split(rows, 1 + len(rows) * len(want) // PAIRS_AT_ONCE):
+                ok = np.bitwise_count(want & ~have[part, None]) <= edits
+                if whole:
+                    ok &= np.bitwise_count(have[part, None] & ~want) <= edits
+                out[part[ok.any(1)]] |= bit
+        return out
+
+    def may_be_misspelled(self, word: str, near: int) -> bool:
+        """False if misspelled() is 0; near: the word's bits of with_near_letters. Masked words keep two letters of an entry at least."""
         if not word.isalpha():
-            return sum(c.isalpha() for c in word[: self.longest + max(STEMS)]) >= 2
-        if len(word) <= self.longest + 2 and not self.left_words.isdisjoint(without_letters(word, 2)):
+            return sum(c.isalpha() for c in word) >= 2
+        if near & WHOLE and not self.left_words.isdisjoint(without_letters(word, 2 if len(word) >= 6 else 1)):
             return True
-        return any(not self.left_stems.isdisjoint(without_letters(word[:n], 1)) for n in range(7, min(len(word), max(STEMS) + 1) + 1)) if self.left_stems else False
+        return bool(near & STEM) and any(not self.left_stems.isdisjoint(without_letters(word[:n], 1)) for n in range(7, min(len(word), max(STEMS) + 1) + 1))
 
     def misspelled(self, word: str) -> float:
         """Largest weight of an entry that the word, or for stems a beginning of the word, is a misspelling of.
@@ -141,6 +135,17 @@ def allowed(letters: int, whole: bool, odd: bool) -> int:
     return (4 if letters >= 8 else 2 if letters >= 5 else -1) if whole else (2 if letters >= 8 else -1)
 
 
+def coded(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Code points of each word, padded with 0, and its length."""
+    width = max((len(w) for w in words), default=0) or 1
+    return np.array(words, f"U{width}").view(np.uint32).reshape(len(words), width), np.array([len(w) for w in words], np.int64)
+
+
+def kinds_of(codes: np.ndarray) -> np.ndarray:
+    """The kinds of characters in each row as 64 bits."""
+    return np.bitwise_or.reduce(np.where(codes > 0, np.uint64(1) << (codes.astype(np.uint64) & np.uint64(63)), np.uint64(0)), axis=1)
+
+
 def without_letters(word: str, letters: int) -> set[str]:
     """The word, and what is left of it without up to so many letters."""
     out = new = {word}
@@ -162,35 +167,35 @@ def features(texts: pa.Array, trie: Trie, memory: dict) -> np.ndarray:
     kind = np.zeros(len(words), np.int8)  # 1 stem, 2 word, 3 near a word
     weight = np.zeros(len(words))
     listed = words.to_pylist()
+    fresh = [w for w in listed if w not in memory]
+    memory.update((w, (x, 2 if whole else 1) if x else (0.0, 0)) for w in fresh for x, whole in [trie.lookup(bare(w))])
+    # Misspellings are looked for among words that are no entries: those whose letters, then parts, are near one's.
+    unknown = [(w, b) for w in fresh if not memory[w][1] for b in [bare(w)[: trie.reach]] if len(b) >= 4]
+    near = trie.with_near_letters([b for _, b in unknown])
+    memory.update((w, (x, 3)) for (w, b), ok in zip(unknown, near, strict=True) if ok and trie.may_be_misspelled(b, ok) and (x := trie.misspelled(b)))
     for i, w in enumerate(listed):
-        got = memory.get(w)
-        if got is None:
-            b = bare(w)
-            x, whole = trie.lookup(b)
-            got = (x, 2 if whole else 1) if x else (0.0, 0)
-            if not x and 4 <= len(b) <= 40 and trie.may_be_misspelled(b) and (x := trie.misspelled(b)):
-                got = (x, 3)
-            memory[w] = got
-        weight[i], kind[i] = got
+        weight[i], kind[i] = memory[w]
     out = np.zeros((len(counts), len(FEATURES)))
     first = np.concatenate(([0], np.cumsum(counts)))
     at = np.flatnonzero(kind[ids] > 0)
     doc = np.searchsorted(first, at, side="right") - 1
-    kinds: dict[int, set] = {}
+    kinds: dict[int, dict[int, float]] = {}
     for p, d in zip(at.tolist(), doc.tolist(), strict=True):
         w = ids[p]
         lo, hi = max(int(first[d]), p - SIDE), min(int(first[d + 1]), p + SIDE + 1)
-        if quoted([listed[j] for j in ids[lo:p]], listed[w], [listed[j] for j in ids[p + 1 : hi]]):
-            out[d, 5] += 1
-            continue
-        out[d, 0] += 1
-        out[d, 2] += kind[w] == 2
-        out[d, 4] += kind[w] == 3
-        kinds.setdefault(d, set()).add(int(w))
+        said = quotation([listed[j] for j in ids[lo:p]], listed[w], [listed[j] for j in ids[p + 1 : hi]])
+        meant = 1 - said
+        out[d, 5] += said
+        out[d, 0] += meant
+        out[d, 2] += meant * (kind[w] == 2)
+        out[d, 4] += meant * (kind[w] == 3)
+        if meant > 0:  # a kind of word counts as it is meant most
+            mine = kinds.setdefault(d, {})
+            mine[int(w)] = max(meant, mine.get(int(w), 0.0))
     for d, s in kinds.items():
-        out[d, 1] = sum(weight[w] for w in s)
-        out[d, 3] = len(s)
-        out[d, 10] = max(weight[w] for w in s)
+        out[d, 1] = sum(weight[w] * m for w, m in s.items())
+        out[d, 3] = sum(s.values())
+        out[d, 10] = max(weight[w] * m for w, m in s.items())
     out[:, 6] = np.minimum(1.0, out[:, 0] / np.maximum(counts, 1) * 20)
     out[:, 7] = np.log1p(counts)
     out[:, 8], out[:, 9] = out[:, 3] > 1, out[:, 3] > 2
@@ -199,11 +204,17 @@ def features(texts: pa.Array, trie: Trie, memory: dict) -> np.ndarray:
     return out
 
 
-def quoted(before: list[str], word: str, after: list[str]) -> bool:
-    """A quotation mark opens before the word and closes after it, or a reporting word stands close before."""
-    opens = any(w[:1] in QUOTES for w in before if w) or word[:1] in QUOTES
-    closes = any(w.rstrip(".,;:!?")[-1:] in QUOTES for w in after if w.rstrip(".,;:!?")) or word.rstrip(".,;:!?")[-1:] in QUOTES
-    return (opens and closes) or any(bare(w) in REPORTING for w in before[-3:])
+def quotation(before: list[str], word: str, after: list[str]) -> float:
+    """How much the window says that the word is quoted or reported, from 0 to 1.
+
+    Quotation marks that open before the word and close after it say so in full, one of the two alone a little; a
+    reporting word says so the more the closer it stands before. What is said by both adds up.
+    """
+    opens = word[:1] in QUOTES or any(w[:1] in QUOTES for w in before if w)
+    closes = any(w[-1:] in QUOTES for w in (x.rstrip(".,;:!?") for x in [word, *after]) if w)
+    marks = 1.0 if opens and closes else ONE_MARK * (opens or closes)
+    reports = max((max(0.0, 1.25 - 0.25 * i) for i, w in enumerate(reversed(before), 1) if bare(w) in REPORTING), default=0.0)
+    return min(1.0, marks + min(1.0, reports))
 
 
 def fitted(x: np.ndarray, y: np.ndarray, prior: float, ridge: float = 1.0, rounds: int = 30) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -329,12 +340,11 @@ def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -> Data
     score is the class share. A null doc_id is never held out. Repeated rows get equal scores. An empty table gives no
     rows.
     """
-    small_batches(docs.sparkSession)
     lexicon, model = learned(docs, labels)
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trie, memory = Trie(lexicon), {}
-        for batch in batches:
+        for batch in (x for whole in batches for x in portions(whole, 1)):
             give_back()
             p = probability(features(batch.column(1), trie, memory), model)
             yield pa.record_batch([batch.column(0), batch.column(2), pa.array(p), pa.array((p >= threshold).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
@@ -345,13 +355,12 @@ def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -> Data
 
 def without_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -> DataFrame:
     """The rows of docs whose score stays below the threshold, with all their columns."""
-    small_batches(docs.sparkSession)
     lexicon, model = learned(docs, labels)
     at = docs.columns.index("text")
 
     def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trie, memory = Trie(lexicon), {}
-        for batch in batches:
+        for batch in (x for whole in batches for x in portions(whole, at)):
             give_back()
             yield batch.filter(pa.array(probability(features(batch.column(at), trie, memory), model) < threshold))
 

@@ -9,28 +9,49 @@ from quarry.llm import toxicity as tx
 BAD = ["wretch", "scoundrel", "villain", "knave"]
 
 
-def distance(a, b):
-    row = list(range(len(b) + 1))
-    for i, x in enumerate(a, 1):
-        new = [i]
-        for j, y in enumerate(b, 1):
-            new.append(min(new[-1] + 1, row[j] + 1, row[j - 1] + (x != y)))
-        row = new
-    return row[-1]
+def costs(entry, word):
+    """By definition: what turns the entry into each beginning of the word; 2 for an edit or a swap of neighbours, 1 for a masked letter."""
+    d = [[2 * j for j in range(len(word) + 1)]] + [[2 * i] + [0] * len(word) for i in range(1, len(entry) + 1)]
+    for i, x in enumerate(entry, 1):
+        for j, y in enumerate(word, 1):
+            d[i][j] = min(d[i - 1][j] + 2, d[i][j - 1] + 2, d[i - 1][j - 1] + (0 if x == y else 2 if y.isalpha() else 1))
+            if i > 1 and j > 1 and x == word[j - 2] and entry[i - 2] == y and x != y:
+                d[i][j] = min(d[i][j], d[i - 2][j - 2] + 2)
+    return d[-1]
 
 
 def test_automaton_against_distances():
     rng = random.Random(1)
-    entries = [("".join(rng.choice("abcd") for _ in range(rng.randint(5, 8))), True, rng.random() + 1) for _ in range(30)]
+    entries = [("".join(rng.choice("abcde") for _ in range(rng.randint(4, 10))), rng.random() < 0.6, rng.random() + 1) for _ in range(40)]
+    entries = list({t: (t, whole, x) for t, whole, x in entries if whole or len(t) <= 8}.values())
     trie = tx.Trie(entries)
-    for _ in range(300):
-        w = list(rng.choice(entries)[0])
-        for _ in range(rng.randint(0, 2)):
-            w[rng.randrange(len(w))] = rng.choice(["", "a", "x", "bd"])
-        w = "".join(w)
-        want = max((x for t, _, x in entries if distance(t, w) <= 1), default=0.0)
-        assert trie.nearest(w) == want
-        assert trie.may_be_near(w) or want == 0
+    words = []
+    for _ in range(600):
+        w = list(rng.choice(entries)[0]) + [rng.choice("abcde") for _ in range(rng.choice([0, 0, 3, 50]))]
+        for _ in range(rng.randint(0, 3)):
+            k = rng.randrange(len(w))
+            if rng.random() < 0.3 and k:
+                w[k - 1 : k + 1] = w[k - 1 : k + 1][::-1]
+            else:
+                w[k] = rng.choice(["", "a", "x", "bd", "*", "4"])
+            w = list("".join(w)) or ["a"]
+        words.append("".join(w))
+    near = trie.with_near_letters([w[: trie.reach] for w in words])
+    for w, ok in zip(words, near, strict=True):
+        odd = not w[: trie.reach].isalpha()
+        want = 0.0
+        for t, whole, x in entries:
+            c = costs(t, w[: trie.reach])
+            if (c[-1] if whole else min(c)) <= tx.allowed(len(t), whole, odd):
+                want = max(want, x)
+        assert trie.misspelled(w[: trie.reach]) == want
+        assert (ok and trie.may_be_misspelled(w[: trie.reach], ok)) or want == 0
+
+
+def test_quotation_is_a_degree():
+    q = lambda t: tx.quotation(*(lambda w, i: (w[:i], w[i], w[i + 1 :]))(t.split(), t.split().index("X")))
+    assert q("a X b") == 0 and q('"a X b"') == 1 and 0 < q('"a X b') < 1
+    assert q("said X") == 1 > q("said the X") > q("said that the X") > 0 == q("said a b c d X")
 
 
 def test_quotes_and_windows():
@@ -108,7 +129,7 @@ def swapped(a, b):
 def test_swaps_masks_and_stems():
     trie = tx.Trie([("pathetic", True, 3.0), ("worthless", True, 2.5), ("idiot", True, 2.0), ("achlichk", False, 1.5)])
     for word, want in [("pahtetic", 3.0), ("paXhetyc".lower(), 3.0), ("w*rthl*ss", 2.5), ("i**ot", 2.0), ("idoit", 2.0), ("a*hlichkeit", 1.5), ("ahclichkeit", 1.5), ("poetic", 0.0), ("idaho", 0.0), ("riot", 0.0)]:
-        assert (trie.misspelled(word) if trie.may_be_misspelled(word) else 0.0) == want, word
+        assert (trie.misspelled(word) if trie.may_be_misspelled(word, *trie.with_near_letters([word])) else 0.0) == want, word
     x = tx.features(pa.array(["what a pahtetic w*rthl*ss i**ot"]), trie, {})
     assert x[0, tx.FEATURES.index("kinds")] == np.log1p(3)
 
@@ -123,8 +144,8 @@ def test_misspellings_against_distances():
         for _ in range(rng.randint(0, 3)):
             w[rng.randrange(len(w))] = rng.choice(["", "a", "x", "bd"])
         w = "".join(w) + rng.choice(["", "", "xyz"])
-        if len(w) < 4:
+        if len(w) < 4 or len(w) > trie.reach:
             continue
         near = [x for t, whole, x in entries if (swapped(t, w) <= (2 if len(t) >= 8 else 1) if whole else len(t) >= 8 and min(swapped(t, w[:n]) for n in range(len(w) + 1)) <= 1)]
         assert trie.misspelled(w) == max(near, default=0.0)
-        assert trie.may_be_misspelled(w) or not near
+        assert trie.may_be_misspelled(w, *trie.with_near_letters([w])) or not near
