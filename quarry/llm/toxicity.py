@@ -256,7 +256,8 @@ def _contexts(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         toxic = f["toxic"].to_numpy()[doc]
         with np.errstate(over="ignore"):
             ctx = (before * np.uint64(0x9E3779B97F4A7C15) + after).view(np.int64)
-        rows = pd.DataFrame({"w": ids, "toxic": toxic, "context": ctx}).drop_duplicates()
+        # Word by word, so that what a shuffle file repeats stands together and compresses.
+        rows = pd.DataFrame({"w": ids, "toxic": toxic, "context": ctx}).drop_duplicates().sort_values(["w", "toxic"])
         names = np.array([bare(w) for w in words.to_pylist()], object)
         rows["word"] = names[rows["w"]]
         rows = rows[[bool(INNER.search(w)) for w in rows["word"]]]
