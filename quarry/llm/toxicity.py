@@ -25,6 +25,8 @@ from quarry.llm.common import give_back, portions, stored, word_hashes, word_ids
 FIT_TOXIC, FIT_CLEAN, ENTRIES, SIDE = 3000, 6000, 2000, 6
 #: What a quotation mark on one side alone says; pairs of words and entries compared at once.
 ONE_MARK, PAIRS_AT_ONCE = 0.25, 1 << 20
+#: Parts of a word's contexts.
+PARTS = 16
 WHOLE, STEM = 1, 2
 STEMS = range(3, 9)
 #: Bits that tell labelled rows from most others.
@@ -243,7 +245,7 @@ def probability(x: np.ndarray, model: tuple) -> np.ndarray:
 
 
 def _contexts(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """word, toxic, context of the distinct (word, neighbours) of each batch."""
+    """word, toxic, part, context of the distinct (word, neighbours) of each batch; part: of the contexts, so that a common word is dealt out."""
     for f in frames:
         ids, counts, words = word_ids(pa.array(f["text"], pa.large_string()))
         if not len(ids):
@@ -257,11 +259,11 @@ def _contexts(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         with np.errstate(over="ignore"):
             ctx = (before * np.uint64(0x9E3779B97F4A7C15) + after).view(np.int64)
         # Word by word, so that what a shuffle file repeats stands together and compresses.
-        rows = pd.DataFrame({"w": ids, "toxic": toxic, "context": ctx}).drop_duplicates().sort_values(["w", "toxic"])
+        rows = pd.DataFrame({"w": ids, "toxic": toxic, "part": ctx & (PARTS - 1), "context": ctx}).drop_duplicates().sort_values(["w", "part", "toxic"])
         names = np.array([bare(w) for w in words.to_pylist()], object)
         rows["word"] = names[rows["w"]]
         rows = rows[[bool(INNER.search(w)) for w in rows["word"]]]
-        yield rows[["word", "toxic", "context"]]
+        yield rows[["word", "toxic", "part", "context"]]
 
 
 def learned_lexicon(sample: DataFrame) -> list[tuple[str, bool, float]]:
@@ -270,7 +272,8 @@ def learned_lexicon(sample: DataFrame) -> list[tuple[str, bool, float]]:
     An entry's contexts are toxic so much more often than all contexts that chance would let in one entry on average: the
     Chernoff bound of its binomial tail is below 1 / (number of words and stems). No count is asked for by itself.
     """
-    seen = sample.mapInPandas(_contexts, "word string, toxic int, context long").distinct().groupBy("word").agg(F.sum("toxic").alias("t"), F.sum(1 - F.col("toxic")).alias("c"))
+    # Dealt as they come: an aggregate ahead of the exchange would find few contexts twice and mix the words.
+    seen = sample.mapInPandas(_contexts, "word string, toxic int, part int, context long").repartition("word", "part").distinct().groupBy("word").agg(F.sum("toxic").alias("t"), F.sum(1 - F.col("toxic")).alias("c"))
     seen = stored(seen, "toxic-words")
     total = seen.agg(F.sum("t").alias("t"), F.sum("c").alias("c")).first()
     if not total.t or not total.c:
