@@ -78,15 +78,23 @@ def discard(*tables: DataFrame) -> None:
         path.getFileSystem(table.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def source_bytes(df: DataFrame) -> int:
+    """Bytes of the tables that df reads, as the optimizer knows them, without those of unknown size (which are not files).
+
+    Estimates of joins are products and of no use here.
+    """
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    sizes = (int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
+    return sum(x for x in sizes if x < 1 << 60)
+
+
 def block_size(docs: DataFrame) -> int:
     """Text bytes of a block, and of a range of keys: the square root of corpus times MESSAGE.
 
     Blocks send a message to each range. With both of this size a message stands for MESSAGE bytes of text at any size of
     the corpus, so that messages grow as the corpus does, up to MOST_BLOCK_BYTES, what a task can hold (about 20 times that).
-    The size of the corpus is the plan's estimate.
     """
-    known = int(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-    return int(min(max(isqrt(known * MESSAGE), LEAST_BLOCK_BYTES), MOST_BLOCK_BYTES))
+    return min(max(isqrt(source_bytes(docs) * MESSAGE), LEAST_BLOCK_BYTES), MOST_BLOCK_BYTES)
 
 
 def range_count(blocks: DataFrame, range_bytes: int) -> int:
@@ -320,3 +328,14 @@ def unpacked(data: bytes, kind: type, n: int) -> np.ndarray:
     if not n:
         return np.zeros(0, kind)
     return np.frombuffer(pa.Codec("zstd", 1).decompress(data, decompressed_size=n * np.dtype(kind).itemsize, asbytes=True), kind)
+
+
+def six_bytes(items: np.ndarray) -> bytes:
+    """The low 48 bits of each item, in order."""
+    return items.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
+
+
+def from_six(data: bytes) -> np.ndarray:
+    raw = np.zeros((len(data) // 6, 8), np.uint8)
+    raw[:, :6] = np.frombuffer(data, np.uint8).reshape(-1, 6)
+    return raw.view("<u8").ravel()

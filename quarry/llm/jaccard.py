@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarry.llm.common import block_size, block_texts, blocks_of, dealt, discard, give_back, mixed, opened, packed, packed_counts, packed_keys, range_count, range_of, slices, stored, unpacked, unpacked_counts, unpacked_keys, word_hashes, word_ids
+from quarry.llm.common import block_size, block_texts, blocks_of, dealt, discard, from_six, give_back, mixed, opened, packed, packed_counts, packed_keys, range_count, range_of, six_bytes, slices, stored, unpacked, unpacked_counts, unpacked_keys, word_hashes, word_ids
 from quarry.llm.components import connected_components, forest
 
 #: Classes in one side of a search; share of DivideSkip; size merged by a heap.
@@ -207,17 +207,6 @@ def _chain(pct: int):
 SET_ROWS = "node long, n long, items binary"
 
 
-def six_bytes(items: np.ndarray) -> bytes:
-    """48 bits of each item, in order."""
-    return (items >> SHIFT).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
-
-
-def from_six(data: bytes) -> np.ndarray:
-    raw = np.zeros((len(data) // 6, 8), np.uint8)
-    raw[:, :6] = np.frombuffer(data, np.uint8).reshape(-1, 6)
-    return raw.view("<u8").ravel()
-
-
 def _fetch_sets(width: int):
     def fetch(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         give_back()
@@ -229,7 +218,7 @@ def _fetch_sets(width: int):
             lens = (off[1:] - off[:-1])[docs]
             part = b"".join(raw[int(off[d]) : int(off[d + 1])] for d in docs)
             sets, bounds = shingle_sets(np.concatenate(([0], np.cumsum(lens))), part, width)
-            rows = [(int(node), int(b - a), six_bytes(sets[a:b])) for node, a, b in zip(right["node"], bounds[:-1], bounds[1:], strict=True)]
+            rows = [(int(node), int(b - a), six_bytes(sets[a:b] >> SHIFT)) for node, a, b in zip(right["node"], bounds[:-1], bounds[1:], strict=True)]
         return pd.DataFrame(rows, columns=["node", "n", "items"])
 
     return fetch

@@ -16,17 +16,18 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import give_back, portions, stored, word_hashes, word_ids
+from quarry.llm.common import LEAST_RANGES, block_size, dealt, from_six, give_back, mixed, packed, packed_counts, portions, range_of, six_bytes, slices, source_bytes, stored, unpacked, unpacked_counts, word_hashes, word_ids
 
 #: Labelled rows of each class used for the model, at most; entries of the lexicon, at most; words of a window's side.
 FIT_TOXIC, FIT_CLEAN, ENTRIES, SIDE = 3000, 6000, 2000, 6
 #: What a quotation mark on one side alone says; pairs of words and entries compared at once.
 ONE_MARK, PAIRS_AT_ONCE = 0.25, 1 << 20
-#: Parts of a word's contexts.
-PARTS = 16
+#: Parts of a word's contexts, at least; ranges for each further one.
+LEAST_PARTS = 16
 WHOLE, STEM = 1, 2
 STEMS = range(3, 9)
 #: Bits that tell labelled rows from most others.
@@ -157,6 +158,19 @@ def without_letters(word: str, letters: int) -> set[str]:
     return out
 
 
+#: Looked-up words of the lexicon that a Python worker used last; its later tasks go on with them.
+_KNOWN: dict[int, tuple[Trie, dict]] = {}
+
+
+def reader(lexicon: list[tuple[str, bool, float]]) -> tuple[Trie, dict]:
+    """The trie of a lexicon, and what is known of words already looked up in it."""
+    key = hash(tuple(lexicon))
+    if key not in _KNOWN:
+        _KNOWN.clear()
+        _KNOWN[key] = Trie(lexicon), {}
+    return _KNOWN[key]
+
+
 def bare(word: str) -> str:
     return EDGE.sub("", word)
 
@@ -244,36 +258,96 @@ def probability(x: np.ndarray, model: tuple) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip((x - mean) / scale @ b[:-1] + b[-1], -30, 30)))
 
 
-def _contexts(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """word, toxic, part, context of the distinct (word, neighbours) of each batch; part: of the contexts, so that a common word is dealt out."""
-    for f in frames:
-        ids, counts, words = word_ids(pa.array(f["text"], pa.large_string()))
-        if not len(ids):
-            continue
+CONTEXT_ROWS = "r long, n long, words binary, size long, toxic binary, clean binary, contexts binary"
+
+
+def _contexts(ranges: int, block_bytes: int):
+    """CONTEXT_ROWS of the distinct (word, neighbours) of about block_bytes of text: for each range its words in order, how many toxic and clean contexts each has, and these by 48 bits."""
+    parts = max(LEAST_PARTS, ranges // LEAST_PARTS)
+
+    def read(text: list[pa.Array], toxic: list[np.ndarray]) -> pd.DataFrame:
+        ids, counts, words = word_ids(pa.concat_arrays(text))
         h = word_hashes(words)[ids]
         doc = np.repeat(np.arange(len(counts)), counts)
-        edge = np.concatenate(([True], doc[1:] != doc[:-1], [True]))
-        before = np.where(edge[:-1], np.uint64(1), np.concatenate(([np.uint64(0)], h[:-1])))
-        after = np.where(edge[1:], np.uint64(2), np.concatenate((h[1:], [np.uint64(0)])))
-        toxic = f["toxic"].to_numpy()[doc]
+        edge = np.concatenate(([True], doc[1:] != doc[:-1], [True])) if len(ids) else np.ones(1, bool)
+        before = np.where(edge[:-1], np.uint64(1), np.concatenate((h[:1], h[:-1])))
+        after = np.where(edge[1:], np.uint64(2), np.concatenate((h[1:], h[:1])))
         with np.errstate(over="ignore"):
-            ctx = (before * np.uint64(0x9E3779B97F4A7C15) + after).view(np.int64)
-        # Word by word, so that what a shuffle file repeats stands together and compresses.
-        rows = pd.DataFrame({"w": ids, "toxic": toxic, "part": ctx & (PARTS - 1), "context": ctx}).drop_duplicates().sort_values(["w", "part", "toxic"])
-        names = np.array([bare(w) for w in words.to_pylist()], object)
-        rows["word"] = names[rows["w"]]
-        rows = rows[[bool(INNER.search(w)) for w in rows["word"]]]
-        yield rows[["word", "toxic", "part", "context"]]
-
-
-def learned_lexicon(sample: DataFrame) -> list[tuple[str, bool, float]]:
+            ctx = mixed(before * np.uint64(0x9E3779B97F4A7C15) + after) >> np.uint64(16)
+        names = pa.array([bare(w) for w in words.to_pylist()], pa.large_string()).dictionary_encode()
+        spelled = names.dictionary
+        rank = np.empty(len(spelled), np.int64)
+        rank[pc.array_sort_indices(spelled).to_numpy()] = np.arange(len(spelled))
+        spelled = spelled.take(pc.array_sort_indices(spelled))
+        word = rank[names.indices.to_numpy(zero_copy_only=False)][ids] if len(ids) else ids
+        has_letter = np.array([bool(INNER.search(w)) for w in spelled.to_pylist()], bool)
+        side = np.concatenate(toxic)[doc]
+        keep = has_letter[word] if len(ids) else np.zeros(0, bool)
+        word, side, ctx = word[keep], side[keep], ctx[keep]
+        # A common word's contexts are dealt over parts, so that no range has to hold them all.
+        with np.errstate(over="ignore"):
+            q = range_of(mixed(word_hashes(spelled)[word] + ctx % np.uint64(parts) * np.uint64(0x51ED27)), ranges).astype(np.int64)
+        order = np.lexsort((ctx, side, word, q))
+        q, word, side, ctx = q[order], word[order], side[order], ctx[order]
+        new = np.ones(len(q), bool)
+        new[1:] = (q[1:] != q[:-1]) | (word[1:] != word[:-1]) | (side[1:] != side[:-1]) | (ctx[1:] != ctx[:-1])
+        q, word, side, ctx = q[new], word[new], side[new], ctx[new]
+        first = np.ones(len(q), bool)
+        first[1:] = (q[1:] != q[:-1]) | (word[1:] != word[:-1])
+        at = np.flatnonzero(first)
+        n_toxic = np.add.reduceat(side, at) if len(at) else side
+        n_all = np.diff(np.append(at, len(q)))
+        listed = spelled.take(pa.array(word[at])).to_pylist()
+        ends, cut = slices(q[at], ranges), slices(q, ranges)
+        rows = [
+            (k, b - a, packed(np.frombuffer("\n".join(listed[a:b]).encode(), np.uint8)), len("\n".join(listed[a:b]).encode()), packed_counts(n_toxic[a:b]), packed_counts(n_all[a:b] - n_toxic[a:b]), six_bytes(ctx[cut[k] : cut[k + 1]]))
+            for k, (a, b) in enumerate(zip(ends[:-1], ends[1:], strict=True)) if b > a
+        ]
+        return pd.DataFrame(rows, columns=["r", "n", "words", "size", "toxic", "clean", "contexts"])
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        text, toxic, held = [], [], 0
+        for f in frames:
+            text.append(pa.array(f["text"], pa.large_string()))
+            toxic.append(f["toxic"].to_numpy(np.int64))
+            held += text[-1].nbytes
+            if held >= block_bytes:
+                give_back()
+                yield read(text, toxic)
+                text, toxic, held = [], [], 0
+        if text:
+            yield read(text, toxic)
+
+    return run
+
+
+def _count_contexts(f: pd.DataFrame) -> pd.DataFrame:
+    """word, t, c: the distinct toxic and clean contexts of the words of a range."""
+    give_back()
+    names = pa.array([w for x, n in zip(f["words"], f["size"], strict=True) for w in unpacked(x, np.uint8, n).tobytes().decode().split("\n")], pa.large_string()).dictionary_encode()
+    word = names.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+    counts = np.stack([np.concatenate([unpacked_counts(x, n) for x, n in zip(f[c], f["n"], strict=True)]) for c in ("clean", "toxic")], 1).ravel()
+    # Contexts come word by word, clean ones first.
+    key = np.repeat(2 * np.repeat(word, 2) + np.tile([0, 1], len(word)), counts)
+    ctx = np.concatenate([from_six(x) for x in f["contexts"]])
+    order = np.lexsort((ctx, key))
+    key, ctx = key[order], ctx[order]
+    new = np.ones(len(key), bool)
+    new[1:] = (key[1:] != key[:-1]) | (ctx[1:] != ctx[:-1])
+    n = np.bincount(key[new], minlength=2 * len(names.dictionary)).reshape(-1, 2)
+    return pd.DataFrame({"word": names.dictionary.to_pylist(), "t": n[:, 1], "c": n[:, 0]})
+
+
+def learned_lexicon(sample: DataFrame, ranges: int | None = None) -> list[tuple[str, bool, float]]:
     """(text, whole word?, weight) of words and stems from sample(text, toxic). Weights are lower bounds of log odds.
 
     An entry's contexts are toxic so much more often than all contexts that chance would let in one entry on average: the
     Chernoff bound of its binomial tail is below 1 / (number of words and stems). No count is asked for by itself.
     """
-    # Dealt as they come: an aggregate ahead of the exchange would find few contexts twice and mix the words.
-    seen = sample.mapInPandas(_contexts, "word string, toxic int, part int, context long").repartition("word", "part").distinct().groupBy("word").agg(F.sum("toxic").alias("t"), F.sum(1 - F.col("toxic")).alias("c"))
+    block_bytes = block_size(sample)
+    ranges = ranges or max(LEAST_RANGES, source_bytes(sample) // block_bytes)
+    sent = dealt(sample.select("text", "toxic").mapInPandas(_contexts(ranges, block_bytes), CONTEXT_ROWS), "r", ranges)
+    seen = sent.groupBy("r").applyInPandas(_count_contexts, "word string, t long, c long").groupBy("word").agg(F.sum("t").alias("t"), F.sum("c").alias("c"))
     seen = stored(seen, "toxic-words")
     total = seen.agg(F.sum("t").alias("t"), F.sum("c").alias("c")).first()
     if not total.t or not total.c:
@@ -324,7 +398,7 @@ def learned(docs: DataFrame, labels: DataFrame) -> tuple[list, tuple]:
     lexicon = learned_lexicon(rows)
 
     def measured(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        trie, memory = Trie(lexicon), {}
+        trie, memory = reader(lexicon)
         for f in frames:
             give_back()
             x = features(pa.array(f["text"], pa.large_string()), trie, memory)
@@ -347,7 +421,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -> Data
     lexicon, model = learned(docs, labels)
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trie, memory = Trie(lexicon), {}
+        trie, memory = reader(lexicon)
         for batch in (x for whole in batches for x in portions(whole, 1)):
             give_back()
             p = probability(features(batch.column(1), trie, memory), model)
@@ -363,7 +437,7 @@ def without_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) ->
     at = docs.columns.index("text")
 
     def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trie, memory = Trie(lexicon), {}
+        trie, memory = reader(lexicon)
         for batch in (x for whole in batches for x in portions(whole, at)):
             give_back()
             yield batch.filter(pa.array(probability(features(batch.column(at), trie, memory), model) < threshold))
