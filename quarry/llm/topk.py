@@ -11,8 +11,9 @@ from pyspark.sql import functions as F
 
 from quarry.llm.common import stored
 
-#: Rows that the pivots are fitted on, at most; pivots, at most; vectors in a slab; queries in a block.
-FIT_ROWS, MAX_PIVOTS, SLAB_ROWS, QUERY_ROWS = 20_000, 1024, 8192, 256
+#: Rows that the pivots are fitted on, at most; pivots, at most; vectors in a slab; queries in a block; quantiles that slots are cut by.
+FIT_ROWS, MAX_PIVOTS, SLAB_ROWS, QUERY_ROWS, GRID = 20_000, 1024, 8192, 256, 64
+SLAB = ["pivot", "slot", "sub"]
 HITS = "query_id long, vec_id long, score long"
 
 
@@ -55,15 +56,29 @@ def best(ids: np.ndarray, sc: np.ndarray, k: int) -> np.ndarray:
     return np.lexsort((ids, -sc))[:k]
 
 
-def top_k(vectors: DataFrame, every: int = 100, k: int = 10, scale: int = 1024) -> DataFrame:
+def slotted(rows: DataFrame, keys: list[str], value: str, most: int, *ids: str) -> DataFrame:
+    """rows with slot and sub: the rows of equal keys cut into stretches of `value` of about `most` rows.
+
+    Slots are cut by GRID quantiles; a slot that holds more, as many rows may have one value, is dealt over subs by hash.
+    """
+    quantiles = F.percentile_approx(value, [i / GRID for i in range(1, GRID)], F.lit(1000)).alias("q")
+    cuts = rows.groupBy(*keys).agg(F.least(F.ceil(F.count("*") / most), F.lit(GRID)).cast("int").alias("wanted"), quantiles)
+    below = F.size(F.filter("q", lambda x: x < F.col(value)))
+    cut = rows.join(cuts, keys).withColumn("slot", F.floor(below * F.col("wanted") / GRID).cast("int")).drop("wanted", "q")
+    subs = cut.groupBy(*keys, "slot").agg(F.ceil(F.count("*") / most).cast("int").alias("subs"))
+    return cut.join(subs, [*keys, "slot"]).withColumn("sub", F.pmod(F.xxhash64(*ids), F.col("subs")).cast("int")).drop("subs")
+
+
+def top_k(vectors: DataFrame, every: int = 100, k: int = 10, scale: int = 1024, slab_rows: int = SLAB_ROWS) -> DataFrame:
     """query_id, rank, vec_id, score: the k best rows of vectors(vec_id, embedding) for each row with vec_id % every = 0.
 
     Components become floor(scale * x). Inner products become distances by one more coordinate, sqrt(M^2 - |v|^2) with M
     the largest norm, which is 0 in queries. Every vector is kept under its nearest pivot, in order of its distance to
-    it. A first pass over the slabs of a query's own pivot gives its k-th distance so far; a second pass goes to every
-    slab, expands the annulus around the query's pivot distance outward and stops where | d(q,p) - d(v,p) | exceeds the
-    k-th distance (the triangle inequality), so no better row is missed. Pivots are fitted on at most FIT_ROWS rows, all
-    rows are indexed, and queries meet slabs in blocks. Vectors that are null, empty or hold null or non-finite components
+    it, in slabs that each hold a stretch of distances. A first pass over the slabs of a query's own pivot gives its k-th
+    distance so far; from it and the slabs' least and greatest distances, blocks of queries that lie near each other are
+    sent only to slabs that can hold a better row. There the annulus around the query's pivot distance is expanded outward
+    and stops where | d(q,p) - d(v,p) | exceeds the k-th distance (the triangle inequality), so no better row is missed.
+    Pivots are fitted on at most FIT_ROWS rows and all rows are indexed. Vectors that are null, empty or hold null or non-finite components
     take no part; shorter vectors count as padded with zeros; rows with a null vec_id are neither. Equal scores go to the
     smaller vec_id; a repeated vec_id is a candidate of its own, and a row is left out only from queries of its own id.
     """
@@ -90,27 +105,31 @@ def top_k(vectors: DataFrame, every: int = 100, k: int = 10, scale: int = 1024)
             yield pd.DataFrame({"vec_id": f["vec_id"], "pivot": near, "dist": d[np.arange(len(f)), near], "v": f["v"]})
 
     keyed_rows = stored(ints.mapInPandas(keyed, "vec_id long, pivot int, dist double, v array<double>"), "topk-keyed")
-    cells = keyed_rows.groupBy("pivot").agg(F.ceil(F.count("*") / SLAB_ROWS).cast("int").alias("slices"))  # at most MAX_PIVOTS rows
-    sliced = keyed_rows.join(F.broadcast(cells), "pivot").withColumn("slice", F.pmod(F.xxhash64("vec_id", "dist"), F.col("slices")).cast("int"))
-
     def pack_slab(f: pd.DataFrame) -> pd.DataFrame:
         f = f.sort_values(["dist", "vec_id"])
-        v = stacked(f["v"], dim)
-        return pd.DataFrame([{"pivot": int(f["pivot"].iloc[0]), "slice": int(f["slice"].iloc[0]), "ids": f["vec_id"].to_numpy(np.int64).tobytes(), "dists": f["dist"].to_numpy(float).tobytes(), "vs": v.tobytes()}])
+        at = {c: int(f[c].iloc[0]) for c in SLAB}
+        return pd.DataFrame([{**at, "least": f["dist"].iloc[0], "most": f["dist"].iloc[-1], "ids": f["vec_id"].to_numpy(np.int64).tobytes(), "dists": f["dist"].to_numpy(float).tobytes(), "vs": stacked(f["v"], dim).tobytes()}])
 
-    slabs = stored(sliced.groupBy("pivot", "slice").applyInPandas(pack_slab, "pivot int, slice int, ids binary, dists binary, vs binary"), "topk-slabs")
+    cut = slotted(keyed_rows, ["pivot"], "dist", slab_rows, "vec_id", "dist")
+    slabs = stored(cut.groupBy(*SLAB).applyInPandas(pack_slab, "pivot int, slot int, sub int, least double, most double, ids binary, dists binary, vs binary"), "topk-slabs")
+    reaches = slabs.groupBy("pivot").agg(F.min("least").alias("least"), F.max("most").alias("most")).toPandas()  # at most MAX_PIVOTS rows
     asked = keyed_rows.where(F.col("vec_id") % every == 0).select("vec_id", "v", F.col("pivot").alias("home"), F.lit(None).cast("double").alias("kth")).dropDuplicates(["vec_id", "v"])
     # Rows that repeat a query's id with another vector ask for themselves as well, under the same id.
 
     def pack_queries(f: pd.DataFrame) -> pd.DataFrame:
-        v = stacked(f["v"], dim)
-        return pd.DataFrame([{"home": int(f["home"].iloc[0]), "qids": f["vec_id"].to_numpy(np.int64).tobytes(), "kth": f["kth"].to_numpy(float).tobytes(), "qs": v.tobytes()}])
-
-    def in_blocks(queries: DataFrame, by_home: bool) -> DataFrame:
-        parts = max(1, -(-n // every // QUERY_ROWS))
-        part = F.pmod(F.xxhash64("vec_id"), F.lit(parts)).cast("int")
-        block = F.col("home") if by_home else F.lit(-1)
-        return queries.withColumn("home", block.cast("int")).groupBy("home", part.alias("part")).applyInPandas(pack_queries, "home int, qids binary, kth binary, qs binary")
+        """A block, and the distances from each pivot at which its queries can still find better rows."""
+        v, kth = stacked(f["v"], dim), f["kth"].to_numpy(float)
+        d = np.sqrt(np.maximum(0, (v**2).sum(1)[:, None] + (pivots**2).sum(1) - 2 * v @ pivots[:, :dim].T))
+        reach = np.where(np.isnan(kth), np.inf, kth)[:, None] + slack
+        low, high = (d - reach).min(0), (d + reach).max(0)
+        at = [(p, max(low[p], 0.0), min(high[p], most)) for p, least, most in reaches.itertuples(index=False) if low[p] <= most and high[p] >= least]
+        return pd.DataFrame([{"block": f"{f['home'].iloc[0]}-{f['part'].iloc[0]}", "home": int(f["home"].iloc[0]), "qids": f["vec_id"].to_numpy(np.int64).tobytes(), "kth": kth.tobytes(), "qs": v.tobytes(), "pivots": [int(p) for p, _, _ in at], "low": [x for _, x, _ in at], "high": [x for _, _, x in at]}])
+
+    def in_blocks(queries: DataFrame) -> DataFrame:
+        """Blocks of queries with one home, which lie at like distances from the pivots."""
+        sizes = queries.groupBy("home").agg(F.ceil(F.count("*") / QUERY_ROWS).cast("int").alias("parts"))  # at most MAX_PIVOTS rows
+        dealt = queries.join(F.broadcast(sizes), "home").withColumn("part", F.pmod(F.xxhash64("vec_id"), F.col("parts")).cast("int")).drop("parts")
+        return dealt.groupBy("home", "part").applyInPandas(pack_queries, "block string, home int, qids binary, kth binary, qs binary, pivots array<int>, low array<double>, high array<double>")
 
     def search(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
@@ -151,12 +170,14 @@ def top_k(vectors: DataFrame, every: int = 100, k: int = 10, scale: int = 1024)
                     got_s.append(have_sc)
                 yield pd.DataFrame({"query_id": np.concatenate(got_q), "vec_id": np.concatenate(got_v), "score": np.concatenate(got_s)})
 
-    near = in_blocks(asked, True).join(slabs, F.col("home") == F.col("pivot")).mapInPandas(search, HITS)
+    near = in_blocks(asked).drop("pivots", "low", "high").join(slabs, F.col("home") == F.col("pivot")).mapInPandas(search, HITS)
     by_query = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     kth = near.withColumn("r", F.row_number().over(by_query)).where(F.col("r") == k).select(F.col("query_id").alias("vec_id"), F.col("score").alias("s"))
     q2 = F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)
     bounded = stored(asked.drop("kth").join(kth, "vec_id", "left").withColumn("kth", F.when(F.col("s").isNotNull(), F.sqrt(F.greatest(F.lit(0.0), q2 + F.lit(m2) - 2 * F.col("s"))))).drop("s"), "topk-queries")
-    blocks = in_blocks(bounded, False)
-    pairs = blocks.withColumn("at", F.explode(F.array(*[F.lit(i) for i in range(len(pivots))]))).join(slabs, F.col("at") == F.col("pivot"))
-    hits = pairs.mapInPandas(search, HITS)
-    return hits.withColumn("rank", F.row_number().over(by_query)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int"), "vec_id", "score")
+    blocks = stored(in_blocks(bounded), "topk-blocks", bounded)
+    wanted = blocks.select("block", F.explode(F.arrays_zip("pivots", "low", "high")).alias("w")).select("block", F.col("w.pivots").alias("pivot"), "w.low", "w.high")
+    pairs = wanted.join(slabs.select(*SLAB, "least", "most"), "pivot").where("least <= high and most >= low").select("block", *SLAB)
+    hits = pairs.join(slabs, SLAB).join(blocks.drop("pivots", "low", "high"), "block").mapInPandas(search, HITS)
+    best_hits = hits.withColumn("rank", F.row_number().over(by_query)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int"), "vec_id", "score")
+    return stored(best_hits, "topk-rows", ints, keyed_rows, slabs, blocks)

@@ -1,4 +1,5 @@
 import numpy as np
+import pytest
 
 from quarry.llm import neardup as nd
 from quarry.llm import topk as tk
@@ -16,11 +17,12 @@ def vectors(seed=1, n=400, dim=16):
     return rows, bad
 
 
-def test_top_k(spark):
+@pytest.mark.parametrize("slab_rows", [11, 8192])
+def test_top_k(spark, slab_rows):
     rows, bad = vectors()
     df = spark.createDataFrame([(*r, "x") for r in rows + bad], "vec_id long, embedding array<double>, label int, score string").repartition(3)
     got = {}
-    for r in tk.top_k(df, every=20, k=7).collect():
+    for r in tk.top_k(df, every=20, k=7, slab_rows=slab_rows).collect():
         got.setdefault(r.query_id, []).append((r.rank, r.vec_id, r.score))
     usable = [(i, np.floor(np.array(v) * 1024).astype(np.int64)) for i, v, _ in rows + [b for b in bad if b[0] in (1400, 1600, 5)]]
     for q, v in usable:
@@ -36,11 +38,14 @@ def test_fewer_than_k(spark):
     assert [(r.query_id, r.rank, r.vec_id, r.score) for r in tk.top_k(df).orderBy("rank").collect()] == [(0, 1, 2, 512 * 1024 + 512 * 2048), (0, 2, 1, 1024 * 1024)]
 
 
-def test_near_duplicates(spark):
+@pytest.mark.parametrize(("block_rows", "kind"), [(7, "string"), (2048, "int")])
+def test_near_duplicates(spark, block_rows, kind):
+    """With blocks of a few rows and of all, and labels of any type."""
     rows, bad = vectors(2)
     every = rows + bad
     df = spark.createDataFrame([(*r, 1) for r in every], "vec_id long, embedding array<double>, label int, kept int").repartition(3)
-    got = sorted((tuple(r) for r in nd.near_duplicates(df).collect()), key=str)
+    df = df.withColumn("label", df["label"].cast(kind))
+    got = sorted((tuple(r) for r in nd.near_duplicates(df, block_rows=block_rows).collect()), key=str)
     ok = [i for i, (d, v, lab) in enumerate(every) if d is not None and lab is not None and v and all(x is not None and np.isfinite(x) for x in v) and any(v)]
     unit = {i: np.array(every[i][1]) / np.linalg.norm(every[i][1]) for i in ok}
     comp = {i: i for i in ok}
