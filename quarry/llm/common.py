@@ -22,6 +22,8 @@ WORD_PATTERN = "[^\\x20\\x09-\\x0D]+"
 MESSAGE, LEAST_BLOCK_BYTES, MOST_BLOCK_BYTES = 16 << 10, 1 << 20, 256 << 20
 #: While tables are written: bytes that go to a Python worker at once, as rows of blocks and sets are large, and shuffle files go with their query.
 STORING = {"spark.sql.execution.arrow.maxBytesPerBatch": str(4 << 20), "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"}
+#: Copies of a row that a task makes of one.
+AT_ONCE = 1 << 16
 #: Key ranges of a small corpus; ranges or blocks that a task takes, on average, whatever the session's partitions.
 LEAST_RANGES, RANGES_EACH = 24, 8
 BLOCK_SCHEMA = "block long, bytes long, doc_ids binary, offsets binary, payload binary"
@@ -97,6 +99,19 @@ def block_size(docs: DataFrame) -> int:
     return min(max(isqrt(source_bytes(docs) * MESSAGE), LEAST_BLOCK_BYTES), MOST_BLOCK_BYTES)
 
 
+def repeated(rows: DataFrame, times: str, number: str | None = None) -> DataFrame:
+    """Every row as often as its column `times` says, without that column; `number` counts the copies of a row from 0.
+
+    A row of many copies is first cut into rows of AT_ONCE copies, which are dealt out.
+    """
+    names, t = [F.col(f"`{c}`") for c in rows.columns if c != times], F.col(times).cast("long")
+    few = rows.where(t.between(1, AT_ONCE)).select(*names, F.explode(F.sequence(F.lit(0).cast("long"), t - 1)).alias("#"))
+    cut = rows.where(t > AT_ONCE).select(*names, t.alias(times), F.explode(F.sequence(F.lit(0).cast("long"), t - 1, F.lit(AT_ONCE).cast("long"))).alias("#"))
+    many = cut.repartition("#").select(*names, F.explode(F.sequence(F.col("#"), F.least(F.col("#") + AT_ONCE, F.col(times)) - 1)).alias("#"))
+    both = few.unionByName(many)
+    return both.withColumnRenamed("#", number) if number else both.drop("#")
+
+
 def range_count(blocks: DataFrame, range_bytes: int) -> int:
     """Key ranges for a corpus: one for each range_bytes of text, and LEAST_RANGES for a small one."""
     return max(LEAST_RANGES, -(-int(blocks.agg(F.sum("bytes")).first()[0] or 0) // range_bytes))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarry.llm.common import WORD_PATTERN, stored
+from quarry.llm.common import WORD_PATTERN, repeated, stored
 
 #: Units in one node of the reduction tree; pieces into which the rows of a source are dealt for lookups.
 FAN_IN, SALTS = 128, 64
@@ -67,7 +67,7 @@ def folded(units: DataFrame, keys: list[str], seed: int) -> DataFrame:
 
 
 def rounded(units: DataFrame, seed: int = 9) -> DataFrame:
-    """row, copy: units(row, source, p) with fractions p decided so that each source's sum stays within 1 of its mass.
+    """row, source, copy: units(row, source, p) with fractions p decided so that each source's sum stays within 1 of its mass.
 
     A tree of nodes of about FAN_IN units: units of similar size meet first, a node hands on at most one unit, and the
     last unit of a source is decided by a coin. Every level is one shuffle of what the level below left.
@@ -85,55 +85,74 @@ def rounded(units: DataFrame, seed: int = 9) -> DataFrame:
     out, depth, left = None, 0, top
     while True:
         step = stored(folded(level, ["source", "node"], seed + depth), f"mix-{depth}")
-        done = step.select(F.explode("done").alias("d")).select("d.unit.row", F.col("d.copy").alias("copy"))
+        done = step.select(F.explode("done").alias("d")).select("d.unit.row", "d.unit.source", F.col("d.copy").alias("copy"))
         out = done if out is None else out.unionByName(done)
         carry = step.where("carry is not null").select("source", "node", "carry")
         left = -(-left // FAN_IN)
         depth += 1
         if left <= 1:
-            last = carry.select("carry.row", (uniform(F.lit(seed), F.col("carry.row.h"), F.col("carry.row.doc_id")) < F.col("carry.p")).cast("int").alias("copy"))
+            last = carry.select("carry.row", "carry.source", (uniform(F.lit(seed), F.col("carry.row.h"), F.col("carry.row.doc_id")) < F.col("carry.p")).cast("int").alias("copy"))
             return out.unionByName(last)
         level = carry.select("carry.row", "source", "carry.cls", F.col("carry").alias("unit"), F.expr(f"node div {FAN_IN}").cast("int").alias("node"))
 
 
-def mixed_copies(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5, most: float = 2.0, seed: int = 9) -> DataFrame:
-    """doc_id, h, size, source_size, target, copies, taken for every row of docs(doc_id, text, source).
+def decided(docs: DataFrame, weights: tuple[int, ...], share: float, most: float, seed: int) -> DataFrame:
+    """doc_id, h, size, source_size, target, rows, whole, extra for each kind of equal rows of docs(doc_id, text, source).
 
-    size: words of the text (null: 0). A source's rows want target / source_size copies each; the whole part is given
-    to all of them and the fraction is rounded by `rounded`, so a row gets 0 to `most` copies and the words taken come
-    near the target. A null source is one source of its own, last in order; a source without words has target 0.
-    h identifies the text, so equal rows get numbers of copies of their own. Reruns agree. Empty tables give no rows.
+    A source's rows want target / source_size copies each. All `rows` of a kind get the whole part, and `extra` of them one
+    more: equal rows pass their fractions on to each other until one fraction is left, and `rounded` decides that one.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("h"), F.coalesce(F.regexp_count("text", F.lit(WORD_PATTERN)), F.lit(0)).cast("long").alias("size"), F.col("source").cast("string").alias("source"))
-    rows = stored(rows, "mix-sizes")
-    sizes = rows.groupBy("source").agg(F.sum("size").alias("source_size"))
+    kinds = stored(rows.groupBy("doc_id", "h", "size", "source").agg(F.count("*").alias("rows")), "mix-sizes")
+    sizes = kinds.groupBy("source").agg(F.sum(F.col("size") * F.col("rows")).alias("source_size"))
     targets = stored(capped_targets(sizes, weights, share, most), "mix-targets")
     salted = targets.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     wanted = (
-        rows.withColumn("salt", F.pmod(F.col("h"), F.lit(SALTS)).cast("int")).alias("r")
+        kinds.withColumn("salt", F.pmod(F.col("h"), F.lit(SALTS)).cast("int")).alias("r")
         .join(salted.alias("t"), F.col("r.source").eqNullSafe(F.col("t.source")) & (F.col("r.salt") == F.col("t.salt")))
-        .select("r.doc_id", "r.h", "r.size", "r.source", "t.source_size", "t.target", F.coalesce(F.col("t.target") / F.nullif(F.col("t.source_size"), F.lit(0)), F.lit(0.0)).alias("want"))
+        .select("r.doc_id", "r.h", "r.size", "r.source", "r.rows", "t.source_size", "t.target", F.coalesce(F.col("t.target") / F.nullif(F.col("t.source_size"), F.lit(0)), F.lit(0.0)).alias("want"))
         .withColumn("whole", F.floor("want").cast("int"))
-        .withColumn("p", F.col("want") - F.col("whole"))
+        .withColumn("mass", F.col("rows") * (F.col("want") - F.col("whole")))
+        .withColumn("sure", F.floor("mass"))
     )
     cls = F.floor(F.log2(F.col("size") + 1) * 4).cast("int")
-    units = wanted.where("p > 0").select(F.struct("doc_id", "h", "size").alias("row"), "source", cls.alias("cls"), "p")
-    coins = rounded(units, seed).select(F.struct(F.col("row.doc_id").alias("doc_id"), F.col("row.h").alias("h")).alias("k"), "copy")
-    # Equal rows share their coins: the i-th row of a key takes the i-th coin.
-    at = Window.partitionBy("k").orderBy(F.lit(0))
-    coins = coins.select("k", "copy", F.row_number().over(at).alias("i"))
-    numbered = wanted.where("p > 0").withColumn("k", F.struct("doc_id", "h")).withColumn("i", F.row_number().over(at))
-    part = numbered.alias("n").join(coins.alias("c"), F.col("n.k").eqNullSafe(F.col("c.k")) & (F.col("n.i") == F.col("c.i")), "left").select("n.doc_id", "n.h", "n.size", "n.source_size", "n.target", (F.col("n.whole") + F.coalesce("c.copy", F.lit(0))).alias("copies"))
-    whole = wanted.where("p <= 0").select("doc_id", "h", "size", "source_size", "target", F.col("whole").alias("copies"))
-    return part.unionByName(whole).withColumn("taken", (F.col("copies") * F.col("size")).cast("long"))
-
-
-def mix(docs: DataFrame, **options) -> DataFrame:
-    """docs with every row repeated as often as the mix takes it; rows taken 0 times go, all columns stay."""
-    copies = mixed_copies(docs, **options).select("doc_id", "h", "copies")
+    units = wanted.where("mass > sure").select(F.struct("doc_id", "h", "size").alias("row"), "source", cls.alias("cls"), (F.col("mass") - F.col("sure")).alias("p"))
+    coins = rounded(units, seed)
+    k = lambda side, row: F.struct(F.col(f"{row}.doc_id").alias("doc_id"), F.col(f"{row}.h").alias("h"), F.col(f"{side}.source").alias("source"))
+    met = wanted.alias("w").join(coins.alias("c"), k("w", "w").eqNullSafe(k("c", "c.row")), "left")
+    return met.select("w.doc_id", "w.h", "w.size", "w.source", "w.source_size", "w.target", "w.rows", "w.whole", (F.col("w.sure") + F.coalesce("c.copy", F.lit(0))).cast("long").alias("extra"))
+
+
+def mixed_copies(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5, most: float = 2.0, seed: int = 9) -> DataFrame:
+    """doc_id, h, size, source_size, target, copies, taken for every row of docs(doc_id, text, source).
+
+    size: words of the text (null: 0). A source's rows want target / source_size copies each; the whole part is given
+    to all of them and the fraction is rounded, so a row gets 0 to `most` copies and the words taken come near the target.
+    A null source is one source of its own, last in order; a source without words has target 0. h identifies the text;
+    of equal rows some get one copy more than others. Reruns agree. Empty tables give no rows.
+    """
+    kinds = decided(docs, weights, share, most, seed)
+    times = F.explode(F.array(F.struct((F.col("whole") + 1).alias("copies"), F.col("extra").alias("times")), F.struct(F.col("whole").alias("copies"), (F.col("rows") - F.col("extra")).alias("times"))))
+    rows = repeated(kinds.select("doc_id", "h", "size", "source_size", "target", times.alias("x")).select("doc_id", "h", "size", "source_size", "target", "x.copies", "x.times"), "times")
+    return rows.withColumn("taken", (F.col("copies") * F.col("size")).cast("long"))
+
+
+def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5, most: float = 2.0, seed: int = 9) -> DataFrame:
+    """docs with every row repeated as often as the mix takes it; rows taken 0 times go, all columns stay.
+
+    Equal rows, which may differ in other columns, are numbered by the partition of docs they come from, so that no task
+    has to see all of them; docs has to be a table that is read alike each time.
+    """
+    kinds = decided(docs, weights, share, most, seed).select(F.struct("doc_id", "h", "source").alias("k"), "rows", "whole", "extra")
     names = docs.columns
-    at = Window.partitionBy("k").orderBy(F.lit(0))
-    left = docs.select(F.struct(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("h")).alias("k"), F.struct(*[F.col(f"`{c}`") for c in names]).alias("row")).withColumn("i", F.row_number().over(at))
-    right = copies.select(F.struct("doc_id", "h").alias("k"), "copies").where("copies > 0").withColumn("i", F.row_number().over(at))
-    both = left.alias("l").join(right.alias("r"), F.col("l.k").eqNullSafe(F.col("r.k")) & (F.col("l.i") == F.col("r.i"))).select("l.row", F.explode(F.array_repeat(F.lit(1), F.col("r.copies"))).alias("again"))
-    return both.select(*[F.col(f"row.`{c}`").alias(c) for c in names])
+    key = F.struct(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("h"), F.col("source").cast("string").alias("source"))
+    placed = docs.select(key.alias("k"), F.spark_partition_id().alias("part"), F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"))
+    met = placed.alias("l").join(kinds.alias("r"), F.col("l.k").eqNullSafe(F.col("r.k"))).select("l.k", "l.part", "l.row", "r.rows", "r.whole", "r.extra")
+    alone = met.where("rows = 1").select("row", (F.col("whole") + F.col("extra")).alias("copies"))
+    ahead = Window.partitionBy("k").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = placed.groupBy("k", "part").agg(F.count("*").alias("n")).withColumn("start", F.coalesce(F.sum("n").over(ahead), F.lit(0)))
+    several = met.where("rows > 1").withColumn("i", F.row_number().over(Window.partitionBy("k", "part").orderBy(F.lit(0)))).alias("l")
+    several = several.join(starts.alias("r"), F.col("l.k").eqNullSafe(F.col("r.k")) & (F.col("l.part") == F.col("r.part")))
+    several = several.select("l.row", (F.col("l.whole") + (F.col("r.start") + F.col("l.i") <= F.col("l.extra")).cast("int")).alias("copies"))
+    out = alone.unionByName(several).select("row", F.explode(F.array_repeat(F.lit(1), F.col("copies").cast("int"))).alias("again"))
+    return out.select(*[F.col(f"row.`{c}`").alias(c) for c in names])

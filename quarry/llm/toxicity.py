@@ -442,4 +442,6 @@ def without_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) ->
             give_back()
             yield batch.filter(pa.array(probability(features(batch.column(at), trie, memory), model) < threshold))
 
-    return docs.mapInArrow(kept, docs.schema)
+    # By number, as names of columns may hold dots.
+    plain = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
+    return plain.mapInArrow(kept, plain.schema).toDF(*docs.columns)

@@ -62,3 +62,17 @@ def test_mix_repeats_rows(spark):
     assert sorted(tuple(r) for r in out if r.text) == sorted([rows[0]] * 2 + [rows[2]] * 4)
     assert out[0].__fields__ == ["doc_id", "text", "source", "copies"]
     assert mx.mix(spark.createDataFrame([], "doc_id long, text string, source string")).count() == 0
+
+
+def test_many_equal_rows(spark, monkeypatch):
+    """Equal rows decide among themselves: their copies are their mass, up to one; other columns stay with their rows."""
+    monkeypatch.setattr("quarry.llm.common.AT_ONCE", 7)
+    rows = [(1, "a b c", "only", k) for k in range(250)] + [(i, "one two three", "only", 0) for i in range(2, 80)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, rows int")
+    r = mx.mixed_copies(df, share=1.3).collect()
+    same = [x.copies for x in r if x.doc_id == 1]
+    assert len(r) == 328 and abs(sum(x.copies for x in r) - 1.3 * 328) <= 1 and len(same) == 250 and abs(sum(same) - 325) <= 1 and set(same) == {1, 2}
+    path = f"{spark.conf.get('spark.sql.warehouse.dir').removeprefix('file:')}/mix-rows"
+    df.repartition(5).write.mode("overwrite").parquet(path)
+    out = [x for x in mx.mix(spark.read.parquet(path), share=1.3).collect() if x.doc_id == 1]
+    assert len(out) == sum(same) and {x.rows for x in out} == set(range(250))

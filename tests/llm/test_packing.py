@@ -44,3 +44,33 @@ def test_every_word_once(spark):
         known = [r.source for r in b if r.source is not None]
         assert len(set(known)) == len(known)
     assert pk.packed_bins(spark.createDataFrame([], "doc_id long, text string, source string")).count() == 0
+
+
+def test_pieces_are_the_texts(spark):
+    rng = random.Random(6)
+    gap = lambda: rng.choice([" ", "  ", "\t", "\n", " \x0b\x0c\r "])
+    rows = [(i, gap() * rng.randint(0, 1) + "".join(f"wé{k}{gap()}" for k in range(rng.randint(0, 90))), f"s{i % 4}") for i in range(60)]
+    rows += [(100, None, "s"), (101, "", None), (102, "x" * 5000, "s"), (103, " \n ", "s"), (None, "no id here", "s"), (5, rows[5][1], "s1"), (5, rows[5][1], "other"), (5, "another text", "s1")]
+    got = pk.packed_texts(spark.createDataFrame(rows, "doc_id long, text string, source string"), capacity=17, cell_rows=30).collect()
+    texts = {}
+    for r in sorted(got, key=lambda r: r.piece):
+        texts.setdefault((r.doc_id, r.source, r.cluster), []).append((r.piece, r["size"], r.text))
+    whole = {}
+    for (d, s, _), pieces in texts.items():
+        n = sum(p == 0 for p, _, _ in pieces)
+        assert len(pieces) % n == 0 and all(size == len(t.split()) if "\x1c" not in t else True for _, size, t in pieces)
+        whole[d, s, "".join(t for _, _, t in pieces[::n])] = n
+    want = {}
+    for d, t, s in rows:
+        want[d, s, t or ""] = want.get((d, s, t or ""), 0) + 1
+    assert whole == want
+
+
+def test_many_equal_rows(spark, monkeypatch):
+    """Equal rows are spread over cells and packed once each, whatever number a task makes at once."""
+    monkeypatch.setattr("quarry.llm.common.AT_ONCE", 7)
+    df = spark.createDataFrame([(1, "a b c", "s")] * 300 + [(i, "d e", "t") for i in range(2, 40)], "doc_id long, text string, source string")
+    got = pk.packed_bins(df, capacity=100, cell_rows=40).collect()
+    same = [r for r in got if r.doc_id == 1]
+    assert len(got) == 338 and len(same) == 300 and len({(r.cell, r.bin) for r in same}) == 300
+    assert max(sum(r.cell == c for r in same) for c in {r.cell for r in same}) < 100
