@@ -29,8 +29,8 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document's pieces with the bins that hold them."""
-    return packing.packed_bins(docs)
+    """Every document's pieces, with their texts and the bins that hold them."""
+    return packing.packed_texts(docs)
 
 
 STAGES = [("toxicity", toxicity_stage), ("ngram_jaccard_join", jaccard_stage), ("suffix_array_dedup", repeats_stage), ("source_mixing", mixing_stage), ("best_fit_packing", packing_stage)]
