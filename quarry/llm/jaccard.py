@@ -17,14 +17,16 @@ from collections import Counter
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import block_size, block_texts, blocks_of, dealt, discard, from_six, give_back, mixed, opened, packed, packed_counts, packed_keys, range_count, range_of, six_bytes, slices, stored, unpacked, unpacked_counts, unpacked_keys, word_hashes, word_ids
+from quarry.llm.common import WORD_PATTERN, block_size, block_texts, blocks_of, dealt, discard, from_six, give_back, mixed, opened, packed, packed_counts, packed_keys, range_count, range_of, six_bytes, slices, stored, unpacked, unpacked_counts, unpacked_keys, word_hashes, word_ids
 from quarry.llm.components import connected_components, forest
+from quarry.llm.topk import slotted
 
 #: Classes in one side of a search; share of DivideSkip; size merged by a heap.
-SLICE, SKIP_SHARE, HEAP_SIZE = 1024, 0.1, 512
+SLICE, SKIP_SHARE, HEAP_SIZE = 512, 0.1, 512
+PAIR = ["family", "slot", "sub", "slot2", "sub2"]
 STEP = np.uint64(0x9E3779B97F4A7C15)
 SHIFT = np.uint64(16)
 EMPTY_ID = -(2**63)
@@ -327,7 +329,7 @@ def _count(pct: int):
         lnode, rnode = left["node"].to_numpy(), right["node"].to_numpy()
         a, b, lcount, rcount = counted_links([from_six(x) for x in left["items"]], [from_six(x) for x in right["items"]], lnode, rnode, left["copies"].to_numpy(), right["copies"].to_numpy(), pct)
         # A slice that meets itself has asked for all its classes.
-        nodes, counts = (lnode, lcount) if f["i"].iloc[0] == f["j"].iloc[0] else (np.concatenate((lnode, rnode)), np.concatenate((lcount, rcount)))
+        nodes, counts = (lnode, lcount) if f["lhs"].all() and f["rhs"].all() else (np.concatenate((lnode, rnode)), np.concatenate((lcount, rcount)))
         links = pd.DataFrame({"a": a, "b": b, "n": None}, dtype="Int64")
         return pd.concat((links, pd.DataFrame({"a": nodes, "b": None, "n": counts}, dtype="Int64")))[cols]
 
@@ -368,11 +370,20 @@ def grouped(docs: DataFrame, width: int = 3, pct: int = 90, range_bytes: int | N
     ends = edges.select(F.col("a").alias("node"), F.struct(F.col("ablock").alias("block"), F.col("adoc").alias("doc")).alias("at")).unionByName(edges.select(F.col("b").alias("node"), F.struct(F.col("bblock").alias("block"), F.col("bdoc").alias("doc")).alias("at")))
     wanted = ends.groupBy("node").agg(F.min("at").alias("at")).select("node", "at.block", "at.doc")
     sets = stored(dealt(blocks, "block", ranges).groupBy("block").cogroup(dealt(wanted, "block", ranges).groupBy("block")).applyInPandas(_fetch_sets(width), SET_ROWS), "jaccard-items")
-    # Slice i of a family asks the lists of slice j, for j <= i.
-    sizes = families.groupBy("family").agg(F.ceil(F.count("*") / SLICE).cast("int").alias("slices"))
-    cut = families.join(sizes, "family").withColumn("slice", F.pmod(F.xxhash64("node"), F.col("slices")).cast("int"))
-    met = cut.select("node", "family", "slice", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("other"))
-    met = met.select("node", "family", F.greatest("slice", "other").alias("i"), F.least("slice", "other").alias("j"), (F.col("slice") >= F.col("other")).alias("lhs"), (F.col("slice") <= F.col("other")).alias("rhs"))
+    # Families of more than SLICE classes are cut by the size of the sets, and slices meet where sizes allow links.
+    sized = families.join(sets.select("node", "n"), "node")
+    large = sized.groupBy("family").agg(F.count("*").alias("classes")).where(F.col("classes") > SLICE).select("family")
+    large = stored(large, "jaccard-large")
+    cut = slotted(sized.join(large, "family", "left_semi"), ["family"], "n", SLICE, "node").unionByName(sized.join(large, "family", "left_anti").select("*", F.lit(0).alias("slot"), F.lit(0).alias("sub")))
+    cut = stored(cut, "jaccard-slices", large)
+    slices_ = cut.groupBy("family", "slot", "sub").agg(F.min("n").alias("low"), F.max("n").alias("high"))
+    other = slices_.select("family", F.col("slot").alias("slot2"), F.col("sub").alias("sub2"), F.col("low").alias("low2"), F.col("high").alias("high2"))
+    may = (F.struct("slot", "sub") <= F.struct("slot2", "sub2")) & (100 * F.col("high") >= pct * F.col("low2")) & (100 * F.col("high2") >= pct * F.col("low"))
+    pairs = stored(slices_.join(other, "family").where(may).select(*PAIR), "jaccard-pairs")
+    own = (F.col("slot") == F.col("slot2")) & (F.col("sub") == F.col("sub2"))
+    first = cut.join(pairs, ["family", "slot", "sub"]).select("node", *PAIR, F.lit(True).alias("lhs"), own.alias("rhs"))
+    second = cut.withColumnsRenamed({"slot": "slot2", "sub": "sub2"}).join(pairs.where(~own), ["family", "slot2", "sub2"]).select("node", *PAIR, F.lit(False).alias("lhs"), F.lit(True).alias("rhs"))
+    met = first.unionByName(second)
 
     def rows_of(frames):
         for f in frames:
@@ -382,28 +393,29 @@ def grouped(docs: DataFrame, width: int = 3, pct: int = 90, range_bytes: int | N
     rows = stored(meta.select("keys", "nodes", "sizes", "docs").mapInPandas(rows_of, "doc_id long, text_md5 string, n_shingles long, node long"), "jaccard-rows")
     discard(sent)
     copies = rows.where("n_shingles > 0").groupBy("node").agg(F.count("*").alias("copies"))
-    asked = met.join(sets, "node")
+    asked = met.join(sets.select("node", "items"), "node")
     if count:
-        found = stored(dealt(asked.join(copies, "node"), ["family", "i", "j"], ranges).groupBy("family", "i", "j").applyInPandas(_count(pct), "a long, b long, n long"), "jaccard-links")
+        found = stored(dealt(asked.join(copies, "node"), PAIR, ranges).groupBy(*PAIR).applyInPandas(_count(pct), "a long, b long, n long"), "jaccard-links")
         links = found.where("b is not null").select("a", "b")
     else:
-        links = dealt(asked, ["family", "i", "j"], ranges).groupBy("family", "i", "j").applyInPandas(_search(pct), "a long, b long")
+        links = dealt(asked, PAIR, ranges).groupBy(*PAIR).applyInPandas(_search(pct), "a long, b long")
     comps = connected_components(links)
-    discard(blocks, sets, edges)
+    discard(blocks, sets, edges, cut, pairs)
     least = rows.where("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("least"))
     member = least.join(comps, "node", "left").select("node", "least", F.coalesce("component", "node").alias("group"))
     member = stored(member, "jaccard-members")
     smallest = member.groupBy("group").agg(F.min("least").alias("component_id"))
-    named = stored(member.join(smallest, "group").select("node", "group", "component_id"), "jaccard-named")
-    more = []
+    named = stored(member.join(smallest, "group").select("node", "group", "component_id"), "jaccard-named", member)
+    done, more = [rows, named], []
     if count:
         others = found.where("b is null").groupBy(F.col("a").alias("node")).agg(F.sum("n").alias("others"))
         totals = copies.join(others, "node", "left").select("node", (F.col("copies") - 1 + F.coalesce("others", F.lit(0))).alias("total"))
         named = named.join(totals, "node")
+        done.append(found)
         more = [F.coalesce(F.when(F.col("n_shingles") > 0, F.col("total")), F.lit(0)).alias("n_links")]
     has = F.col("n_shingles") > 0
     out = rows.join(named, "node", "left").select("doc_id", "text_md5", "n_shingles", *more, F.coalesce(F.when(has, F.col("group")), F.lit(0)).alias("group"), F.coalesce(F.when(has, F.col("component_id")), F.col("doc_id")).alias("component_id"))
-    return out
+    return stored(out, "jaccard-result", *done)
 
 
 def real_id(column: str):
@@ -421,12 +433,15 @@ def linked_sets(docs: DataFrame, width: int = 3, pct: int = 90, **options) -> Da
 
 
 def one_of_each(docs: DataFrame, width: int = 5, pct: int = 80, **options) -> DataFrame:
-    """docs with one row of each group, of the least doc_id and then the least text_md5; texts without words all stay."""
-    rows = grouped(docs, width, pct, **options).where("doc_id = component_id")
-    first = rows.where("group <> 0").groupBy("group").agg(F.min(F.struct("doc_id", "text_md5")).alias("k")).select("k.doc_id", "k.text_md5", F.lit(1).cast("long").alias("times"))
-    empty = rows.where("group = 0").groupBy("doc_id", "text_md5").agg(F.count("*").alias("times"))
-    keep = first.unionByName(empty).select(F.struct("doc_id", "text_md5").alias("k"), "times")
+    """docs with one row of each group, of the least doc_id and then the least text_md5; texts without words all stay.
+
+    Of rows equal in doc_id and text, which may differ in other columns, any one stays.
+    """
+    rows = grouped(docs, width, pct, **options).where("doc_id = component_id and group <> 0")
+    keep = rows.groupBy("group").agg(F.min(F.struct("doc_id", "text_md5")).alias("k")).select("k")
     key = F.struct(F.coalesce(F.col("doc_id").cast("long"), F.lit(EMPTY_ID)).alias("doc_id"), F.md5(F.coalesce(F.col("text"), F.lit("")).cast("binary")).alias("text_md5"))
     names = docs.columns
-    dealt = docs.select(key.alias("k"), F.struct(*[F.col(f"`{c}`") for c in names]).alias("row")).withColumn("i", F.row_number().over(Window.partitionBy("k").orderBy(F.lit(0))))
-    return dealt.join(keep, "k").where("i <= times").select(*[F.col(f"row.`{c}`").alias(c) for c in names])
+    says = F.coalesce(F.regexp_like("text", F.lit(WORD_PATTERN)), F.lit(False))
+    # Equal rows become one before they are dealt out.
+    single = docs.where(says).groupBy(key.alias("k")).agg(F.first(F.struct(*[F.col(f"`{c}`") for c in names])).alias("row"))
+    return single.join(keep, "k", "left_semi").select(*[F.col(f"row.`{c}`").alias(c) for c in names]).unionByName(docs.where(~says))
