@@ -25,7 +25,7 @@ STORING = {"spark.sql.execution.arrow.maxBytesPerBatch": str(4 << 20), "spark.sq
 #: Copies of a row that a task makes of one.
 AT_ONCE = 1 << 16
 #: Key ranges of a small corpus; ranges or blocks that a task takes, on average, whatever the session's partitions.
-LEAST_RANGES, RANGES_EACH = 24, 8
+LEAST_RANGES, RANGES_EACH = 24, 16
 BLOCK_SCHEMA = "block long, bytes long, doc_ids binary, offsets binary, payload binary"
 MIX = np.uint64(0xD6E8FEB86659FD93)
 
