@@ -371,4 +371,4 @@ def main_text(pages: DataFrame) -> DataFrame:
             yield pd.DataFrame({"page_id": f["page_id"], "url": f["url"], "text": out, "n_chars": [len(t) for t in out]})
 
     kind = dict(pages.dtypes)["page_id"]
-    return met.select("page_id", "url", "html", "known").mapInPandas(extract, f"page_id {kind}, url string, text string, n_chars long")
+    return stored(met.select("page_id", "url", "html", "known").mapInPandas(extract, f"page_id {kind}, url string, text string, n_chars long"), "html-texts", known)

@@ -158,19 +158,6 @@ def without_letters(word: str, letters: int) -> set[str]:
     return out
 
 
-#: Looked-up words of the lexicon that a Python worker used last; its later tasks go on with them.
-_KNOWN: dict[int, tuple[Trie, dict]] = {}
-
-
-def reader(lexicon: list[tuple[str, bool, float]]) -> tuple[Trie, dict]:
-    """The trie of a lexicon, and what is known of words already looked up in it."""
-    key = hash(tuple(lexicon))
-    if key not in _KNOWN:
-        _KNOWN.clear()
-        _KNOWN[key] = Trie(lexicon), {}
-    return _KNOWN[key]
-
-
 def bare(word: str) -> str:
     return EDGE.sub("", word)
 
@@ -398,7 +385,7 @@ def learned(docs: DataFrame, labels: DataFrame) -> tuple[list, tuple]:
     lexicon = learned_lexicon(rows)
 
     def measured(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        trie, memory = reader(lexicon)
+        trie, memory = Trie(lexicon), {}
         for f in frames:
             give_back()
             x = features(pa.array(f["text"], pa.large_string()), trie, memory)
@@ -421,14 +408,14 @@ def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -> Data
     lexicon, model = learned(docs, labels)
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trie, memory = reader(lexicon)
+        trie, memory = Trie(lexicon), {}
         for batch in (x for whole in batches for x in portions(whole, 1)):
             give_back()
             p = probability(features(batch.column(1), trie, memory), model)
             yield pa.record_batch([batch.column(0), batch.column(2), pa.array(p), pa.array((p >= threshold).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", (fold("doc_id") == 1).alias("held_out"))
-    return rows.mapInArrow(scored, "doc_id long, held_out boolean, score double, predicted int")
+    return stored(rows.mapInArrow(scored, "doc_id long, held_out boolean, score double, predicted int"), "toxic-scores")
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -> DataFrame:
@@ -437,11 +424,11 @@ def without_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) ->
     at = docs.columns.index("text")
 
     def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trie, memory = reader(lexicon)
+        trie, memory = Trie(lexicon), {}
         for batch in (x for whole in batches for x in portions(whole, at)):
             give_back()
             yield batch.filter(pa.array(probability(features(batch.column(at), trie, memory), model) < threshold))
 
     # By number, as names of columns may hold dots.
     plain = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
-    return plain.mapInArrow(kept, plain.schema).toDF(*docs.columns)
+    return stored(plain.mapInArrow(kept, plain.schema), "toxic-kept").toDF(*docs.columns)
