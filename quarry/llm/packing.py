@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import WORD_PATTERN, repeated
+from quarry.llm.common import WORD_PATTERN, repeated, stored
 
 #: Rows that one cell packs by itself, on average: enough for tight bins, little enough for one task's memory.
 CELL_ROWS = 8192
@@ -82,7 +82,7 @@ def cluster_of(text: str) -> Column:
 def _packed(rows: DataFrame, n: int, capacity: int, cell_rows: int) -> DataFrame:
     cells = max(1, -(-n // cell_rows))
     # Equal rows are one with a number; each of them has a cell of its own, its number in the hash.
-    same = rows.groupBy("doc_id", "words", "source", "cluster", "text_hash").agg(F.count("*").alias("rows"))
+    same = stored(rows.groupBy("doc_id", "words", "source", "cluster", "text_hash").agg(F.count("*").alias("rows")), "pack-rows")
     numbered = repeated(same, "rows", "copy")
     sizes = F.transform(F.sequence(F.lit(0), F.greatest(F.ceil(F.col("words") / capacity) - 1, F.lit(0)).cast("int")), lambda i: F.least(F.col("words") - i * capacity, F.lit(capacity).cast("long")))
     pieces = numbered.select("doc_id", "source", "cluster", "text_hash", "copy", F.posexplode(sizes).alias("piece", "size"))
