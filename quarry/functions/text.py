@@ -134,3 +134,9 @@ def slug(text: pd.Series) -> pd.Series:
         return "-".join("".join(c if c.isalnum() else " " for c in plain).split()).lower()[:48]
 
     return text.map(one)
+
+
+def hash_id(*parts: Column | str) -> Column:
+    """An id in the form of a uuid from the values of parts: equal values have equal ids on any cluster; nulls count as empty."""
+    h = F.md5(F.concat_ws("\x1f", *[F.coalesce(col(p).cast("string"), F.lit("")) for p in parts]).cast("binary"))
+    return F.concat_ws("-", F.substring(h, 1, 8), F.substring(h, 9, 4), F.substring(h, 13, 4), F.substring(h, 17, 4), F.substring(h, 21, 12))

@@ -13,6 +13,8 @@ from pyspark.sql.types import DoubleType
 
 # Fixed value: the 97.5 % point of the normal distribution.
 Z = 1.959963985
+#: The 80 % point of the normal distribution.
+POWER_Z = 0.841621234
 #: Modulus and factors of the bootstrap's draws; rounds in a row dealt to a task; draws in its memory at once.
 DRAW_PRIME, DRAW_SEED, DRAW_ROUND, DRAW_STEP, ROUND_BLOCK, DRAWS_AT_ONCE = 2147483647, 1013904223, 1640531527, 69069, 250, 1 << 18
 #: Discordant pairs from which McNemar's test takes the corrected chi-square.
@@ -187,6 +189,11 @@ def cohen_h(p1: Column, p2: Column) -> Column:
     return 2 * F.asin(F.sqrt(p1)) - 2 * F.asin(F.sqrt(p2))
 
 
+def pairs_needed(p1: Column, p2: Column, rho: Column) -> Column:
+    """Pairs that tell two proportions apart by Cohen's h at 5 % with a power of 80 %, for outcomes correlated by rho."""
+    return 2 * F.pow((Z + POWER_Z) / F.nullif(cohen_h(p1, p2), F.lit(0.0)), F.lit(2)) / F.nullif(1 - rho, F.lit(0.0))
+
+
 def _t_quantile(p: float, df: float) -> float:
     """Quantile of Student's t by bisection of its distribution, integrated numerically."""
     xs = np.linspace(0, 60, 20001)

@@ -336,11 +336,6 @@ def t5_wilcoxon(t: Tables):
     return rounded(st.wilcoxon(pairs(t), ["scenario_id"]))
 
 
-@query()
-def t5_wilcoxon_p(t: Tables):
-    return st.wilcoxon(pairs(t), ["scenario_id"]).withColumn("p", F.coalesce(st.normal_tail("z"), F.lit(1.0)))
-
-
 _TESTS = "select 'g' || cast(l_suppkey % 4 as varchar(4)) as grid, 'h' || cast(l_suppkey as varchar(9)) as name, (l_suppkey * 7919 % 997) / 2000.0 as p from {lineitem} group by l_suppkey"
 
 
@@ -361,6 +356,11 @@ _FRACTION = "{z}"
 for _k in range(24, 0, -1):
     _FRACTION = f"({{z}} + {_k} / {_FRACTION})"
 _TAIL = "(case when {z} < 3 then 1 - 2 / sqrt(pi()) * list_sum(list_transform(range(60), lambda k: pow(-1, k) * pow({z} / sqrt(2), 2 * k + 1) / (gamma(k + 1) * (2 * k + 1)))) else 2 * exp(-{z} * {z} / 2) / sqrt(2 * pi()) / " + _FRACTION + " end)"
+@query(f"with {_WIL}, z as (select scenario_id, n, least(plus, minus) as w, round((plus - minus) / (plus + minus), 6) as rank_biserial, case when n >= 5 then -least(0, least(plus, minus) - n * (n + 1) / 4 + 0.5) / sqrt(n * (n + 1) * (2 * n + 1) / 24 - ties / 48) end as z from s) select scenario_id, n, w, rank_biserial, round(coalesce({_TAIL.format(z='z')}, 1.0), 6) as p from z")
+def t5_wilcoxon_p(t: Tables):
+    return rounded(st.wilcoxon(pairs(t), ["scenario_id"]).withColumn("p", F.coalesce(st.normal_tail("z"), F.lit(1.0))).drop("z"))
+
+
 _SWITCHED = f"case when b + c > 0 then case when b + c < 25 then {_MCN} else {_TAIL.format(z='z')} end end"
 _QTYPE_BOOT = boot_sql(f"select qtype, scenario_id || question_id as id, diff from ({_PAIRED})", "qtype")
 
@@ -417,3 +417,22 @@ def t18_power_report(t: Tables):
     one = lambda c: (F.col(c) >= 0.5).cast("int")
     a = pairs(t).groupBy("scenario_id").agg(F.avg(one("arm")).alias("p1"), F.avg(one("base")).alias("p2"), F.corr(one("arm"), one("base")).alias("r"))
     return rounded(a.select("scenario_id", "p1", "p2", (F.col("p1") - F.col("p2")).alias("observed"), st.cohen_h(F.col("p1"), F.col("p2")).alias("h"), F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce("r", F.lit(0.0)))).alias("rho")))
+
+
+_NEEDED = "2 * pow((1.959963985 + 0.841621234) / (2 * asin(sqrt(p1)) - 2 * asin(sqrt(p2))), 2) / (1 - rho)"
+
+
+@query(f"with a as (select scenario_id, count(*) as n, avg((arm >= 0.5)::int) as p1, avg((base >= 0.5)::int) as p2, greatest(0, least(1, coalesce(corr((arm >= 0.5)::int, (base >= 0.5)::int), 0))) as rho from ({_PAIRED}) group by 1) select scenario_id, n, round({_NEEDED}, 4) as needed, round(abs(p2 - p1) * n / ({_NEEDED}), 6) as mde from a")
+def t17_mde_proportions(t: Tables):
+    one = lambda c: (F.col(c) >= 0.5).cast("int")
+    a = pairs(t).groupBy("scenario_id").agg(F.count("*").alias("n"), F.avg(one("arm")).alias("p1"), F.avg(one("base")).alias("p2"), F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce(F.corr(one("arm"), one("base")), F.lit(0.0)))).alias("rho"))
+    needed = st.pairs_needed(F.col("p1"), F.col("p2"), F.col("rho"))
+    return a.select("scenario_id", "n", F.round(needed, 4).alias("needed"), F.round(F.abs(F.col("p2") - F.col("p1")) * F.col("n") / needed, 6).alias("mde"))
+
+
+@query("with a as (select mode, count(*) as n, avg(correctness) as c, quantile_cont(case when has_timings then coalesce(latency_ms, 0) end, 0.5) as l from {results} group by mode) select mode, '| ' || mode || ' | ' || n || ' | ' || cast(round(c * 100, 1)::decimal(20,1) as varchar) || ' % | ' || cast(round(l / 1000, 1)::decimal(20,1) as varchar) || ' s |' as line from a")
+def l10_arm_table(t: Tables):
+    """The arm table as lines of markdown."""
+    a = ev.arm_summary(t.results, ["mode"])
+    cells = F.concat_ws(" | ", "mode", F.col("n").cast("string"), F.concat(F.round(F.col("correctness") * 100, 1).cast("decimal(20,1)").cast("string"), F.lit(" %")), F.concat(F.round(F.col("latency_p50") / 1000, 1).cast("decimal(20,1)").cast("string"), F.lit(" s")))
+    return a.select("mode", F.concat(F.lit("| "), cells, F.lit(" |")).alias("line"))

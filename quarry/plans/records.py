@@ -590,3 +590,46 @@ def w6_average_ranks(t: Tables):
     from quarry.operators.statistics import average_ranks
 
     return average_ranks(t.lineitem.select("l_suppkey", "l_partkey", "l_quantity"), "l_quantity", ["l_suppkey"], "average_rank").select("l_suppkey", "l_partkey", "average_rank")
+
+
+@query("select conv_id, turn, substr(h, 1, 8) || '-' || substr(h, 9, 4) || '-' || substr(h, 13, 4) || '-' || substr(h, 17, 4) || '-' || substr(h, 21, 12) as id from (select conv_id, turn, md5(conv_id || chr(31) || turn || chr(31) || coalesce(role, '')) as h from {conversations})")
+def f8_hash_ids(t: Tables):
+    return t.conversations.select("conv_id", "turn", tx.hash_id("conv_id", "turn", "role").alias("id"))
+
+
+_MARKDOWN = "# Guide\n\n## Setup\n### First\nInstall it.\n\n```\n# no heading\n```\nUse\n===\nRun it."
+
+
+@query("values ('a', 0, 'Manual | Guide | Setup | First :: Install it.' || chr(10) || chr(10) || '```' || chr(10) || '# no heading' || chr(10) || '```', 'Guide > Setup > First'), ('a', 1, 'Manual | Use :: Run it.', 'Use'), ('b', 0, 'Plain :: One line.', '')".replace("values ", "select * from (values ", 1) + ") v(doc_id, chunk_index, text, section)")
+def c1_c5_known_chunks(t: Tables):
+    """Chunks worked out by hand: bare headings, a fence with a mark in it, an underlined heading, a text without any."""
+    rows = [("a", "Manual", _MARKDOWN), ("b", "Plain", "One line."), ("c", "Blank", " \n ")]
+    return ch.structure_chunks(t.spark.createDataFrame(rows, "doc_id string, title string, text string")).select("doc_id", "chunk_index", "text", "section")
+
+
+@query("select * from (values ('a', 0, repeat('word ', 179) || 'word', 899), ('a', 1, repeat('word ', 48) || 'word', 244)) v(doc_id, chunk_index, text, char_count)")
+def c6_c7_known_chunks(t: Tables):
+    """Plain chunks worked out by hand: 180 words of five characters each, then the rest with 28 words of overlap."""
+    return ch.structure_chunks(t.spark.createDataFrame([("a", None, "word " * 200 + "word")], "doc_id string, title string, text string"), prefixed=False).select("doc_id", "chunk_index", "text", "char_count")
+
+
+@query("select mode, count(*) as n, count(distinct scenario_id) as scenarios from {results} group by mode")
+def s11_worker_rows(t: Tables):
+    """Result rows read from folders of several workers, written here as one folder for each mode."""
+    import tempfile
+    import uuid
+
+    top = f"{(t.spark.conf.get('spark.checkpoint.dir', None) or 'file://' + tempfile.gettempdir()).rstrip('/')}/quarry-workers-{uuid.uuid4().hex}"
+    t.results.select("run_id", "scenario_id", "question_id", "mode").write.parquet(f"{top}/w0")
+    t.results.limit(0).select("run_id", "scenario_id", "question_id", "mode").write.parquet(f"{top}/w1")
+    return readers.worker_rows(t.spark, [f"{top}/w0", f"{top}/w1"]).where(F.col("src").endswith("/w0")).groupBy("mode").agg(F.count("*").alias("n"), F.count_distinct("scenario_id").alias("scenarios"))
+
+
+@query("select path, case path % 5 when 0 then '| id | lang |' || chr(10) || '| --- | --- |' || chr(10) || '| ' || path || ' | a\\|b, ' || lang || ' |' when 1 then '{\"id\": ' || path || '}' when 2 then '<d>' || lang || '</d>' when 3 then 'T ' || lang end as text from (select doc_id as path, lang from {documents})")
+def s2_file_text(t: Tables):
+    """Files of five types as text: CSV, JSON, XML, HTML, and one that has no parser."""
+    d, five = t.documents, F.col("doc_id") % 5
+    body = F.when(five == 0, F.concat(F.lit('id,lang\n'), F.col("doc_id").cast("string"), F.lit(',"a|b, '), "lang", F.lit('"\n')))
+    body = body.when(five == 1, F.concat(F.lit('{"id": '), F.col("doc_id").cast("string"), F.lit("}"))).when(five == 2, F.concat(F.lit("<d>"), "lang", F.lit("</d>"))).otherwise(F.concat(F.lit("<h1>T</h1>\n<p>"), "lang", F.lit("</p>")))
+    ext = F.when(five == 0, ".csv").when(five == 1, ".json").when(five == 2, ".xml").when(five == 3, ".html").otherwise(".pdf")
+    return readers.file_text(d.select(F.col("doc_id").alias("path"), ext.alias("ext"), F.encode(body, "UTF-8").alias("content")))

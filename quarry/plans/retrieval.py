@@ -207,3 +207,36 @@ def j5_hydrate_hits(t: Tables):
 def s5_point_lookup(t: Tables):
     ids = t.embeddings.where("label = 3").select(F.col("vec_id").alias("id"))
     return docs(t).join(ids, "id", "left_semi").select("id", "text", F.lit(0.0).alias("similarity"))
+
+
+@query(f"with {_ITEMS}, {bm25_sql('items', 'docs')} {_TOP10}")
+def r9_cached_index(t: Tables):
+    """Two searches of one revision of the corpus share one index; the halves of the questions come out as one search."""
+    cache, chunks = se.IndexCache(), t.documents.select(F.col("doc_id").alias("id"), "doc_id", "text")
+    half = lambda k: se.bm25(items(t).where(F.col("query_id") % 2 == k), chunks, 10, index=cache.index(chunks, 1))
+    return half(0).unionByName(half(1)).select("query_id", "id", F.round("score", 6).alias("score"), "rank")
+
+
+def _ablated(t: Tables, hits, scorer):
+    """The best ten of the hits by a scorer of (question tokens, passage tokens), ties as they came."""
+    both = hits.join(docs(t), "id").join(items(t).withColumnRenamed("text", "q_text"), "query_id")
+    return se.rerank(both, scorer(tx.index_tokens("q_text"), tx.index_tokens("text"))).select("query_id", "id", "rank")
+
+
+def _ablated_sql(arm: str, hits: str, score: str) -> str:
+    return f"select '{arm}' as arm, query_id, id, row_number() over (partition by query_id order by round(s, 9) desc, hit) as rank from (select h.query_id, h.id, h.rank as hit, {score} as s from {hits} h join docs d on d.id = h.id join items i on i.query_id = h.query_id where h.rank <= 10)"
+
+
+_SHARED = f"len(list_intersect(list_distinct({toks('i.text')}), list_distinct({toks('d.text')})))::double / greatest(len(list_distinct(list_concat({toks('i.text')}, {toks('d.text')}))), 1)"
+
+
+@query(f"with {_HYBRID} {_ablated_sql('rrf-cross', 'fu', _OVERLAP)} union all {_ablated_sql('dense-cross', 'de', _OVERLAP)} union all {_ablated_sql('rrf-jaccard', 'fu', _SHARED)} union all {_ablated_sql('bm25-cross', 'rk', _OVERLAP)}")
+def r16_reranked_arms(t: Tables):
+    """The arms with a reranker: each retriever with a stand-in for its scorer."""
+
+    def shared(q, p):
+        return F.size(F.array_intersect(F.array_distinct(q), F.array_distinct(p))) / F.greatest(F.size(F.array_union(q, p)), F.lit(1))
+
+    arms = [("rrf-cross", hybrid_top(t), se.overlap_score), ("dense-cross", dense_top(t), se.overlap_score), ("rrf-jaccard", hybrid_top(t), shared), ("bm25-cross", bm25_top(t), se.overlap_score)]
+    out = [_ablated(t, hits, scorer).select(F.lit(arm).alias("arm"), "query_id", "id", "rank") for arm, hits, scorer in arms]
+    return out[0].unionByName(out[1]).unionByName(out[2]).unionByName(out[3])

@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
+import csv
+import io
+from collections.abc import Callable
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 # File types that can be read, and upload limits.
 EXTENSIONS = (".pdf", ".docx", ".xlsx", ".md", ".txt", ".html", ".htm", ".csv", ".json", ".xml", ".log")
@@ -27,11 +33,37 @@ def files(spark: SparkSession, path: str) -> DataFrame:
     return found.select("path", extension("path").alias("ext"), "length", "content")
 
 
-def file_text(found: DataFrame) -> DataFrame:
-    """path, text: plain types decoded, HTML without tags; types that need a parser give null and are left to a hook."""
+def file_text(found: DataFrame, parsers: dict[str, Callable[[bytes], str]] | None = None) -> DataFrame:
+    """path, text: plain types, JSON and XML decoded, CSV as a table of markdown, HTML without tags.
+
+    parsers: functions from bytes to text for further types by suffix, such as .pdf; types without one give null.
+    """
     raw = F.decode("content", "UTF-8")
-    plain = F.col("ext").isin(".md", ".txt", ".log", ".csv", ".json", ".xml", "")
-    return found.select("path", F.when(plain, raw).when(F.col("ext").isin(".html", ".htm"), html_text(raw)).alias("text"))
+    plain = F.col("ext").isin(".md", ".txt", ".log", ".json", ".xml", "")
+    text = F.when(plain, raw).when(F.col("ext") == ".csv", csv_table(raw)).when(F.col("ext").isin(".html", ".htm"), html_text(raw))
+    if parsers:
+
+        @F.pandas_udf(StringType())
+        def parsed(ext: pd.Series, content: pd.Series) -> pd.Series:
+            return pd.Series([parsers[e](bytes(c)) if e in parsers else None for e, c in zip(ext, content, strict=True)])
+
+        text = F.when(F.col("ext").isin(*parsers), parsed("ext", "content")).otherwise(text)
+    return found.select("path", text.alias("text"))
+
+
+@F.pandas_udf(StringType())
+def csv_table(text: pd.Series) -> pd.Series:
+    """The rows of a CSV text as a markdown table, the first one as its head; short rows are filled up, bars escaped."""
+
+    def one(t: str | None) -> str | None:
+        if t is None:
+            return None
+        rows = [r for r in csv.reader(io.StringIO(t)) if r]
+        width = max(map(len, rows), default=0)
+        lines = ["| " + " | ".join(c.replace("|", "\\|").replace("\n", " ").strip() for c in [*r, *[""] * (width - len(r))]) + " |" for r in rows]
+        return "\n".join([*lines[:1], "|" + " --- |" * width, *lines[1:]]) if lines else ""
+
+    return text.map(one)
 
 
 def html_text(html: Column | str) -> Column:
