@@ -1,4 +1,10 @@
-"""The corpus pipeline: documents without toxic ones, near-duplicates and repeated passages, mixed and packed into bins."""
+"""The corpus pipeline: documents without toxic ones, near-duplicates and repeated passages, mixed and packed into bins.
+
+Every stage takes nulls in any column, empty and very long texts, repeated rows, empty tables and further columns of any
+name; all but the last give the columns they got. Null and empty texts are never toxic by themselves, have no near
+duplicates and nothing to cut (a null becomes empty there), size 0 in the mix, and a piece of size 0. A null doc_id comes
+before all others. An empty table gives no rows.
+"""
 
 from __future__ import annotations
 
@@ -9,22 +15,22 @@ from quarry.llm.common import stored
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that score below 0.7."""
+    """Documents that score below 0.7, as often as they occur; equal texts score alike."""
     return toxicity.without_toxic(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), threshold=0.7)
 
 
 def jaccard_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group linked by five-word shingles at 0.8."""
+    """One document of each group linked by five-word shingles at 0.8: that of the least doc_id; texts without words all stay."""
     return jaccard.one_of_each(docs, width=5, pct=80)
 
 
 def repeats_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the 50-byte strings that a smaller doc_id has."""
+    """Texts without the 50-byte strings that a smaller doc_id has; rows of one doc_id take nothing from each other."""
     return repeats.without_repeats(docs)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix of sources takes them."""
+    """Documents as often as the mix of sources takes them, some not at all; a null source is one of its own."""
     return mixing.mix(docs)
 
 
