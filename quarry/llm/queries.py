@@ -62,4 +62,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_jaccard": sql.JACCARD, "op6_jaccard_links": sql.JACCARD_LINKS, "op7_topk": sql.TOPK, "op8_neardup": sql.NEARDUP}
+    return {"op3_repeats": sql.REPEATS, "op6_jaccard": sql.JACCARD, "op6_jaccard_links": sql.JACCARD_LINKS, "op7_topk": sql.TOPK, "op8_neardup": sql.NEARDUP}

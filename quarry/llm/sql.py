@@ -20,3 +20,14 @@ JACCARD = r"""with recursive w as (select doc_id, regexp_extract_all(translate(c
 
 #: JACCARD with the number of links of each document.
 JACCARD_LINKS = JACCARD.replace("\n select doc_id, len(s)::bigint", ",\n k as (select a, count(*) as n from l group by a)\n select doc_id, coalesce(k.n, 0) as n_links, len(s)::bigint") + " left join k on k.a = doc_id"
+
+#: Spans are runs of starts at most 50 bytes apart; what is kept lies between them.
+REPEATS = """with d as (select doc_id, encode(coalesce(text, '')) as b from documents), i as (select doc_id, b, unnest(range(1, octet_length(b) - 48)) as pos from d),
+ w as (select doc_id, pos, array_slice(b, pos, pos + 49) as s from i), f as (select s, min(doc_id) as owner from w group by s having count(*) > 1),
+ r as (select distinct doc_id, pos from w join f using (s) where doc_id > owner),
+ o as (select doc_id, pos, pos - lag(pos) over (partition by doc_id order by pos) <= 50 as joined from r),
+ g as (select doc_id, pos, sum(case when joined then 0 else 1 end) over (partition by doc_id order by pos) as nth from o),
+ p as (select doc_id, nth, min(pos) as a, max(pos) + 50 as z from g group by doc_id, nth),
+ k as (select doc_id, list(a order by nth) as starts, list(z order by nth) as ends, sum(z - a)::bigint as n_removed, count(*) as n_spans from p group by doc_id),
+ e as (select doc_id, octet_length(b)::bigint as n_bytes, coalesce(n_removed, 0) as n_removed, coalesce(n_spans, 0) as n_spans, hex(b) as h, list_append(coalesce(starts, []), octet_length(b) + 1) as starts, list_prepend(1, coalesce(ends, [])) as ends from d left join k using (doc_id))
+ select doc_id, n_bytes, n_removed, n_spans, sha256(unhex(array_to_string(list_transform(range(1, len(ends) + 1), lambda x: substr(h, 2 * ends[x] - 1, 2 * (starts[x] - ends[x]))), ''))) as kept_sha256 from e"""
