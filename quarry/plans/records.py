@@ -366,7 +366,7 @@ def d4_stub_filter(t: Tables):
     return da.without_stubs(t.documents, "text", F.col("doc_id") % 10 == 0).select("doc_id")
 
 
-@query()
+@query("select doc_id, left(trim(regexp_replace(regexp_replace(lower(strip_accents(text)), '[^\\x00-\\x7F]', '', 'g'), '[^a-z0-9]+', '-', 'g'), '-'), 48) as slug from {documents}")
 def d5_slugs(t: Tables):
     return t.documents.select("doc_id", tx.slug("text").alias("slug"))
 
