@@ -1,10 +1,13 @@
 import hashlib
 import random
 
+import duckdb
 import numpy as np
+import pandas as pd
 import pytest
 
 from quarry.llm import repeats as rp
+from quarry.llm import sql
 
 
 def brute(rows):
@@ -84,3 +87,10 @@ def test_edges(spark):
     assert got[None].kept == t and got[4].kept == ""
     cut = {r.doc_id: r for r in rp.without_repeats(df).collect()}
     assert cut[None].text == t and cut[4].text == "" and cut[4].kept == 2 and cut[5].text == ""
+
+
+def test_sql_says_what_brute_force_finds():
+    rows = [*corpus(5), (900, None), (901, ""), (902, "é" * 60), (903, "é" * 70), (904, "x" * 49), (905, "x" * 49), (906, "y" * 50), (907, "y" * 50)]
+    con = duckdb.connect()
+    con.register("documents", pd.DataFrame(rows, columns=["doc_id", "text"]))
+    assert sorted(con.execute(sql.REPEATS).fetchall()) == brute(rows)
