@@ -13,7 +13,7 @@ from bisect import bisect_right
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarry.llm.common import stored
+from quarry.llm.common import repeated, stored
 
 #: Hash ranges whose totals give the global prefix sums; cells of the first summary; groups fetched at once.
 BUCKETS, CELLS, FETCH = 4096, 1 << 16, 1 << 17
@@ -82,14 +82,13 @@ def minimax_cuts(groups: DataFrame, shards: int, cells: int = CELLS, fetch: int
         width = max(1, min(width // 2, -(-span // fetch)))
 
 
-
 def sharded(docs: DataFrame, shards: int = 16) -> DataFrame:
     """Deal all rows of docs(doc_id, text) into shards of near-equal bytes, copies of a text together.
 
     A row's size is its UTF-8 bytes plus 1; a null text has size 1, and null texts form one group, apart from empty
     texts. No shard is larger than the smallest capacity for which contiguous groups fit, so a shard is near the mean
     unless a single group is larger than that. slot numbers the rows of a shard from 0 by text hash and doc_id (nulls
-    first; equal rows in any order). Fewer texts than shards leave shards empty; an empty table gives no rows. Only
+    first; equal rows in any order, as they are counted first and dealt out last). The texts are read once. Fewer texts than shards leave shards empty; an empty table gives no rows. Only
     doc_id and text are read, so other columns may have any names.
     """
     rows = docs.select(
@@ -98,7 +97,8 @@ def sharded(docs: DataFrame, shards: int = 16) -> DataFrame:
         F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("text_crc32"),
         F.coalesce(F.md5(F.col("text").cast("binary")), F.lit("-")).alias("h"),
     ).withColumn("piece", F.pmod(F.xxhash64("doc_id"), F.lit(PIECES)).cast("int"))
-    pieces = rows.groupBy("h", "piece").agg(F.count("*").alias("n"), F.sum("size").alias("bytes")).withColumn("bucket", F.pmod(F.xxhash64("h"), F.lit(BUCKETS)).cast("int"))
+    equal = stored(rows.groupBy(*rows.columns).agg(F.count("*").alias("n")), "rows")
+    pieces = equal.groupBy("h", "piece").agg(F.sum(F.col("size") * F.col("n")).alias("bytes"), F.sum("n").alias("n")).withColumn("bucket", F.pmod(F.xxhash64("h"), F.lit(BUCKETS)).cast("int"))
     totals = pieces.groupBy("bucket").agg(F.sum("n").alias("bn"), F.sum("bytes").alias("bb"))
     before = Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select("bucket", F.coalesce(F.sum("bn").over(before), F.lit(0)).alias("n0"), F.coalesce(F.sum("bb").over(before), F.lit(0)).alias("b0"))
@@ -118,9 +118,11 @@ def sharded(docs: DataFrame, shards: int = 16) -> DataFrame:
     for k, s in enumerate(starts):
         shard = F.when(F.col("byte0") >= s, F.lit(k)).otherwise(shard)
     base = F.element_at(F.array(*[F.lit(x).cast("long") for x in ranks]), F.col("shard") + 1)
-    numbered = rows.withColumn("i", F.row_number().over(Window.partitionBy("h", "piece").orderBy("doc_id")) - 1)
-    return (
-        numbered.join(placed.select("h", "piece", "rank0", "byte0"), ["h", "piece"])
+    first = F.coalesce(F.sum("n").over(Window.partitionBy("h", "piece").orderBy("doc_id").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    numbered = (
+        equal.withColumn("i", first)
+        .join(placed.select("h", "piece", "rank0", "byte0"), ["h", "piece"])
         .withColumn("shard", shard)
-        .select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), F.col("shard").cast("int"), (F.col("rank0") + F.col("i") - base).cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
+        .select("doc_id", "size", "text_crc32", "shard", (F.col("rank0") + F.col("i") - base).alias("at"), "n")
     )
+    return repeated(numbered, "n", "copy").select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), F.col("shard").cast("int"), (F.col("at") + F.col("copy")).cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))

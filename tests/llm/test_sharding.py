@@ -50,3 +50,14 @@ def test_rows(spark):
 def test_empty(spark):
     assert sh.sharded(spark.createDataFrame([], "doc_id long, text string")).count() == 0
     assert [r.shard for r in sh.sharded(spark.createDataFrame([(1, None)], "doc_id long, text string")).collect()] == [0]
+
+
+def test_many_equal_rows(spark, monkeypatch):
+    """Equal rows get slots of their own, whatever number a task makes at once."""
+    monkeypatch.setattr("quarry.llm.common.AT_ONCE", 7)
+    rows = [(1, "same")] * 300 + [(None, None)] * 40 + [(i, "t" * i) for i in range(2, 90)] + [(i, "same") for i in range(500, 520)]
+    got = sh.sharded(spark.createDataFrame(rows, "doc_id long, text string"), 4).collect()
+    assert sorted((r.doc_id or 0, r.size) for r in got) == sorted((d or 0, len(t or "") + 1) for d, t in rows)
+    assert len({r.shard for r in got if r.text_crc32 == zlib.crc32(b"same")}) == 1
+    for s in {r.shard for r in got}:
+        assert sorted(r.slot for r in got if r.shard == s) == list(range(sum(r.shard == s for r in got)))
