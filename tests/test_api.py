@@ -1,6 +1,14 @@
+import shutil
+import subprocess
+import sys
+from pathlib import Path
+
+import pytest
+
 import __spark_entry__ as entry
 from quarry.api import EvalSuite, RetrievalEngine
 from quarry.operators import models
+from quarry.plans import catalog
 from quarry.plans.registry import Tables
 from quarry.sources import readers, sinks
 
@@ -56,3 +64,37 @@ def test_files_and_sinks(spark, tmp_path):
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+@pytest.fixture
+def bare(tmp_path):
+    """A copy of the repository without the optional folders."""
+    top = Path(entry.__file__).resolve().parent
+    for part in ("quarry", "jobs"):
+        if (top / part).exists():
+            shutil.copytree(top / part, tmp_path / part, ignore=shutil.ignore_patterns("llm", "__pycache__"))
+    for part in top.glob("*.py"):
+        shutil.copy(part, tmp_path)
+    return tmp_path
+
+
+def imported(folder, code="print(len(e.queries()), len(e.oracle_sql()))"):
+    return subprocess.run([sys.executable, "-c", f"import __spark_entry__ as e; {code}"], cwd=folder, env={"PATH": "/usr/bin:/bin"}, capture_output=True, text=True)
+
+
+@pytest.mark.parametrize("pipeline", [True, False])
+def test_entry_without_the_optional_folders(bare, pipeline):
+    if not pipeline:
+        (bare / "corpus_pipeline.py").unlink(missing_ok=True)
+    out = imported(bare)
+    assert out.returncode == 0, out.stderr
+    others = [n for n in entry.queries() if n.startswith("job")]
+    assert out.stdout.split()[0] == str(len(catalog.queries()) + len(others))
+
+
+def test_entry_does_not_hide_a_failing_import(bare):
+    (bare / "quarry" / "llm").mkdir()
+    (bare / "quarry" / "llm" / "__init__.py").write_text("")
+    (bare / "quarry" / "llm" / "queries.py").write_text("import no_such_module")
+    out = imported(bare)
+    assert out.returncode and "no_such_module" in out.stderr
