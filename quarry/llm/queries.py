@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quarry.llm import html, jaccard, mixing, neardup, packing, repeats, scoring, sharding, sql, topk, toxicity
+from quarry.llm import audit, html, jaccard, lines, mixing, neardup, packing, repeats, scoring, sharding, sql, topk, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -57,9 +57,17 @@ def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.main_text(table(spark, sf_dir, "pages"))
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.filter_audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op12_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.line_dedup(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_sharding, op2_scoring, op3_repeats, op4_toxicity, op5_packing, op6_jaccard, op6_jaccard_links, op7_topk, op8_neardup, op9_mixing, op10_html)}
+    return {f.__name__: f for f in (op1_sharding, op2_scoring, op3_repeats, op4_toxicity, op5_packing, op6_jaccard, op6_jaccard_links, op7_topk, op8_neardup, op9_mixing, op10_html, op11_filter_audit, op12_line_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_repeats": sql.REPEATS, "op6_jaccard": sql.JACCARD, "op6_jaccard_links": sql.JACCARD_LINKS, "op7_topk": sql.TOPK, "op8_neardup": sql.NEARDUP}
+    return {"op3_repeats": sql.REPEATS, "op6_jaccard": sql.JACCARD, "op6_jaccard_links": sql.JACCARD_LINKS, "op7_topk": sql.TOPK, "op8_neardup": sql.NEARDUP, "op11_filter_audit": sql.FILTER_AUDIT, "op12_line_dedup": sql.LINE_DEDUP}

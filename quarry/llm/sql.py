@@ -31,3 +31,20 @@ REPEATS = """with d as (select doc_id, encode(coalesce(text, '')) as b from docu
  k as (select doc_id, list(a order by nth) as starts, list(z order by nth) as ends, sum(z - a)::bigint as n_removed, count(*) as n_spans from p group by doc_id),
  e as (select doc_id, octet_length(b)::bigint as n_bytes, coalesce(n_removed, 0) as n_removed, coalesce(n_spans, 0) as n_spans, hex(b) as h, list_append(coalesce(starts, []), octet_length(b) + 1) as starts, list_prepend(1, coalesce(ends, [])) as ends from d left join k using (doc_id))
  select doc_id, n_bytes, n_removed, n_spans, sha256(unhex(array_to_string(list_transform(range(1, len(ends) + 1), lambda x: substr(h, 2 * ends[x] - 1, 2 * (starts[x] - ends[x]))), ''))) as kept_sha256 from e"""
+
+FILTER_AUDIT = r"""with d as (select doc_id, coalesce(source, '') as part, coalesce(text, '') as t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w from documents),
+ e as (select doc_id, part, (len(w) < 200)::int + 2 * (100 * len(list_distinct(w)) < 50 * len(w))::int + 4 * (100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 2 * length(t))::int + 8 * regexp_matches(t, '[#$%&*|]')::int + 16 * coalesce(doc_id > min(doc_id) over (partition by t), false)::int as mask from d),
+ g as (select doc_id, max((quality = 1)::int) as good, max((toxic = 1)::int) as toxic from labels group by doc_id),
+ m as (select part, mask, count(*) as n, count(*) filter (where good = 1) as good, count(*) filter (where toxic = 1) as toxic from e left join g using (doc_id) group by part, mask),
+ x as (select unnest(['A', 'B', 'C', 'D', 'E']) as x), o as (select a.x || b.x || c.x || d.x || e.x as filter_order from x a, x b, x c, x d, x e where len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5),
+ s as (select filter_order, step, (1 << (ascii(filter_order[step]) - 65)) as own, list_sum(list_transform(range(1, step), lambda i: 1 << (ascii(filter_order[i]) - 65))) as before from o, (select unnest(range(1, 6)) as step)),
+ r as (select part, filter_order, step, n, good, toxic, mask, own, mask & own <> 0 as fails, mask & coalesce(before, 0)::int <> 0 as earlier from m, s)
+ select part, filter_order, step::int as step, coalesce(sum(n) filter (where not fails and not earlier), 0)::bigint as kept, coalesce(sum(n) filter (where fails and not earlier), 0)::bigint as removed, coalesce(sum(n) filter (where fails and earlier), 0)::bigint as redundant,
+  coalesce(sum(n) filter (where mask = own), 0)::bigint as unique_fails, coalesce(sum(good) filter (where fails and not earlier), 0)::bigint as good_lost, coalesce(sum(toxic) filter (where fails and not earlier), 0)::bigint as toxic_lost,
+  coalesce(sum(n * 120 // nullif(bit_count(mask), 0)) filter (where fails), 0)::bigint as shapley from r group by part, filter_order, step"""
+
+LINE_DEDUP = """with d as (select doc_id, string_split(coalesce(text, ''), chr(10)) as ls from documents), l as (select doc_id, i, ls[i] as line from (select doc_id, ls, unnest(range(1, len(ls) + 1)) as i from d)),
+ k as (select doc_id, i, line, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as key from l),
+ h as (select key, max(doc_id) as keeper from k where length(key) >= 20 group by key having count(distinct doc_id) >= 3),
+ g as (select k.doc_id, i, line, coalesce(k.doc_id < keeper, false) as gone from k left join h using (key))
+ select doc_id, count(*) as n_lines, count(*) filter (where gone) as n_dropped, sha256(coalesce(string_agg(line, chr(10) order by i) filter (where not gone), '')) as kept_sha256 from g group by doc_id"""
