@@ -9,7 +9,7 @@ from quarry.operators import evaluation as ev
 from quarry.operators import policy as po
 from quarry.operators import statistics as st
 from quarry.plans.registry import Tables, query
-from quarry.plans.retrieval import _HYBRID, _ITEMS, bm25_sql, bm25_top, docs, hybrid_top, items
+from quarry.plans.retrieval import HYBRID_SQL, _ITEMS, bm25_sql, bm25_top, docs, hybrid_top, items
 from quarry.operators.search import containment
 
 
@@ -17,7 +17,7 @@ def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
     return df.select(*[F.round(c, digits).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
 
 
-_METRICS = """go as (select query_id, filename, count(*) over (partition by query_id) as g from gold), fi as (select *, row_number() over (partition by query_id, filename order by rank) as nth from ranked),
+METRICS_SQL = """go as (select query_id, filename, count(*) over (partition by query_id) as g from gold), fi as (select *, row_number() over (partition by query_id, filename order by rank) as nth from ranked),
  re as (select f.query_id, f.rank from fi f semi join go using (query_id, filename) where nth = 1 and rank <= 10),
  pe as (select g.query_id, any_value(g) as g, min(r.rank) as best, count(distinct case when r.rank <= 4 then r.rank end) as in4, count(distinct r.rank) as in10 from go g left join re r on r.query_id = g.query_id group by g.query_id),
  dc as (select query_id, sum(1 / log2(rank + 1)) as dcg from re group by query_id),
@@ -30,24 +30,24 @@ def kept_metrics(t: Tables) -> DataFrame:
     return ev.retrieval_metrics(t.kept.select("query_id", "rank", "filename"), t.kept.where("chunk % 3 = 0"))
 
 
-@query(f"with {_KEPT}, {_METRICS} select * from me")
+@query(f"with {_KEPT}, {METRICS_SQL} select * from me")
 def a1_retrieval_metrics(t: Tables):
     return rounded(kept_metrics(t))
 
 
-@query(f"with {_KEPT}, {_METRICS} select round(avg(hit1), 4) as hit1, round(avg(hit4), 4) as hit4, round(avg(hit10), 4) as hit10, round(avg(mrr), 4) as mrr, round(avg(recall4), 4) as recall4, round(avg(recall10), 4) as recall10, round(avg(ndcg10), 4) as ndcg10 from me")
+@query(f"with {_KEPT}, {METRICS_SQL} select round(avg(hit1), 4) as hit1, round(avg(hit4), 4) as hit4, round(avg(hit10), 4) as hit10, round(avg(mrr), 4) as mrr, round(avg(recall4), 4) as recall4, round(avg(recall10), 4) as recall10, round(avg(ndcg10), 4) as ndcg10 from me")
 def a2_mean_metrics(t: Tables):
     return rounded(ev.mean_metrics(kept_metrics(t)), 4)
 
 
-@query(f"with {_ITEMS}, {bm25_sql('items', 'docs')}, ranked as (select query_id, id as filename, rank from rk where rank <= 10), gold as (select i.query_id, d.id as filename from items i join docs d on contains(d.text, i.text)), {_METRICS} select * from me")
+@query(f"with {_ITEMS}, {bm25_sql('items', 'docs')}, ranked as (select query_id, id as filename, rank from rk where rank <= 10), gold as (select i.query_id, d.id as filename from items i join docs d on contains(d.text, i.text)), {METRICS_SQL} select * from me")
 def a1_bm25_against_gold(t: Tables):
     ranked = bm25_top(t, 10).select("query_id", "rank", F.col("id").alias("filename"))
     gold = containment(docs(t), items(t)).select("query_id", F.col("id").alias("filename"))
     return rounded(ev.retrieval_metrics(ranked, gold))
 
 
-@query(f"with {_HYBRID}, ranked as (select query_id, id as filename, rank from fu where rank <= 10), gold as (select i.query_id, d.id as filename from items i join docs d on contains(d.text, i.text)), {_METRICS} select 'rrf' as arm, round(avg(hit1), 4) as hit1, round(avg(mrr), 4) as mrr, round(avg(recall4), 4) as recall4, round(avg(ndcg10), 4) as ndcg10 from me")
+@query(f"with {HYBRID_SQL}, ranked as (select query_id, id as filename, rank from fu where rank <= 10), gold as (select i.query_id, d.id as filename from items i join docs d on contains(d.text, i.text)), {METRICS_SQL} select 'rrf' as arm, round(avg(hit1), 4) as hit1, round(avg(mrr), 4) as mrr, round(avg(recall4), 4) as recall4, round(avg(ndcg10), 4) as ndcg10 from me")
 def r16_ablation_metrics(t: Tables):
     gold = containment(docs(t), items(t)).select("query_id", F.col("id").alias("filename"))
     ranked = hybrid_top(t).select("query_id", "rank", F.col("id").alias("filename"))
@@ -104,10 +104,10 @@ def a10_gate_vs_coverage(t: Tables):
     return rounded(ev.gate_quality(t.results.where("recall4 is not null").withColumn("covered", F.col("recall4") >= 1), "sufficiency_p", "covered", 0.6))
 
 
-_WILSON = "greatest(0, (p + z2 / (2 * n)) / (1 + z2 / n) - 1.959963985 * sqrt(p * (1 - p) / n + z2 / (4 * n * n)) / (1 + z2 / n)) as lo, least(1, (p + z2 / (2 * n)) / (1 + z2 / n) + 1.959963985 * sqrt(p * (1 - p) / n + z2 / (4 * n * n)) / (1 + z2 / n)) as hi"
+WILSON_SQL = "greatest(0, (p + z2 / (2 * n)) / (1 + z2 / n) - 1.959963985 * sqrt(p * (1 - p) / n + z2 / (4 * n * n)) / (1 + z2 / n)) as lo, least(1, (p + z2 / (2 * n)) / (1 + z2 / n) + 1.959963985 * sqrt(p * (1 - p) / n + z2 / (4 * n * n)) / (1 + z2 / n)) as hi"
 
 
-@query(f"with a as (select mode, scenario_id, avg(correctness) as p, count(correctness) as n, 1.959963985 * 1.959963985 as z2, avg((sufficiency_p < 0.6)::int) as escalation, count_if(answerable and sufficiency_p < 0.6) / nullif(count_if(answerable and sufficiency_p is not null), 0) as false_negative, count_if(not answerable and sufficiency_p >= 0.6) / nullif(count_if(not answerable and sufficiency_p is not null), 0) as false_positive from {{results}} group by all) select mode, scenario_id, round(p, 6) as mean, round(lo, 6) as lo, round(hi, 6) as hi, round(escalation, 6) as escalation, round(false_negative, 6) as false_negative, round(false_positive, 6) as false_positive from (select *, {_WILSON} from a)")
+@query(f"with a as (select mode, scenario_id, avg(correctness) as p, count(correctness) as n, 1.959963985 * 1.959963985 as z2, avg((sufficiency_p < 0.6)::int) as escalation, count_if(answerable and sufficiency_p < 0.6) / nullif(count_if(answerable and sufficiency_p is not null), 0) as false_negative, count_if(not answerable and sufficiency_p >= 0.6) / nullif(count_if(not answerable and sufficiency_p is not null), 0) as false_positive from {{results}} group by all) select mode, scenario_id, round(p, 6) as mean, round(lo, 6) as lo, round(hi, 6) as hi, round(escalation, 6) as escalation, round(false_negative, 6) as false_negative, round(false_positive, 6) as false_positive from (select *, {WILSON_SQL} from a)")
 def a11_arm_intervals(t: Tables):
     s, ok = F.col("sufficiency_p"), F.col("answerable")
     a = t.results.groupBy("mode", "scenario_id").agg(
@@ -292,7 +292,7 @@ def t1_mcnemar_exact(t: Tables):
     return rounded(st.discordant(pairs(t), ["scenario_id"]))
 
 
-@query(f"select nation, round(p, 6) as p, round(lo, 6) as lo, round(hi, 6) as hi from (select *, {_WILSON} from (select c_nationkey as nation, avg((c_acctbal > 0)::int) as p, count(*) as n, 1.959963985 * 1.959963985 as z2 from {{customer}} group by 1))")
+@query(f"select nation, round(p, 6) as p, round(lo, 6) as lo, round(hi, 6) as hi from (select *, {WILSON_SQL} from (select c_nationkey as nation, avg((c_acctbal > 0)::int) as p, count(*) as n, 1.959963985 * 1.959963985 as z2 from {{customer}} group by 1))")
 def t2_wilson_interval(t: Tables):
     c = t.customer.groupBy(F.col("c_nationkey").alias("nation")).agg(F.avg((F.col("c_acctbal") > 0).cast("int")).alias("p"), F.count_if(F.col("c_acctbal") > 0).alias("k"), F.count("*").alias("n"))
     lo, hi = st.wilson(F.col("k"), F.col("n"))

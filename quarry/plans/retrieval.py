@@ -123,10 +123,10 @@ def hybrid_top(t: Tables, k: int = 10):
 
 
 _FUSED = """fu as (select *, row_number() over (partition by query_id order by round(rrf_score, 9) desc, id) as rank from (select query_id, id, sum(1.0 / (60 + rank)) as rrf_score from (select query_id, id, rank from rk where rank <= 10 union all select query_id, id, rank from de where rank <= 10) group by all))"""
-_HYBRID = f"{_ITEMS}, {bm25_sql('items', 'docs')}, {_DENSE}, {_FUSED}"
+HYBRID_SQL = f"{_ITEMS}, {bm25_sql('items', 'docs')}, {_DENSE}, {_FUSED}"
 
 
-@query(f"with {_HYBRID} select f.query_id, f.id, f.rank, round(rrf_score, 6) as rrf_score, round(coalesce(d.similarity, 0), 6) as similarity from fu f left join (select * from de where rank <= 10) d on f.query_id = d.query_id and f.id = d.id where f.rank <= 10")
+@query(f"with {HYBRID_SQL} select f.query_id, f.id, f.rank, round(rrf_score, 6) as rrf_score, round(coalesce(d.similarity, 0), 6) as similarity from fu f left join (select * from de where rank <= 10) d on f.query_id = d.query_id and f.id = d.id where f.rank <= 10")
 def r7_hybrid_retrieve(t: Tables):
     return hybrid_top(t).select("query_id", "id", "rank", F.round("rrf_score", 6).alias("rrf_score"), F.round("similarity", 6).alias("similarity"))
 
@@ -154,7 +154,7 @@ def reranked(t: Tables, by_rounded: bool = False):
     return se.rerank(hits, se.overlap_score(tx.index_tokens("q_text"), tx.index_tokens("text")), by_rounded)
 
 
-_RERANK = f"{_HYBRID}, rr as (select f.query_id, f.id, f.rank as retrieval_rank, {_OVERLAP} as rerank_score from fu f join docs d on d.id = f.id join items i on i.query_id = f.query_id where f.rank <= 10)"
+_RERANK = f"{HYBRID_SQL}, rr as (select f.query_id, f.id, f.rank as retrieval_rank, {_OVERLAP} as rerank_score from fu f join docs d on d.id = f.id join items i on i.query_id = f.query_id where f.rank <= 10)"
 
 
 @query(f"with {_RERANK} select query_id, id, retrieval_rank, round(rerank_score, 6) as rerank_score, row_number() over (partition by query_id order by round(rerank_score, 9) desc, retrieval_rank) as rank from rr")
@@ -180,7 +180,7 @@ def r15_oracle_gate(t: Tables):
     return g.select("query_id", (F.size(F.array_except("gold", "files")) > 0).alias("escalate"))
 
 
-@query(f"with {_HYBRID} select 'bm25' as arm, query_id, id, rank from rk where rank <= 10 union all select 'dense', query_id, id, rank from de where rank <= 10 union all select 'rrf', query_id, id, rank from fu where rank <= 10")
+@query(f"with {HYBRID_SQL} select 'bm25' as arm, query_id, id, rank from rk where rank <= 10 union all select 'dense', query_id, id, rank from de where rank <= 10 union all select 'rrf', query_id, id, rank from fu where rank <= 10")
 def r16_ablation_arms(t: Tables):
     cut = lambda d, arm: d.select(F.lit(arm).alias("arm"), "query_id", "id", "rank")
     return cut(bm25_top(t), "bm25").unionByName(cut(dense_top(t), "dense")).unionByName(cut(hybrid_top(t), "rrf"))
@@ -230,7 +230,7 @@ def _ablated_sql(arm: str, hits: str, score: str) -> str:
 _SHARED = f"len(list_intersect(list_distinct({toks('i.text')}), list_distinct({toks('d.text')})))::double / greatest(len(list_distinct(list_concat({toks('i.text')}, {toks('d.text')}))), 1)"
 
 
-@query(f"with {_HYBRID} {_ablated_sql('rrf-cross', 'fu', _OVERLAP)} union all {_ablated_sql('dense-cross', 'de', _OVERLAP)} union all {_ablated_sql('rrf-jaccard', 'fu', _SHARED)} union all {_ablated_sql('bm25-cross', 'rk', _OVERLAP)}")
+@query(f"with {HYBRID_SQL} {_ablated_sql('rrf-cross', 'fu', _OVERLAP)} union all {_ablated_sql('dense-cross', 'de', _OVERLAP)} union all {_ablated_sql('rrf-jaccard', 'fu', _SHARED)} union all {_ablated_sql('bm25-cross', 'rk', _OVERLAP)}")
 def r16_reranked_arms(t: Tables):
     """The arms with a reranker: each retriever with a stand-in for its scorer."""
 
