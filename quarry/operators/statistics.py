@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -15,8 +16,9 @@ from pyspark.sql.types import DoubleType
 Z = 1.959963985
 #: The 80 % point of the normal distribution.
 POWER_Z = 0.841621234
-#: Modulus and factors of the bootstrap's draws; rounds in a row dealt to a task; draws in its memory at once.
-DRAW_PRIME, DRAW_SEED, DRAW_ROUND, DRAW_STEP, ROUND_BLOCK, DRAWS_AT_ONCE = 2147483647, 1013904223, 1640531527, 69069, 250, 1 << 18
+#: Distinct differences in a cell of a group's resampling, on average; cells of a group at most; rounds in a row dealt to a
+#: task; counts in its memory at once.
+CELL_VALUES, MOST_CELLS, ROUND_BLOCK, COUNTS_AT_ONCE = 1024, 1024, 250, 1 << 20
 #: Discordant pairs from which McNemar's test takes the corrected chi-square.
 EXACT_PAIRS = 25
 
@@ -48,61 +50,110 @@ def wilson(k: Column, n: Column) -> tuple[Column, Column]:
     return F.when(n <= 0, 0.0).otherwise(F.greatest(F.lit(0.0), mid - half)), F.when(n <= 0, 1.0).otherwise(F.least(F.lit(1.0), mid + half))
 
 
-def drawn(n: int, rounds: np.ndarray, seed: int) -> np.ndarray:
-    """Positions below n that the resamples `rounds` draw: one row of n positions for each.
+def same(left: str, right: str, by: list[str]) -> Column:
+    """Join condition on the columns `by` of two aliases; nulls are equal."""
+    return reduce(lambda c, k: c & F.col(f"{left}.{k}").eqNullSafe(F.col(f"{right}.{k}")), by, F.lit(True))
 
-    Draw i of round r is x ** 5 mod P mod n with x = seed + A r + B i mod P: powers of five permute the residues of this
-    prime, in whole numbers of 64 bits, so that any engine draws the same.
+
+def value_cells(diffs: DataFrame, by: list[str], one: bool = False) -> DataFrame:
+    """by, n, cell, xs, cs, sizes: a group's distinct differences, counted, in cells of ascending values.
+
+    Equal differences are one value, counted before they are shuffled. A group's cells are of equal width between its least and greatest value, one for each CELL_VALUES distinct values and
+    MOST_CELLS at most (`one`: a single cell); sizes holds the rows of all cells of the group, n their sum.
     """
-    x = (np.int64(seed * DRAW_SEED) + DRAW_ROUND * rounds.astype(np.int64)[:, None] + DRAW_STEP * np.arange(n, dtype=np.int64)) % DRAW_PRIME
-    y = x * x % DRAW_PRIME
-    return y * y % DRAW_PRIME * x % DRAW_PRIME % n
+    values = diffs.where("diff is not null").groupBy(*by, F.col("diff").cast("double").alias("x")).agg(F.count("*").alias("c"))
+    ends = values.groupBy(*by).agg(F.min("x").alias("least"), F.max("x").alias("most"), F.count("*").alias("k"), F.sum("c").alias("n"))
+    m = F.lit(1) if one else F.least(F.lit(MOST_CELLS), F.ceil(F.col("k") / CELL_VALUES))
+    cell = F.when(F.col("most") > F.col("least"), F.least(m - 1, F.floor((F.col("x") - F.col("least")) / (F.col("most") - F.col("least")) * m))).otherwise(0).cast("int")
+    keys = [F.col(f"l.{k}").alias(k) for k in by]
+    placed = values.alias("l").join(ends.alias("r"), same("l", "r", by)).select(*keys, "r.n", "l.x", "l.c", cell.alias("cell"))
+    cells = placed.groupBy(*by, "n", "cell").agg(F.array_sort(F.collect_list(F.struct("x", "c"))).alias("v"), F.sum("c").alias("size"))
+    sizes = cells.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("cell", "size"))).alias("sizes"))
+    met = cells.alias("l").join(sizes.alias("r"), same("l", "r", by))
+    part = lambda c, f: F.transform(c, lambda x: x[f])
+    return met.select(*keys, "l.n", F.array_position(part("r.sizes", "cell"), F.col("l.cell")).cast("int").alias("cell"), part("l.v", "x").alias("xs"), part("l.v", "c").alias("cs"), part("r.sizes", "size").alias("sizes"))
 
 
-def means_of(values: np.ndarray) -> np.ndarray:
-    """Mean of each row; sums are rounded to nine digits, so that their order does not show."""
-    return np.round(values.sum(1), 9) / values.shape[1]
+def generator(seed: int, group: int, block: int, cell: int) -> np.random.Generator:
+    """Random numbers of their own for a group's block of rounds, and for each of its cells (0: the split over the cells)."""
+    return np.random.Generator(np.random.Philox(key=np.array([(group ^ (seed * 0x9E3779B97F4A7C15)) & (2**64 - 1), (cell << 40) | block], np.uint64)))
 
 
-STATISTICS = {"mean": means_of, "median": lambda values: np.median(values, axis=1)}
+Resampled = Callable[[np.ndarray, np.ndarray, np.ndarray, int], np.ndarray]
 
 
-def bootstrap(diffs: DataFrame, by: list[str], stat: str | Callable[[np.ndarray], float] = "mean", rounds: int = 10_000, confidence: float = 0.95, seed: int = 42) -> DataFrame:
-    """by, point, lo, hi: percentile interval of a statistic of diffs(by, id, diff) over resamples, by linear interpolation.
+def sums_of(xs: np.ndarray, counts: np.ndarray, before: np.ndarray, n: int) -> np.ndarray:
+    """What a cell adds to the mean of each resample."""
+    return counts @ xs / n
+
+
+def middles_of(xs: np.ndarray, counts: np.ndarray, before: np.ndarray, n: int) -> np.ndarray:
+    """What a cell adds to the median: half of each of the two middle values that it holds; before: rows in the cells below."""
+    upto = np.cumsum(counts, axis=1)
+    out = np.zeros(len(counts))
+    for middle in ((n - 1) // 2, n // 2):
+        at = middle - before
+        held = (at >= 0) & (at < upto[:, -1])
+        out[held] += xs[(upto[held] > at[held, None]).argmax(1)] / 2
+    return out
+
+
+STATISTICS: dict[str, Resampled] = {"mean": sums_of, "median": middles_of}
 
-    stat is "mean", "median" or a function of an array. The differences of a group are one array in order of id (one row
-    of an evaluation set each); the rounds are dealt over tasks in blocks that all hold it, and draws never leave their
-    task. Null differences are left out; no differences at all give no row, or 0, 0, 0 if `by` is empty.
+
+def bootstrap(diffs: DataFrame, by: list[str], stat: str | Callable[[np.ndarray], float] = "mean", rounds: int = 10_000, confidence: float = 0.95, seed: int = 42) -> DataFrame:
+    """by, point, lo, hi: percentile interval of a statistic of diffs(by, diff) over resamples, by linear interpolation.
+
+    A resample is its counts of the distinct differences: binomial splits deal a round's n draws over the group's cells, and
+    those of a cell over its values. A task takes one cell and ROUND_BLOCK rounds, repeats the split over the cells from the
+    same random numbers, and gives what its cell adds to the statistic of each round; no task holds a group's rows, and the
+    work is by distinct values, not by draws. Random numbers belong to (seed, group, rounds, cell), so that reruns agree in any
+    partitioning. stat is "mean", "median" or a function of an array of the resample, for which a group is one cell. Null
+    differences are left out; no differences at all give no row, or 0, 0, 0 if `by` is empty.
     """
     if not 0 < confidence < 1 or rounds < 1:
         raise ValueError(f"confidence must be in (0, 1) and rounds at least 1, got {confidence} and {rounds}")
     if not callable(stat) and stat not in STATISTICS:
         raise ValueError(f"unknown statistic {stat!r}")
-    of = STATISTICS[stat] if isinstance(stat, str) else lambda values: np.array([stat(v) for v in values])
-    rows = diffs.where("diff is not null").groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("id", F.col("diff").cast("double").alias("diff")))).alias("v"))
+    of = STATISTICS[stat] if isinstance(stat, str) else lambda xs, counts, before, n: np.array([float(stat(np.repeat(xs, c))) for c in counts])
+    names, by = by, [f"by{i}" for i in range(len(by))]  # so that no name of a group meets one of the columns below
+    cells = value_cells(diffs.select(*[F.col(f"`{c}`").alias(b) for c, b in zip(names, by, strict=True)], "diff"), by, one=callable(stat))
     last = -(-rounds // ROUND_BLOCK) - 1
-    blocks = rows.select(*by, F.transform("v", lambda x: x["diff"]).alias("v"), F.explode(F.sequence(F.lit(-1), F.lit(last))).alias("block"))
-    blocks = blocks.repartition(min(last + 1, diffs.sparkSession.sparkContext.defaultParallelism * 4), *by, "block")
+    blocks = cells.select(*by, "n", "cell", "xs", "cs", "sizes", F.xxhash64(*by).alias("g") if by else F.lit(0).cast("long").alias("g"), F.explode(F.sequence(F.lit(-1), F.lit(last))).alias("block"))
+    blocks = blocks.repartition(*by, "cell", "block")
 
     def draw(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """The statistic of every round of a block; block -1 is the differences themselves."""
+        """What a cell adds to each round of a block; block -1 is the differences themselves."""
         for f in frames:
-            for at, (v, block) in enumerate(zip(f["v"], f["block"], strict=True)):
-                v = np.asarray(v, float)
-                if block < 0:
-                    out = of(v[None, :]) if len(v) else np.zeros(1)
-                elif not len(v):
-                    out = np.zeros(1)
+            for i, r in enumerate(f.itertuples(index=False)):
+                n, xs, cs, sizes = int(r.n), np.asarray(r.xs, float), np.asarray(r.cs, np.int64), np.asarray(r.sizes, np.int64)
+                if r.block < 0:
+                    numbers, parts = np.array([-1]), of(xs, cs[None, :], sizes[None, : r.cell - 1].sum(1), n)
                 else:
-                    r = np.arange(block * ROUND_BLOCK, min((block + 1) * ROUND_BLOCK, rounds))
-                    step = max(1, DRAWS_AT_ONCE // len(v))
-                    out = np.concatenate([of(v[drawn(len(v), r[k : k + step], seed)]) for k in range(0, len(r), step)])
-                yield pd.DataFrame({**{c: [f[c].iloc[at]] * len(out) for c in by}, "own": block < 0, "m": out})
-
-    keys = "".join(f"`{c}` {rows.schema[c].dataType.simpleString()}, " for c in by)
-    means = blocks.mapInPandas(draw, f"{keys}own boolean, m double")
-    alpha, drawn_m = (1 - confidence) / 2, F.when(~F.col("own"), F.col("m"))
-    return means.groupBy(*by).agg(F.max(F.when(F.col("own"), F.col("m"))).alias("point"), F.percentile(drawn_m, alpha).alias("lo"), F.percentile(drawn_m, 1 - alpha).alias("hi"))
+                    numbers = np.arange(r.block * ROUND_BLOCK, min((r.block + 1) * ROUND_BLOCK, rounds))
+                    split = generator(seed, r.g, r.block, 0).multinomial(n, sizes / n, len(numbers))
+                    before, own = split[:, : r.cell - 1].sum(1), split[:, r.cell - 1]
+                    inside, step = generator(seed, r.g, r.block, r.cell), max(1, COUNTS_AT_ONCE // len(xs))
+                    parts = np.concatenate([of(xs, inside.multinomial(own[k : k + step], cs / cs.sum()), before[k : k + step], n) for k in range(0, len(numbers), step)])
+                yield pd.DataFrame({**{c: [f[c].iloc[i]] * len(parts) for c in by}, "round": numbers, "part": parts})
+
+    keys = "".join(f"`{c}` {cells.schema[c].dataType.simpleString()}, " for c in by)
+    found = blocks.mapInPandas(draw, f"{keys}round long, part double").groupBy(*by, "round").agg((F.round(F.sum("part"), 12) if stat == "mean" else F.sum("part")).alias("m"))  # digits that the order of cells shows in
+    alpha, drawn = (1 - confidence) / 2, F.when(F.col("round") >= 0, F.col("m"))
+    out = [F.max(F.when(F.col("round") < 0, F.col("m"))), F.percentile(drawn, alpha), F.percentile(drawn, 1 - alpha)]
+    rows = found.groupBy(*by).agg(*[(c if by else F.coalesce(c, F.lit(0.0))).alias(x) for c, x in zip(out, ("point", "lo", "hi"), strict=True)])
+    return rows.withColumnsRenamed(dict(zip(by, names, strict=True)))
+
+
+def normal_interval(diffs: DataFrame, by: list[str]) -> DataFrame:
+    """by, n, point, se, step, lo, hi: the 95 % interval of resampled means from three moments, corrected for skew.
+
+    What `bootstrap` tends to. se is the deviation of resampled means, step the most that one draw can change them by.
+    """
+    m = diffs.where("diff is not null").groupBy(*by).agg(F.count("*").alias("n"), (F.round(F.sum("diff"), 9) / F.count("*")).alias("point"), F.stddev_pop("diff").alias("sd"), F.skewness("diff").alias("skew"), ((F.max("diff") - F.min("diff")) / F.count("*")).alias("step"))
+    se, skew = F.col("sd") / F.sqrt("n"), F.coalesce(F.when(F.col("sd") > 0, F.col("skew")), F.lit(0.0)) / F.sqrt("n")
+    end = lambda z: F.col("point") + se * (z + (z * z - 1) * skew / 6)
+    return m.select(*by, "n", "point", se.alias("se"), "step", end(-Z).alias("lo"), end(Z).alias("hi"))
 
 
 @F.pandas_udf(DoubleType())

@@ -299,32 +299,44 @@ def t2_wilson_interval(t: Tables):
     return rounded(c.select("nation", "p", lo.alias("lo"), hi.alias("hi")))
 
 
-_ROUNDS = 10_000
+#: Parts of its deviation by which 10,000 rounds may miss an end of the interval that they tend to (five deviations of that end).
+_MISS = 0.15
 
 
-def boot_sql(pairs: str, by: str, stat: str = "mean") -> str:
-    """CTEs that end in bo(by, point, lo, hi): the draws of statistics.bootstrap over pairs(by, id, diff)."""
-    p = st.DRAW_PRIME
-    x = f"({42 * st.DRAW_SEED} + {st.DRAW_ROUND}::bigint * r + {st.DRAW_STEP}::bigint * i) % {p}"
-    of = {"mean": "round(list_sum({v}), 9) / len({v})", "median": "list_aggregate({v}, 'median')"}[stat]
-    return f"""bd as (select {by}, list(diff order by id) as v from ({pairs}) where diff is not null group by all),
- bx as (select {by}, v, r, list_transform(list_transform(range(len(v)), lambda i: {x}), lambda y: v[((((y * y % {p}) * (y * y % {p})) % {p}) * y % {p}) % len(v) + 1]) as w from bd, (select unnest(range({_ROUNDS}::bigint)) as r)),
- bm as (select {by}, {of.format(v="w")} as m from bx), bo as (select {by}, any_value(point) as point, quantile_cont(m, 0.025) as lo, quantile_cont(m, 0.975) as hi from bm join (select {by} as {by}_, {of.format(v="v")} as point from bd) on {by} = {by}_ group by {by})"""
+def moments_sql(pairs: str, by: str) -> str:
+    """CTEs that end in bo(by, n, point, se, lo, hi): statistics.normal_interval over pairs(by, diff)."""
+    return f"""bm as (select {by}, count(*) as n, round(sum(diff), 9) / count(*) as point, stddev_pop(diff) as sd from ({pairs}) where diff is not null group by {by}),
+ bs as (select p.{by}, avg(pow(p.diff - m.point, 3)) as third from ({pairs}) p join bm m on p.{by} = m.{by} where p.diff is not null group by p.{by}),
+ bo as (select {by}, n, point, sd / sqrt(n) as se, point + sd / sqrt(n) * (-1.959963985 + (pow(1.959963985, 2) - 1) * sk / 6) as lo, point + sd / sqrt(n) * (1.959963985 + (pow(1.959963985, 2) - 1) * sk / 6) as hi
+  from (select *, case when sd > 0 then third / pow(sd, 3) else 0 end / sqrt(n) as sk from bm join bs using ({by})))"""
 
 
-_BY_SCENARIO = f"select scenario_id, question_id as id, diff from ({_PAIRED})"
+def bootstrap_near(diffs: DataFrame, by: list[str]) -> DataFrame:
+    """by, n, point, se, lo, hi of the interval that the bootstrap tends to, and `near`: whether that of 10,000 rounds is there.
 
+    Random draws are not SQL; what they tend to is, and how near they have to come.
+    """
+    drawn = st.bootstrap(diffs, by).withColumnsRenamed({"point": "b", "lo": "b_lo", "hi": "b_hi"})
+    miss = F.greatest(F.abs(F.col("b_lo") - F.col("lo")), F.abs(F.col("b_hi") - F.col("hi")))
+    near = (F.abs(F.col("b") - F.col("point")) < 1e-9) & (miss <= _MISS * F.col("se") + F.col("step") + 1e-9)
+    return st.normal_interval(diffs, by).join(drawn, by).select(*by, "n", "point", "se", "lo", "hi", near.alias("near"))
 
-@query(f"with {boot_sql(_BY_SCENARIO, 'scenario_id')} select scenario_id, round(point, 6) as point, round(lo, 9) as lo, round(hi, 9) as hi from bo")
+
+_BY_SCENARIO = f"select scenario_id, diff from ({_PAIRED})"
+
+
+@query(f"with {moments_sql(_BY_SCENARIO, 'scenario_id')} select scenario_id, n, round(point, 6) as point, round(se, 6) as se, round(lo, 6) as lo, round(hi, 6) as hi, true as near from bo")
 def t4_paired_bootstrap(t: Tables):
-    b = st.bootstrap(pairs(t).select("scenario_id", F.col("question_id").alias("id"), "diff"), ["scenario_id"], rounds=_ROUNDS)
-    return b.select("scenario_id", F.round("point", 6).alias("point"), F.round("lo", 9).alias("lo"), F.round("hi", 9).alias("hi"))
+    return rounded(bootstrap_near(pairs(t).select("scenario_id", "diff"), ["scenario_id"]))
 
 
-@query(f"with {boot_sql('select o_orderpriority as grp, o_orderkey as id, o_totalprice % 997 - 498 as diff from {orders} where o_orderkey % 200 = 0', 'grp', 'median')} select grp, round(point, 6) as point, round(lo, 6) as lo, round(hi, 6) as hi from bo")
+@query("with d as (select o_orderpriority as grp, o_totalprice % 997 - 498 as diff from {orders}) select grp, count(*) as n, round(median(diff), 6) as point, true as near from d group by grp")
 def t4_median_bootstrap(t: Tables):
-    d = t.orders.where("o_orderkey % 200 = 0").select(F.col("o_orderpriority").alias("grp"), F.col("o_orderkey").alias("id"), (F.col("o_totalprice") % 997 - 498).alias("diff"))
-    return rounded(st.bootstrap(d, ["grp"], "median", _ROUNDS))
+    """The median over all orders; of the rows, shares of (1 - 1.96 / sqrt n) / 2 and its complement lie below the ends."""
+    d = t.orders.select(F.col("o_orderpriority").alias("grp"), (F.col("o_totalprice") % 997 - 498).alias("diff"))
+    below = d.join(st.bootstrap(d, ["grp"], "median"), "grp").groupBy("grp", "point").agg(F.count("*").alias("n"), F.count_if(F.col("diff") <= F.col("lo")).alias("l"), F.count_if(F.col("diff") <= F.col("hi")).alias("h"))
+    off = lambda c, z: F.abs(F.col(c) / F.col("n") - 0.5 - z / (2 * F.sqrt("n")))
+    return rounded(below.select("grp", "n", "point", (F.greatest(off("l", -st.Z), off("h", st.Z)) <= _MISS / (2 * F.sqrt("n")) + 2 / F.col("n")).alias("near")))
 
 
 _WIL = f"""d as (select scenario_id, diff, round(abs(diff), 12) as a from ({_PAIRED}) where diff <> 0), r as (select *, rank() over (partition by scenario_id order by a) + (count(*) over (partition by scenario_id, a) - 1) / 2 as rk, count(*) over (partition by scenario_id, a) as t from d),
@@ -362,17 +374,17 @@ def t5_wilcoxon_p(t: Tables):
 
 
 _SWITCHED = f"case when b + c > 0 then case when b + c < 25 then {_MCN} else {_TAIL.format(z='z')} end end"
-_QTYPE_BOOT = boot_sql(f"select qtype, scenario_id || question_id as id, diff from ({_PAIRED})", "qtype")
+_QTYPE_BOOT = moments_sql(f"select qtype, diff from ({_PAIRED})", "qtype")
 
 
-@query(f"with {_QTYPE_BOOT}, k as (select qtype, cut, count_if(arm >= cut and base < cut) as b, count_if(arm < cut and base >= cut) as c, count_if(arm > base) as w, count_if(arm = base) as ties, count(*) as n from ({_PAIRED}), (values (0.5), (0.75)) v(cut) group by all), z as (select *, greatest(0, abs(b - c) - 1) / sqrt(b + c) as z from k) select qtype, cut::double as cut, b, c, round({_SWITCHED}, 6) as p, w, ties, round((w + 0.5 * ties) / n, 6) as win_rate, round(point, 6) as delta, round(lo, 6) as lo, round(hi, 6) as hi from z join bo using (qtype)")
+@query(f"with {_QTYPE_BOOT}, k as (select qtype, cut, count_if(arm >= cut and base < cut) as b, count_if(arm < cut and base >= cut) as c, count_if(arm > base) as w, count_if(arm = base) as ties, count(*) as n from ({_PAIRED}), (values (0.5), (0.75)) v(cut) group by all), z as (select qtype, cut, b, c, w, ties, n as n_pairs, greatest(0, abs(b - c) - 1) / sqrt(b + c) as z from k) select qtype, cut::double as cut, b, c, round({_SWITCHED}, 6) as p, w, ties, round((w + 0.5 * ties) / n_pairs, 6) as win_rate, round(point, 6) as delta, round(lo, 6) as lo, round(hi, 6) as hi, true as near from z join bo using (qtype)")
 def t13_binary_tests(t: Tables):
     p = pairs(t)
     wins = p.groupBy("qtype").agg(F.count_if(F.col("arm") > F.col("base")).alias("w"), F.count_if(F.col("arm") == F.col("base")).alias("ties"), F.count("*").alias("n"))
-    boot = st.bootstrap(p.select("qtype", F.concat("scenario_id", "question_id").alias("id"), "diff"), ["qtype"], rounds=_ROUNDS).withColumnRenamed("point", "delta")
+    boot = bootstrap_near(p.select("qtype", "diff"), ["qtype"]).withColumnRenamed("point", "delta").drop("n", "se")
     cuts = [st.discordant(p, ["qtype"], x, st.mcnemar_switched).withColumn("cut", F.lit(x)) for x in (0.5, 0.75)]
     both = cuts[0].unionByName(cuts[1]).join(wins, "qtype").join(boot, "qtype")
-    return rounded(both.select("qtype", "cut", "b", "c", "p", "w", "ties", ((F.col("w") + 0.5 * F.col("ties")) / F.col("n")).alias("win_rate"), "delta", "lo", "hi"))
+    return rounded(both.select("qtype", "cut", "b", "c", "p", "w", "ties", ((F.col("w") + 0.5 * F.col("ties")) / F.col("n")).alias("win_rate"), "delta", "lo", "hi", "near"))
 
 
 @query("with r as (select mode, rank() over (partition by mode order by tokens_out) + (count(*) over (partition by mode, tokens_out) - 1) / 2 as rx, rank() over (partition by mode order by correctness) + (count(*) over (partition by mode, correctness) - 1) / 2 as ry from {results} where correctness is not null) select mode, round(corr(rx, ry), 6) as rho from r group by mode")
@@ -380,13 +392,13 @@ def t14_verbosity_probe(t: Tables):
     return rounded(st.spearman(t.results, "tokens_out", "correctness", ["mode"]))
 
 
-_GROUP_BOOT = boot_sql(f"select scenario_id || '/' || qtype as grp, question_id as id, diff from ({_PAIRED})", "grp")
+_GROUP_BOOT = moments_sql(f"select scenario_id || '/' || qtype as grp, diff from ({_PAIRED})", "grp")
 
 
-@query(f"with {_GROUP_BOOT}, c as (select scenario_id, qtype, count_if(arm > base) as b, count_if(arm < base) as c from ({_PAIRED}) group by all), p as (select *, {_MCN} as p from c), r as (select *, row_number() over (partition by qtype order by p, scenario_id) as k, count(*) over (partition by qtype) as m from p) select scenario_id, qtype, b, c, round(p, 6) as p, round(least(1, min(p * m / k) over (partition by qtype order by k rows between current row and unbounded following)), 6) as q, round(point, 6) as delta, round(lo, 6) as lo, round(hi, 6) as hi from r join bo on grp = scenario_id || '/' || qtype")
+@query(f"with {_GROUP_BOOT}, c as (select scenario_id, qtype, count_if(arm > base) as b, count_if(arm < base) as c from ({_PAIRED}) group by all), p as (select *, {_MCN} as p from c), r as (select *, row_number() over (partition by qtype order by p, scenario_id) as k, count(*) over (partition by qtype) as m from p) select scenario_id, qtype, b, c, round(p, 6) as p, round(least(1, min(p * m / k) over (partition by qtype order by k rows between current row and unbounded following)), 6) as q, round(point, 6) as delta, round(lo, 6) as lo, round(hi, 6) as hi, true as near from r join bo on grp = scenario_id || '/' || qtype")
 def t15_paired_tests(t: Tables):
     p = pairs(t)
-    boot = st.bootstrap(p.select("scenario_id", "qtype", F.col("question_id").alias("id"), "diff"), ["scenario_id", "qtype"], rounds=_ROUNDS).withColumnRenamed("point", "delta")
+    boot = bootstrap_near(p.select("scenario_id", "qtype", "diff"), ["scenario_id", "qtype"]).withColumnRenamed("point", "delta").drop("n", "se")
     tests = st.discordant(p, ["scenario_id", "qtype"]).withColumn("name", F.col("scenario_id"))
     return rounded(st.false_discovery(tests, ["qtype"]).drop("name").join(boot, ["scenario_id", "qtype"]))
 
@@ -395,15 +407,15 @@ def t15_paired_tests(t: Tables):
  r as (select query_id, filename, rank, row_number() over (partition by query_id order by rerank_score desc nulls last, rank) as rank2 from {{kept}}),
  h as (select query_id, count(distinct case when rank <= 4 then filename end) as base, count(distinct case when rank2 <= 4 then filename end) as arm from r semi join gold using (query_id, filename) group by 1),
  m as (select query_id, coalesce(base, 0) / g as base, coalesce(arm, 0) / g as arm from g left join h using (query_id)),
- {boot_sql("select 'all' as grp, query_id as id, arm - base as diff from m", "grp")},
- k as (select count_if(arm >= 1 and base < 1) as b, count_if(arm < 1 and base >= 1) as c from m) select 'all' as "group", b, c, round({_MCN}, 6) as p, round(point, 6) as delta, round(lo, 6) as lo, round(hi, 6) as hi from k, bo""")
+ {moments_sql("select 'all' as grp, arm - base as diff from m", "grp")},
+ k as (select count_if(arm >= 1 and base < 1) as b, count_if(arm < 1 and base >= 1) as c from m) select 'all' as "group", b, c, round({_MCN}, 6) as p, round(point, 6) as delta, round(lo, 6) as lo, round(hi, 6) as hi, true as near from k, bo""")
 def t16_layer_comparison(t: Tables):
     gold = t.kept.where("chunk % 3 = 0")
     base = ev.retrieval_metrics(t.kept.select("query_id", "rank", "filename"), gold).select("query_id", F.col("recall4").alias("base"))
     by_score = st.Window.partitionBy("query_id").orderBy(F.desc_nulls_last("rerank_score"), "rank")
     arm = ev.retrieval_metrics(t.kept.select("query_id", F.row_number().over(by_score).alias("rank"), "filename"), gold).select("query_id", F.col("recall4").alias("arm"))
     both = arm.join(base, "query_id").withColumn("group", F.lit("all"))
-    boot = st.bootstrap(both.select("group", F.col("query_id").alias("id"), (F.col("arm") - F.col("base")).alias("diff")), ["group"], rounds=_ROUNDS).withColumnRenamed("point", "delta")
+    boot = bootstrap_near(both.select("group", (F.col("arm") - F.col("base")).alias("diff")), ["group"]).withColumnRenamed("point", "delta").drop("n", "se")
     return rounded(st.discordant(both, ["group"], 1.0).join(boot, "group"))
 
 

@@ -115,6 +115,29 @@ def test_bootstrap_is_repeatable(spark):
     assert (a.lo, a.hi) == (b.lo, b.hi) and a.lo <= a.point <= a.hi
 
 
+def test_bootstrap_rounds_are_independent_and_as_brute_force(spark, monkeypatch):
+    """Quantiles of many rounds against a plain bootstrap, for one cell and for many, odd and even sizes, null groups."""
+    rng = np.random.default_rng(8)
+    for cells, n in ((1024, 301), (7, 300)):
+        monkeypatch.setattr(st, "CELL_VALUES", cells)
+        v = np.round(rng.gamma(1.0, 2.0, n), 2)
+        d = spark.createDataFrame([(None, float(x), 1) for x in v], "n string, diff double, cell int")
+        draws = v[rng.integers(0, n, (20_000, n))]
+        for stat, of in (("mean", draws.mean(1)), ("median", np.median(draws, axis=1))):
+            b = st.bootstrap(d, ["n", "cell"], stat).first()
+            assert b.n is None and b.cell == 1 and abs(b.point - {"mean": v.mean(), "median": np.median(v)}[stat]) < 1e-9
+            assert max(abs(b.lo - np.quantile(of, 0.025)), abs(b.hi - np.quantile(of, 0.975))) < 0.1 * of.std()
+    wide = [[st.generator(1, 5, b, c).random(4).tolist() for c in range(3)] for b in range(3)]
+    assert len({tuple(x) for row in wide for x in row}) == 9
+
+
+def test_bootstrap_of_many_rows_works_by_values(spark):
+    """Two values in two million rows: counts, not draws."""
+    d = spark.range(2_000_000).select(F.lit("g").alias("g"), (F.col("id") % 2).cast("double").alias("diff"))
+    b = st.bootstrap(d, ["g"], rounds=2000).first()
+    assert b.point == 0.5 and abs(b.lo - (0.5 - 1.96 * 0.5 / 2e6**0.5)) < 1e-4 and b.lo < 0.5 < b.hi
+
+
 def test_bootstrap_agrees_with_theory(spark):
     """The interval of a mean is near the normal one; other statistics and levels are taken; bad ones are refused."""
     rng = np.random.default_rng(3)
