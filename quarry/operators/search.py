@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import ahocorasick
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -14,6 +15,8 @@ from quarry.settings import DEFAULT, Settings
 
 #: Buckets of corpus blocks that a set of vector queries is dealt to, at least; vectors of a block of the corpus and of queries.
 BUCKETS, CORPUS_BLOCK, QUERY_BLOCK = 32, 4096, 512
+#: Characters of passages in one automaton (some 50 bytes of memory each), and of all passages that are broadcast; hits in a batch.
+PART_PASSAGES, MOST_PASSAGES, HITS_AT_ONCE = 1 << 20, 1 << 22, 1 << 16
 
 
 def postings(chunks: DataFrame, key: str = "id", text: str = "text", stop=...) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -190,8 +193,8 @@ def corrective(first: DataFrame, second: DataFrame, settings: Settings = DEFAULT
     return a.join(b, "query_id", "left").select("query_id", F.when(ok, 1).otherwise(2).alias("attempt"), F.when(ok, F.col("p1")).otherwise(F.col("p2")).alias("p"))
 
 
-def containment(docs: DataFrame, passages: DataFrame, key: str = "id", passage_key: str = "query_id") -> DataFrame:
-    """passage_key, key of the documents that contain a passage as a substring; empty passages are in none.
+def contained_by_anchors(docs: DataFrame, passages: DataFrame, key: str = "id", passage_key: str = "query_id") -> DataFrame:
+    """As containment, for any number of passages.
 
     A passage has an anchor that each such document has: of five words or more, words two to four, whole and next to each
     other; of three or four words, the second, whole; of fewer, its first characters, up to three. Hashes of the
@@ -219,6 +222,49 @@ def containment(docs: DataFrame, passages: DataFrame, key: str = "id", passage_k
     return docs.select(key, "text").join(met, key).where(F.expr("contains(text, p_text)")).select(passage_key, key).distinct()
 
 
+def contained_by_automaton(docs: DataFrame, passages: DataFrame, key: str = "id", passage_key: str = "query_id") -> DataFrame:
+    """As containment, for passages of MOST_PASSAGES characters together: texts are read once and give no rows but what is found.
+
+    Tasks get the passages, put them into Aho-Corasick automata of PART_PASSAGES characters, and walk each text once through
+    each.
+    """
+    spark, kinds = docs.sparkSession, f"{passage_key} {dict(passages.dtypes)[passage_key]}, {key} {dict(docs.dtypes)[key]}"
+    asked = spark.sparkContext.broadcast([(r[0], r[1]) for r in passages.where("text <> ''").select(passage_key, "text").collect()])
+
+    def walk(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        wanted: dict[str, list] = {}
+        for k, text in asked.value:
+            wanted.setdefault(text, []).append(k)
+        parts, held = [], PART_PASSAGES
+        for text in wanted:
+            if held >= PART_PASSAGES:
+                parts.append(ahocorasick.Automaton())
+                held = 0
+            parts[-1].add_word(text, text)
+            held += len(text)
+        for part in parts:
+            part.make_automaton()
+        hits: list[tuple] = []
+        for f in frames:
+            for d, text in zip(f[key], f["text"], strict=True):
+                hits += [(k, d) for part in (parts if text else ()) for p in {p for _, p in part.iter(text)} for k in wanted[p]]
+                if len(hits) >= HITS_AT_ONCE:
+                    yield pd.DataFrame(hits, columns=[passage_key, key], dtype=object)
+                    hits = []
+        yield pd.DataFrame(hits, columns=[passage_key, key], dtype=object)
+
+    return docs.select(key, "text").mapInPandas(walk, kinds).distinct()
+
+
+def containment(docs: DataFrame, passages: DataFrame, key: str = "id", passage_key: str = "query_id") -> DataFrame:
+    """passage_key, key of the documents that contain a passage as a substring; empty and null passages are in none.
+
+    Passages are broadcast only after their characters were counted, and meet texts by anchors where they are too many.
+    """
+    size = passages.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
+    return (contained_by_automaton if size <= MOST_PASSAGES else contained_by_anchors)(docs, passages, key, passage_key)
+
+
 class IndexCache:
     """Inverted indexes kept for (revision of the corpus, scope), so that searches of one corpus share the tokens they cut.
 

@@ -220,9 +220,14 @@ def test_pieces_cover_the_text():
     assert ch.pieces("short", 100, 20) == ["short"]
 
 
-def test_containment_of_short_passages(spark):
+@pytest.mark.parametrize("most, part", [(1 << 22, 1 << 20), (1 << 22, 5), (0, 1 << 20)])
+def test_containment_of_short_passages(spark, monkeypatch, most, part):
+    """By one automaton, by several, and by anchors."""
+    monkeypatch.setattr(se, "MOST_PASSAGES", most)
+    monkeypatch.setattr(se, "PART_PASSAGES", part)
+    monkeypatch.setattr(se, "HITS_AT_ONCE", 2)
     docs = spark.createDataFrame([(1, "the banana bread is good to eat today"), (2, "an old house"), (3, ""), (4, "x y"), (5, None)], "id int, text string")
-    asked = ["banana bread is good to", "anana", "n old h", "an", "y", "he banana b", "bread is good", "zzz", ""]
+    asked = ["banana bread is good to", "anana", "n old h", "an", "y", "he banana b", "bread is good", "zzz", "", "an"]
     got = {(r.query_id, r.id) for r in se.containment(docs, spark.createDataFrame(list(enumerate(asked)), "query_id int, text string")).collect()}
     assert got == {(i, r.id) for i, p in enumerate(asked) for r in docs.collect() if p and r.text and p in r.text}
 
