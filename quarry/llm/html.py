@@ -34,8 +34,10 @@ MIN_PAGES, SUPPORT = 4, 0.5
 SALTS = 32
 MASK = (1 << 62) - 1
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)", re.S)
-ATTRIBUTE = re.compile(r"([a-zA-Z_:][\w:.-]*)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
+#: An attribute as HTML reads it: quotes open a value only right after its sign; elsewhere they are letters like others.
+VALUE = r"(?:\"([^\"]*)(?:\"|\Z)|'([^']*)(?:'|\Z)|([^\s\"'>][^\s>]*))"
+ATTRIBUTE = re.compile(rf"([^\s/>][^\s/>=]*)(?:\s*=\s*{VALUE}?)?")
+TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[\s/]+|" + re.sub(r"\((?![?])", "(?:", ATTRIBUTE.pattern) + r")*+)(?:>|\Z)", re.S)
 SPACE = re.compile(r"\s+")
 # Fixed values of the HTML standard: elements without content, with raw text, and those that begin a new block.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -50,6 +52,8 @@ FURNITURE_NAMES = frozenset(
     "breadcrumb breadcrumbs sidebar footer masthead topbar comment comments disqus respond reply replies share sharing social related recommended newsletter subscribe subscription signup login popup modal "
     "overlay widget widgets toolbar pagination pager skip tags teaser teasers outbrain taboola paywall".split()
 )
+#: Of these names, those of what readers write; it may well be longer than the article.
+COMMENT_NAMES = frozenset("comment comments disqus respond reply replies".split())
 HEADER_NAMES = frozenset("header head".split())
 CONTENT_NAMES = frozenset("article post entry content story body main page text".split())
 #: First and last parts of names that tell a state of the element, not its kind: has-sidebar, tags-enabled.
@@ -77,6 +81,12 @@ def named_furniture(tag: str, attrs: dict[str, str], in_article: bool) -> bool:
     return False
 
 
+def named_comments(attrs: dict[str, str]) -> bool:
+    """Whether a class or id name says that the element holds readers' comments."""
+    kinds = (name_parts(x) for x in (attrs.get("class", "") + " " + attrs.get("id", "")).split())
+    return any(p and (p[-1] in COMMENT_NAMES or p[0] in COMMENT_NAMES) for p in kinds)
+
+
 def is_furniture(tag: str, attrs: dict[str, str], in_article: bool) -> bool:
     """Whether an element is furniture by its kind, role or state."""
     if tag in FURNITURE_TAGS or attrs.get("role", "").lower() in FURNITURE_ROLES:
@@ -96,12 +106,13 @@ class Node:
 
 
 class Page:
-    """What is read from a page: text nodes in order, tokens of all tags and texts, and for each element named as furniture its token and whether it is around an article or the first heading."""
+    """What is read from a page: text nodes in order, tokens of all tags and texts, and for each element named as furniture its token, whether it is around an article or the first heading, and whether it may hold more than half of the text: comments, and what stands outside the article or main element (landmark: there is one)."""
 
     def __init__(self):
         self.nodes: list[Node] = []
         self.tokens: list[int] = []
         self.named: list[list] = []
+        self.landmark = False
 
 
 def token_id(kind: str, path: str, value: str) -> int:
@@ -191,8 +202,10 @@ def parsed(page: str) -> Page:
         if tag in ("article", "main") or attrs.get("role", "").lower() in ("main", "article"):
             articles += 1
             number = articles
-            if tag == "article" and not article and not drop and not any(s[1] for s in stack):
-                article = number
+            if not drop and not any(s[1] for s in stack):
+                out.landmark = True
+                if tag == "article" and not article:
+                    article = number
         if tag == "header" and article:
             drop = False
         if tag in ("article", "main") or (tag == "h1" and not any(x[1] for x in out.named)):
@@ -200,7 +213,8 @@ def parsed(page: str) -> Page:
                 if s[3] >= 0:
                     out.named[s[3]][1] = True
         if named:
-            out.named.append([tokens[-1], False])
+            inside = any(x[2] for x in stack) or bool(number)
+            out.named.append([tokens[-1], False, named_comments(attrs), inside])
         stack.append((tag, drop, number, len(out.named) - 1 if named else -1))
     return out
 
@@ -246,7 +260,8 @@ def main_nodes(page: Page, known: Template | None = None) -> list[Node]:
     """The text nodes of the main part: the articles if there are any, else all that is not furniture.
 
     An element named as furniture is furniture if its tag is one of the host's (any, where the host has no template), if
-    it is around neither an article nor the first heading, and if it holds at most half of the text.
+    it is around neither an article nor the first heading, and if it holds at most half of the text; comments, and what
+    stands beside the article or main element of a page, may hold more.
     """
     known_nodes = {id(page.nodes[i]) for i in known.standing(page.nodes, page.tokens)} if known else set()
     live = [n for n in page.nodes if not n.dropped]
@@ -256,7 +271,8 @@ def main_nodes(page: Page, known: Template | None = None) -> list[Node]:
         for i in n.named:
             held[i] += len(n.text)
     whole = size(live)
-    out = {i for i, (token, around) in enumerate(page.named) if not around and (known is None or token in known.named) and 2 * held[i] <= whole}
+    free = lambda comments, inside: comments or (page.landmark and not inside)
+    out = {i for i, (token, around, comments, inside) in enumerate(page.named) if not around and (known is None or token in known.named) and (free(comments, inside) or 2 * held[i] <= whole)}
     live = [n for n in live if out.isdisjoint(n.named)] if out else live
     inside = [n for n in live if n.article]
     # An article that holds a small part of what is not furniture is a teaser among others, not the main part.
@@ -292,7 +308,7 @@ def _tokens(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             read = parsed(page or "")
             tokens = read.tokens
             kinds.update((n.token, TEXT) for n in read.nodes if n.token)
-            kinds.update((token, NAMED) for token, _ in read.named)
+            kinds.update((x[0], NAMED) for x in read.named)
             mine, at = int(page_hash) & MASK, {t: i for i, t in zip(range(len(tokens) - 1, -1, -1), reversed(tokens), strict=True)}
             for token, count in Counter(tokens).items():
                 s = sums.setdefault((host, token), [0, 0, 0, mine, at[token]])

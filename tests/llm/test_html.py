@@ -2,6 +2,7 @@ import re
 from collections import Counter, defaultdict
 
 import numpy as np
+import pytest
 
 from quarry.llm import html as hx
 
@@ -96,7 +97,7 @@ def full_classes(pages):
         tags = [u for u, w in often.items() if u not in texts and [x > 0 for x in w] == [x > 0 for x in v]]
         if t in texts and tags:
             template.add(t)
-    named = {t for p in read for t, _ in p.named if sum(x > 0 for x in vectors[t]) >= 2}
+    named = {e[0] for p in read for e in p.named if sum(x > 0 for x in vectors[e[0]]) >= 2}
     return template, named
 
 
@@ -123,3 +124,30 @@ def test_classes_change_the_result(spark):
     assert texts_of(spark, bare) == {i: one(p) for i, p in enumerate(pages)}
     without = [hx.blocks_text(hx.main_nodes(hx.parsed(p), hx.Template(np.zeros((0, 4), np.int64)))) for p in bare]
     assert all(one(p) != t for p, t in zip(pages, without, strict=True))
+
+
+def test_quotes_open_values_only_after_their_sign():
+    assert one("<article><p>One</p><p><a href=/x title=Bob's>link</a> goes on</p><p>Two is long</p></article>") == "One\n\nlink goes on\n\nTwo is long"
+    assert one("<article><p>One</p><p><img alt=5\"screen> goes on</p><p>Two</p></article>") == "One\n\ngoes on\n\nTwo"
+    assert one("<article><p>One</p><a href=/p?q=\"x>t</a> <a href=\"a>b\" class='c>d'>u</a> <b x = \"y>z\" =\"q>v</b><p>Two</p></article>") == "One\n\nt u v\n\nTwo"
+    assert one("<p>a<br/>b</p><p title='never closed>c</p>") == "a b"
+
+
+STORY, REMARKS = "<p>" + "story text " * 20 + "</p>", "<section id='comments'>" + ("<div class='comment'><p>" + "remark words " * 20 + "</p></div>") * 9 + "</section>"
+
+
+@pytest.mark.parametrize("page", ["<article>{s}</article>{c}", "<article>{s}{c}</article>", "<body><h1>Title</h1>{s}{c}</body>", "<main>{s}</main>{c}", "{c}<article>{s}</article>"])
+@pytest.mark.parametrize("times", [0, 1, 5])
+def test_comments_go_whatever_their_length(page, times):
+    got = one(page.format(s=STORY, c=REMARKS * times))
+    assert "story text" in got and "remark" not in got and got == one(page.format(s=STORY, c=""))
+
+
+def test_what_stands_beside_the_main_part_goes_whatever_its_length():
+    assert one(f"<main>{STORY}</main><div class='related'>{'other story ' * 400}</div>") == one(f"<main>{STORY}</main>")
+    assert one(f"<div class='widget'>{STORY}</div>") == one(STORY)  # nothing else that could be the main part
+
+
+def test_clashing_columns(spark):
+    pages = spark.createDataFrame([(1, "http://h/1", f"<p>{i}</p>", "x", 3, "y") for i in range(1)], "page_id long, url string, html string, host string, salt int, known string")
+    assert [(r.page_id, r.text) for r in hx.main_text(pages).collect()] == [(1, "0")]
