@@ -331,7 +331,7 @@ def unpacked_keys(data: bytes, n: int) -> np.ndarray:
 
 
 def packed_counts(counts: np.ndarray) -> bytes:
-    """Numbers below 2^32, by byte, compressed; larger ones stand as the largest."""
+    """Numbers below 2^32, as those of one block are, by byte, compressed; larger ones stand as the largest."""
     return packed(np.minimum(counts, 2**32 - 1).astype(np.uint32).view(np.uint8).reshape(-1, 4).T)
 
 
@@ -339,6 +339,15 @@ def unpacked_counts(data: bytes, n: int) -> np.ndarray:
     return np.ascontiguousarray(unpacked(data, np.uint8, 4 * n).reshape(4, n).T).view(np.uint32).ravel().astype(np.int64)
 
 
+def packed_totals(counts: np.ndarray) -> bytes:
+    """Numbers of the whole corpus, by byte, compressed: bytes that are 0 everywhere take next to nothing."""
+    return packed(counts.astype(np.int64).view(np.uint8).reshape(-1, 8).T)
+
+
+def unpacked_totals(data: bytes, n: int) -> np.ndarray:
+    return np.ascontiguousarray(unpacked(data, np.uint8, 8 * n).reshape(8, n).T).view(np.int64).ravel()
+
+
 def unpacked(data: bytes, kind: type, n: int) -> np.ndarray:
     if not n:
         return np.zeros(0, kind)

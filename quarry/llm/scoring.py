@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import block_size, block_texts, blocks_of, dealt, give_back, mixed, opened, packed_counts, packed_keys, range_count, range_of, slices, stored, unpacked_counts, unpacked_keys, word_hashes, word_ids
+from quarry.llm.common import block_size, block_texts, blocks_of, dealt, give_back, mixed, opened, packed_counts, packed_keys, packed_totals, range_count, range_of, slices, stored, unpacked_counts, unpacked_keys, unpacked_totals, word_hashes, word_ids
 
 #: Power-of-two classes of counts kept about the words; tokens in a stretch of text; bits of a longer n-gram's hash left out.
 CLASSES, STRETCH, LEFT_OUT = 64, 256, np.uint64(8)
@@ -109,7 +109,7 @@ def _add_up(f: pd.DataFrame) -> pd.DataFrame:
         np.add.at(stats, 4 + np.frexp(seen)[1].astype(int) - 1, seen.astype(float))
         answer, a = total[inverse], 0
         for q, blk, n in zip(g["r"], g["block"], g["n"], strict=True):
-            out.append((q, blk, level, n, packed_counts(answer[a : a + n]), None))
+            out.append((q, blk, level, n, packed_totals(answer[a : a + n]), None))
             a += n
         out.append((int(g["r"].iloc[0]), -1, level, 0, b"", stats.tolist()))
     return pd.DataFrame(out, columns=["r", "block", "level", "n", "counts", "stats"])
@@ -260,7 +260,7 @@ def _score(order: int, folds: int, model: dict, stretch: int):
         for n, keys in enumerate(grams(seq, place, order), 1):
             part = right[right["level"] == n]
             levels.append(Level(keys, place, n))
-            totals.append(np.concatenate([np.zeros(0, np.int64), *[unpacked_counts(c, m) for c, m in zip(part["counts"], part["n"], strict=True)]]))
+            totals.append(np.concatenate([np.zeros(0, np.int64), *[unpacked_totals(c, m) for c, m in zip(part["counts"], part["n"], strict=True)]]))
         word = levels[0].id
         trained = int(totals[0][word[np.flatnonzero(seq == END)[0]]])
         logs = Automaton(levels, totals, place, model, trained).read(word, place, stretch)

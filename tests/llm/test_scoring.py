@@ -5,9 +5,10 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pandas as pd
 import pytest
 
-from quarry.llm import scoring
+from quarry.llm import common, scoring
 
 
 def tokens(t):
@@ -80,3 +81,13 @@ def test_edges(spark):
     assert scoring.scores(spark.createDataFrame([], "doc_id long, text string")).count() == 0
     one = scoring.scores(spark.createDataFrame([(None, "a b", "x")], "doc_id long, text string, score string")).collect()[0]
     assert one.doc_id is None and one.held_out and one.n_tokens == 3 and one.n_known == 0 and one.train_tokens == 0 and one.score == 0 and one.base_score == 0
+
+
+def test_totals_above_four_bytes():
+    """Counts of a corpus of 100 TB come back as they were sent, and add up."""
+    big = np.array([5_000_000_000, 0, 1, 2**40 + 3, 10**11], np.int64)
+    assert common.unpacked_totals(common.packed_totals(big), 5).tolist() == big.tolist()
+    keys, half = np.array([3, 9], np.uint64), np.array([2**32 - 1, 7], np.int64)
+    rows = [(0, b, 1, 2, common.packed_keys(keys), common.packed_counts(half)) for b in range(3)]
+    got = scoring._add_up(pd.DataFrame(rows, columns=["r", "block", "level", "n", "keys", "counts"]))
+    assert common.unpacked_totals(got["counts"].iloc[0], 2).tolist() == [3 * (2**32 - 1), 21]
