@@ -1,12 +1,10 @@
-"""What the jobs share: configs, the folder for outputs, logs, and the session of a command line."""
+"""What the jobs share: configs, tables read back, logs, and the session of a command line."""
 
 from __future__ import annotations
 
 import argparse
 import logging
-import re
 import sys
-import uuid
 from collections.abc import Callable
 from typing import Any
 
@@ -25,16 +23,6 @@ def config(spark: SparkSession, path: str | None, defaults: dict[str, Any]) -> d
     return defaults | {k: v for k, v in given.items() if v is not None}
 
 
-def new_folder(spark: SparkSession, name: str) -> str:
-    """A folder of its own for a run, below the one that driver and executors share: spark.checkpoint.dir."""
-    top = spark.conf.get("spark.checkpoint.dir", None)
-    if not top:
-        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
-            raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
-        top = "file:///tmp/checkpoints"
-    return f"{top.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 def read_back(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """A written table with this schema, partition columns too; no rows where nothing was written yet."""
     try:

@@ -7,15 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from jobs import ingest_documents, retrieval_report
-from jobs.common import new_folder
 from quarry.plans.evaluation import METRICS_SQL, WILSON_SQL
 from quarry.plans.registry import oracle
 from quarry.plans.retrieval import HYBRID_SQL, toks
+from quarry.sources.sinks import new_folder
 
 
 def job1_ingest_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's status and its chunks; the second run finds no new files."""
-    top = new_folder(spark, "job1")
+    top = new_folder(spark, "job1", keep=True)
     for _ in range(2):
         ingest_documents.ingest(spark, f"{sf_dir}/documents.parquet", f"{top}/store", f"{top}/checkpoint")
     registry, chunks = ingest_documents.current(spark, f"{top}/store")
@@ -24,7 +24,7 @@ def job1_ingest_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def job2_retrieval_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The report of all arms, after a second run has overwritten the first."""
-    top = new_folder(spark, "job2")
+    top = new_folder(spark, "job2", keep=True)
     for _ in range(2):
         retrieval_report.report(spark, f"{sf_dir}/documents.parquet", f"{sf_dir}/benchmark.parquet", f"{top}/report")
     return retrieval_report.report_rows(spark, f"{top}/report")

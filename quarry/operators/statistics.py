@@ -50,9 +50,12 @@ def wilson(k: Column, n: Column) -> tuple[Column, Column]:
     return F.when(n <= 0, 0.0).otherwise(F.greatest(F.lit(0.0), mid - half)), F.when(n <= 0, 1.0).otherwise(F.least(F.lit(1.0), mid + half))
 
 
-def same(left: str, right: str, by: list[str]) -> Column:
-    """Join condition on the columns `by` of two aliases; nulls are equal."""
-    return reduce(lambda c, k: c & F.col(f"{left}.{k}").eqNullSafe(F.col(f"{right}.{k}")), by, F.lit(True))
+def with_group(rows: DataFrame, groups: DataFrame, by: list[str]) -> DataFrame:
+    """rows (as l) joined to their group's row (as r); nulls of `by` are equal, and without `by` there is one group."""
+    left, right = rows.alias("l"), groups.alias("r")
+    if not by:
+        return left.crossJoin(F.broadcast(right))  # one row
+    return left.join(right, reduce(lambda c, k: c & k, [F.col(f"l.{k}").eqNullSafe(F.col(f"r.{k}")) for k in by]))
 
 
 def value_cells(diffs: DataFrame, by: list[str], one: bool = False) -> DataFrame:
@@ -66,10 +69,10 @@ def value_cells(diffs: DataFrame, by: list[str], one: bool = False) -> DataFrame
     m = F.lit(1) if one else F.least(F.lit(MOST_CELLS), F.ceil(F.col("k") / CELL_VALUES))
     cell = F.when(F.col("most") > F.col("least"), F.least(m - 1, F.floor((F.col("x") - F.col("least")) / (F.col("most") - F.col("least")) * m))).otherwise(0).cast("int")
     keys = [F.col(f"l.{k}").alias(k) for k in by]
-    placed = values.alias("l").join(ends.alias("r"), same("l", "r", by)).select(*keys, "r.n", "l.x", "l.c", cell.alias("cell"))
+    placed = with_group(values, ends, by).select(*keys, "r.n", "l.x", "l.c", cell.alias("cell"))
     cells = placed.groupBy(*by, "n", "cell").agg(F.array_sort(F.collect_list(F.struct("x", "c"))).alias("v"), F.sum("c").alias("size"))
     sizes = cells.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("cell", "size"))).alias("sizes"))
-    met = cells.alias("l").join(sizes.alias("r"), same("l", "r", by))
+    met = with_group(cells, sizes, by)
     part = lambda c, f: F.transform(c, lambda x: x[f])
     return met.select(*keys, "l.n", F.array_position(part("r.sizes", "cell"), F.col("l.cell")).cast("int").alias("cell"), part("l.v", "x").alias("xs"), part("l.v", "c").alias("cs"), part("r.sizes", "size").alias("sizes"))
 

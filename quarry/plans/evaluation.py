@@ -319,7 +319,8 @@ def bootstrap_near(diffs: DataFrame, by: list[str]) -> DataFrame:
     drawn = st.bootstrap(diffs, by).withColumnsRenamed({"point": "b", "lo": "b_lo", "hi": "b_hi"})
     miss = F.greatest(F.abs(F.col("b_lo") - F.col("lo")), F.abs(F.col("b_hi") - F.col("hi")))
     near = (F.abs(F.col("b") - F.col("point")) < 1e-9) & (miss <= _MISS * F.col("se") + F.col("step") + 1e-9)
-    return st.normal_interval(diffs, by).join(drawn, by).select(*by, "n", "point", "se", "lo", "hi", near.alias("near"))
+    both = st.normal_interval(diffs, by).join(drawn, by) if by else st.normal_interval(diffs, by).crossJoin(drawn)  # one row each
+    return both.select(*by, "n", "point", "se", "lo", "hi", near.alias("near"))
 
 
 _BY_SCENARIO = f"select scenario_id, diff from ({_PAIRED})"
@@ -415,8 +416,8 @@ def t16_layer_comparison(t: Tables):
     by_score = st.Window.partitionBy("query_id").orderBy(F.desc_nulls_last("rerank_score"), "rank")
     arm = ev.retrieval_metrics(t.kept.select("query_id", F.row_number().over(by_score).alias("rank"), "filename"), gold).select("query_id", F.col("recall4").alias("arm"))
     both = arm.join(base, "query_id").withColumn("group", F.lit("all"))
-    boot = bootstrap_near(both.select("group", (F.col("arm") - F.col("base")).alias("diff")), ["group"]).withColumnRenamed("point", "delta").drop("n", "se")
-    return rounded(st.discordant(both, ["group"], 1.0).join(boot, "group"))
+    boot = bootstrap_near(both.select((F.col("arm") - F.col("base")).alias("diff")), []).withColumnRenamed("point", "delta").drop("n", "se")
+    return rounded(st.discordant(both, ["group"], 1.0).crossJoin(boot))  # one row each
 
 
 @query()

@@ -6,7 +6,9 @@ from pyspark.sql import functions as F
 
 from quarry.functions import text as tx
 from quarry.operators import search as se
+from quarry.operators.vectors import VectorIndex
 from quarry.plans.registry import Tables, query
+from quarry.sources.sinks import new_folder
 
 # Text of the tokenizer and of BM25 for DuckDB.
 _CJK = r"\x{4e00}-\x{9fff}\x{3040}-\x{30ff}\x{ac00}-\x{d7af}"
@@ -83,12 +85,18 @@ def vectors(t: Tables):
     return t.embeddings.select(F.col("vec_id").alias("id"), "embedding", "label")
 
 
-def knn(t: Tables, k: int):
+def knn(t: Tables, k: int, nearest=se.nearest):
+    """The k best of every twentieth vector among all others; nearest(queries, vectors, k) searches."""
     asked = t.embeddings.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
-    found = se.nearest(asked, vectors(t), k + 1).where("query_id <> id").drop("rank")
+    found = nearest(asked, vectors(t), k + 1).where("query_id <> id").drop("rank")
     return se.top(found, ["query_id"], [F.desc(F.round("similarity", 9)), F.col("id")], k)
 
 
+def indexed(queries, vectors, k: int):
+    """Neighbours from an index that is stored first, as one would keep it for many searches."""
+    return VectorIndex.build(vectors, new_folder(vectors.sparkSession, "vectors")).nearest(queries, k)
+
+
 @query(f"with {_KNN} select query_id, id, round(similarity, 6) as similarity, rank from kn where rank <= 10")
 def r6_dense_knn(t: Tables):
     return knn(t, 10).select("query_id", "id", F.round("similarity", 6).alias("similarity"), "rank")
@@ -136,6 +144,19 @@ def r8_dense_only(t: Tables):
     return dense_top(t).select("query_id", "id", "rank", F.lit(None).cast("double").alias("rrf_score"), F.round("similarity", 6).alias("similarity"))
 
 
+@query(f"with {_KNN} select query_id, id, round(similarity, 6) as similarity, rank from kn where rank <= 10")
+def r6_indexed_knn(t: Tables):
+    """r6_dense_knn from a stored index: cells around centroids, and only those that bounds cannot rule out."""
+    return knn(t, 10, indexed).select("query_id", "id", F.round("similarity", 6).alias("similarity"), "rank")
+
+
+@query(f"with {_ITEMS}, {_DENSE} select query_id, id, rank, round(similarity, 6) as similarity from de where rank <= 10")
+def r8_indexed_dense(t: Tables):
+    """r8_dense_only from a stored index of the documents' embeddings."""
+    found = indexed(se.hashed_embedding(items(t), "query_id"), se.hashed_embedding(docs(t)), 10)
+    return found.select("query_id", "id", "rank", F.round("similarity", 6).alias("similarity"))
+
+
 _MULTI = "select query_id % 10 as query_id, cast(floor(query_id / 10) as int) as sub_idx, rank, id, round(1.0 / (60 + rank), 5) as score from {rankings} where source = 'lexical'"
 
 

@@ -2,10 +2,32 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import re
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def new_folder(spark: SparkSession, name: str, keep: bool = False) -> str:
+    """A new folder below the one that driver and executors share: spark.checkpoint.dir. It goes with the application unless `keep`.
+
+    Only local mode, as in tests, has another such folder.
+    """
+    top = spark.conf.get("spark.checkpoint.dir", None)
+    if not top:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
+        top = "file:///tmp/checkpoints"
+    folder = f"{top.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    if not keep:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        files = path.getFileSystem(spark._jsc.hadoopConfiguration())
+        files.mkdirs(path)
+        files.deleteOnExit(path)
+    return folder
+
+
 def append_results(rows: DataFrame, path: str) -> None:
     """Append result rows, partitioned by run, so that a run can be read or dropped by itself."""
     rows.write.mode("append").partitionBy("run_id").parquet(path)

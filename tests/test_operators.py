@@ -13,6 +13,7 @@ from quarry.operators import evaluation as ev
 from quarry.operators import policy as po
 from quarry.operators import runs as ru
 from quarry.operators import search as se
+from quarry.operators import vectors
 from quarry.operators import statistics as st
 from quarry.operators import trace as tr
 
@@ -261,3 +262,36 @@ def test_index_cache(spark):
     assert [k[0] for k in cache.held] == [2] and cache.built == 3
     cache.clear()
     assert not cache.held
+
+
+def clustered(n, dim, seed):
+    rng = np.random.default_rng(seed)
+    centers = rng.normal(size=(12, dim))
+    return centers[rng.integers(0, 12, n)] + rng.normal(size=(n, dim)) * 0.05
+
+
+def test_vector_index_as_the_full_scan(spark, tmp_path, monkeypatch):
+    """Clusters, ties, copies, vectors of another length, null, zero and broken ones; the index stays right when opened again."""
+    monkeypatch.setattr(vectors, "CELL_BLOCK", 50)
+    v = np.concatenate([clustered(900, 8, 1), np.repeat(clustered(3, 8, 2), 20, 0), np.random.default_rng(3).integers(-2, 3, (200, 8)).astype(float)])
+    rows = [(i, x.tolist()) for i, x in enumerate(v)] + [(2000, None), (2001, [1.0, 2.0]), (2002, [None, 1.0]), (2003, [0.0] * 8), (2004, [2.0, 4.0]), (2005, [float("nan")] * 8), (2006, [float("inf")] * 8)]
+    df = spark.createDataFrame(rows, "id int, embedding array<double>").repartition(3, "id")
+    asked = df.where("id % 9 = 0 or id > 2000").withColumnRenamed("id", "query_id")
+    index = vectors.VectorIndex.build(df, str(tmp_path))
+    want = [tuple(r) for r in se.nearest(asked, df.where("id not in (2005, 2006)"), 7).orderBy("query_id", "rank").collect() if r.query_id not in (2005, 2006)]
+    for x in (index, vectors.VectorIndex.open(spark, str(tmp_path))):
+        got = [tuple(r) for r in x.nearest(asked, 7).orderBy("query_id", "rank").collect()]
+        assert [g[:2] + g[3:] for g in got] == [w[:2] + w[3:] for w in want] and np.allclose([g[2] for g in got], [w[2] for w in want])
+    unit = vectors.unit_vectors(asked, "query_id", "embedding")
+    first = index.routed(unit, 7, "query_id", False)
+    rest = index.routed(unit.withColumn("floor", F.lit(0.99)), 7, "query_id", True)
+    size = {c: int(n) for c, n in index.cells["n"].items()}
+    met = sum(size[r.cell] for r in first.unionByName(rest).collect())
+    assert met < 0.5 * unit.count() * sum(size.values())
+
+
+def test_vector_index_of_nothing(spark, tmp_path):
+    none = spark.createDataFrame([], "id int, embedding array<float>")
+    one = spark.createDataFrame([(1, [1.0, 0.0])], "query_id int, embedding array<float>")
+    assert vectors.VectorIndex.build(none, str(tmp_path)).nearest(one, 3).count() == 0
+    assert vectors.VectorIndex.build(one.withColumnRenamed("query_id", "id"), f"{tmp_path}/x").nearest(none.withColumnRenamed("id", "query_id"), 3).count() == 0
