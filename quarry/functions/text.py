@@ -23,7 +23,8 @@ def tokens(text: Column | str) -> Column:
     """Lower-cased words; a run of CJK characters gives its overlapping pairs, a single one itself."""
     runs = F.regexp_extract_all(F.lower(col(text)), F.lit(f"([{CJK}]+|[{OTHER}]+)"), F.lit(1))
     pairs = lambda s: F.transform(F.sequence(F.lit(1), F.length(s) - 1), lambda i: F.substring(s, i, F.lit(2)))
-    return F.flatten(F.transform(runs, lambda s: F.when(s.rlike(f"^[{CJK}]") & (F.length(s) > 1), pairs(s)).otherwise(F.array(s))))
+    mixed = F.flatten(F.transform(runs, lambda s: F.when(s.rlike(f"^[{CJK}]") & (F.length(s) > 1), pairs(s)).otherwise(F.array(s))))
+    return F.when(col(text).rlike(f"[{CJK}]"), mixed).otherwise(runs)  # texts without such runs have nothing to cut further
 
 
 def index_tokens(text: Column | str, stop: list[str] | None = STOP) -> Column:

@@ -15,6 +15,8 @@ from quarry.settings import DEFAULT, Settings
 
 #: Buckets of corpus blocks that a set of vector queries is dealt to, at least; vectors of a block of the corpus and of queries.
 BUCKETS, CORPUS_BLOCK, QUERY_BLOCK = 32, 4096, 512
+#: Bytes of the terms of all queries, some for each row counted, up to which they are broadcast.
+MOST_ASKED = 16 << 20
 #: Characters of passages in one automaton (some 50 bytes of memory each), and of all passages that are broadcast; hits in a batch.
 PART_PASSAGES, MOST_PASSAGES, HITS_AT_ONCE = 1 << 20, 1 << 22, 1 << 16
 
@@ -23,7 +25,8 @@ def postings(chunks: DataFrame, key: str = "id", text: str = "text", stop=...) -
     """(key, term, tf, dl), (term, df), one row (n, avgdl). n counts chunks without tokens too."""
     toks = index_tokens(text) if stop is ... else index_tokens(text, stop)
     rows = chunks.select(F.col(key), toks.alias("tokens"))
-    tf = rows.select(key, F.size("tokens").alias("dl"), F.explode("tokens").alias("term")).groupBy(key, "term", "dl").agg(F.count("*").alias("tf"))
+    # An outer explode, as for an inner one Spark first asks for arrays that are not empty, and cuts all texts a second time.
+    tf = rows.select(key, F.size("tokens").alias("dl"), F.explode_outer("tokens").alias("term")).groupBy(key, "term", "dl").agg(F.count("term").alias("tf")).where("tf > 0")
     df = tf.groupBy("term").agg(F.count("*").alias("df"))
     # Lengths add up to the term frequencies, whose exchange is used again; the texts are cut into tokens once.
     stats = chunks.agg(F.count("*").alias("n")).crossJoin(tf.agg(F.sum("tf").alias("all"))).select("n", (F.coalesce("all", F.lit(0)) / F.nullif("n", F.lit(0))).alias("avgdl"))
@@ -35,21 +38,41 @@ def top(ranked: DataFrame, by: list[str], order: list[Column], k: int | None, na
     return out if k is None else out.where(F.col(name) <= k)
 
 
+def asked_postings(chunks: DataFrame, terms: DataFrame, key: str, stop=...) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """As postings(), of the asked terms only, and all others as the empty term; the statistics are those of all chunks.
+
+    terms(term) is broadcast, so its size has to be known. Tokens that nobody asks for become one term of their chunk
+    before the shuffle: what is shuffled is a row for each chunk and each asked term in it, and no term is a key.
+    """
+    toks = index_tokens("text") if stop is ... else index_tokens("text", stop)
+    every = chunks.select(F.col(key), toks.alias("tokens")).select(key, F.size("tokens").alias("dl"), F.explode_outer("tokens").alias("t"))
+    known = every.join(F.broadcast(terms.withColumn("asked", F.lit(True))), F.col("t") == F.col("term"), "left")
+    # The empty term, which no token is, stands for all others. Frequencies, documents of a term and lengths come from one
+    # exchange: each reads tf, and none has a filter that Spark could move below it.
+    counted = known.groupBy(key, "dl", F.coalesce(F.when(F.col("asked"), F.col("t")), F.lit("")).alias("term")).agg(F.count("t").alias("tf"))
+    df = counted.groupBy("term").agg(F.count_if(F.col("tf") > 0).alias("df"))
+    stats = chunks.agg(F.count("*").alias("n")).crossJoin(counted.agg(F.sum("tf").alias("all"))).select("n", (F.coalesce("all", F.lit(0)) / F.nullif("n", F.lit(0))).alias("avgdl"))  # one row each
+    return counted, df, stats
+
+
 def bm25(queries: DataFrame, chunks: DataFrame, k: int | None = None, settings: Settings = DEFAULT, query_key: str = "query_id", key: str = "id", stop=..., index: tuple[DataFrame, DataFrame, DataFrame] | None = None) -> DataFrame:
     """query_key, key, score, rank of the chunks with a positive score; a query's repeated terms count repeatedly.
 
-    index: postings() of the chunks, if they are there already.
+    index: postings() of the chunks, if they are there already. Without one, only postings of asked terms are made, and the
+    terms of the queries, once their size was checked, are broadcast to the chunks; larger sets of queries meet all postings
+    in an equi-join on the term, whose hot keys adaptive execution splits.
 
-    The terms of all queries meet the postings in one equi-join, so only postings of asked terms are shuffled further.
     Ties of scores rounded to nine digits go to the smaller key. Scope a search by filtering chunks before the call, as
     document frequencies and lengths belong to the scope.
     """
-    tf, df, stats = index or postings(chunks, key, "text", stop)
     toks = index_tokens("text") if stop is ... else index_tokens("text", stop)
     asked = queries.select(query_key, F.explode(toks).alias("term")).groupBy(query_key, "term").agg(F.count("*").alias("qtf"))
+    few = index is None and asked.agg(F.coalesce(F.sum(F.octet_length("term") + 64), F.lit(0))).first()[0] <= MOST_ASKED
+    small = F.broadcast if few else (lambda rows: rows)
+    tf, df, stats = index or (asked_postings(chunks, asked.select("term").distinct(), key, stop) if few else postings(chunks, key, "text", stop))
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     norm = settings.bm25_k1 * (1 - settings.bm25_b + settings.bm25_b * F.col("dl") / F.col("avgdl"))
-    hits = tf.join(asked, "term").join(df, "term").crossJoin(stats)  # stats is one row
+    hits = tf.join(small(asked), "term").join(small(df), "term").crossJoin(stats)  # stats is one row; no more terms are found than asked
     scored = hits.groupBy(query_key, key).agg(F.sum(F.col("qtf") * idf * F.col("tf") * (settings.bm25_k1 + 1) / (F.col("tf") + norm)).alias("score")).where("score > 0")
     return top(scored, [query_key], [F.desc(F.round("score", 9)), F.col(key)], k)
 
