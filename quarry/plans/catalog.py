@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quarry.plans import evaluation, records, registry, retrieval  # noqa: F401
+from quarry.plans import evaluation, records, registry, retrieval, streams  # noqa: F401
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,54 +3,87 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from typing import Any
+from contextlib import contextmanager
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import StructType
 
 from quarry.operators import chunking, runs
 from quarry.settings import DEFAULT, Settings
 
 FOLD_OUT = "message_id long, content string, n_events long, last_retrieval string, done double, status string"
-FOLD_STATE = "deltas string, seen string, retrieval_seq long, retrieval string, done_seq long, done double"
+FOLD_EVENT = "seq long, kind string, props string, value double"
+
+
+@contextmanager
+def rocks(spark: SparkSession) -> Iterator[None]:
+    """The state store that timers and lists need, for streams that start inside; then the session's own again."""
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+
+
+class Fold(StatefulProcessor):
+    """A message's events so far, as a list that a batch only appends to, and the time of the newest."""
+
+    def __init__(self, quiet_ms: int):
+        self.quiet_ms = quiet_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle, self.events, self.newest = handle, handle.getListState("events", FOLD_EVENT), handle.getValueState("newest", "ms long")
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        held = {e[0]: e for e in self.events.get()}
+        fresh: dict[int, tuple] = {}
+        ms = 0
+        for f in rows:
+            ms = max(ms, int(f["ts"].max().value // 1_000_000))
+            for e in f[["seq", "kind", "props", "value"]].itertuples(index=False):
+                if e.seq not in held and e.seq not in fresh:
+                    fresh[int(e.seq)] = (int(e.seq), e.kind, e.props, None if pd.isna(e.value) else float(e.value))
+        if not fresh:
+            return
+        if not held:
+            self.handle.registerTimer(ms + self.quiet_ms)
+        self.events.appendList(list(fresh.values()))
+        self.newest.update((max(ms, self.newest.get()[0] if self.newest.exists() else 0),))
+        every = [e for _, e in sorted((held | fresh).items())]
+        last = {kind: e for e in every for kind in (e[1],)}
+        content = "".join(e[2] for e in every if e[1] == "delta" and e[2] is not None)
+        retrieval, done = last.get("retrieval"), last.get("done")
+        yield pd.DataFrame({"message_id": [key[0]], "content": [content], "n_events": [len(every)], "last_retrieval": [retrieval and retrieval[2]], "done": [done and done[3]], "status": ["done" if done else "streaming"]})
+
+    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        """A message that was quiet goes; one that was not is looked at again when it may have been."""
+        due = self.newest.get()[0] + self.quiet_ms
+        if due > expiredTimerInfo.getExpiryTimeInMs():
+            self.handle.registerTimer(due)
+        else:
+            self.events.clear()
+            self.newest.clear()
+        yield from ()
+
+    def close(self) -> None:
+        pass
 
 
 def fold_stream(events: DataFrame, quiet_minutes: int = 10) -> DataFrame:
-    """As operators.trace.folded over a stream of (message_id, seq, kind, props, value, ts).
+    """As operators.trace.folded over a stream of (message_id, seq, kind, props, value, ts), in output mode update.
 
-    State per message: its deltas by sequence number, the sequence numbers seen and the last of each other kind. A late
-    copy of a seen event changes nothing. A row is given whenever a message changed; a message quiet for
-    `quiet_minutes` of event time is dropped from the state.
+    A message's events are kept as a list: a batch writes what is new to it, and reads the list once. A copy of a seen event
+    changes nothing; an event without a seq is left out. A row is given whenever a message changed; a message quiet for
+    `quiet_minutes` of event time is dropped from the state by a timer, and events later than that are left out. The stream
+    has to start inside rocks().
     """
-    import json
-
-    def step(key: tuple[Any, ...], frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        deltas_json, seen_json, rs, rv, ds, dv = state.get if state.exists else ("{}", "[]", -1, None, -1, None)
-        deltas, seen = json.loads(deltas_json), set(json.loads(seen_json))
-        for f in frames:
-            for e in f.itertuples():
-                if int(e.seq) in seen:
-                    continue
-                seen.add(int(e.seq))
-                if e.kind == "delta":
-                    deltas[str(int(e.seq))] = e.props
-                elif e.kind == "retrieval" and e.seq > rs:
-                    rs, rv = int(e.seq), e.props
-                elif e.kind == "done" and e.seq > ds:
-                    ds, dv = int(e.seq), float(e.value)
-        state.update((json.dumps(deltas), json.dumps(sorted(seen)), rs, rv, ds, dv))
-        state.setTimeoutTimestamp(state.getCurrentWatermarkMs() + quiet_minutes * 60_000 + 1)
-        content = "".join(v for _, v in sorted(deltas.items(), key=lambda x: int(x[0])))
-        yield pd.DataFrame([(key[0], content, len(seen), rv, dv, "done" if ds >= 0 else "streaming")], columns=["message_id", "content", "n_events", "last_retrieval", "done", "status"])
-
-    marked = events.withWatermark("ts", f"{quiet_minutes} minutes")
-    return marked.groupBy("message_id").applyInPandasWithState(step, FOLD_OUT, FOLD_STATE, "update", GroupStateTimeout.EventTimeTimeout)
+    marked = events.where("seq is not null").withWatermark("ts", f"{quiet_minutes} minutes")
+    return marked.groupBy("message_id").transformWithStateInPandas(Fold(quiet_minutes * 60_000), FOLD_OUT, "Update", "EventTime")
 
 
 def documents_in(spark: SparkSession, path: str, schema: StructType | str, files_per_batch: int = 64) -> DataFrame:
@@ -93,10 +126,14 @@ def sessions(events: DataFrame, gap: str = "30 minutes", late: str = "1 hour") -
     return events.withWatermark("ts", late).groupBy("user_id", F.session_window("ts", gap).alias("w")).agg(F.count("*").alias("n")).select("user_id", F.col("w.start").alias("started"), "n")
 
 
-def joined_streams(left: DataFrame, right: DataFrame, key: str, within: str = "15 minutes", late: str = "30 minutes") -> DataFrame:
-    """Pairs of events with equal key whose right side follows within the interval."""
+def joined_streams(left: DataFrame, right: DataFrame, key: str, within: str = "15 minutes", late: str = "30 minutes", how: str = "inner") -> DataFrame:
+    """Pairs (a, b) of events with equal key whose right side follows within the interval.
+
+    how: inner, or leftOuter, which also gives a left event without a follower, once no such can come any more. Events
+    later than `late` behind the newest of both sides are left out; the interval bounds the state of both.
+    """
     a, b = left.withWatermark("ts", late).alias("a"), right.withWatermark("ts", late).alias("b")
-    return a.join(b, F.expr(f"a.{key} = b.{key} and b.ts >= a.ts and b.ts <= a.ts + interval {within}"))
+    return a.join(b, F.expr(f"a.{key} = b.{key} and b.ts >= a.ts and b.ts <= a.ts + interval {within}"), how)
 
 
 def merged(store: DataFrame, batch: DataFrame, key: list[str]) -> DataFrame:

@@ -22,7 +22,9 @@ def test_fold_stream_equals_batch(spark, tmp_path):
     e.where("seq < 3").union(e.where("seq = 1")).write.parquet(f"{tmp_path}/in")
     e.where("seq >= 3").write.mode("append").parquet(f"{tmp_path}/in")
     stream = spark.readStream.schema(SCHEMA).parquet(f"{tmp_path}/in")
-    got = drain(jobs.fold_stream(stream), tmp_path, "folded", "update")
+    with jobs.rocks(spark):
+        got = drain(jobs.fold_stream(stream), tmp_path, "folded", "update")
+    assert "RocksDB" not in spark.conf.get("spark.sql.streaming.stateStore.providerClass")
     last = {r.message_id: r for r in got.orderBy("n_events").collect()}
     for r in tr.folded(e).collect():
         s = last[r.message_id]
