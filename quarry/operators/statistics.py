@@ -58,6 +58,27 @@ def with_group(rows: DataFrame, groups: DataFrame, by: list[str]) -> DataFrame:
     return left.join(right, reduce(lambda c, k: c & k, [F.col(f"l.{k}").eqNullSafe(F.col(f"r.{k}")) for k in by]))
 
 
+def celled(values: DataFrame, by: list[str]) -> DataFrame:
+    """values(by, x, c, ...) with m, the sum of c in the group, and cell: MOST_CELLS of equal width from its least x to its greatest, -1 for null."""
+    ends = values.groupBy(*by).agg(F.min("x").alias("least"), F.max("x").alias("most"), F.sum("c").alias("m"))
+    cell = F.when(F.col("most") > F.col("least"), F.least(F.lit(MOST_CELLS - 1), F.floor((F.col("l.x") - F.col("least")) / (F.col("most") - F.col("least")) * MOST_CELLS))).otherwise(0)
+    return with_group(values, ends, by).select("l.*", "r.m", F.when(F.col("l.x").isNotNull(), cell).otherwise(-1).cast("int").alias("cell"))
+
+
+def running(cells: DataFrame, by: list[str], what: Callable[[Column | str], Column], value: str, name: str, down: bool = False) -> DataFrame:
+    """cells(by, cell, x, ...) with `name`: what (sum, min) of value over all rows of the group before this one by x, null for the first.
+
+    down: over those after it. In two steps, over the cells of a group and within a cell, so that no task sees a group.
+    """
+    up = (lambda c: F.col(c).desc()) if down else (lambda c: F.col(c).asc())
+    ahead = lambda *keys: Window.partitionBy(*by, *keys[:-1]).orderBy(up(keys[-1])).rowsBetween(Window.unboundedPreceding, -1)
+    whole = cells.groupBy(*by, "cell").agg(what(value).alias("_whole")).select(*by, "cell", what("_whole").over(ahead("cell")).alias("_far"))  # MOST_CELLS + 1 rows of a group
+    near = cells.withColumn("_near", what(value).over(ahead("cell", "x")))
+    both = with_group(near, whole, [*by, "cell"]).select("l.*", "r._far")
+    join = (F.coalesce("_near", F.lit(0)) + F.coalesce("_far", F.lit(0))) if what is F.sum else F.least("_near", "_far")
+    return both.withColumn(name, join).drop("_near", "_far")
+
+
 def value_cells(diffs: DataFrame, by: list[str], one: bool = False) -> DataFrame:
     """by, n, cell, xs, cs, sizes: a group's distinct differences, counted, in cells of ascending values.
 
@@ -167,10 +188,9 @@ def normal_tail(z: pd.Series) -> pd.Series:
 
 def wilcoxon(diffs: DataFrame, by: list[str]) -> DataFrame:
     """by, n, w, z, rank_biserial of the signed-rank test: zeros dropped, average ranks, tie and continuity correction."""
-    live = diffs.where("diff <> 0").withColumn("a", F.round(F.abs("diff"), 12))
-    groups = live.groupBy(*by, "a").agg(F.count("*").alias("t"), F.count_if(F.col("diff") > 0).alias("pos"))
-    before = F.coalesce(F.sum("t").over(Window.partitionBy(*by).orderBy("a").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    ranked = groups.withColumn("rank", before + (F.col("t") + 1) / 2)
+    live = diffs.where("diff <> 0").withColumn("x", F.round(F.abs("diff"), 12))
+    groups = live.groupBy(*by, "x").agg(F.count("*").alias("c"), F.count_if(F.col("diff") > 0).alias("pos"))
+    ranked = running(celled(groups, by), by, F.sum, "c", "before").select("*", F.col("c").alias("t"), (F.col("before") + (F.col("c") + 1) / 2).alias("rank"))
     s = ranked.groupBy(*by).agg(F.sum("t").alias("n"), F.sum(F.col("pos") * F.col("rank")).alias("plus"), F.sum((F.col("t") - F.col("pos")) * F.col("rank")).alias("minus"), F.sum(F.col("t") * F.col("t") * F.col("t") - F.col("t")).alias("ties"))
     n = F.col("n")
     mean, var = n * (n + 1) / 4, n * (n + 1) * (2 * n + 1) / 24 - F.col("ties") / 48
@@ -180,11 +200,15 @@ def wilcoxon(diffs: DataFrame, by: list[str]) -> DataFrame:
 
 
 def false_discovery(tests: DataFrame, by: list[str], p: str = "p") -> DataFrame:
-    """tests with q: Benjamini-Hochberg, the running minimum of p m / k from the largest p down."""
+    """tests with q: Benjamini-Hochberg, the running minimum of p m / k from the largest p down.
+
+    Equal p have equal q, that of the last of them, so that all is said by counts of distinct p.
+    """
     x = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col(p)))
-    order = Window.partitionBy(*by).orderBy(x, "name")
-    ranked = tests.withColumn("k", F.row_number().over(order)).withColumn("m", F.count("*").over(Window.partitionBy(*by)))
-    return ranked.withColumn("q", F.least(F.lit(1.0), F.min(x * F.col("m") / F.col("k")).over(order.rowsBetween(0, Window.unboundedFollowing)))).drop("k", "m")
+    values = tests.groupBy(*by, x.alias("x")).agg(F.count("*").alias("c"))
+    counted = running(celled(values, by), by, F.sum, "c", "before").withColumn("own", F.col("x") * F.col("m") / (F.col("before") + F.col("c")))
+    q = running(counted, by, F.min, "own", "later", down=True).select(*by, F.col("x").alias("_x"), F.least(F.lit(1.0), "own", "later").alias("q"))
+    return with_group(tests.withColumn("_x", x), q, [*by, "_x"]).select("l.*", "r.q").drop("_x")
 
 
 def calibration_error(rows: DataFrame, score: str, label: str, bins: int = 10) -> DataFrame:
@@ -215,8 +239,10 @@ def best_threshold(sweep: DataFrame) -> DataFrame:
 
 
 def average_ranks(rows: DataFrame, value: str, by: list[str], name: str) -> DataFrame:
-    w = Window.partitionBy(*by).orderBy(value)
-    return rows.withColumn(name, F.rank().over(w) + (F.count("*").over(Window.partitionBy(*by, value)) - 1) / 2)
+    """rows with `name`: the rank of the value in its group, from 1, equal ones at their mean; nulls come first."""
+    values = rows.groupBy(*by, F.col(value).alias("x")).agg(F.count("*").alias("c"))
+    ranks = running(celled(values, by), by, F.sum, "c", "before").select(*by, F.col("x").alias(value), (F.col("before") + (F.col("c") + 1) / 2).alias("_rank"))
+    return with_group(rows, ranks, [*by, value]).select("l.*", F.col("r._rank").alias(name))
 
 
 def spearman(rows: DataFrame, x: str, y: str, by: list[str]) -> DataFrame:

@@ -14,6 +14,7 @@ from quarry.operators import trace as tr
 from quarry.plans.registry import Tables, query
 from quarry.settings import PRICES
 from quarry.sources import readers
+from quarry.sources.sinks import new_folder
 
 _TEXT = "case item % 8 when 0 then 'A [2] then B [1].' when 1 then '[1, 2] and [3][1]' when 2 then 'none' when 3 then '[12a] x [4]' when 4 then '[ 7 ]' when 5 then 'see [10,11 , 12]' when 6 then '' else '[2] [2] [2]' end"
 
@@ -439,11 +440,15 @@ def l7_completeness(t: Tables):
     return every.select("mode", "scenario_id", (F.size(F.array_except("q", "done")) == 0).alias("complete"))
 
 
-@query("select * from (values ('base', 'cross', 0.6::double, 10), ('no-rerank', 'none', 0.6, 10), ('strict', 'cross', 0.8, 10), ('wide', 'cross', 0.6, 20)) v(arm, rerank, threshold, k)")
+_ARMS = "select n_name as arm, case when n_nationkey % 3 = 0 then 'none' end as o_rerank, case when n_nationkey % 4 = 1 then cast(n_nationkey as double) / 50 end as o_threshold, case when n_nationkey % 5 = 2 then n_regionkey + 10 end as o_k from {nation}"
+_BASE = "select max(case when winner = 'hybrid' then 'cross' else 'none' end) as rerank, round(avg(sufficiency_p), 6) as threshold, count(distinct scenario_id) as k from {results}"
+
+
+@query(f"with a as ({_ARMS}), b as ({_BASE}) select arm, coalesce(o_rerank, 'cross') as rerank, coalesce(o_threshold, threshold) as threshold, coalesce(o_k, k) as k from a, b")
 def l8_arm_overrides(t: Tables):
-    base = t.spark.createDataFrame([("cross", 0.6, 10)], "rerank string, threshold double, k int")
-    arms = t.spark.createDataFrame([("base", None, None, None), ("no-rerank", "none", None, None), ("strict", None, 0.8, None), ("wide", None, None, 20)], "arm string, o_rerank string, o_threshold double, o_k int")
-    return ru.with_overrides(base, arms)
+    """The parameters of an arm for each nation: its own where it has them, else those of the recorded results."""
+    base = t.results.agg(F.lit("cross").alias("rerank"), F.round(F.avg("sufficiency_p"), 6).alias("threshold"), F.count_distinct("scenario_id").alias("k"))
+    return ru.with_overrides(base, t.sql(_ARMS))
 
 
 @query("select scenario_id, arg_max(mode, seq) as mode from {results} where run_id = 'run1' group by scenario_id")
@@ -597,32 +602,42 @@ def f8_hash_ids(t: Tables):
     return t.conversations.select("conv_id", "turn", tx.hash_id("conv_id", "turn", "role").alias("id"))
 
 
-_MARKDOWN = "# Guide\n\n## Setup\n### First\nInstall it.\n\n```\n# no heading\n```\nUse\n===\nRun it."
+#: A section for each turn: its role and number as heading, and its words, without the marks that make headings and fences.
+_MARKS = "[\\s#=`~-]+"
+_TURNS = f"select conv_id, turn, coalesce(role, '') || ' ' || turn as head, coalesce(nullif(trim(regexp_replace(coalesce(text, ''), '{_MARKS}', ' ', 'g')), ''), 'none') as body from {{conversations}}"
+
+
+def spoken(t: Tables):
+    """Every conversation as a document in Markdown: doc_id, title, text."""
+    body = F.coalesce(F.nullif(F.trim(F.regexp_replace(F.coalesce("text", F.lit("")), _MARKS, " ")), F.lit("")), F.lit("none"))
+    section = F.concat(F.lit("## "), F.coalesce("role", F.lit("")), F.lit(" "), F.col("turn").cast("string"), F.lit("\n\n"), body)
+    parts = t.conversations.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", section.alias("s")))).alias("s"))
+    return parts.select(F.col("conv_id").alias("doc_id"), F.concat(F.lit("c"), F.col("conv_id").cast("string")).alias("title"), F.concat(F.lit("# Talk\n"), F.array_join(F.transform("s", lambda x: x["s"]), "\n")).alias("text"))
 
 
-@query("values ('a', 0, 'Manual | Guide | Setup | First :: Install it.' || chr(10) || chr(10) || '```' || chr(10) || '# no heading' || chr(10) || '```', 'Guide > Setup > First'), ('a', 1, 'Manual | Use :: Run it.', 'Use'), ('b', 0, 'Plain :: One line.', '')".replace("values ", "select * from (values ", 1) + ") v(doc_id, chunk_index, text, section)")
+@query(f"with p as (select conv_id::varchar as doc_id, 'Talk > ' || head as section, body, 'c' || conv_id || ' | Talk | ' || head || ' :: ' as prefix from ({_TURNS})) select doc_id, section, length(body) <= greatest(200, 900 - length(prefix)) as one, case when length(body) <= greatest(200, 900 - length(prefix)) then prefix || body end as text from p")
 def c1_c5_known_chunks(t: Tables):
-    """Chunks worked out by hand: bare headings, a fence with a mark in it, an underlined heading, a text without any."""
-    rows = [("a", "Manual", _MARKDOWN), ("b", "Plain", "One line."), ("c", "Blank", " \n ")]
-    return ch.structure_chunks(t.spark.createDataFrame(rows, "doc_id string, title string, text string")).select("doc_id", "chunk_index", "text", "section")
+    """A section of each turn of a conversation, and its chunk where it has room for one."""
+    chunks = ch.structure_chunks(spoken(t)).groupBy("doc_id", "section").agg(F.count("*").alias("n"), F.first("text").alias("text"))
+    return chunks.select("doc_id", "section", (F.col("n") == 1).alias("one"), F.when(F.col("n") == 1, F.col("text")).alias("text"))
 
 
-@query("select * from (values ('a', 0, repeat('word ', 179) || 'word', 899), ('a', 1, repeat('word ', 48) || 'word', 244)) v(doc_id, chunk_index, text, char_count)")
+@query(f"with d as (select conv_id::varchar as doc_id, '# Talk' || chr(10) || string_agg('## ' || head || chr(10) || chr(10) || body, chr(10) order by turn) as text from ({_TURNS}) group by conv_id) select doc_id, length(text) <= 900 as one, case when length(text) <= 900 then text end as text from d")
 def c6_c7_known_chunks(t: Tables):
-    """Plain chunks worked out by hand: 180 words of five characters each, then the rest with 28 words of overlap."""
-    return ch.structure_chunks(t.spark.createDataFrame([("a", None, "word " * 200 + "word")], "doc_id string, title string, text string"), prefixed=False).select("doc_id", "chunk_index", "text", "char_count")
+    """Plain chunks of conversations, and the text of those that have one."""
+    chunks = ch.structure_chunks(spoken(t), prefixed=False).groupBy("doc_id").agg(F.count("*").alias("n"), F.first("text").alias("text"))
+    return chunks.select("doc_id", (F.col("n") == 1).alias("one"), F.when(F.col("n") == 1, F.col("text")).alias("text"))
 
 
-@query("select mode, count(*) as n, count(distinct scenario_id) as scenarios from {results} group by mode")
+@query("select mode, mode as worker, count(*) as n, count(distinct scenario_id) as scenarios from {results} group by mode")
 def s11_worker_rows(t: Tables):
-    """Result rows read from folders of several workers, written here as one folder for each mode."""
-    import tempfile
-    import uuid
-
-    top = f"{(t.spark.conf.get('spark.checkpoint.dir', None) or 'file://' + tempfile.gettempdir()).rstrip('/')}/quarry-workers-{uuid.uuid4().hex}"
-    t.results.select("run_id", "scenario_id", "question_id", "mode").write.parquet(f"{top}/w0")
-    t.results.limit(0).select("run_id", "scenario_id", "question_id", "mode").write.parquet(f"{top}/w1")
-    return readers.worker_rows(t.spark, [f"{top}/w0", f"{top}/w1"]).where(F.col("src").endswith("/w0")).groupBy("mode").agg(F.count("*").alias("n"), F.count_distinct("scenario_id").alias("scenarios"))
+    """Result rows read from the folders of two workers, each of which has the rows of one mode."""
+    top = new_folder(t.spark, "workers")
+    rows = t.results.select("run_id", "scenario_id", "question_id", "mode")
+    for mode in ("traditional", "hybrid"):
+        rows.where(F.col("mode") == mode).write.parquet(f"{top}/{mode}")
+    read = readers.worker_rows(t.spark, [f"{top}/traditional", f"{top}/hybrid"])
+    return read.groupBy("mode", F.element_at(F.split("src", "/"), -1).alias("worker")).agg(F.count("*").alias("n"), F.count_distinct("scenario_id").alias("scenarios"))
 
 
 @query("select path, case path % 5 when 0 then '| id | lang |' || chr(10) || '| --- | --- |' || chr(10) || '| ' || path || ' | a\\|b, ' || lang || ' |' when 1 then '{\"id\": ' || path || '}' when 2 then '<d>' || lang || '</d>' when 3 then 'T ' || lang end as text from (select doc_id as path, lang from {documents})")

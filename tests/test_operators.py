@@ -295,3 +295,33 @@ def test_vector_index_of_nothing(spark, tmp_path):
     one = spark.createDataFrame([(1, [1.0, 0.0])], "query_id int, embedding array<float>")
     assert vectors.VectorIndex.build(none, str(tmp_path)).nearest(one, 3).count() == 0
     assert vectors.VectorIndex.build(one.withColumnRenamed("query_id", "id"), f"{tmp_path}/x").nearest(none.withColumnRenamed("id", "query_id"), 3).count() == 0
+
+
+def test_chunks_worked_out_by_hand(spark):
+    """Bare headings, a fence with a mark in it, an underlined heading, a text without any; plain chunks with their overlap."""
+    text = "# Guide\n\n## Setup\n### First\nInstall it.\n\n```\n# no heading\n```\nUse\n===\nRun it."
+    docs = spark.createDataFrame([("a", "Manual", text), ("b", "Plain", "One line."), ("c", "Blank", " \n ")], "doc_id string, title string, text string")
+    got = [(r.doc_id, r.chunk_index, r.text, r.section) for r in ch.structure_chunks(docs).orderBy("doc_id", "chunk_index").collect()]
+    assert got == [
+        ("a", 0, "Manual | Guide | Setup | First :: Install it.\n\n```\n# no heading\n```", "Guide > Setup > First"), ("a", 1, "Manual | Use :: Run it.", "Use"), ("b", 0, "Plain :: One line.", ""),
+    ]
+    plain = ch.chunked("word " * 200 + "word", None, prefixed=False)
+    assert [(c[0], c[3]) for c in plain] == [("word " * 179 + "word", 899), ("word " * 48 + "word", 244)]
+
+
+def test_ranks_and_q_values_over_cells(spark, monkeypatch):
+    """As one sort of each group gives them: ties, nulls, one value, null groups, few and many cells."""
+    rng = np.random.default_rng(4)
+    rows = [(g, float(x), i) for g, n in (("a", 300), ("b", 1), (None, 40)) for i, x in enumerate(np.round(rng.gamma(1, 1, n), 1))] + [("a", None, 900), ("a", None, 901), ("c", None, 902)]
+    df = spark.createDataFrame(rows, "g string, v double, x int")
+    for cells in (1, 8, 1024):
+        monkeypatch.setattr(st, "MOST_CELLS", cells)
+        got = {(r.g, r.x): r.rank for r in st.average_ranks(df, "v", ["g"], "rank").collect()}
+        for g, v, x in rows:
+            mine = [-1.0 if w is None else w for h, w, _ in rows if h == g]
+            at = -1.0 if v is None else v
+            assert got[g, x] == sum(w < at for w in mine) + (sum(w == at for w in mine) + 1) / 2
+        p = df.where("v is not null").select("g", F.least(F.col("v"), F.lit(1.0)).alias("p"), F.col("x").cast("string").alias("name"))
+        for r in st.false_discovery(p, ["g"]).collect():
+            ps = sorted(min(v, 1.0) for h, v, _ in rows if h == r.g and v is not None)
+            assert abs(r.q - min(1.0, min(y * len(ps) / (k + 1) for k, y in enumerate(ps) if y >= r.p))) < 1e-12
