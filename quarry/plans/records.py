@@ -648,3 +648,40 @@ def s2_file_text(t: Tables):
     body = body.when(five == 1, F.concat(F.lit('{"id": '), F.col("doc_id").cast("string"), F.lit("}"))).when(five == 2, F.concat(F.lit("<d>"), "lang", F.lit("</d>"))).otherwise(F.concat(F.lit("<h1>T</h1>\n<p>"), "lang", F.lit("</p>")))
     ext = F.when(five == 0, ".csv").when(five == 1, ".json").when(five == 2, ".xml").when(five == 3, ".html").otherwise(".pdf")
     return readers.file_text(d.select(F.col("doc_id").alias("path"), ext.alias("ext"), F.encode(body, "UTF-8").alias("content")))
+
+
+#: What a decision model says of each order: on it, and on each of its lines as passage, citation and candidate. The text runs on Spark and on DuckDB.
+_SAID = """select o_orderkey as id, case o_orderkey % 4 when 0 then 'no_retrieval' when 1 then 'single_pass' when 2 then 'multi_step' end as effort, case when o_orderkey % 4 = 0 then 0.85 + (o_custkey % 10) / 100.0 else 0.1 end as skip_p,
+  (o_orderkey * 2833) % 1001 / 1000.0 as sufficiency, case when o_orderkey % 7 <> 0 then (o_custkey * 3907) % 1001 / 1000.0 end as grounded, case when o_orderkey % 11 <> 0 then (o_orderkey * 3571) % 1001 / 1000.0 end as addresses from {orders}"""
+_SAID_OF = """select id, n, cast(k % 10 as double) / 10 as relevance, case when k % 9 <> 0 then cast(k % 11 as double) / 10 end as evidence, cast(k % 9 as double) / 10 as contradiction, case when k % 40 = 0 then 0.95 else 0.2 end as injection,
+  case when k % 13 <> 0 then case when k % 5 = 0 then 'contradicts' when k % 5 < 4 then 'supports' else 'says_nothing' end end as verdict, cast(k % 100 as double) / 100 as confidence, (k % 97) / 100.0 as supported
+  from (select distinct l_orderkey as id, l_linenumber as n, l_orderkey * 31 + l_linenumber * 17 as k from {lineitem}) x"""
+_DROP = "case when injection >= 0.9 then 'drop' when contradiction >= 0.5 then 'conflict' when coalesce(evidence, 0) < 0.1 and relevance < 0.5 then 'drop' else 'include' end"
+
+
+@query(f"""with o as ({_SAID}), l as ({_SAID_OF}), p as (select id, count(*) filter (where {_DROP} = 'include') as included, count(*) filter (where {_DROP} = 'conflict') as conflicts, count(*) filter (where {_DROP} = 'drop') as dropped,
+  avg((coalesce(verdict, '') = 'supports' and confidence >= 0.8)::int) as supported, bool_or(coalesce(verdict, '') = 'contradicts') as contradicts, first(n::varchar order by supported desc, n) as candidate, max(supported) as candidate_p from l group by id),
+ a as (select o.*, coalesce(included, 0) as included, coalesce(conflicts, 0) as conflicts, coalesce(dropped, 0) as dropped, candidate, candidate_p, coalesce(p.supported, 0) as supported, coalesce(contradicts, false) as contradicts from o left join p on p.id = o.id)
+ select id, coalesce(effort, 'single_pass') as effort, coalesce(effort, '') = 'no_retrieval' and skip_p >= 0.9 as no_retrieval, round(sufficiency, 6) as sufficiency, sufficiency >= 0.5 as gate_passed, round(grounded, 6) as grounded, round(addresses, 6) as addresses, included, conflicts, dropped,
+  candidate, round(candidate_p, 6) as candidate_p, round(supported, 6) as supported, contradicts, round(0.4 * addresses + 0.4 * supported + 0.2 * case when contradicts then 0 else 1 end, 3) as quality from a""")
+def u4_decisions(t: Tables):
+    """Every decision of a question from one recorded reply: effort, screening, sufficiency, citations, groundedness, best of several."""
+    from quarry.operators.decisions import decided
+
+    value = lambda c: F.struct(F.col(c).cast("double").alias("noul"), F.lit(None).cast("string").alias("choice"), F.lit(None).cast("double").alias("confidence"), F.lit(None).cast("map<string,double>").alias("probabilities"))
+    choice = lambda c, p, names: F.struct(F.lit(None).cast("double").alias("noul"), F.col(c).alias("choice"), F.col(p).cast("double").alias("confidence"), names.alias("probabilities"))
+    none = F.lit(None).cast("map<string,double>")
+    entry = lambda name, answer: F.struct(name.alias("key"), answer.alias("value"))
+    of = lambda start: F.concat(F.lit(start), F.col("n").cast("string"))
+    lines = t.sql(_SAID_OF).select("id", F.explode(F.array(
+        entry(of("c"), value("relevance")), entry(of("e"), value("evidence")), entry(of("x"), value("contradiction")), entry(of("i"), value("injection")),
+        entry(of("cite_"), choice("verdict", "confidence", none)), entry(of("cand_"), value("supported")),
+    )).alias("e"))
+    orders = t.sql(_SAID).select("id", F.explode(F.array(
+        entry(F.lit("effort"), choice("effort", "skip_p", F.create_map(F.lit("no_retrieval"), F.col("skip_p").cast("double")))),
+        *[entry(F.lit(x), value(x)) for x in ("sufficiency", "grounded", "addresses")],
+    )).alias("e"))
+    whole = orders.unionByName(lines).groupBy("id").agg(F.map_from_entries(F.collect_list("e")).alias("answers"))
+    fence = F.when(F.col("id") % 2 == 0, F.concat(F.lit("```json\n"), F.to_json(F.struct("answers")), F.lit("\n```"))).otherwise(F.to_json(F.struct("answers")))
+    d = decided(whole.select("id", fence.alias("reply")), "id")
+    return d.select(*[F.round(c, 6).alias(c) if kind == "double" and c != "quality" else F.col(c) for c, kind in d.dtypes])
