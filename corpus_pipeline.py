@@ -46,10 +46,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """STAGES in order over all documents, each written as Parquet and read again by the next."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """STAGES in order over all documents, each written as Parquet and read again by the next; what a stage wrote goes when the next has."""
+    docs, written = spark.read.parquet(f"{sf_dir}/documents.parquet"), ()
     for i, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if i < len(STAGES) - 1:
-            docs = stored(docs, f"pipeline-{name}")
+            docs = stored(docs, f"pipeline-{name}", *written)
+            written = (docs,)
     return docs
