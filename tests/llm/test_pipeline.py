@@ -1,6 +1,8 @@
 import random
+from pathlib import Path
 
 import corpus_pipeline as cp
+from quarry.llm.common import shared_dir
 
 
 def shingles(t, k=5):
@@ -85,3 +87,19 @@ def test_empty_tables(spark, tmp_path):
     spark.createDataFrame([], COLUMNS).write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     assert cp.run(spark, str(tmp_path)).count() == 0
+
+
+def test_whole_run_over_strange_rows(spark, tmp_path):
+    """Every text that stays is in bins, whole; of the tables between the stages only the last is left."""
+    rows = strange_rows()
+    spark.createDataFrame(rows, COLUMNS).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(2, 1, 0), (None, 0, 1), (5, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    top = Path(shared_dir(spark).removeprefix("file://"))
+    before = {p.name for p in top.glob("pipeline-*")}
+    got = cp.run(spark, str(tmp_path)).collect()
+    assert {p.name.rsplit("-", 1)[0] for p in top.glob("pipeline-*") if p.name not in before} == {"pipeline-source_mixing"}
+    texts = {r[1] for r in rows if r[1]}
+    for doc in {r.doc_id for r in got}:
+        for copy in {(r.doc_id, r.text) for r in got if r.doc_id == doc and r.piece == 0}:
+            assert not copy[1] or any(t.startswith(copy[1]) for t in texts)
+    assert {r.doc_id for r in got} <= {r[0] for r in rows} and all(r.size <= 2048 for r in got)
