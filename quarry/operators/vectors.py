@@ -118,7 +118,7 @@ class VectorIndex:
         schema = BLOCK_ROWS.format(kind=self.kind).removeprefix("cell int, ")
         return self.spark.read.schema(f"{schema}, cell int").parquet(f"{self.path}/blocks")
 
-    def routed(self, queries: DataFrame, k: int, query_key: str, floors: bool) -> DataFrame:
+    def routed(self, queries: DataFrame, k: int, floors: bool) -> DataFrame:
         """q, v, dim, cell: the cells that each query has to meet.
 
         queries(k, v, dim), or with the least similarity of k vectors already found (floor) and the cells met (near). First
@@ -187,8 +187,8 @@ class VectorIndex:
         asked = unit_vectors(queries, query_key, vector).dropDuplicates(["k"])
         by, order = [query_key], [F.desc("similarity"), F.col(key)]
         first = f"{self.path}/searches/{self.spark.sparkContext._jvm.java.util.UUID.randomUUID()}"
-        top(self.met(self.routed(asked, k, query_key, False), k, query_key, key), by, order, k).drop("rank").write.parquet(first)
+        top(self.met(self.routed(asked, k, False), k, query_key, key), by, order, k).drop("rank").write.parquet(first)
         found = self.spark.read.parquet(first)
         floor = found.groupBy(F.col(query_key).alias("k")).agg(F.when(F.count("*") >= k, F.min("similarity")).otherwise(-1.0).alias("floor"))
-        rest = self.routed(asked.join(floor, "k", "left").fillna(-1.0, ["floor"]), k, query_key, True)
+        rest = self.routed(asked.join(floor, "k", "left").fillna(-1.0, ["floor"]), k, True)
         return top(found.unionByName(self.met(rest, k, query_key, key)), by, order, k)

@@ -283,8 +283,8 @@ def test_vector_index_as_the_full_scan(spark, tmp_path, monkeypatch):
         got = [tuple(r) for r in x.nearest(asked, 7).orderBy("query_id", "rank").collect()]
         assert [g[:2] + g[3:] for g in got] == [w[:2] + w[3:] for w in want] and np.allclose([g[2] for g in got], [w[2] for w in want])
     unit = vectors.unit_vectors(asked, "query_id", "embedding")
-    first = index.routed(unit, 7, "query_id", False)
-    rest = index.routed(unit.withColumn("floor", F.lit(0.99)), 7, "query_id", True)
+    first = index.routed(unit, 7, False)
+    rest = index.routed(unit.withColumn("floor", F.lit(0.99)), 7, True)
     size = {c: int(n) for c, n in index.cells["n"].items()}
     met = sum(size[r.cell] for r in first.unionByName(rest).collect())
     assert met < 0.5 * unit.count() * sum(size.values())
