@@ -125,9 +125,11 @@ def dealt(df: DataFrame, key: str | list[str], ranges: int) -> DataFrame:
 def give_back() -> None:
     """Return memory that a Python worker has freed to the system: workers stay, and executors count it."""
     pa.default_memory_pool().release_unused()
-    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
-    if trim is not None:
-        trim(0)
+    system = ctypes.CDLL(None)
+    if hasattr(system, "mallopt"):
+        system.mallopt(-3, 1 << 20)  # M_MMAP_THRESHOLD: arrays of 1 MB or more go back as soon as they are freed
+    if hasattr(system, "malloc_trim"):
+        system.malloc_trim(0)
 
 
 def portions(batch: pa.RecordBatch, column: int, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
