@@ -19,6 +19,10 @@ POWER_Z = 0.841621234
 #: Distinct differences in a cell of a group's resampling, on average; cells of a group at most; rounds in a row dealt to a
 #: task; counts in its memory at once.
 CELL_VALUES, MOST_CELLS, ROUND_BLOCK, COUNTS_AT_ONCE = 1024, 1024, 250, 1 << 20
+#: Constants of the keyed mix; distinct values of a task that draws by it, draws of a round dealt to a task, draws at once,
+#: and bits of a draw that find its value at first;
+#: distinct values up to which their draws are counted by comparison.
+MIX_STEP, MIX_ROUND, MIX_A, MIX_B, DRAWN_VALUES, DRAWN_STRETCH, DRAWS_AT_ONCE, GUIDE_BITS, FEW_VALUES = 0x9E3779B9, 0x85EBCA77, 0x7FEB352D, 0x846CA68B, 1 << 18, 1 << 20, 1 << 15, 16, 24
 #: Discordant pairs from which McNemar's test takes the corrected chi-square.
 EXACT_PAIRS = 25
 
@@ -79,15 +83,15 @@ def running(cells: DataFrame, by: list[str], what: Callable[[Column | str], Colu
     return both.withColumn(name, join).drop("_near", "_far")
 
 
-def value_cells(diffs: DataFrame, by: list[str], one: bool = False) -> DataFrame:
+def value_cells(diffs: DataFrame, by: list[str], one: bool = False, most: int | None = None) -> DataFrame:
     """by, n, cell, xs, cs, sizes: a group's distinct differences, counted, in cells of ascending values.
 
-    Equal differences are one value, counted before they are shuffled. A group's cells are of equal width between its least and greatest value, one for each CELL_VALUES distinct values and
+    Equal differences are one value, counted before they are shuffled. A group's cells are of equal width between its least and greatest value, one for each `most` (CELL_VALUES) distinct values and
     MOST_CELLS at most (`one`: a single cell); sizes holds the rows of all cells of the group, n their sum.
     """
     values = diffs.where("diff is not null").groupBy(*by, F.col("diff").cast("double").alias("x")).agg(F.count("*").alias("c"))
     ends = values.groupBy(*by).agg(F.min("x").alias("least"), F.max("x").alias("most"), F.count("*").alias("k"), F.sum("c").alias("n"))
-    m = F.lit(1) if one else F.least(F.lit(MOST_CELLS), F.ceil(F.col("k") / CELL_VALUES))
+    m = F.lit(1) if one else F.least(F.lit(MOST_CELLS), F.ceil(F.col("k") / (most or CELL_VALUES)))
     cell = F.when(F.col("most") > F.col("least"), F.least(m - 1, F.floor((F.col("x") - F.col("least")) / (F.col("most") - F.col("least")) * m))).otherwise(0).cast("int")
     keys = [F.col(f"l.{k}").alias(k) for k in by]
     placed = with_group(values, ends, by).select(*keys, "r.n", "l.x", "l.c", cell.alias("cell"))
@@ -169,6 +173,80 @@ def bootstrap(diffs: DataFrame, by: list[str], stat: str | Callable[[np.ndarray]
     return rows.withColumnsRenamed(dict(zip(by, names, strict=True)))
 
 
+def mixed(x: np.ndarray) -> np.ndarray:
+    """x, whole numbers of 32 bits, with their bits mixed; a permutation that any engine with 64 bits can compute."""
+    x = x ^ (x >> np.uint32(16))
+    x *= np.uint32(MIX_A)
+    x ^= x >> np.uint32(15)
+    x *= np.uint32(MIX_B)
+    x ^= x >> np.uint32(16)
+    return x
+
+
+def drawn_interval(diffs: DataFrame, by: list[str], rounds: int = 10_000, confidence: float = 0.95, seed: int = 42) -> DataFrame:
+    """by, lo, hi: percentile interval of the means of resamples that any engine draws alike, by linear interpolation.
+
+    Draw i of round r of a group of n is a keyed mix h of (seed, r, i), 32 bits (mixed numbers of both, put together and mixed
+    once more), and takes the difference at position
+    h n / 2^32 of the group's differences in ascending order. A task takes up to DRAWN_STRETCH draws of ROUND_BLOCK rounds
+    and counts of the distinct differences, in cells of DRAWN_VALUES about: it makes the draws, and adds up those that fall
+    into its cell. No task holds a group's rows; work is by draws, n rounds, dealt over all tasks. Sums of a round are
+    rounded to nine digits. Null differences are left out; no differences give no row.
+    """
+    if not 0 < confidence < 1 or rounds < 1:
+        raise ValueError(f"confidence must be in (0, 1) and rounds at least 1, got {confidence} and {rounds}")
+    names, by = by, [f"by{i}" for i in range(len(by))]
+    cells = value_cells(diffs.select(*[F.col(f"`{c}`").alias(b) for c, b in zip(names, by, strict=True)], "diff"), by, most=DRAWN_VALUES)
+    before = F.aggregate(F.slice("sizes", F.lit(1), F.col("cell") - 1), F.lit(0).cast("long"), lambda a, x: a + x)
+    dealt = cells.select(*by, "n", "cell", before.alias("before"), "xs", "cs", F.explode(F.sequence(F.lit(0), F.lit(-(-rounds // ROUND_BLOCK) - 1))).alias("block"))
+    dealt = dealt.withColumn("stretch", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / DRAWN_STRETCH).cast("long"))))
+    tasks = max(32, int(diffs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    dealt = dealt.repartition(tasks, *by, "cell", "block", "stretch")  # a fixed number, as the work is not in the bytes
+
+    def draw(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """What the draws of a stretch add to each round of a block, of those that fall into the cell."""
+        for f in frames:
+            for at, r in enumerate(f.itertuples(index=False)):
+                n = int(r.n)
+                if n >= 1 << 31:
+                    raise ValueError(f"a group of {n} differences is beyond the 31 bits of a draw")
+                # The least h of each value's positions, ascending; the last ends the cell. Below the first nothing is drawn.
+                edges = int(r.before) + np.concatenate(([0], np.cumsum(np.asarray(r.cs, np.int64))))
+                starts = -((-(edges << 32)) // n)
+                xs = np.concatenate(([0.0], np.asarray(r.xs, float), [0.0]))  # 0 before and after the cell
+                # Of most draws the first bits say the value; the others, in whose range a value starts, are NaN in the guide.
+                ends = np.arange((1 << GUIDE_BITS) + 1, dtype=np.int64) << (32 - GUIDE_BITS)
+                code = np.searchsorted(starts, ends[:-1], side="right")
+                guide = np.where(code == np.searchsorted(starts, ends[1:] - 1, side="right"), xs[code], np.nan)
+                numbers = np.arange(r.block * ROUND_BLOCK, min((r.block + 1) * ROUND_BLOCK, rounds))
+                keys = mixed((numbers * MIX_ROUND + seed & 0xFFFFFFFF).astype(np.uint32))
+                parts, first = np.zeros(len(numbers)), int(r.stretch) * DRAWN_STRETCH
+                for low in range(first, min(first + DRAWN_STRETCH, n), DRAWS_AT_ONCE):
+                    own = mixed((np.arange(low, min(low + DRAWS_AT_ONCE, first + DRAWN_STRETCH, n), dtype=np.int64) * MIX_STEP + 1 & 0xFFFFFFFF).astype(np.uint32))
+                    h, bits, place, value = np.empty_like(own), np.empty_like(own), np.empty(len(own), np.intp), np.empty(len(own))
+                    for j, key in enumerate(keys):
+                        np.bitwise_xor(own, key, out=h)
+                        np.multiply(h, np.uint32(MIX_A), out=h)
+                        np.right_shift(h, 15, out=bits)
+                        np.bitwise_xor(h, bits, out=h)
+                        np.multiply(h, np.uint32(MIX_B), out=h)
+                        if len(starts) <= FEW_VALUES:
+                            parts[j] += np.diff([0 if x == 0 else len(h) if x >> 32 else np.count_nonzero(h < np.uint32(x)) for x in starts]) @ xs[1:-1]
+                            continue
+                        np.right_shift(h, 32 - GUIDE_BITS, out=place, casting="unsafe")
+                        np.take(guide, place, out=value, mode="clip")
+                        open_ = np.flatnonzero(np.isnan(value))
+                        value[open_] = xs[np.searchsorted(starts, h[open_], side="right")]
+                        parts[j] += value.sum()
+                yield pd.DataFrame({**{c: [f[c].iloc[at]] * len(parts) for c in by}, "n": n, "round": numbers, "part": parts})
+
+    keys = "".join(f"`{c}` {cells.schema[c].dataType.simpleString()}, " for c in by)
+    means = dealt.mapInPandas(draw, f"{keys}n long, round long, part double").groupBy(*by, "n", "round").agg(F.round(F.sum("part"), 9).alias("s")).select(*by, (F.col("s") / F.col("n")).alias("m"))
+    alpha = (1 - confidence) / 2
+    rows = means.groupBy(*by).agg(F.percentile("m", alpha).alias("lo"), F.percentile("m", 1 - alpha).alias("hi"))
+    return rows.withColumnsRenamed(dict(zip(by, names, strict=True)))
+
+
 def normal_interval(diffs: DataFrame, by: list[str]) -> DataFrame:
     """by, n, point, se, step, lo, hi: the 95 % interval of resampled means from three moments, corrected for skew.
 

@@ -299,18 +299,47 @@ def t2_wilson_interval(t: Tables):
     return rounded(c.select("nation", "p", lo.alias("lo"), hi.alias("hi")))
 
 
-#: Parts of its deviation by which 10,000 rounds may miss an end of the interval that they tend to (five deviations of that end).
-_MISS = 0.15
+#: Rounds of a resampled interval, and parts of its deviation by which they may miss an end of the one that they tend to
+#: (five deviations of that end).
+_ROUNDS, _MISS = 10_000, 0.15
 
 
-def moments_sql(pairs: str, by: str) -> str:
-    """CTEs that end in bo(by, n, point, se, lo, hi): statistics.normal_interval over pairs(by, diff)."""
-    return f"""bm as (select {by}, count(*) as n, round(sum(diff), 9) / count(*) as point, stddev_pop(diff) as sd from ({pairs}) where diff is not null group by {by}),
+def mixed_sql(numbers: str) -> str:
+    """statistics.mixed of a list of ubigint."""
+    low, a, b = "4294967295::ubigint", f"{st.MIX_A}::ubigint", f"{st.MIX_B}::ubigint"
+    return f"list_transform(list_transform(list_transform({numbers}, lambda x: (xor(x, x >> 16) * {a}) & {low}), lambda x: (xor(x, x >> 15) * {b}) & {low}), lambda x: xor(x, x >> 16))"
+
+
+def moments_sql(pairs: str, by: str, end: str = "bo") -> str:
+    """CTEs that end in bo(by, n, point, se, step, lo, hi): statistics.normal_interval over pairs(by, diff)."""
+    return f"""bm as (select {by}, count(*) as n, round(sum(diff), 9) / count(*) as point, stddev_pop(diff) as sd, (max(diff) - min(diff)) / count(*) as step from ({pairs}) where diff is not null group by {by}),
  bs as (select p.{by}, avg(pow(p.diff - m.point, 3)) as third from ({pairs}) p join bm m on p.{by} = m.{by} where p.diff is not null group by p.{by}),
- bo as (select {by}, n, point, sd / sqrt(n) as se, point + sd / sqrt(n) * (-1.959963985 + (pow(1.959963985, 2) - 1) * sk / 6) as lo, point + sd / sqrt(n) * (1.959963985 + (pow(1.959963985, 2) - 1) * sk / 6) as hi
+ {end} as (select {by}, n, point, sd / sqrt(n) as se, step, point + sd / sqrt(n) * (-1.959963985 + (pow(1.959963985, 2) - 1) * sk / 6) as lo, point + sd / sqrt(n) * (1.959963985 + (pow(1.959963985, 2) - 1) * sk / 6) as hi
   from (select *, case when sd > 0 then third / pow(sd, 3) else 0 end / sqrt(n) as sk from bm join bs using ({by})))"""
 
 
+def boot_sql(pairs: str, by: str) -> str:
+    """CTEs that end in bo(by, n, point, se, lo, hi, near): the resamples of statistics.drawn_interval over pairs(by, diff), every round drawn."""
+    ubig = lambda x: f"{x}::ubigint"
+    low = ubig(0xFFFFFFFF)
+    h = f"list_transform(list_transform(own, lambda x: (xor(x, key) * {ubig(st.MIX_A)}) & {low}), lambda x: (xor(x, x >> 15) * {ubig(st.MIX_B)}) & {low})"
+    return f"""{moments_sql(pairs, by, "mo")},
+ bv as (select {by}, len(v)::ubigint as k, v, {mixed_sql(f"list_transform(range(len(v)), lambda i: (i::ubigint * {ubig(st.MIX_STEP)} + 1) & {low})")} as own from (select {by}, list(diff order by diff) as v from ({pairs}) where diff is not null group by {by})),
+ br as (select {mixed_sql(f"[(r::ubigint * {ubig(st.MIX_ROUND)} + 42) & {low}]")}[1] as key from (select unnest(range({_ROUNDS})) as r)),
+ bx as (select {by}, round(list_sum(list_transform({h}, lambda h: v[((h * k) >> 32)::bigint + 1])), 9) / k as m from bv, br),
+ bq as (select {by}, quantile_cont(m, 0.025) as lo, quantile_cont(m, 0.975) as hi from bx group by {by}),
+ bo as (select mo.{by}, n, point, se, bq.lo as lo, bq.hi as hi, greatest(abs(bq.lo - mo.lo), abs(bq.hi - mo.hi)) <= {_MISS} * se + step + 1e-9 as near from mo join bq on mo.{by} = bq.{by})"""
+
+
+def bootstrap_drawn(diffs: DataFrame, by: list[str]) -> DataFrame:
+    """by, n, point, se, lo, hi of the interval of 10,000 drawn rounds, and `near`: whether it is where such an interval tends to."""
+    tends = st.normal_interval(diffs, by).withColumnsRenamed({"lo": "t_lo", "hi": "t_hi"})
+    drawn = st.drawn_interval(diffs, by, _ROUNDS)
+    both = tends.join(drawn, by) if by else tends.crossJoin(drawn)  # one row each
+    miss = F.greatest(F.abs(F.col("lo") - F.col("t_lo")), F.abs(F.col("hi") - F.col("t_hi")))
+    return both.select(*by, "n", "point", "se", "lo", "hi", (miss <= _MISS * F.col("se") + F.col("step") + 1e-9).alias("near"))
+
+
 def bootstrap_near(diffs: DataFrame, by: list[str]) -> DataFrame:
     """by, n, point, se, lo, hi of the interval that the bootstrap tends to, and `near`: whether that of 10,000 rounds is there.
 
@@ -326,9 +355,9 @@ def bootstrap_near(diffs: DataFrame, by: list[str]) -> DataFrame:
 _BY_SCENARIO = f"select scenario_id, diff from ({_PAIRED})"
 
 
-@query(f"with {moments_sql(_BY_SCENARIO, 'scenario_id')} select scenario_id, n, round(point, 6) as point, round(se, 6) as se, round(lo, 6) as lo, round(hi, 6) as hi, true as near from bo")
+@query(f"with {boot_sql(_BY_SCENARIO, 'scenario_id')} select scenario_id, n, round(point, 6) as point, round(se, 6) as se, round(lo, 6) as lo, round(hi, 6) as hi, near from bo")
 def t4_paired_bootstrap(t: Tables):
-    return rounded(bootstrap_near(pairs(t).select("scenario_id", "diff"), ["scenario_id"]))
+    return rounded(bootstrap_drawn(pairs(t).select("scenario_id", "diff"), ["scenario_id"]))
 
 
 @query("with d as (select o_orderpriority as grp, o_totalprice % 997 - 498 as diff from {orders}) select grp, count(*) as n, round(median(diff), 6) as point, true as near from d group by grp")

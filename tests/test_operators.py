@@ -7,6 +7,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from quarry.plans import catalog
+from quarry.plans import evaluation as ev_plans
+from quarry.plans.registry import Tables
 from quarry.functions import text as tx
 from quarry.operators import chunking as ch
 from quarry.operators import evaluation as ev
@@ -132,6 +135,32 @@ def test_bootstrap_rounds_are_independent_and_as_brute_force(spark, monkeypatch)
     assert len({tuple(x) for row in wide for x in row}) == 9
 
 
+def test_drawn_interval_is_a_bootstrap_in_any_cut(spark, monkeypatch):
+    """Bounds as of a plain bootstrap; the same however values, stretches and rounds are dealt; few values are counted."""
+    rng = np.random.default_rng(8)
+    for v in (np.round(rng.gamma(1.0, 2.0, 700), 2), rng.integers(0, 4, 501).astype(float)):
+        d = spark.createDataFrame([(None, float(x)) for x in v] + [("one", 2.5), (None, None)], "n string, diff double")
+        first = {r.by: (r.lo, r.hi) for r in st.drawn_interval(d.withColumnRenamed("n", "by"), ["by"], 4000).collect()}
+        means = v[rng.integers(0, len(v), (20_000, len(v)))].mean(1)
+        assert first["one"] == (2.5, 2.5) and max(abs(first[None][0] - np.quantile(means, 0.025)), abs(first[None][1] - np.quantile(means, 0.975))) < 0.15 * means.std()
+        for name, x in (("DRAWN_VALUES", 50), ("DRAWN_STRETCH", 100), ("DRAWS_AT_ONCE", 64), ("FEW_VALUES", 0)):
+            monkeypatch.setattr(st, name, x)
+        again = {r.by: (r.lo, r.hi) for r in st.drawn_interval(d.withColumnRenamed("n", "by").repartition(3), ["by"], 4000).collect()}
+        assert again == first
+        monkeypatch.undo()
+    with pytest.raises(ValueError):
+        st.drawn_interval(d, ["n"], 0)
+
+
+def test_intervals_of_the_queries_are_drawn(spark):
+    """Not the formula that they tend to: each bound misses it a little, and its SQL draws the same."""
+    for name in ("t4_paired_bootstrap",):
+        assert f"range({ev_plans._ROUNDS})" in catalog.oracle_sql()[name]
+    got = {r.scenario_id: r for r in catalog.queries()["t4_paired_bootstrap"](spark, "/root/testdata/sf0.001").collect()}
+    t = st.normal_interval(ev_plans.pairs(Tables(spark, "/root/testdata/sf0.001")), ["scenario_id"]).collect()
+    assert all(got[r.scenario_id].near for r in t) and any(abs(got[r.scenario_id].lo - r.lo) > 1e-5 for r in t)
+
+
 def test_bootstrap_of_many_rows_works_by_values(spark):
     """Two values in two million rows: counts, not draws."""
     d = spark.range(2_000_000).select(F.lit("g").alias("g"), (F.col("id") % 2).cast("double").alias("diff"))
