@@ -404,14 +404,14 @@ def t5_wilcoxon_p(t: Tables):
 
 
 _SWITCHED = f"case when b + c > 0 then case when b + c < 25 then {_MCN} else {_TAIL.format(z='z')} end end"
-_QTYPE_BOOT = moments_sql(f"select qtype, diff from ({_PAIRED})", "qtype")
+_QTYPE_BOOT = boot_sql(f"select qtype, diff from ({_PAIRED})", "qtype")
 
 
-@query(f"with {_QTYPE_BOOT}, k as (select qtype, cut, count_if(arm >= cut and base < cut) as b, count_if(arm < cut and base >= cut) as c, count_if(arm > base) as w, count_if(arm = base) as ties, count(*) as n from ({_PAIRED}), (values (0.5), (0.75)) v(cut) group by all), z as (select qtype, cut, b, c, w, ties, n as n_pairs, greatest(0, abs(b - c) - 1) / sqrt(b + c) as z from k) select qtype, cut::double as cut, b, c, round({_SWITCHED}, 6) as p, w, ties, round((w + 0.5 * ties) / n_pairs, 6) as win_rate, round(point, 6) as delta, round(lo, 6) as lo, round(hi, 6) as hi, true as near from z join bo using (qtype)")
+@query(f"with {_QTYPE_BOOT}, k as (select qtype, cut, count_if(arm >= cut and base < cut) as b, count_if(arm < cut and base >= cut) as c, count_if(arm > base) as w, count_if(arm = base) as ties, count(*) as n from ({_PAIRED}), (values (0.5), (0.75)) v(cut) group by all), z as (select qtype, cut, b, c, w, ties, n as n_pairs, greatest(0, abs(b - c) - 1) / sqrt(b + c) as z from k) select qtype, cut::double as cut, b, c, round({_SWITCHED}, 6) as p, w, ties, round((w + 0.5 * ties) / n_pairs, 6) as win_rate, round(point, 6) as delta, round(lo, 6) as lo, round(hi, 6) as hi, near from z join bo using (qtype)")
 def t13_binary_tests(t: Tables):
     p = pairs(t)
     wins = p.groupBy("qtype").agg(F.count_if(F.col("arm") > F.col("base")).alias("w"), F.count_if(F.col("arm") == F.col("base")).alias("ties"), F.count("*").alias("n"))
-    boot = bootstrap_near(p.select("qtype", "diff"), ["qtype"]).withColumnRenamed("point", "delta").drop("n", "se")
+    boot = bootstrap_drawn(p.select("qtype", "diff"), ["qtype"]).withColumnRenamed("point", "delta").drop("n", "se")
     cuts = [st.discordant(p, ["qtype"], x, st.mcnemar_switched).withColumn("cut", F.lit(x)) for x in (0.5, 0.75)]
     both = cuts[0].unionByName(cuts[1]).join(wins, "qtype").join(boot, "qtype")
     return rounded(both.select("qtype", "cut", "b", "c", "p", "w", "ties", ((F.col("w") + 0.5 * F.col("ties")) / F.col("n")).alias("win_rate"), "delta", "lo", "hi", "near"))
