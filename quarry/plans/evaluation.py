@@ -422,13 +422,13 @@ def t14_verbosity_probe(t: Tables):
     return rounded(st.spearman(t.results, "tokens_out", "correctness", ["mode"]))
 
 
-_GROUP_BOOT = moments_sql(f"select scenario_id || '/' || qtype as grp, diff from ({_PAIRED})", "grp")
+_GROUP_BOOT = boot_sql(f"select scenario_id || '/' || qtype as grp, diff from ({_PAIRED})", "grp")
 
 
-@query(f"with {_GROUP_BOOT}, c as (select scenario_id, qtype, count_if(arm > base) as b, count_if(arm < base) as c from ({_PAIRED}) group by all), p as (select *, {_MCN} as p from c), r as (select *, row_number() over (partition by qtype order by p, scenario_id) as k, count(*) over (partition by qtype) as m from p) select scenario_id, qtype, b, c, round(p, 6) as p, round(least(1, min(p * m / k) over (partition by qtype order by k rows between current row and unbounded following)), 6) as q, round(point, 6) as delta, round(lo, 6) as lo, round(hi, 6) as hi, true as near from r join bo on grp = scenario_id || '/' || qtype")
+@query(f"with {_GROUP_BOOT}, c as (select scenario_id, qtype, count_if(arm > base) as b, count_if(arm < base) as c from ({_PAIRED}) group by all), p as (select *, {_MCN} as p from c), r as (select *, row_number() over (partition by qtype order by p, scenario_id) as k, count(*) over (partition by qtype) as m from p) select scenario_id, qtype, b, c, round(p, 6) as p, round(least(1, min(p * m / k) over (partition by qtype order by k rows between current row and unbounded following)), 6) as q, round(point, 6) as delta, round(lo, 6) as lo, round(hi, 6) as hi, near from r join bo on grp = scenario_id || '/' || qtype")
 def t15_paired_tests(t: Tables):
     p = pairs(t)
-    boot = bootstrap_near(p.select("scenario_id", "qtype", "diff"), ["scenario_id", "qtype"]).withColumnRenamed("point", "delta").drop("n", "se")
+    boot = bootstrap_drawn(p.select("scenario_id", "qtype", "diff"), ["scenario_id", "qtype"]).withColumnRenamed("point", "delta").drop("n", "se")
     tests = st.discordant(p, ["scenario_id", "qtype"]).withColumn("name", F.col("scenario_id"))
     return rounded(st.false_discovery(tests, ["qtype"]).drop("name").join(boot, ["scenario_id", "qtype"]))
 
