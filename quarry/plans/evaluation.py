@@ -340,18 +340,6 @@ def bootstrap_drawn(diffs: DataFrame, by: list[str]) -> DataFrame:
     return both.select(*by, "n", "point", "se", "lo", "hi", (miss <= _MISS * F.col("se") + F.col("step") + 1e-9).alias("near"))
 
 
-def bootstrap_near(diffs: DataFrame, by: list[str]) -> DataFrame:
-    """by, n, point, se, lo, hi of the interval that the bootstrap tends to, and `near`: whether that of 10,000 rounds is there.
-
-    Random draws are not SQL; what they tend to is, and how near they have to come.
-    """
-    drawn = st.bootstrap(diffs, by).withColumnsRenamed({"point": "b", "lo": "b_lo", "hi": "b_hi"})
-    miss = F.greatest(F.abs(F.col("b_lo") - F.col("lo")), F.abs(F.col("b_hi") - F.col("hi")))
-    near = (F.abs(F.col("b") - F.col("point")) < 1e-9) & (miss <= _MISS * F.col("se") + F.col("step") + 1e-9)
-    both = st.normal_interval(diffs, by).join(drawn, by) if by else st.normal_interval(diffs, by).crossJoin(drawn)  # one row each
-    return both.select(*by, "n", "point", "se", "lo", "hi", near.alias("near"))
-
-
 _BY_SCENARIO = f"select scenario_id, diff from ({_PAIRED})"
 
 
@@ -437,15 +425,15 @@ def t15_paired_tests(t: Tables):
  r as (select query_id, filename, rank, row_number() over (partition by query_id order by rerank_score desc nulls last, rank) as rank2 from {{kept}}),
  h as (select query_id, count(distinct case when rank <= 4 then filename end) as base, count(distinct case when rank2 <= 4 then filename end) as arm from r semi join gold using (query_id, filename) group by 1),
  m as (select query_id, coalesce(base, 0) / g as base, coalesce(arm, 0) / g as arm from g left join h using (query_id)),
- {moments_sql("select 'all' as grp, arm - base as diff from m", "grp")},
- k as (select count_if(arm >= 1 and base < 1) as b, count_if(arm < 1 and base >= 1) as c from m) select 'all' as "group", b, c, round({_MCN}, 6) as p, round(point, 6) as delta, round(lo, 6) as lo, round(hi, 6) as hi, true as near from k, bo""")
+ {boot_sql("select 'all' as grp, arm - base as diff from m", "grp")},
+ k as (select count_if(arm >= 1 and base < 1) as b, count_if(arm < 1 and base >= 1) as c from m) select 'all' as "group", b, c, round({_MCN}, 6) as p, round(point, 6) as delta, round(lo, 6) as lo, round(hi, 6) as hi, near from k, bo""")
 def t16_layer_comparison(t: Tables):
     gold = t.kept.where("chunk % 3 = 0")
     base = ev.retrieval_metrics(t.kept.select("query_id", "rank", "filename"), gold).select("query_id", F.col("recall4").alias("base"))
     by_score = st.Window.partitionBy("query_id").orderBy(F.desc_nulls_last("rerank_score"), "rank")
     arm = ev.retrieval_metrics(t.kept.select("query_id", F.row_number().over(by_score).alias("rank"), "filename"), gold).select("query_id", F.col("recall4").alias("arm"))
     both = arm.join(base, "query_id").withColumn("group", F.lit("all"))
-    boot = bootstrap_near(both.select((F.col("arm") - F.col("base")).alias("diff")), []).withColumnRenamed("point", "delta").drop("n", "se")
+    boot = bootstrap_drawn(both.select((F.col("arm") - F.col("base")).alias("diff")), []).withColumnRenamed("point", "delta").drop("n", "se")
     return rounded(st.discordant(both, ["group"], 1.0).crossJoin(boot))  # one row each
 
 

@@ -154,7 +154,7 @@ def test_drawn_interval_is_a_bootstrap_in_any_cut(spark, monkeypatch):
 
 def test_intervals_of_the_queries_are_drawn(spark):
     """Not the formula that they tend to: each bound misses it a little, and its SQL draws the same."""
-    for name in ("t4_paired_bootstrap", "t13_binary_tests", "t15_paired_tests"):
+    for name in ("t4_paired_bootstrap", "t13_binary_tests", "t15_paired_tests", "t16_layer_comparison"):
         assert f"range({ev_plans._ROUNDS})" in catalog.oracle_sql()[name]
     got = {r.scenario_id: r for r in catalog.queries()["t4_paired_bootstrap"](spark, "/root/testdata/sf0.001").collect()}
     t = st.normal_interval(ev_plans.pairs(Tables(spark, "/root/testdata/sf0.001")), ["scenario_id"]).collect()
