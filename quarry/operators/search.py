@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from hashlib import md5
 
 import ahocorasick
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -15,6 +17,8 @@ from quarry.settings import DEFAULT, Settings
 
 #: Buckets of corpus blocks that a set of vector queries is dealt to, at least; vectors of a block of the corpus and of queries.
 BUCKETS, CORPUS_BLOCK, QUERY_BLOCK = 32, 4096, 512
+#: Words whose bins a task keeps.
+KNOWN_WORDS = 1 << 17
 #: Bytes of the terms of all queries, some for each row counted, up to which they are broadcast.
 MOST_ASKED = 16 << 20
 #: Characters of passages in one automaton (some 50 bytes of memory each), and of all passages that are broadcast; hits in a batch.
@@ -146,15 +150,44 @@ def nearest(queries: DataFrame, vectors: DataFrame, k: int, query_key: str = "qu
     return top(pairs, [query_key], [F.desc(F.round("similarity", 9)), F.col(key)], k)
 
 
+class WordBins(dict):
+    """bins * (bin of the last byte) + bin of the one before, of a word's md5."""
+
+    def __init__(self, bins: int):
+        self.bins = bins
+
+    def __missing__(self, word: bytes) -> int:
+        h = md5(word, usedforsecurity=False).digest()
+        self[word] = at = h[15] % self.bins * self.bins + h[14] % self.bins
+        return at
+
+
 def hashed_embedding(docs: DataFrame, key: str = "id", text: str = "text", bins: int = 64) -> DataFrame:
-    """key, embedding: words in lower case hashed by md5, 1 to the bin of its last byte and 0.5 to that of the one before, unit length."""
-    words = docs.select(key, F.explode(F.filter(F.split(F.lower(text), "\\s+"), lambda w: w != "")).alias("w")).groupBy(key, "w").agg(F.count("*").alias("c"))
-    h = F.md5(F.col("w").cast("binary"))
-    byte = lambda at: F.pmod(F.conv(F.substring(h, at, 2), 16, 10).cast("int"), F.lit(bins))
-    parts = words.select(key, F.explode(F.array(F.struct(byte(31).alias("bin"), F.col("c").cast("double").alias("w")), F.struct(byte(29).alias("bin"), (F.col("c") * 0.5).alias("w")))).alias("p"))
-    cells = parts.groupBy(key, "p.bin").agg(F.sum("p.w").alias("w"))
-    rows = cells.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("bin", "w"))).alias("m"), F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    return rows.select(key, F.transform(F.sequence(F.lit(0), F.lit(bins - 1)), lambda i: F.coalesce(F.element_at("m", i), F.lit(0.0)) / F.col("norm")).alias("embedding"))
+    """key, embedding: words in lower case hashed by md5, 1 to the bin of its last byte and 0.5 to that of the one before, unit length.
+
+    Bins are counted where the text is; what is shuffled is a row of counts for each text, as texts of one key count together.
+    """
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """key, halves: twice the weight of each bin."""
+        known = WordBins(bins)
+        for b in batches:
+            halves = np.zeros((b.num_rows, bins), np.int64)
+            for row, s in zip(halves, b.column(1).to_pylist(), strict=True):
+                words = s.split()  # of bytes: at the white space of Spark's \\s
+                both = np.bincount(np.fromiter(map(known.__getitem__, words), np.int64, len(words)), minlength=bins * bins).reshape(bins, bins)
+                row[:] = 2 * both.sum(1) + both.sum(0)
+                if len(known) > KNOWN_WORDS:
+                    known.clear()
+            flat = pa.ListArray.from_arrays(pa.array(np.arange(0, halves.size + 1, bins, dtype=np.int32)), pa.array(halves.ravel()))
+            found = pa.RecordBatch.from_arrays([b.column(0), flat], names=[key, "halves"])
+            yield found.filter(pa.array(halves.any(axis=1)))
+
+    whole = docs.where(F.col(text).isNotNull()).select(key, F.lower(text).cast("binary").alias("_text"))
+    counted = whole.mapInArrow(count, f"`{key}` {dict(docs.dtypes)[key]}, halves array<bigint>").groupBy(key).agg(F.collect_list("halves").alias("h"))
+    added = F.when(F.size("h") == 1, F.element_at("h", 1)).otherwise(F.aggregate("h", F.array_repeat(F.lit(0).cast("long"), bins), lambda x, y: F.zip_with(x, y, lambda p, q: p + q)))
+    norm = F.sqrt(F.aggregate("halves", F.lit(0).cast("long"), lambda x, y: x + y * y).cast("double"))
+    return counted.select(key, added.alias("halves")).select(key, "halves", norm.alias("norm")).select(key, F.transform("halves", lambda x: x / F.col("norm")).alias("embedding"))
 
 
 def hybrid(lexical: DataFrame, dense: DataFrame, k: int, settings: Settings = DEFAULT, query_key: str = "query_id", key: str = "id") -> DataFrame:

@@ -354,3 +354,22 @@ def test_ranks_and_q_values_over_cells(spark, monkeypatch):
         for r in st.false_discovery(p, ["g"]).collect():
             ps = sorted(min(v, 1.0) for h, v, _ in rows if h == r.g and v is not None)
             assert abs(r.q - min(1.0, min(y * len(ps) / (k + 1) for k, y in enumerate(ps) if y >= r.p))) < 1e-12
+
+
+def test_hashed_embedding_shuffles_counts_not_words(spark):
+    """Strange texts against plain counting; keys that are null or come twice; one exchange, of a row for each text."""
+    from hashlib import md5
+
+    texts = [(1, "A b\u00a0c\tb  a"), (2, ""), (3, None), (None, "x \x1f\u2003 y"), (4, " \n "), (1, "B \u00c9t\u00e9"), (5, "w " * 5000)]
+    d = spark.createDataFrame(texts, "id long, text string")
+    got = {r.id: r.embedding for r in se.hashed_embedding(d).collect()}
+    assert set(got) == {1, None, 5}
+    for k, whole in ((1, "a b\u00a0c b a b \u00e9t\u00e9"), (None, "x \x1f\u2003 y"), (5, "w " * 5000)):
+        v = np.zeros(64)
+        for w in whole.strip(" ").split(" "):
+            h = md5(w.encode()).digest()
+            v[h[15] % 64] += 1
+            v[h[14] % 64] += 0.5
+        assert np.allclose(got[k], v / np.sqrt(v @ v), atol=1e-12)
+    p = se.hashed_embedding(d)._jdf.queryExecution().sparkPlan().toString()
+    assert "Generate" not in p
