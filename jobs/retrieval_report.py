@@ -34,12 +34,10 @@ def dense(questions: DataFrame, docs: DataFrame, k: int) -> DataFrame:
     return search.nearest(search.hashed_embedding(questions, "query_id"), search.hashed_embedding(docs), k)
 
 
-def fused(questions: DataFrame, docs: DataFrame, k: int) -> DataFrame:
-    return search.hybrid(lexical(questions, docs, k), dense(questions, docs, k), k)
-
-
-#: Each gives query_id, id, rank of the best k documents of every question.
-ARMS: dict[str, Callable[[DataFrame, DataFrame, int], DataFrame]] = {"bm25": lexical, "dense": dense, "rrf": fused}
+#: Rankings that arms are made of; each gives query_id, id, rank of the best k documents of every question.
+RANKINGS: dict[str, Callable[[DataFrame, DataFrame, int], DataFrame]] = {"bm25": lexical, "dense": dense}
+#: The rankings that an arm needs.
+ARMS = {"bm25": ["bm25"], "dense": ["dense"], "rrf": ["bm25", "dense"]}
 
 
 def question_rows(ranked: DataFrame, gold: DataFrame) -> DataFrame:
@@ -69,24 +67,31 @@ def report(spark: SparkSession, documents: str, questions: str, out: str, config
     unknown = sorted(set(how["arms"]) - set(ARMS))
     if unknown or how["k"] < 1:
         raise ValueError(f"arms must be of {', '.join(ARMS)} and k at least 1, got {how['arms']} and {how['k']}")
-    docs = one_row_each(spark.read.parquet(documents), "doc_id", "id")
-    asked = one_row_each(spark.read.parquet(questions), "item_id", "query_id")
+    # Documents are put together once, and each ranking is made once, whatever arms need it.
+    docs = one_row_each(spark.read.parquet(documents), "doc_id", "id").persist()
+    asked = one_row_each(spark.read.parquet(questions), "item_id", "query_id").persist()
     log.info("read %d documents of %s and %d questions of %s", docs.count(), documents, asked.count(), questions)
-    gold = search.containment(docs, asked).persist()
+    needed = [r for r in RANKINGS if any(r in ARMS[arm] for arm in how["arms"])]
+    kept = [docs, asked]
     try:
-        return {arm: written_arm(arm, docs, asked, gold, out, how["k"]) for arm in how["arms"]}
+        kept.append(gold := search.containment(docs, asked).persist())
+        ranked = {r: RANKINGS[r](asked, docs, how["k"]).persist() for r in needed}
+        kept += ranked.values()
+        found = {arm: ranked[arm] if arm in ranked else search.hybrid(*[ranked[r] for r in ARMS[arm]], how["k"]) for arm in how["arms"]}
+        return {arm: written_arm(arm, found[arm], gold, out) for arm in how["arms"]}
     finally:
-        gold.unpersist()
+        for table in kept:
+            table.unpersist()
 
 
 def one_row_each(rows: DataFrame, key: str, name: str) -> DataFrame:
     return rows.where(F.col(key).isNotNull() & F.col("text").isNotNull()).groupBy(F.col(key).alias(name)).agg(F.max("text").alias("text"))
 
 
-def written_arm(arm: str, docs: DataFrame, asked: DataFrame, gold: DataFrame, out: str, k: int) -> int:
+def written_arm(arm: str, ranked: DataFrame, gold: DataFrame, out: str) -> int:
     """Write one arm's folder, partitioned by level; the rows in it."""
     none = [F.lit(None).cast("double").alias(c) for c in ("hit1_lo", "hit1_hi")]
-    rows = question_rows(ARMS[arm](asked, docs, k), gold).persist()
+    rows = question_rows(ranked, gold).persist()
     try:
         both = rows.select("*", *none, F.lit("question").alias("level")).unionByName(arm_row(rows).withColumn("level", F.lit("arm")))
         seen = Observation()

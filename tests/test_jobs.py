@@ -136,3 +136,14 @@ def test_command_line(tmp_path):
     out = subprocess.run([sys.executable, "-m", "jobs.ingest_documents", *at], cwd=TOP, env=env, capture_output=True, text=True, timeout=300)
     assert out.returncode == 0, out.stderr[-2000:]
     assert "1 new batches written" in out.stderr and files(f"{tmp_path}/store/chunks")
+
+
+def test_report_makes_each_ranking_once(spark, tmp_path, monkeypatch):
+    """Fused ranks come from the rankings of the other arms, which are not made again."""
+    spark.createDataFrame([(1, "alpha beta gamma delta"), (2, "other words here")], "doc_id long, text string").write.parquet(f"{tmp_path}/docs")
+    spark.createDataFrame([(7, "beta gamma")], "item_id long, text string").write.parquet(f"{tmp_path}/asked")
+    made = []
+    for name, of in list(retrieval_report.RANKINGS.items()):
+        monkeypatch.setitem(retrieval_report.RANKINGS, name, lambda q, d, k, name=name, of=of: made.append(name) or of(q, d, k))
+    assert retrieval_report.report(spark, f"{tmp_path}/docs", f"{tmp_path}/asked", f"{tmp_path}/out") == {"bm25": 2, "dense": 2, "rrf": 2}
+    assert sorted(made) == ["bm25", "dense"]
