@@ -139,7 +139,7 @@ _JUDGES = "select o_orderkey as id, o_orderkey % 4 + l_linenumber % 2 as score,
 
 @query(f"with j as ({_JUDGES}), v as (select id, label, count(*) as c from j group by all), m as (select id, first(label order by c desc, label) as label, max(c) / sum(c) as label_share from v group by id) select j.id, round(avg(score), 6) as mean, any_value(m.label) as label, round(greatest(0, least(1, 1 - case when avg(score) = 0 then 0 else stddev_pop(score) / avg(score) end)), 6) as agreement, round(any_value(label_share), 6) as label_share from j join m on j.id = m.id group by j.id")
 def a15_judge_ensemble(t: Tables):
-    return rounded(ev.ensemble(t.sql(_JUDGES), "id"))
+    return rounded(ev.ensemble(t.sql(_JUDGES, t.by_order()), "id"))
 
 
 _WORDS = "case {0} % 5 when 0 then 'error' when 1 then 'tie' when 2 then 'traditional' else 'hybrid' end"

@@ -7,6 +7,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from quarry.operators.parts import parts_for
+
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 
 #: Inputs shaped like the evaluation tables, derived from the supplied ones. The text runs on Spark and on DuckDB.
@@ -69,10 +71,16 @@ class Tables:
             return self.sql(FIXTURES[name])
         raise AttributeError(name)
 
-    def sql(self, text: str) -> DataFrame:
+    def by_order(self) -> dict[str, DataFrame]:
+        """Orders and lines dealt out alike by order, in as many partitions as their rows ask for."""
+        n = parts_for(self.lineitem)
+        return {"orders": self.orders.repartition(n, "o_orderkey"), "lineitem": self.lineitem.repartition(n, "l_orderkey")}
+
+    def sql(self, text: str, given: dict[str, DataFrame] | None = None) -> DataFrame:
+        """The text over the tables, or over those given in their place."""
         used = {n for n in re.findall(r"\{(\w+)\}", text) if n in TABLES}
         for n in used:
-            getattr(self, n).createOrReplaceTempView(f"quarry_{n}")
+            (given or {}).get(n, getattr(self, n)).createOrReplaceTempView(f"quarry_{n}")
         return self.spark.sql(re.sub(r"\{(\w+)\}", lambda m: f"quarry_{m[1]}" if m[1] in used else m[0], text))
 
 

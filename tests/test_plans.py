@@ -2,6 +2,7 @@
 
 import pytest
 
+from quarry.operators import parts
 from quarry.plans import catalog
 
 SF = "/root/testdata/sf0.001"
@@ -42,3 +43,11 @@ def test_top_k_is_cut_before_the_shuffle(spark):
 @pytest.mark.parametrize("name", ["j9_answer_in_evidence", "r6_dense_knn"])
 def test_no_nested_loops_over_texts_or_vectors(spark, name):
     assert "NestedLoopJoin" not in plan(catalog.queries()[name](spark, SF))
+
+
+@pytest.mark.parametrize("name", ["a15_judge_ensemble"])
+def test_partitions_follow_the_rows(spark, name, monkeypatch):
+    monkeypatch.setattr(parts, "PART_ROWS", 100)
+    rows = spark.read.parquet(f"{SF}/lineitem.parquet").count()
+    p = plan(catalog.queries()[name](spark, SF))
+    assert f", {-(-rows // 100)}), REPARTITION_BY_NUM" in p
