@@ -25,10 +25,16 @@ def passage_action(settings: Settings = DEFAULT) -> tuple[Column, Column]:
     return action, reason
 
 
+def citation_flags(verdict: Column, confidence: Column, settings: Settings = DEFAULT) -> tuple[Column, Column]:
+    """(supports with enough confidence, contradicts) of a verdict; missing values do neither."""
+    verified = (F.coalesce(verdict, F.lit("says_nothing")) == "supports") & (F.coalesce(confidence, F.lit(0.0)) >= settings.citation_confidence)
+    return verified, F.coalesce(verdict == "contradicts", F.lit(False))
+
+
 def citation_summary(verdicts: DataFrame, by: list[str], settings: Settings = DEFAULT) -> DataFrame:
     """by, supported (share of verdicts that support with enough confidence), contradicts."""
-    verified = (F.coalesce("verdict", F.lit("says_nothing")) == "supports") & (F.coalesce("confidence", F.lit(0.0)) >= settings.citation_confidence)
-    return verdicts.groupBy(*by).agg(F.avg(verified.cast("double")).alias("supported"), F.bool_or(F.coalesce(F.col("verdict") == "contradicts", F.lit(False))).alias("contradicts"))
+    verified, contradicts = citation_flags(F.col("verdict"), F.col("confidence"), settings)
+    return verdicts.groupBy(*by).agg(F.avg(verified.cast("double")).alias("supported"), F.bool_or(contradicts).alias("contradicts"))
 
 
 def composite_quality(addresses: Column, supported: Column, contradicts: Column) -> Column:

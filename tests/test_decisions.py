@@ -32,3 +32,15 @@ def test_broken_replies_decide_nothing(spark):
     assert set(got) == set(range(1, 8))
     assert all((r.effort, r.sufficiency, r.gate_passed, r.included, r.supported, r.contradicts, r.quality) == ("single_pass", 0.0, False, 0, 0.0, False, None) for r in got.values())
     assert de.decided(spark.createDataFrame([], "query_id int, reply string")).count() == 0
+
+
+def test_replies_are_read_once(spark):
+    df = spark.createDataFrame([(1, reply(cite_1={"choice": "supports", "confidence": 1.0}))], "query_id int, reply string")
+    p = de.decided(df)._jdf.queryExecution().optimizedPlan().toString()
+    assert p.count("from_json") + p.count("jsontostructs") == 1 and "Join" not in p
+
+
+def test_copies_of_a_reply_count_once(spark):
+    one = reply(c1={"noul": 0.9}, e1={"noul": 0.9}, cite_1={"choice": "supports", "confidence": 1.0}, cite_2={"choice": "contradicts"}, cand_b={"noul": 0.7})
+    got = de.decided(spark.createDataFrame([(1, one), (1, one)], "query_id int, reply string")).collect()
+    assert [(r.included, r.supported, r.contradicts, r.candidate) for r in got] == [(1, 0.5, True, "b")]
