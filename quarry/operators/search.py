@@ -19,6 +19,8 @@ from quarry.settings import DEFAULT, Settings
 BUCKETS, CORPUS_BLOCK, QUERY_BLOCK = 32, 4096, 512
 #: Words whose bins a task keeps.
 KNOWN_WORDS = 1 << 17
+#: Texts whose terms are counted at once.
+TEXTS_AT_ONCE = 1024
 #: Bytes of the terms of all queries, some for each row counted, up to which they are broadcast.
 MOST_ASKED = 16 << 20
 #: Characters of passages in one automaton (some 50 bytes of memory each), and of all passages that are broadcast; hits in a batch.
@@ -37,6 +39,44 @@ def postings(chunks: DataFrame, key: str = "id", text: str = "text", stop=...) -
     return tf, df, stats
 
 
+def keys_differ(chunks: DataFrame, key: str) -> bool:
+    """Whether every row has a key of its own; only keys are read."""
+    return chunks.groupBy(key).count().where("count > 1").isEmpty()
+
+
+def counted_in_place(chunks: DataFrame, key: str, stop=...) -> DataFrame:
+    """(key, term, tf, dl) as in postings(), of chunks whose keys differ: counted where the texts are, without a shuffle."""
+    toks = index_tokens("text") if stop is ... else index_tokens("text", stop)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for b in (whole.slice(at, TEXTS_AT_ONCE) for at in range(0, whole.num_rows, TEXTS_AT_ONCE)):
+                dl = np.asarray(b.column(1).value_lengths().fill_null(0), np.int64)
+                words = b.column(1).flatten().dictionary_encode()
+                at, tf = np.unique(np.repeat(np.arange(b.num_rows), dl) * max(1, len(words.dictionary)) + np.asarray(words.indices, np.int64), return_counts=True)
+                row, word = np.divmod(at, max(1, len(words.dictionary)))
+                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(row)), words.dictionary.take(pa.array(word)), pa.array(dl[row].astype(np.int32)), pa.array(tf)], names=[key, "term", "dl", "tf"])
+
+    return chunks.select(F.col(key), toks.alias("tokens")).mapInArrow(count, f"`{key}` {dict(chunks.dtypes)[key]}, term string, dl int, tf long")
+
+
+def counted(chunks: DataFrame, key: str = "id", stop=...) -> DataFrame:
+    """(key, term, tf, dl) as in postings(): in place where keys differ."""
+    return counted_in_place(chunks, key, stop) if keys_differ(chunks, key) else postings(chunks, key, "text", stop)[0]
+
+
+def vocabulary(chunks: DataFrame, key: str = "id", stop=...) -> tuple[DataFrame, DataFrame]:
+    """(term, df, cf), one row (n, avgdl), as from postings(); terms add up before they are shuffled."""
+    terms = counted(chunks, key, stop).groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
+    # The sum names both columns, so that it reads the same exchange as the terms.
+    return terms, lengths(chunks, terms.agg(F.sum(F.when(F.col("df") > 0, F.col("cf"))).alias("all")))
+
+
+def lengths(chunks: DataFrame, total: DataFrame) -> DataFrame:
+    """One row (n, avgdl) of the chunks and the sum of their lengths, `all`."""
+    return chunks.agg(F.count("*").alias("n")).crossJoin(total).select("n", (F.coalesce("all", F.lit(0)) / F.nullif("n", F.lit(0))).alias("avgdl"))  # one row each
+
+
 def top(ranked: DataFrame, by: list[str], order: list[Column], k: int | None, name: str = "rank") -> DataFrame:
     out = ranked.withColumn(name, F.row_number().over(Window.partitionBy(*by).orderBy(*order)))
     return out if k is None else out.where(F.col(name) <= k)
@@ -62,8 +102,8 @@ def asked_postings(chunks: DataFrame, terms: DataFrame, key: str, stop=...) -> t
 def bm25(queries: DataFrame, chunks: DataFrame, k: int | None = None, settings: Settings = DEFAULT, query_key: str = "query_id", key: str = "id", stop=..., index: tuple[DataFrame, DataFrame, DataFrame] | None = None) -> DataFrame:
     """query_key, key, score, rank of the chunks with a positive score; a query's repeated terms count repeatedly.
 
-    index: postings() of the chunks, if they are there already. Without one, only postings of asked terms are made, and the
-    terms of the queries, once their size was checked, are broadcast to the chunks; larger sets of queries meet all postings
+    index: postings() of the chunks, if they are there already. Without one, only postings of asked terms are made. The
+    terms of the queries, once their size was checked, are broadcast to the chunks or postings; larger sets of queries meet all postings
     in an equi-join on the term, whose hot keys adaptive execution splits.
 
     Ties of scores rounded to nine digits go to the smaller key. Scope a search by filtering chunks before the call, as
@@ -71,9 +111,12 @@ def bm25(queries: DataFrame, chunks: DataFrame, k: int | None = None, settings:
     """
     toks = index_tokens("text") if stop is ... else index_tokens("text", stop)
     asked = queries.select(query_key, F.explode(toks).alias("term")).groupBy(query_key, "term").agg(F.count("*").alias("qtf"))
-    few = index is None and asked.agg(F.coalesce(F.sum(F.octet_length("term") + 64), F.lit(0))).first()[0] <= MOST_ASKED
+    few = asked.agg(F.coalesce(F.sum(F.octet_length("term") + 64), F.lit(0))).first()[0] <= MOST_ASKED
     small = F.broadcast if few else (lambda rows: rows)
-    tf, df, stats = index or (asked_postings(chunks, asked.select("term").distinct(), key, stop) if few else postings(chunks, key, "text", stop))
+    terms = asked.select("term").distinct()
+    tf, df, stats = index or (asked_postings(chunks, terms, key, stop) if few else postings(chunks, key, "text", stop))
+    if index and few:  # postings stay where they are, and of the index's terms only those asked for are sent
+        df = df.join(F.broadcast(terms), "term", "left_semi")
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     norm = settings.bm25_k1 * (1 - settings.bm25_b + settings.bm25_b * F.col("dl") / F.col("avgdl"))
     hits = tf.join(small(asked), "term").join(small(df), "term").crossJoin(stats)  # stats is one row; no more terms are found than asked
@@ -344,8 +387,9 @@ class IndexCache:
             for old in [x for x in self.held if x[0] != revision] + list(self.held)[: max(0, len(self.held) - self.most + 1)]:
                 self.drop(old)
             rows = chunks.where(F.col(doc).isin(*scope)) if scope else chunks
-            tf, df, stats = postings(rows, key)
-            self.held[at] = (tf.persist(), df.persist(), stats.persist())
+            tf = counted(rows, key).persist()  # what follows reads it, and cuts no text
+            df, stats = tf.groupBy("term").agg(F.count("*").alias("df")), lengths(rows, tf.agg(F.sum("tf").alias("all")))
+            self.held[at] = (tf, df.persist(), stats.persist())
             self.built += 1
         return self.held[at]
 

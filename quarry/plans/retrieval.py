@@ -49,9 +49,8 @@ def r1_r2_tokenizer(t: Tables):
 
 @query(f"with {_ITEMS}, tk as (select id, {toks('text')} as t from docs), tf as (select id, term, count(*) as tf from (select id, unnest(t) as term from tk) group by all), df as (select term, count(*) as df, sum(tf) as cf from tf group by term), n as (select count(*) as n, avg(len(t)) as avgdl from tk) select term, df, cast(cf as bigint) as cf, round(ln(1 + (n - df + 0.5) / (df + 0.5)), 6) as idf, round(avgdl, 6) as avgdl from df, n")
 def r3_inverted_index(t: Tables):
-    tf, df, st = se.postings(docs(t))
-    cf = tf.groupBy("term").agg(F.sum("tf").alias("cf"))
-    return df.join(cf, "term").crossJoin(st).select("term", "df", "cf", F.round(F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)), 6).alias("idf"), F.round("avgdl", 6).alias("avgdl"))
+    terms, st = se.vocabulary(docs(t))
+    return terms.crossJoin(st).select("term", "df", "cf", F.round(F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)), 6).alias("idf"), F.round("avgdl", 6).alias("avgdl"))
 
 
 _TOP10 = "select query_id, id, round(score, 6) as score, rank from rk where rank <= 10"
