@@ -373,3 +373,23 @@ def test_hashed_embedding_shuffles_counts_not_words(spark):
         assert np.allclose(got[k], v / np.sqrt(v @ v), atol=1e-12)
     p = se.hashed_embedding(d)._jdf.queryExecution().sparkPlan().toString()
     assert "Generate" not in p
+
+
+def test_terms_are_counted_where_the_texts_are(spark):
+    df = spark.createDataFrame([(1, "b a b the"), (2, ""), (3, None), (4, "a 学校 a")], "id int, text string")
+    rows = lambda d: sorted(map(tuple, d.select("id", "term", "tf", "dl").collect()))
+    assert rows(se.counted(df)) == rows(se.postings(df)[0]) == [(1, "b", 2, 2), (4, "学校", 1, 1)]
+    assert "Exchange" not in se.counted(df)._jdf.queryExecution().executedPlan().toString()
+    twice = df.unionByName(df)
+    assert rows(se.counted(twice)) == rows(se.postings(twice)[0])
+
+
+def test_an_index_is_not_shuffled_for_a_few_questions(spark):
+    chunks = spark.createDataFrame([(1, "b a b"), (2, "a")], "id int, text string").withColumn("doc_id", F.col("id"))
+    asked = spark.createDataFrame([(7, "b")], "query_id int, text string")
+    cache = se.IndexCache()
+    found = se.bm25(asked, chunks, 10, index=cache.index(chunks, 1))
+    p = found._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in p and "SortMergeJoin" not in p
+    assert found.select("id", "rank").collect() == se.bm25(asked, chunks, 10).select("id", "rank").collect() != []
+    cache.clear()
