@@ -19,6 +19,8 @@ from quarry.settings import DEFAULT, Settings
 BUCKETS, CORPUS_BLOCK, QUERY_BLOCK = 32, 4096, 512
 #: Words whose bins a task keeps.
 KNOWN_WORDS = 1 << 17
+#: Hits that are broadcast to the texts, at most (some 64 bytes each).
+MOST_HITS = 1 << 18
 #: Texts whose terms are counted at once.
 TEXTS_AT_ONCE = 1024
 #: Bytes of the terms of all queries, some for each row counted, up to which they are broadcast.
@@ -117,6 +119,8 @@ def bm25(queries: DataFrame, chunks: DataFrame, k: int | None = None, settings:
     tf, df, stats = index or (asked_postings(chunks, terms, key, stop) if few else postings(chunks, key, "text", stop))
     if index and few:  # postings stay where they are, and of the index's terms only those asked for are sent
         df = df.join(F.broadcast(terms), "term", "left_semi")
+    if few and not index:  # all terms of a chunk come together, so that its pairs with queries, far more rows, add up where they are made
+        tf = tf.repartition(key)
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     norm = settings.bm25_k1 * (1 - settings.bm25_b + settings.bm25_b * F.col("dl") / F.col("avgdl"))
     hits = tf.join(small(asked), "term").join(small(df), "term").crossJoin(stats)  # stats is one row; no more terms are found than asked

@@ -393,3 +393,9 @@ def test_an_index_is_not_shuffled_for_a_few_questions(spark):
     assert "BroadcastHashJoin" in p and "SortMergeJoin" not in p
     assert found.select("id", "rank").collect() == se.bm25(asked, chunks, 10).select("id", "rank").collect() != []
     cache.clear()
+
+
+def test_pairs_of_queries_and_chunks_add_up_in_place(spark):
+    chunks = spark.createDataFrame([(1, "b c b"), (2, "c")], "id int, text string")
+    p = se.bm25(spark.createDataFrame([(7, "b c")], "query_id int, text string"), chunks, 10)._jdf.queryExecution().executedPlan().toString()
+    assert not any("Exchange hashpartitioning(query_id" in x and "id#" in x.split("hashpartitioning(query_id")[1].split(",")[1] for x in p.split("\n"))
