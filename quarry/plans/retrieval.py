@@ -169,8 +169,14 @@ def r13_multi_query_pool(t: Tables):
 _OVERLAP = f"1 / (1 + exp(-(len(list_intersect(list_distinct({toks('i.text')}), list_distinct({toks('d.text')})))::double / greatest(len(list_distinct({toks('i.text')})), 1) * 6 - 3)))"
 
 
+def with_texts(t: Tables, hits):
+    """Hits, ten of a question, with text and q_text. A few go to the texts, which then stay where they are."""
+    few = t.benchmark.count() * 10 <= se.MOST_HITS
+    return docs(t).join(F.broadcast(hits) if few else hits, "id").join(items(t).withColumnRenamed("text", "q_text"), "query_id")
+
+
 def reranked(t: Tables, by_rounded: bool = False):
-    hits = hybrid_top(t).join(docs(t), "id").join(items(t).withColumnRenamed("text", "q_text"), "query_id")
+    hits = with_texts(t, hybrid_top(t))
     return se.rerank(hits, se.overlap_score(tx.index_tokens("q_text"), tx.index_tokens("text")), by_rounded)
 
 
@@ -239,7 +245,7 @@ def r9_cached_index(t: Tables):
 
 def _ablated(t: Tables, hits, scorer):
     """The best ten of the hits by a scorer of (question tokens, passage tokens), ties as they came."""
-    both = hits.join(docs(t), "id").join(items(t).withColumnRenamed("text", "q_text"), "query_id")
+    both = with_texts(t, hits)
     return se.rerank(both, scorer(tx.index_tokens("q_text"), tx.index_tokens("text"))).select("query_id", "id", "rank")
 
 

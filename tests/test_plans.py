@@ -51,3 +51,14 @@ def test_partitions_follow_the_rows(spark, name, monkeypatch):
     rows = spark.read.parquet(f"{SF}/lineitem.parquet").count()
     p = plan(catalog.queries()[name](spark, SF))
     assert f", {-(-rows // 100)}), REPARTITION_BY_NUM" in p
+
+
+@pytest.mark.parametrize("name", ["r10_r12_rerank", "r11_rerank_by_rounded_score", "r16_reranked_arms"])
+def test_texts_are_not_shuffled_for_a_few_hits(spark, name):
+    from quarry.operators import search
+
+    df = catalog.queries()[name](spark, SF)
+    for line in plan(df).split("\n"):
+        assert not ("Exchange hashpartitioning(id#" in line and "text" in line)
+    joins = [x for x in df._jdf.queryExecution().executedPlan().toString().split("\n") if "SortMergeJoin [id#" in x]
+    assert not joins and search.MOST_HITS >= 2000
