@@ -126,6 +126,11 @@ def middles_of(xs: np.ndarray, counts: np.ndarray, before: np.ndarray, n: int) -
     return out
 
 
+def with_middle(before: np.ndarray, own: np.ndarray, n: int) -> np.ndarray:
+    """Rounds in which a cell that gets `own` of n draws, after those in the cells below, holds one of the two middles."""
+    return (before <= n // 2) & ((n - 1) // 2 < before + own)
+
+
 STATISTICS: dict[str, Resampled] = {"mean": sums_of, "median": middles_of}
 
 
@@ -162,6 +167,11 @@ def bootstrap(diffs: DataFrame, by: list[str], stat: str | Callable[[np.ndarray]
                     split = generator(seed, r.g, r.block, 0).multinomial(n, sizes / n, len(numbers))
                     before, own = split[:, : r.cell - 1].sum(1), split[:, r.cell - 1]
                     inside, step = generator(seed, r.g, r.block, r.cell), max(1, COUNTS_AT_ONCE // len(xs))
+                    if stat == "median":  # only rounds with a middle in the cell have to be dealt to its values
+                        held = with_middle(before, own, n)
+                        numbers, before, own = numbers[held], before[held], own[held]
+                        if not len(numbers):
+                            continue
                     parts = np.concatenate([of(xs, inside.multinomial(own[k : k + step], cs / cs.sum()), before[k : k + step], n) for k in range(0, len(numbers), step)])
                 yield pd.DataFrame({**{c: [f[c].iloc[i]] * len(parts) for c in by}, "round": numbers, "part": parts})
 

@@ -399,3 +399,17 @@ def test_pairs_of_queries_and_chunks_add_up_in_place(spark):
     chunks = spark.createDataFrame([(1, "b c b"), (2, "c")], "id int, text string")
     p = se.bm25(spark.createDataFrame([(7, "b c")], "query_id int, text string"), chunks, 10)._jdf.queryExecution().executedPlan().toString()
     assert not any("Exchange hashpartitioning(query_id" in x and "id#" in x.split("hashpartitioning(query_id")[1].split(",")[1] for x in p.split("\n"))
+
+
+def test_chunks_leave_before_a_batch_ends(monkeypatch):
+    monkeypatch.setattr(ch, "CHARS_AT_ONCE", 500)
+    docs = ch.pd.DataFrame({"doc_id": [str(i) for i in range(40)], "title": "t", "text": ["word " * 50] * 40})
+    made = list(ch.chunk_frames(iter([docs]), prefixed=False))
+    assert [len(f) for f in made] == [2] * 20 + [0] and [d for f in made for d in f["doc_id"]] == docs["doc_id"].tolist()
+
+
+def test_median_rounds_are_dealt_only_where_a_middle_is(spark, monkeypatch):
+    assert st.with_middle(np.array([0, 3, 4, 5, 6]), np.array([3, 1, 1, 1, 4]), 10).tolist() == [False, False, True, True, False]
+    monkeypatch.setattr(st, "CELL_VALUES", 8)
+    r = st.bootstrap(spark.range(400).select(F.col("id").cast("double").alias("diff")), [], "median", rounds=500).first()
+    assert r.point == 199.5 and abs(r.lo - 179.9) < 6 and abs(r.hi - 219.1) < 6
