@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from quarry.operators import evaluation as ev
 from quarry.operators import policy as po
 from quarry.operators import statistics as st
+from quarry.operators.parts import parts_for
 from quarry.plans.registry import Tables, query
 from quarry.plans.retrieval import HYBRID_SQL, _ITEMS, bm25_sql, bm25_top, docs, hybrid_top, items
 from quarry.operators.search import containment
@@ -206,10 +207,13 @@ _KINDS = "case when name = 'battery' then case when contains(answer, 'drop') the
 @query(f"with s as ({_STEPS}), b as ({_BOTH}), m as (select qtype, case when hyb < trad then 'loss' when hyb > trad then 'win' else 'tie' end as outcome, name, {_KINDS} as kind, retried, s.id from b join s on s.id = b.seq) select qtype, outcome, name, kind, count(*) as n, count(distinct id) as questions, count(distinct case when retried then id end) as retried from m where kind is not null group by all")
 def a22_decision_totals(t: Tables):
     """Battery drops and conflicts, citation verdicts, efforts and best-of picks of the questions, by outcome."""
-    steps = t.sql(_STEPS)
+    by_order = t.by_order()
     b = _both(t).withColumn("outcome", F.when(F.col("hyb") < F.col("trad"), "loss").when(F.col("hyb") > F.col("trad"), "win").otherwise("tie"))
-    m = b.join(steps, F.col("seq") == F.col("id")).withColumn("kind", F.expr(_KINDS)).where("kind is not null")
-    return m.groupBy("qtype", "outcome", "name", "kind").agg(F.count("*").alias("n"), F.count_distinct("id").alias("questions"), F.count_distinct(F.when(F.col("retried"), F.col("id"))).alias("retried"))
+    b = b.select("seq", "qtype", "outcome", "retried").repartition(parts_for(t.lineitem), "seq")
+    m = b.join(t.sql(_STEPS, by_order), F.col("seq") == F.col("id")).withColumn("kind", F.expr(_KINDS)).where("kind is not null")
+    # A question's rows of a kind are counted first, where its steps are, so that distinct questions are rows.
+    each = m.groupBy("id", "qtype", "outcome", "name", "kind").agg(F.count("*").alias("c"), F.max(F.col("retried").cast("int")).alias("r"))
+    return each.groupBy("qtype", "outcome", "name", "kind").agg(F.sum("c").alias("n"), F.count("*").alias("questions"), F.sum("r").cast("long").alias("retried"))
 
 
 _STABLE = "select l_orderkey as id, l_linenumber % 3 as variant, list_sort(list_distinct(list(l_suppkey % 4))) as files from {lineitem} group by 1, 2"

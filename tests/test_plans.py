@@ -45,7 +45,7 @@ def test_no_nested_loops_over_texts_or_vectors(spark, name):
     assert "NestedLoopJoin" not in plan(catalog.queries()[name](spark, SF))
 
 
-@pytest.mark.parametrize("name", ["a15_judge_ensemble"])
+@pytest.mark.parametrize("name", ["a15_judge_ensemble", "a22_decision_totals"])
 def test_partitions_follow_the_rows(spark, name, monkeypatch):
     monkeypatch.setattr(parts, "PART_ROWS", 100)
     rows = spark.read.parquet(f"{SF}/lineitem.parquet").count()
