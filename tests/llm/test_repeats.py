@@ -94,3 +94,30 @@ def test_sql_says_what_brute_force_finds():
     con = duckdb.connect()
     con.register("documents", pd.DataFrame(rows, columns=["doc_id", "text"]))
     assert sorted(con.execute(sql.REPEATS).fetchall()) == brute(rows)
+
+
+@pytest.mark.parametrize("bits", [3, 40, 63])
+def test_ordered_is_a_stable_argsort(bits):
+    keys = np.random.default_rng(bits).integers(0, 2**bits, 3000).astype(np.uint64)
+    keys[1000:] = keys[:2000]
+    order, new = rp.ordered(keys)
+    assert (order == np.argsort(keys, kind="stable")).all()
+    assert np.flatnonzero(new).tolist() == [0, *(np.flatnonzero(np.diff(np.sort(keys))) + 1)]
+
+
+def test_windows_of_a_range_merge_in_few_rounds(monkeypatch):
+    """The least document of every window, over several shards, in a round for every five bytes of a window."""
+    rng, depths, merged = np.random.default_rng(2), [], rp.merged_classes
+    monkeypatch.setattr(rp, "merged_classes", lambda shards, depth: depths.append((len(shards), depth)) or merged(shards, depth))
+    base = rng.integers(0, 256, 90).astype(np.uint8)
+    strings = [base[a : a + n] for a, n in zip(rng.integers(0, 40, 30), rng.integers(50, 57, 30), strict=True)] + [rng.integers(0, 2, 300).astype(np.uint8) for _ in range(3)] + [np.full(400, 255, np.uint8)]
+    docs = rng.permutation(len(strings)).astype(np.int64)
+    low, want = {}, []
+    for s, d in zip(strings, docs, strict=True):
+        for i in range(len(s) - 49):
+            w = s[i : i + 50].tobytes()
+            low[w] = min(low.get(w, d), d)
+            want.append(w)
+    got = rp.least_docs(np.concatenate(strings), np.array([len(s) for s in strings]), docs, shard_symbols=500)
+    assert got.tolist() == [low[w] for w in want]
+    assert depths[0][0] > 2 and depths[0][1] <= 10
