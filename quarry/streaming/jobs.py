@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 from contextlib import contextmanager
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import StructType
@@ -15,7 +15,7 @@ from quarry.operators import chunking, runs
 from quarry.settings import DEFAULT, Settings
 
 FOLD_OUT = "message_id long, content string, n_events long, last_retrieval string, done double, status string"
-FOLD_EVENT = "seq long, kind string, props string, value double"
+FOLD_BATCH = "events string, ms long"
 
 
 @contextmanager
@@ -31,43 +31,45 @@ def rocks(spark: SparkSession) -> Iterator[None]:
 
 
 class Fold(StatefulProcessor):
-    """A message's events so far, as a list that a batch only appends to, and the time of the newest."""
+    """A message's events so far, as a list that a batch only appends to: one entry for what is new in a batch, and its newest time.
+
+    Events come and are kept as JSON, as each value that goes between the store, Spark and Python has a price of its own, and
+    there is no other state, as each call to the store is a round trip for each message.
+    """
 
     def __init__(self, quiet_ms: int):
         self.quiet_ms = quiet_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle, self.events, self.newest = handle, handle.getListState("events", FOLD_EVENT), handle.getValueState("newest", "ms long")
-
-    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        held = {e[0]: e for e in self.events.get()}
-        fresh: dict[int, tuple] = {}
-        ms = 0
-        for f in rows:
-            ms = max(ms, int(f["ts"].max().value // 1_000_000))
-            for e in f[["seq", "kind", "props", "value"]].itertuples(index=False):
-                if e.seq not in held and e.seq not in fresh:
-                    fresh[int(e.seq)] = (int(e.seq), e.kind, e.props, None if pd.isna(e.value) else float(e.value))
+        self.handle, self.batches = handle, handle.getListState("events", FOLD_BATCH)
+
+    def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        held = {e["seq"]: e for events, _ in self.batches.get() for e in json.loads(events)}
+        came = json.loads(f"[{','.join(r[1] for r in rows)}]")
+        fresh: dict[int, dict] = {}
+        for e in came:
+            if e["seq"] not in held:
+                fresh.setdefault(e["seq"], e)
         if not fresh:
             return
+        ms = max(0, *(e.pop("ms", 0) for e in came))
         if not held:
             self.handle.registerTimer(ms + self.quiet_ms)
-        self.events.appendList(list(fresh.values()))
-        self.newest.update((max(ms, self.newest.get()[0] if self.newest.exists() else 0),))
+        self.batches.appendValue((json.dumps(list(fresh.values())), ms))
         every = [e for _, e in sorted((held | fresh).items())]
-        last = {kind: e for e in every for kind in (e[1],)}
-        content = "".join(e[2] for e in every if e[1] == "delta" and e[2] is not None)
+        last = {kind: e for e in every for kind in (e.get("kind"),)}
+        content = "".join(e.get("props", "") for e in every if e.get("kind") == "delta")
         retrieval, done = last.get("retrieval"), last.get("done")
-        yield pd.DataFrame({"message_id": [key[0]], "content": [content], "n_events": [len(every)], "last_retrieval": [retrieval and retrieval[2]], "done": [done and done[3]], "status": ["done" if done else "streaming"]})
+        value = done and done.get("value")  # a text if it is infinite
+        yield Row(message_id=key[0], content=content, n_events=len(every), last_retrieval=retrieval and retrieval.get("props"), done=None if value is None else float(value), status="done" if done else "streaming")
 
-    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[Row]:
         """A message that was quiet goes; one that was not is looked at again when it may have been."""
-        due = self.newest.get()[0] + self.quiet_ms
+        due = max(ms for _, ms in self.batches.get()) + self.quiet_ms
         if due > expiredTimerInfo.getExpiryTimeInMs():
             self.handle.registerTimer(due)
         else:
-            self.events.clear()
-            self.newest.clear()
+            self.batches.clear()
         yield from ()
 
     def close(self) -> None:
@@ -77,13 +79,15 @@ class Fold(StatefulProcessor):
 def fold_stream(events: DataFrame, quiet_minutes: int = 10) -> DataFrame:
     """As operators.trace.folded over a stream of (message_id, seq, kind, props, value, ts), in output mode update.
 
-    A message's events are kept as a list: a batch writes what is new to it, and reads the list once. A copy of a seen event
+    A message's events are kept as a list of batches: a batch writes what is new to it, and reads the list once. A copy of a seen event
     changes nothing; an event without a seq is left out. A row is given whenever a message changed; a message quiet for
     `quiet_minutes` of event time is dropped from the state by a timer, and events later than that are left out. The stream
     has to start inside rocks().
     """
-    marked = events.where("seq is not null").withWatermark("ts", f"{quiet_minutes} minutes")
-    return marked.groupBy("message_id").transformWithStateInPandas(Fold(quiet_minutes * 60_000), FOLD_OUT, "Update", "EventTime")
+    value = F.when(~F.isnan("value"), F.col("value")).alias("value")
+    event = F.to_json(F.struct(F.col("seq").cast("long").alias("seq"), "kind", "props", value, F.unix_millis("ts").alias("ms")), {"ignoreNullFields": "true"})
+    marked = events.where("seq is not null").select("message_id", event.alias("event"), "ts").withWatermark("ts", f"{quiet_minutes} minutes")
+    return marked.groupBy("message_id").transformWithState(Fold(quiet_minutes * 60_000), FOLD_OUT, "Update", "EventTime")
 
 
 def documents_in(spark: SparkSession, path: str, schema: StructType | str, files_per_batch: int = 64) -> DataFrame:
