@@ -84,6 +84,26 @@ def top(ranked: DataFrame, by: list[str], order: list[Column], k: int | None, na
     return out if k is None else out.where(F.col(name) <= k)
 
 
+def numbered(rows: DataFrame, by: list[str], order: list[Column], parts: int, path: str, name: str = "rank") -> DataFrame:
+    """As top() without k, for a few groups of any size: no task sorts a group.
+
+    All rows are dealt into `parts` ranges of (by, order), sorted, and written below `path` with their places, as ranges are
+    drawn anew in each run. A number is the place in the range after the rows of the group in ranges before. The firsts of
+    groups in ranges are broadcast: one for each group and range at most.
+    """
+    keys = [F.col(c) for c in by]
+    dealt = rows.repartitionByRange(parts, *keys, *order).sortWithinPartitions(*keys, *order)
+    dealt.withColumn("#place", F.monotonically_increasing_id()).write.parquet(path)
+    placed = rows.sparkSession.read.parquet(path).withColumn("#range", F.shiftright("#place", 33))
+    firsts = placed.groupBy(*by, "#range").agg(F.min("#place").alias("#first"), F.count("*").alias("#n"))
+    before = F.sum("#n").over(Window.partitionBy(*by).orderBy("#range").rowsBetween(Window.unboundedPreceding, -1))
+    firsts = firsts.select(*[F.col(c).alias(f"#{c}") for c in by], F.col("#range").alias("#r"), (F.coalesce(before, F.lit(0)) - F.col("#first") + 1).alias("#add"))
+    same = F.col("#range") == F.col("#r")
+    for c in by:
+        same &= F.col(c).eqNullSafe(F.col(f"#{c}"))
+    return placed.join(F.broadcast(firsts), same).select(*rows.columns, (F.col("#place") + F.col("#add")).alias(name))
+
+
 def asked_postings(chunks: DataFrame, terms: DataFrame, key: str, stop=...) -> tuple[DataFrame, DataFrame, DataFrame]:
     """As postings(), of the asked terms only, and all others as the empty term; the statistics are those of all chunks.
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from quarry.functions import text as tx
 from quarry.operators import search as se
+from quarry.operators.parts import parts_for
 from quarry.operators.vectors import VectorIndex
 from quarry.plans.registry import Tables, query
 from quarry.sources.sinks import new_folder
@@ -71,9 +72,20 @@ def p1_bm25_in_scope(t: Tables):
     return se.bm25(items(t), scope, 10).select("query_id", "id", F.round("score", 6).alias("score"), "rank")
 
 
+def rankings(t: Tables, parts: int):
+    """The fixture of that name, with pairs added up in as many partitions as told, and ranks numbered over ranges."""
+    pairs = t.lineitem.select((F.col("l_suppkey") % 50).alias("query_id"), F.col("l_partkey").alias("id"), "l_quantity", F.when(F.col("l_linenumber") > 2, F.col("l_linenumber").cast("double")).alias("number")).repartition(parts, "query_id", "id")
+    sums = pairs.groupBy("query_id", "id").agg(F.sum("l_quantity").alias("lexical"), F.sum("number").alias("dense"))
+    kinds = [F.struct(F.lit(c).alias("source"), F.col(c).alias("score")) for c in ("lexical", "dense")]
+    scores = sums.select("query_id", "id", F.inline(F.array(*kinds))).where("source = 'lexical' or score is not null")
+    return se.numbered(scores, ["source", "query_id"], [F.desc("score"), F.col("id")], parts, f"{new_folder(t.spark, 'rankings')}/placed").drop("score")
+
+
 @query("with f as (select query_id, id, sum(1.0 / (60 + rank)) as rrf_score from {rankings} group by query_id, id), r as (select *, row_number() over (partition by query_id order by round(rrf_score, 9) desc, id) as rank from f) select query_id, id, round(rrf_score, 6) as rrf_score, rank from r where rank <= 10")
 def r5_rrf_fusion(t: Tables):
-    return se.fuse(t.rankings, 10).select("query_id", "id", F.round("rrf_score", 6).alias("rrf_score"), "rank")
+    """Two rankings of 50 queries, which grow with the lines: no task sorts a ranking or holds more pairs than a partition's."""
+    n = parts_for(t.lineitem, 2)
+    return se.fuse(rankings(t, n).repartition(n, "query_id", "id"), 10).select("query_id", "id", F.round("rrf_score", 6).alias("rrf_score"), "rank")
 
 
 _KNN = """qs as (select vec_id as query_id, cast(embedding as double[]) as q from {embeddings} where vec_id % 20 = 0), vs as (select vec_id as id, cast(embedding as double[]) as v, label from {embeddings}),

@@ -413,3 +413,15 @@ def test_median_rounds_are_dealt_only_where_a_middle_is(spark, monkeypatch):
     monkeypatch.setattr(st, "CELL_VALUES", 8)
     r = st.bootstrap(spark.range(400).select(F.col("id").cast("double").alias("diff")), [], "median", rounds=500).first()
     assert r.point == 199.5 and abs(r.lo - 179.9) < 6 and abs(r.hi - 219.1) < 6
+
+
+@pytest.mark.parametrize("parts", [1, 7])
+def test_numbers_over_ranges_are_row_numbers(spark, tmp_path, parts):
+    """Ties, nulls and groups that fill several ranges, or share one."""
+    rows = spark.range(500).select(F.when(F.col("id") < 450, "a").when(F.col("id") < 460, "b").alias("g"), F.when(F.col("id") % 50 != 0, F.col("id") % 4).alias("score"), "id")
+    order = [F.desc("score"), F.col("id")]
+    want = {(r.g, r.id): r["rank"] for r in se.top(rows, ["g"], order, None).collect()}
+    got = se.numbered(rows, ["g"], order, parts, f"{tmp_path}/placed")
+    assert {(r.g, r.id): r["rank"] for r in got.collect()} == want and len(want) == got.count() == 500
+    assert spark.read.parquet(f"{tmp_path}/placed").select(F.shiftright("#place", 33)).distinct().count() == parts
+    assert se.numbered(rows.limit(0), ["g"], order, parts, f"{tmp_path}/none").count() == 0

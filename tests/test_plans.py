@@ -53,6 +53,13 @@ def test_partitions_follow_the_rows(spark, name, monkeypatch):
     assert f", {-(-rows // 100)}), REPARTITION_BY_NUM" in p
 
 
+def test_no_task_sorts_a_whole_ranking(spark, monkeypatch):
+    monkeypatch.setattr(parts, "PART_ROWS", 100)
+    n = -(-2 * spark.read.parquet(f"{SF}/lineitem.parquet").count() // 100)
+    p = plan(catalog.queries()["r5_rrf_fusion"](spark, SF))
+    assert f", {n}), REPARTITION_BY_NUM" in p and "row_number() windowspecdefinition(source" not in p and "row_number() windowspecdefinition(query_id" in p
+
+
 @pytest.mark.parametrize("name", ["r10_r12_rerank", "r11_rerank_by_rounded_score", "r16_reranked_arms"])
 def test_texts_are_not_shuffled_for_a_few_hits(spark, name):
     from quarry.operators import search
