@@ -15,6 +15,8 @@ from quarry.operators.search import top
 
 #: Rows that centroids are fitted on at most, cells at most, rounds of fitting; vectors in a block of a cell, and queries in one.
 FIT_ROWS, MOST_CELLS, FIT_ROUNDS, CELL_BLOCK, QUERY_BLOCK = 20_000, 1024, 8, 2048, 512
+#: Numbers of the vectors that leave a task together when queries are sent to cells, and that a task holds while it packs blocks, about.
+SENT, HELD = 1 << 20, 1 << 25
 #: Angle by which bounds are taken too wide, against rounding.
 SLACK = 1e-6
 BLOCK_ROWS = "cell int, keys array<{kind}>, dim int, data binary, radius double"
@@ -81,6 +83,7 @@ class VectorIndex:
 
         def packed(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             held: dict[tuple[int, int], tuple[list, list]] = {}
+            numbers = 0
 
             def block(at: tuple[int, int]) -> pd.DataFrame:
                 keys, values = held.pop(at)
@@ -98,6 +101,12 @@ class VectorIndex:
                         rows.append(v)
                         if len(keys) == CELL_BLOCK:
                             yield block((c, int(d)))
+                            numbers -= CELL_BLOCK * int(d)
+                    numbers += values.size
+                    if numbers > HELD:
+                        for at in list(held):
+                            yield block(at)
+                        numbers = 0
             for at in list(held):
                 yield block(at)
 
@@ -132,22 +141,27 @@ class VectorIndex:
 
         def route(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for f in frames:
-                for d, part in f.groupby("dim"):
-                    if d != home or not len(own):
-                        pairs = [(i, -1) for i in range(len(part))] if not floors and -1 in numbers else []
-                    else:
-                        to = angles(stacked(part["v"]), centroids[own])
-                        order = np.argsort(to, axis=1, kind="stable")
-                        first = np.cumsum(sizes[order], axis=1) - sizes[order] < k
-                        near = np.zeros_like(first)
-                        np.put_along_axis(near, order, first, axis=1)
-                        if floors:
-                            bound = np.cos(np.maximum(0.0, to - radii - SLACK))
-                            near = ~near & (bound >= part["floor"].to_numpy()[:, None] - SLACK)
-                        pairs = [(i, own[j]) for i, j in np.argwhere(near)]
-                    if pairs:
-                        rows = part.iloc[[i for i, _ in pairs]]
-                        yield pd.DataFrame({"q": rows["k"].to_numpy(), "v": rows["v"].to_numpy(), "dim": d, "cell": [int(c) for _, c in pairs]})
+                for d, group in f.groupby("dim"):
+                    for at in range(0, len(group), QUERY_BLOCK):
+                        part = group.iloc[at : at + QUERY_BLOCK]
+                        if d != home or not len(own):
+                            pairs = np.array([(i, -1) for i in range(len(part))] if not floors and -1 in numbers else [], int).reshape(-1, 2)
+                        else:
+                            to = angles(stacked(part["v"]), centroids[own])
+                            order = np.argsort(to, axis=1, kind="stable")
+                            first = np.cumsum(sizes[order], axis=1) - sizes[order] < k
+                            near = np.zeros_like(first)
+                            np.put_along_axis(near, order, first, axis=1)
+                            if floors:
+                                bound = np.cos(np.maximum(0.0, to - radii - SLACK))
+                                near = ~near & (bound >= part["floor"].to_numpy()[:, None] - SLACK)
+                            pairs = np.argwhere(near)
+                            pairs[:, 1] = own[pairs[:, 1]]
+                        # A query's vector goes to each of its cells, so a batch of queries can be a thousand times itself.
+                        step = max(1, SENT // max(1, int(d)))
+                        for some in (pairs[i : i + step] for i in range(0, len(pairs), step)):
+                            rows = part.iloc[some[:, 0]]
+                            yield pd.DataFrame({"q": rows["k"].to_numpy(), "v": rows["v"].to_numpy(), "dim": d, "cell": some[:, 1]})
 
         return queries.mapInPandas(route, f"q {dict(queries.dtypes)['k']}, v array<double>, dim int, cell int")
 

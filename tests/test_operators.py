@@ -425,3 +425,24 @@ def test_numbers_over_ranges_are_row_numbers(spark, tmp_path, parts):
     assert {(r.g, r.id): r["rank"] for r in got.collect()} == want and len(want) == got.count() == 500
     assert spark.read.parquet(f"{tmp_path}/placed").select(F.shiftright("#place", 33)).distinct().count() == parts
     assert se.numbered(rows.limit(0), ["g"], order, parts, f"{tmp_path}/none").count() == 0
+
+
+def test_an_index_holds_and_sends_bounded_batches(spark, tmp_path, monkeypatch):
+    """Blocks leave before a task holds all its rows, queries in frames of a few pairs, and the neighbours stay."""
+    rng = np.random.default_rng(4)
+    rows = spark.createDataFrame([(i, rng.normal(size=8).tolist()) for i in range(300)], "id long, embedding array<double>").coalesce(1)
+    asked = rows.where("id % 3 = 0").withColumnRenamed("id", "query_id")
+    want = sorted(tuple(r) for r in se.nearest(asked, rows, 4).select("query_id", "id", "rank").collect())
+    whole = vectors.VectorIndex.build(rows, f"{tmp_path}/whole")
+    monkeypatch.setattr(vectors, "HELD", 8 * 100)
+    monkeypatch.setattr(vectors, "SENT", 8 * 5)
+    monkeypatch.setattr(vectors, "QUERY_BLOCK", 40)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 60)
+    try:
+        index = vectors.VectorIndex.build(rows, f"{tmp_path}/parts")
+        got = sorted(tuple(r) for r in index.nearest(asked, 4).select("query_id", "id", "rank").collect())
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert got == want
+    assert index.blocks().count() > whole.blocks().count()
+    assert sorted(k for r in index.blocks().collect() for k in r["keys"]) == list(range(300))
