@@ -27,11 +27,11 @@ REPORT = f"question_id long, hits array<long>, n long, {', '.join(f'{m} double'
 
 
 def lexical(questions: DataFrame, docs: DataFrame, k: int) -> DataFrame:
-    return search.bm25(questions, docs, k)
+    return search.bm25(questions, docs, k, one_each=True)
 
 
 def dense(questions: DataFrame, docs: DataFrame, k: int) -> DataFrame:
-    return search.nearest(search.hashed_embedding(questions, "query_id"), search.hashed_embedding(docs), k)
+    return search.nearest(search.hashed_embedding(questions, "query_id"), search.hashed_embedding(docs, one_each=True), k)
 
 
 #: Rankings that arms are made of; each gives query_id, id, rank of the best k documents of every question.
@@ -67,15 +67,17 @@ def report(spark: SparkSession, documents: str, questions: str, out: str, config
     unknown = sorted(set(how["arms"]) - set(ARMS))
     if unknown or how["k"] < 1:
         raise ValueError(f"arms must be of {', '.join(ARMS)} and k at least 1, got {how['arms']} and {how['k']}")
-    # Documents are put together once, and each ranking is made once, whatever arms need it.
-    docs = one_row_each(spark.read.parquet(documents), "doc_id", "id").persist()
-    asked = one_row_each(spark.read.parquet(questions), "item_id", "query_id").persist()
-    log.info("read %d documents of %s and %d questions of %s", docs.count(), documents, asked.count(), questions)
+    # Each ranking is made once, whatever arms need it.
+    docs, together = one_row_each(spark.read.parquet(documents), "doc_id", "id")
+    asked = one_row_each(spark.read.parquet(questions), "item_id", "query_id")[0].persist()
     needed = [r for r in RANKINGS if any(r in ARMS[arm] for arm in how["arms"])]
-    kept = [docs, asked]
+    kept = [asked]
     try:
-        kept.append(gold := search.containment(docs, asked).persist())
-        ranked = {r: RANKINGS[r](asked, docs, how["k"]).persist() for r in needed}
+        if together:
+            kept.append(docs.persist())
+        log.info("read %d documents of %s and %d questions of %s", docs.count(), documents, asked.count(), questions)
+        kept.append(gold := few_parts(search.containment(docs, asked)).persist())
+        ranked = {r: few_parts(RANKINGS[r](asked, docs, how["k"])).persist() for r in needed}
         kept += ranked.values()
         found = {arm: ranked[arm] if arm in ranked else search.hybrid(*[ranked[r] for r in ARMS[arm]], how["k"]) for arm in how["arms"]}
         return {arm: written_arm(arm, found[arm], gold, out) for arm in how["arms"]}
@@ -84,14 +86,24 @@ def report(spark: SparkSession, documents: str, questions: str, out: str, config
             table.unpersist()
 
 
-def one_row_each(rows: DataFrame, key: str, name: str) -> DataFrame:
-    return rows.where(F.col(key).isNotNull() & F.col("text").isNotNull()).groupBy(F.col(key).alias(name)).agg(F.max("text").alias("text"))
+def one_row_each(rows: DataFrame, key: str, name: str) -> tuple[DataFrame, bool]:
+    """One row of an id and its text, and whether rows had to be put together for that: texts of ids that differ stay where they are."""
+    named = rows.where(F.col(key).isNotNull())
+    whole = named.where(F.col("text").isNotNull()).select(F.col(key).alias(name), "text")
+    if search.keys_differ(named, key):
+        return whole, False
+    return whole.groupBy(name).agg(F.max("text").alias("text")), True
+
+
+def few_parts(rows: DataFrame) -> DataFrame:
+    """Rows of questions in a partition for each core: a kept table stays in as many as the session has for shuffles of documents, each of them a task of all that read it."""
+    return rows.coalesce(rows.sparkSession.sparkContext.defaultParallelism)
 
 
 def written_arm(arm: str, ranked: DataFrame, gold: DataFrame, out: str) -> int:
     """Write one arm's folder, partitioned by level; the rows in it."""
     none = [F.lit(None).cast("double").alias(c) for c in ("hit1_lo", "hit1_hi")]
-    rows = question_rows(ranked, gold).persist()
+    rows = few_parts(question_rows(ranked, gold)).persist()
     try:
         both = rows.select("*", *none, F.lit("question").alias("level")).unionByName(arm_row(rows).withColumn("level", F.lit("arm")))
         seen = Observation()

@@ -3,22 +3,26 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from hashlib import md5
 
 import ahocorasick
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarry.functions.text import index_tokens
+from quarry.functions.text import STOP, index_tokens
+from quarry.operators.lexical import bm25_scores, pieces
 from quarry.settings import DEFAULT, Settings
 
+try:  # the same digests, without what OpenSSL sets up for each
+    from _md5 import md5
+except ImportError:
+    from hashlib import md5
+
 #: Buckets of corpus blocks that a set of vector queries is dealt to, at least; vectors of a block of the corpus and of queries.
 BUCKETS, CORPUS_BLOCK, QUERY_BLOCK = 32, 4096, 512
-#: Words whose bins a task keeps.
-KNOWN_WORDS = 1 << 17
 #: Hits that are broadcast to the texts, at most (some 64 bytes each).
 MOST_HITS = 1 << 18
 #: Texts whose terms are counted at once.
@@ -121,12 +125,13 @@ def asked_postings(chunks: DataFrame, terms: DataFrame, key: str, stop=...) -> t
     return counted, df, stats
 
 
-def bm25(queries: DataFrame, chunks: DataFrame, k: int | None = None, settings: Settings = DEFAULT, query_key: str = "query_id", key: str = "id", stop=..., index: tuple[DataFrame, DataFrame, DataFrame] | None = None) -> DataFrame:
+def bm25(queries: DataFrame, chunks: DataFrame, k: int | None = None, settings: Settings = DEFAULT, query_key: str = "query_id", key: str = "id", stop=..., index: tuple[DataFrame, DataFrame, DataFrame] | None = None, one_each: bool = False) -> DataFrame:
     """query_key, key, score, rank of the chunks with a positive score; a query's repeated terms count repeatedly.
 
     index: postings() of the chunks, if they are there already. Without one, only postings of asked terms are made. The
     terms of the queries, once their size was checked, are broadcast to the chunks or postings; larger sets of queries meet all postings
-    in an equi-join on the term, whose hot keys adaptive execution splits.
+    in an equi-join on the term, whose hot keys adaptive execution splits. one_each: keys of the chunks are known to differ,
+    so that all terms of a key are in one text; a few questions then get their scores from blocks of chunks.
 
     Ties of scores rounded to nine digits go to the smaller key. Scope a search by filtering chunks before the call, as
     document frequencies and lengths belong to the scope.
@@ -134,6 +139,9 @@ def bm25(queries: DataFrame, chunks: DataFrame, k: int | None = None, settings:
     toks = index_tokens("text") if stop is ... else index_tokens("text", stop)
     asked = queries.select(query_key, F.explode(toks).alias("term")).groupBy(query_key, "term").agg(F.count("*").alias("qtf"))
     few = asked.agg(F.coalesce(F.sum(F.octet_length("term") + 64), F.lit(0))).first()[0] <= MOST_ASKED
+    if few and one_each and not index:
+        scored = bm25_scores(asked, chunks, k, settings, query_key, key, STOP if stop is ... else stop)
+        return top(scored, [query_key], [F.desc(F.round("score", 9)), F.col(key)], k)
     small = F.broadcast if few else (lambda rows: rows)
     terms = asked.select("term").distinct()
     tf, df, stats = index or (asked_postings(chunks, terms, key, stop) if few else postings(chunks, key, "text", stop))
@@ -217,44 +225,47 @@ def nearest(queries: DataFrame, vectors: DataFrame, k: int, query_key: str = "qu
     return top(pairs, [query_key], [F.desc(F.round("similarity", 9)), F.col(key)], k)
 
 
-class WordBins(dict):
-    """bins * (bin of the last byte) + bin of the one before, of a word's md5."""
-
-    def __init__(self, bins: int):
-        self.bins = bins
-
-    def __missing__(self, word: bytes) -> int:
-        h = md5(word, usedforsecurity=False).digest()
-        self[word] = at = h[15] % self.bins * self.bins + h[14] % self.bins
-        return at
-
-
-def hashed_embedding(docs: DataFrame, key: str = "id", text: str = "text", bins: int = 64) -> DataFrame:
+def hashed_embedding(docs: DataFrame, key: str = "id", text: str = "text", bins: int = 64, one_each: bool = False) -> DataFrame:
     """key, embedding: words in lower case hashed by md5, 1 to the bin of its last byte and 0.5 to that of the one before, unit length.
 
-    Bins are counted where the text is; what is shuffled is a row of counts for each text, as texts of one key count together.
+    Bins are counted where the text is, for all texts of a block at once; what is shuffled is a row of counts for each text,
+    as texts of one key count together. one_each: keys are known to differ, and nothing is shuffled.
     """
 
+    def halves_of(texts: pa.LargeStringArray) -> np.ndarray:
+        """Twice the weight of each bin."""
+        words = pc.ascii_split_whitespace(texts)  # the white space of Spark's \\s; empty words before and after
+        row, found = np.repeat(np.arange(len(texts)), np.asarray(words.value_lengths(), np.int64)), words.flatten().dictionary_encode()
+        there = np.asarray(pc.binary_length(found.dictionary)) > 0
+        letters, ends, digests = bytes(found.dictionary.buffers()[2] or b""), np.cumsum(pc.binary_length(found.dictionary)).tolist(), bytearray()
+        for i, j in zip([0, *ends[:-1]], ends, strict=True):
+            digests += md5(letters[i:j], usedforsecurity=False).digest()
+        digests = np.frombuffer(digests, np.uint8).reshape(-1, 16)
+        word = np.asarray(found.indices)
+        row, word = row[there[word]], word[there[word]]
+        last, before = (np.bincount(row * bins + digests[word, i] % bins, minlength=len(texts) * bins) for i in (15, 14))
+        return (2 * last + before).reshape(-1, bins)
+
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """key, halves: twice the weight of each bin."""
-        known = WordBins(bins)
-        for b in batches:
-            halves = np.zeros((b.num_rows, bins), np.int64)
-            for row, s in zip(halves, b.column(1).to_pylist(), strict=True):
-                words = s.split()  # of bytes: at the white space of Spark's \\s
-                both = np.bincount(np.fromiter(map(known.__getitem__, words), np.int64, len(words)), minlength=bins * bins).reshape(bins, bins)
-                row[:] = 2 * both.sum(1) + both.sum(0)
-                if len(known) > KNOWN_WORDS:
-                    known.clear()
-            flat = pa.ListArray.from_arrays(pa.array(np.arange(0, halves.size + 1, bins, dtype=np.int32)), pa.array(halves.ravel()))
-            found = pa.RecordBatch.from_arrays([b.column(0), flat], names=[key, "halves"])
-            yield found.filter(pa.array(halves.any(axis=1)))
-
-    whole = docs.where(F.col(text).isNotNull()).select(key, F.lower(text).cast("binary").alias("_text"))
-    counted = whole.mapInArrow(count, f"`{key}` {dict(docs.dtypes)[key]}, halves array<bigint>").groupBy(key).agg(F.collect_list("halves").alias("h"))
+        for keys, texts in pieces(batches):
+            values = halves_of(texts)
+            some = values.any(axis=1)
+            values = values[some]
+            if one_each:
+                values = values / np.sqrt((values * values).sum(1).astype(float))[:, None]
+            flat = pa.ListArray.from_arrays(pa.array(np.arange(0, values.size + 1, bins, dtype=np.int32)), pa.array(values.ravel()))
+            yield pa.RecordBatch.from_arrays([keys.filter(pa.array(some)), flat], names=[key, name])
+
+    name, kind = ("embedding", "double") if one_each else ("halves", "bigint")
+    whole = docs.where(F.col(text).isNotNull()).select(key, F.lower(text).alias("_text"))
+    counted = whole.mapInArrow(count, f"`{key}` {dict(docs.dtypes)[key]}, {name} array<{kind}>")
+    if one_each:
+        return counted
+    counted = counted.groupBy(key).agg(F.collect_list("halves").alias("h"))
     added = F.when(F.size("h") == 1, F.element_at("h", 1)).otherwise(F.aggregate("h", F.array_repeat(F.lit(0).cast("long"), bins), lambda x, y: F.zip_with(x, y, lambda p, q: p + q)))
     norm = F.sqrt(F.aggregate("halves", F.lit(0).cast("long"), lambda x, y: x + y * y).cast("double"))
-    return counted.select(key, added.alias("halves")).select(key, "halves", norm.alias("norm")).select(key, F.transform("halves", lambda x: x / F.col("norm")).alias("embedding"))
+    # The norm is an array beside the counts: inside the function of an element it would be worked out for each element.
+    return counted.select(key, added.alias("halves")).select(key, F.zip_with("halves", F.array_repeat(norm, bins), lambda x, n: x / n).alias("embedding"))
 
 
 def hybrid(lexical: DataFrame, dense: DataFrame, k: int, settings: Settings = DEFAULT, query_key: str = "query_id", key: str = "id") -> DataFrame:

@@ -147,3 +147,20 @@ def test_report_makes_each_ranking_once(spark, tmp_path, monkeypatch):
         monkeypatch.setitem(retrieval_report.RANKINGS, name, lambda q, d, k, name=name, of=of: made.append(name) or of(q, d, k))
     assert retrieval_report.report(spark, f"{tmp_path}/docs", f"{tmp_path}/asked", f"{tmp_path}/out") == {"bm25": 2, "dense": 2, "rrf": 2}
     assert sorted(made) == ["bm25", "dense"]
+
+
+def test_report_shuffles_no_texts_of_differing_ids(spark, tmp_path):
+    """Rows are put together only where an id comes twice; the greatest text of an id counts."""
+    schema = "doc_id long, text string"
+    spark.createDataFrame([(1, "red fox"), (2, "dog"), (None, "red"), (3, None)], schema).write.parquet(f"{tmp_path}/one")
+    spark.createDataFrame([(1, "blue fox"), (2, None)], schema).union(spark.read.parquet(f"{tmp_path}/one")).write.parquet(f"{tmp_path}/two")
+    for name, together in (("one", False), ("two", True)):
+        rows, how = retrieval_report.one_row_each(spark.read.parquet(f"{tmp_path}/{name}"), "doc_id", "id")
+        assert how is together and ("Exchange" in rows._jdf.queryExecution().executedPlan().toString()) is together
+        assert sorted(map(tuple, rows.collect())) == [(1, "red fox"), (2, "dog")]
+    spark.createDataFrame([(7, "fox")], "item_id long, text string").write.parquet(f"{tmp_path}/asked")
+    read = {}
+    for name in ("one", "two"):
+        retrieval_report.report(spark, f"{tmp_path}/{name}", f"{tmp_path}/asked", f"{tmp_path}/{name}-out")
+        read[name] = sorted(map(repr, retrieval_report.report_rows(spark, f"{tmp_path}/{name}-out").collect()))
+    assert read["one"] == read["two"] and len(read["one"]) == 6

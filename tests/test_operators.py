@@ -13,6 +13,7 @@ from quarry.plans.registry import Tables
 from quarry.functions import text as tx
 from quarry.operators import chunking as ch
 from quarry.operators import evaluation as ev
+from quarry.operators import lexical as lx
 from quarry.operators import policy as po
 from quarry.operators import runs as ru
 from quarry.operators import search as se
@@ -446,3 +447,79 @@ def test_an_index_holds_and_sends_bounded_batches(spark, tmp_path, monkeypatch):
     assert got == want
     assert index.blocks().count() > whole.blocks().count()
     assert sorted(k for r in index.blocks().collect() for k in r["keys"]) == list(range(300))
+
+
+ODD = ["CNN报道机器学习, a学b", "学", "Crème brûlée¿Qué? «x»", "a_b c-d 12", "", "カナ x", "\u00bf\u00c0\u0080z", "x\U0001f600y \U0001f600", "q\u2014r\u3000s\u303ft", "한국어 text", "ﬀ \ue000 \uffff.", "the\x1fcat\u0085a\tİI ẞ", " of ", "\n\r"]
+
+
+def test_blocks_cut_texts_as_the_tokenizer(spark):
+    texts = [*ODD, "".join(ODD), *map("".join, zip(ODD, reversed(ODD), strict=True))]
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, text string").select("id", F.lower("text").alias("low"), tx.tokens("text").alias("t"))
+    rows = df.orderBy("id").collect()
+    low = lx.pa.array([None, "", *[r.low for r in rows]], lx.pa.large_string()).fill_null("").slice(1)  # as a part of a batch
+    at, words = lx.cut(low)
+    got = [[] for _ in low]
+    for i, w in zip(at.tolist(), words.to_pylist(), strict=True):
+        got[i] += [w] * (w != "")
+    assert got == [[], *[r.t for r in rows]]
+
+
+def test_pieces_of_batches_are_bounded(monkeypatch):
+    monkeypatch.setattr(lx, "BLOCK_TEXTS", 3)
+    monkeypatch.setattr(lx, "BLOCK_BYTES", 10)
+    texts = ["a" * 30, "b", "c" * 9, "d", None, "", "e", "f"]
+    batch = lx.pa.RecordBatch.from_arrays([lx.pa.array(range(8)), lx.pa.array(texts)], names=["k", "t"])
+    found = [(k.to_pylist(), t.to_pylist()) for k, t in lx.pieces(iter([batch, batch.slice(5)]))]
+    assert found == [([0], ["a" * 30]), ([1, 2], ["b", "c" * 9]), ([3, 4, 5], ["d", "", ""]), ([6, 7], ["e", "f"]), ([5, 6, 7], ["", "e", "f"])]
+
+
+def test_scores_of_blocks_whatever_is_added_at_once(monkeypatch):
+    """The best k, ties to the first key, and all pairs, for chunks one by one and together."""
+    rng = np.random.default_rng(5)
+    texts = [" ".join(rng.choice(list("abcdefgh"), rng.integers(0, 6))) for _ in range(60)]
+    asked = lx.Asked.of([(7, "a", 1), (7, "b", 2), (3, "b", 1), (9, "h", 1), (4, "zz", 1)])
+    block = lx.block_of(0, lx.pa.array(range(60)), lx.pa.array(texts, lx.pa.large_string()), asked, [])
+    each, codes, tf = (np.frombuffer(block.column(c)[0].as_py(), np.int32) for c in ("terms", "codes", "tfs"))
+    keys, weights = block.column("keys")[0].as_py(), tf.astype(float)
+    place = np.arange(len(keys))[::-1]
+    want = {(d, q): s for d, t in enumerate(texts) for q, s in ((7, t.count("a") + 2 * t.count("b")), (3, t.count("b")), (9, t.count("h"))) if s}
+    best = {(d, q): s for n in (7, 3, 9) for (d, q), s in sorted((x for x in want.items() if x[0][1] == n), key=lambda x: (-x[1], -x[0][0]))[:4]}
+    for hits, cells in ((1 << 20, 1 << 21), (1, 1), (20, 1 << 21), (1 << 20, 40)):
+        monkeypatch.setattr(lx, "HITS_AT_ONCE", hits)
+        monkeypatch.setattr(lx, "CELLS_AT_ONCE", cells)
+        for k, right in ((None, want), (4, best)):
+            d, q, s = lx.scores_of(weights, codes, each, place, asked, k, np.full(4, -np.inf))
+            assert {(keys[i], asked.queries[j]): x for i, j, x in zip(d, q, s, strict=True)} == right and len(d) == len(right)
+
+
+def test_chunks_of_differing_keys_are_searched_in_blocks(spark):
+    """The same hits and scores as from postings: ties, repeated terms, null keys and texts, keys of both kinds."""
+    rows = [(f"k{i % 97:02}", " ".join("abcdefghij"[(i * j) % 10] for j in range(1, 2 + i % 7)) + " 学校 the") for i in range(90)] + [("x", None), ("y", ""), (None, "a b")]
+    chunks = spark.createDataFrame(rows, "id string, text string").repartition(5)
+    asked = spark.createDataFrame([(1, "a b"), (2, "the"), (3, "zebra"), (None, "学校 c c"), (5, None)], "query_id int, text string")
+    for docs in (chunks, chunks.select(F.xxhash64("id").alias("id"), "text"), chunks.limit(0)):
+        for k in (None, 7):
+            rank = lambda how: sorted(((r.query_id, r["rank"], r.id, round(r.score, 9)) for r in se.bm25(asked, docs, k, **how).collect()), key=repr)  # noqa: E731, B023
+            assert rank({"one_each": True}) == rank({})
+    found = se.bm25(asked, chunks, 7, one_each=True)
+    assert found.count() == 7 * 2  # of a b and of c c
+    p = found._jdf.queryExecution()
+    found.collect()
+    plan = p.executedPlan().toString().split("== Initial Plan ==")[0]
+    assert "ReusedExchange" in plan and plan.count("pack(") == 1  # texts are cut once
+
+
+def test_embeddings_of_differing_keys_are_not_shuffled(spark):
+    rows = [(1, "A b\u00a0c\tb  a"), (2, ""), (3, None), (None, "x \x1f\u2003 y"), (4, " \n "), (5, "w " * 5000), (6, "\u00c9t\u00e9 学 X")]
+    d = spark.createDataFrame(rows, "id long, text string")
+    of = lambda x: sorted((r.id or 0, r.embedding) for r in x.collect())
+    found = se.hashed_embedding(d, one_each=True)
+    assert of(found) == of(se.hashed_embedding(d)) != []
+    assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
+    assert se.hashed_embedding(d.where("id in (2, 4)"), one_each=True).count() == 0
+
+
+def test_the_norm_of_an_embedding_is_worked_out_once(spark):
+    """Not inside the function that divides each element by it."""
+    p = se.hashed_embedding(spark.createDataFrame([(1, "a")], "id long, text string"))._jdf.queryExecution().optimizedPlan().toString()
+    assert "array_repeat(SQRT(" in p and "/ SQRT(" not in p
