@@ -18,7 +18,7 @@ from typing import Any
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from jobs.common import config, log, main, read_back
+from jobs.common import config, log, main, read_back, small_batches
 from quarry.operators import evaluation, search, statistics
 
 DEFAULTS: dict[str, Any] = {"k": 10, "arms": ["bm25", "dense", "rrf"]}
@@ -73,14 +73,15 @@ def report(spark: SparkSession, documents: str, questions: str, out: str, config
     needed = [r for r in RANKINGS if any(r in ARMS[arm] for arm in how["arms"])]
     kept = [asked]
     try:
-        if together:
-            kept.append(docs.persist())
-        log.info("read %d documents of %s and %d questions of %s", docs.count(), documents, asked.count(), questions)
-        kept.append(gold := few_parts(search.containment(docs, asked)).persist())
-        ranked = {r: few_parts(RANKINGS[r](asked, docs, how["k"])).persist() for r in needed}
-        kept += ranked.values()
-        found = {arm: ranked[arm] if arm in ranked else search.hybrid(*[ranked[r] for r in ARMS[arm]], how["k"]) for arm in how["arms"]}
-        return {arm: written_arm(arm, found[arm], gold, out) for arm in how["arms"]}
+        with small_batches(spark):
+            if together:
+                kept.append(docs.persist())
+            log.info("read %d documents of %s and %d questions of %s", docs.count(), documents, asked.count(), questions)
+            kept.append(gold := few_parts(search.containment(docs, asked)).persist())
+            ranked = {r: few_parts(RANKINGS[r](asked, docs, how["k"])).persist() for r in needed}
+            kept += ranked.values()
+            found = {arm: ranked[arm] if arm in ranked else search.hybrid(*[ranked[r] for r in ARMS[arm]], how["k"]) for arm in how["arms"]}
+            return {arm: written_arm(arm, found[arm], gold, out) for arm in how["arms"]}
     finally:
         for table in kept:
             table.unpersist()

@@ -10,7 +10,7 @@ from pathlib import Path
 import pytest
 
 from jobs import ingest_documents, retrieval_report
-from jobs.common import config, read_back
+from jobs.common import BATCH, config, read_back, small_batches
 
 TOP = Path(__file__).resolve().parents[1]
 DOCS = "doc_id long, text string, lang string, source string"
@@ -164,3 +164,13 @@ def test_report_shuffles_no_texts_of_differing_ids(spark, tmp_path):
         retrieval_report.report(spark, f"{tmp_path}/{name}", f"{tmp_path}/asked", f"{tmp_path}/{name}-out")
         read[name] = sorted(map(repr, retrieval_report.report_rows(spark, f"{tmp_path}/{name}-out").collect()))
     assert read["one"] == read["two"] and len(read["one"]) == 6
+
+
+def test_batches_are_small_while_a_report_is_made(spark):
+    for before in (None, "1234567"):
+        spark.conf.unset(BATCH[0]) if before is None else spark.conf.set(BATCH[0], before)
+        with pytest.raises(ZeroDivisionError), small_batches(spark):
+            assert spark.conf.get(BATCH[0]) == BATCH[1]
+            1 / 0  # noqa: B018
+        assert spark.conf.get(BATCH[0], None) == before
+    spark.conf.unset(BATCH[0])
